@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, simhash
+from . import compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
@@ -24,5 +24,49 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash)}
-ORACLES: dict[str, str] = {}
+def op4_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find_secrets(docs, keep=["doc_id"]))
+
+
+def _labelled(spark, sf_dir, label):
+    """Texts and one label of the rows that op5 and op8 may learn from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(~held_out("doc_id", 5, 0))
+    return docs.join(labels, "doc_id")
+
+
+def op5_compression_quality(spark, sf_dir):
+    model = compression.fit(_labelled(spark, sf_dir, "quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    scored = compression.score_quality(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op8_toxicity(spark, sf_dir):
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_top_vectors(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op8_toxicity, op9_top_vectors)}
+ORACLES: dict[str, str] = {
+    "op9_top_vectors": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+          SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM p QUALIFY rank <= 5""",
+}
