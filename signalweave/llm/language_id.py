@@ -161,6 +161,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     return map_texts(docs, text, OUT, lambda texts: shared.value.predict(texts), docs.columns if keep is None else keep)
 
 
-def rejected():
-    """Whether language ID turns a document down: no letters, or unclear although it has 40 letters or more."""
-    return (F.col("lang_pred") == "und") | (F.col("ambiguous") & (F.col("n_letters") >= 40))
+def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows, all their columns as they were, that language ID doesn't turn down: those with letters, and clear unless they have under 40."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema, at = docs.schema, docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep: list[bool] = []
+            for a, b in slices(texts):
+                lang, _, unclear, n = shared.value.predict(texts[a:b])
+                keep += [not (g == "und" or (u and k >= 40)) for g, u, k in zip(lang, unclear, n)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
+from . import bpe, compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
+def vocabulary_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
     model = language_id.fit(docs.where("not held_out"))
@@ -47,6 +53,12 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op7_bpe(spark, sf_dir, vocabulary=None):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoder = bpe.fit(docs, bpe.Vocabulary.read(vocabulary or vocabulary_path()))
+    return bpe.digests(docs, encoder, keep=["doc_id"])
+
+
 def op8_toxicity(spark, sf_dir):
     model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
@@ -58,7 +70,7 @@ def op9_top_vectors(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op8_toxicity, op9_top_vectors)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors)}
 ORACLES: dict[str, str] = {
     "op9_top_vectors": """
         WITH v AS (
