@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
+from . import bpe, brown, compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
@@ -70,7 +70,13 @@ def op9_top_vectors(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors)}
+def op10_brown_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 1).alias("held_out"))
+    model, counts = brown.fit(docs.where("not held_out"))
+    return brown.score(docs, model, counts, keep=["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors, op10_brown_lm)}
 ORACLES: dict[str, str] = {
     "op9_top_vectors": """
         WITH v AS (
