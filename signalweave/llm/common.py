@@ -118,3 +118,17 @@ def count_words(df: DataFrame, text: str, lower: bool = True, group: str | None
 
     found = source.mapInArrow(run, "g string, word binary, n long").groupBy("g", "word").agg(F.sum("n").alias("n"))
     return found.withColumnRenamed("g", group) if group else found.drop("g")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, per_class: int, salt: str) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (y, t) of about ``per_class`` documents of label 0 and of 1 (all, if fewer), and the numbers of both labels.
+
+    The sample is picked by a hash of the ids among the labels alone. It is broadcast, at most 4 * per_class
+    rows of two numbers, so that no other text leaves its scan, and the texts found are checkpointed.
+    """
+    known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("y") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
+    picked = F.broadcast(known.where(uniform("i", salt) < share).limit(4 * per_class))
+    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null").join(picked, "i")
+    return checkpointed(sample.select("y", "t", uniform("i", salt + " order").alias("u"))), counts

@@ -35,16 +35,14 @@ def op4_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(docs, keep=["doc_id"]))
 
 
-def _labelled(spark, sf_dir, label):
-    """Texts and one label of the rows that op5 and op8 may learn from."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).where(~held_out("doc_id", 5, 0))
-    return docs.join(labels, "doc_id")
+def _labels(spark, sf_dir):
+    """The labels that op5 and op8 may learn from."""
+    return table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
 
 
 def op5_compression_quality(spark, sf_dir):
-    model = compression.fit(_labelled(spark, sf_dir, "quality"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    model = compression.fit(docs.join(_labels(spark, sf_dir).select("doc_id", "quality"), "doc_id"))
     scored = compression.score_quality(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
@@ -60,8 +58,8 @@ def op7_bpe(spark, sf_dir, vocabulary=None):
 
 
 def op8_toxicity(spark, sf_dir):
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    model = toxicity.fit(docs.where("not held_out"), _labels(spark, sf_dir))
     scored = toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -15,11 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import letters, lowered, pack, run_hashes, runs
-from .common import map_texts, slices, uniform
+from .common import labelled_sample, map_texts, slices
 
 BITS = 18
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -121,16 +120,15 @@ def train(words: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarra
     return theta, bias, 1 / (1 + np.exp(-leak))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 5000) -> ToxicityModel:
-    """Learns from about ``per_class`` rows of either label (all, if fewer), weighted back to the labels' shares.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 5000) -> ToxicityModel:
+    """Learns from the documents of about ``per_class`` of either label, weighted back to the labels' shares.
 
     Only hashed words of these rows reach the driver.
     """
-    rows = labelled.select(F.col(doc_id).alias("i"), F.col(label).alias("y"), F.col(text).alias("t")).where("i is not null and y in (0, 1) and t is not null")
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows, counts = labelled_sample(docs, labels, label, text, doc_id, per_class, "toxicity")
+    constant = ToxicityModel(np.zeros(1), 0.0, constant=1.0 if counts.get(1) and not counts.get(0) else 0.0)
     if len(counts) < 2:
-        return ToxicityModel(np.zeros(1), 0.0, constant=1.0 if counts.get(1) else 0.0)
-    share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
+        return constant
 
     def hashed(batches):
         for batch in batches:
@@ -143,8 +141,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", doc_id: s
                 s = [sentence[cut[i] : cut[i + 1]].astype(np.int32) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(labels[a:b], pa.int32()), pa.array(w, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int32()))], names=["y", "w", "s"])
 
-    sample = rows.where(uniform("i", "toxicity") < share).select(F.col("y").cast("int"), "t").mapInArrow(hashed, "y int, w array<int>, s array<int>").toArrow()
+    sample = rows.select("y", "t").mapInArrow(hashed, "y int, w array<int>, s array<int>").toArrow()
     y = sample.column("y").to_numpy().astype(float)
+    if len(set(y)) < 2:
+        return constant
     lengths = np.array([len(x) for x in sample.column("w")])
     flat = lambda c: sample.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
     words = flat("w")
