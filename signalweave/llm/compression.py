@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, uniform
+from .common import labelled_sample, map_texts
 
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("size_good", T.LongType()), T.StructField("size_bad", T.LongType())])
 
@@ -83,42 +83,32 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"\n".join(samples)[-size:]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", doc_id: str = "doc_id", per_class: int = 3000, most_bytes: int = 12_000_000, dictionary: int = 64_000) -> CompressionModel:
-    """Learns from about ``per_class`` rows of either label (all, if fewer) and at most ``most_bytes`` of their text.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", doc_id: str = "doc_id", per_class: int = 3000, most_bytes: int = 12_000_000, dictionary: int = 64_000) -> CompressionModel:
+    """Learns from the documents of about ``per_class`` of either label and at most about ``most_bytes`` of their text.
 
-    Odd rows in the order of a hash build the dictionaries, even ones fit the curve, weighted back to the labels' shares.
+    Every other one, in the order of a hash, builds the dictionaries; the others fit the curve, weighted back to the labels' shares.
     """
-    rows = labelled.select(F.col(doc_id).alias("i"), F.col(label).alias("y"), F.col(text).alias("t")).where("i is not null and y in (0, 1) and t is not null")
-    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sample, counts = labelled_sample(docs, labels, label, text, doc_id, per_class, "compression")
     prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     constant = CompressionModel(b"", b"", np.array([0.0, 0.0, np.log(prior / (1 - prior))]))
-    if len(counts) < 2:
+    rows = sample.select("y", "u", F.encode("t", "UTF-8").alias("t"))
+    found = {r.y: r.b for r in rows.groupBy("y").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
+    if len(found) < 2:
         return constant
-    share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    picked = rows.where(uniform("i", "compression") < share).select("i", "y", F.encode("t", "UTF-8").alias("t"))
-    bytes_of = {r.y: r.b for r in picked.groupBy("y").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
-    thin = F.when(F.col("y") == 1, min(1.0, most_bytes / 2 / max(bytes_of.get(1, 1), 1))).otherwise(min(1.0, most_bytes / 2 / max(bytes_of.get(0, 1), 1)))
-    sample = sorted((r.y, uniform_of(r.i), bytes(r.t)) for r in picked.where(uniform("i", "bytes") < thin).collect())
-    parts = {y: [t for z, _, t in sample if z == y] for y in (0, 1)}
+    thin = F.when(F.col("y") == 1, min(1.0, most_bytes / 2 / max(found[1], 1))).otherwise(min(1.0, most_bytes / 2 / max(found[0], 1)))
+    parts: dict[int, list[bytes]] = {0: [], 1: []}
+    for y, _, t in sorted((r.y, r.u, bytes(r.t)) for r in rows.where(F.col("u") < thin).collect()):
+        parts[y].append(t)
     if min(map(len, parts.values())) < 2:
         return constant
-    # Copies within the sample would make a text look like its class just because its copy was learnt.
     model = CompressionModel(_dictionary(parts[1][::2], dictionary), _dictionary(parts[0][::2], dictionary), np.zeros(3))
-    held = [(t, y) for y in (0, 1) for t in parts[y][1::2]]
-    y = np.array([v for _, v in held], dtype=float)
-    texts = [t for t, _ in held]
+    texts = parts[0][1::2] + parts[1][1::2]
+    y = np.repeat([0.0, 1.0], [len(parts[0][1::2]), len(parts[1][1::2])])
     weight = np.where(y == 1, counts[1] / max(y.sum(), 1), counts[0] / max((1 - y).sum(), 1))
     model.curve = logistic(model.inputs(texts, model.sizes(texts)), y, weight * len(y) / weight.sum())
     return model
 
 
-def uniform_of(i) -> int:
-    """A fixed shuffle of ids on the driver."""
-    import zlib
-
-    return zlib.crc32(str(i).encode())
-
-
 def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns with score (0 to 1) and both packed sizes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size

@@ -42,7 +42,7 @@ def _labels(spark, sf_dir):
 
 def op5_compression_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
-    model = compression.fit(docs.join(_labels(spark, sf_dir).select("doc_id", "quality"), "doc_id"))
+    model = compression.fit(docs.where("not held_out"), _labels(spark, sf_dir))
     scored = compression.score_quality(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
