@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import letters, lowered, pack, run_hashes, runs
@@ -82,77 +84,97 @@ class ToxicityModel:
         return [np.clip(total, 0, 1), np.bincount(text, minlength=n), spans]
 
 
-def train(words: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, rate: float = 0.3, significance: float = 4.5, bias: float = -4.0) -> tuple[np.ndarray, float, float]:
-    """Word weights, bias and leak by AdaGrad on the noisy-or likelihood. doc: of each sentence; y, weight: of each document.
+def train(words: np.ndarray, sentence: np.ndarray, doc: np.ndarray, plain: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 200, rate: float = 0.3, bias: float = -4.0) -> tuple[np.ndarray, float, float]:
+    """Weights of known words, bias and leak by AdaGrad on the noisy-or likelihood.
 
-    The likelihood has many optima, and labels err. So only words get a weight whose number of toxic documents is more than
-    ``significance`` standard deviations from what the toxic share makes expected, starting at their
-    log-odds; and the leak, a chance of the label that no sentence explains, takes what is left. The bias never
-    rises: a sentence without known words is not toxic.
+    words, sentence: known words and their sentences; doc: of each such sentence; plain: sentences without known words of each
+    document; y, weight: of each document; start: first weights. The leak is a chance of the label that no sentence
+    explains, since labels err. The bias never rises: a sentence without known words is not toxic.
     """
-    pair = np.unique(doc[sentence] << BITS | words)
-    of_word, of_doc = pair & ((1 << BITS) - 1), pair >> BITS
-    n = np.bincount(of_word, minlength=1 << BITS)
-    toxic = np.bincount(of_word, y[of_doc], minlength=1 << BITS)
-    rate_all = y.mean()
-    known = np.abs(toxic - n * rate_all) > significance * np.sqrt(np.maximum(n * rate_all * (1 - rate_all), 0.5))
-    odds = np.log((toxic + 0.5) / (n - toxic + 0.5)) - np.log(rate_all / (1 - rate_all))
-    theta, square = np.where(known, np.clip(odds, -3, 3), 0.0), np.full(1 << BITS, 1e-8)
-    use = known[words]
-    words, sentence = words[use], sentence[use]
-    leak, square_l, square_b, total = -3.0, 1e-8, 1e-8, weight.sum()
+    theta, square, square_b, square_l = start.copy(), np.full(len(start), 1e-8), 1e-8, 1e-8
+    leak, total = -3.0, weight.sum()
     for _ in range(rounds):
         z = np.bincount(sentence, theta[words], minlength=len(doc)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        rho = 1 / (1 + np.exp(-leak))
-        none = (1 - rho) * np.exp(np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)))
-        share = none / np.maximum(1 - none, 1e-12)
+        p_plain, rho = 1 / (1 + np.exp(-bias)), 1 / (1 + np.exp(-leak))
+        none = (1 - rho) * np.exp(np.bincount(doc, -np.logaddexp(0, z), minlength=len(y)) - plain * np.logaddexp(0, bias))
         # d log-likelihood / dz: -p for a clean document's sentence, p * P(none) / P(any) for a toxic one's; the leak likewise
-        g = np.where(y[doc] == 1, p * share[doc], -p) * weight[doc] / total
-        grad = np.bincount(words, g[sentence], minlength=1 << BITS) - 1e-3 * theta / len(y)
+        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-12), -1.0) * weight / total
+        g = p * pull[doc]
+        grad = np.bincount(words, g[sentence], minlength=len(theta)) - 1e-3 * theta / len(y)
         square += grad * grad
         theta += rate * grad / np.sqrt(square)
-        g_leak = (np.where(y == 1, rho * share, -rho) * weight).sum() / total
-        square_l += g_leak**2
+        g_bias, g_leak = g.sum() + (p_plain * pull * plain).sum(), (rho * pull).sum()
+        square_b, square_l = square_b + g_bias**2, square_l + g_leak**2
         leak += rate * g_leak / np.sqrt(square_l)
-        square_b += g.sum() ** 2
-        bias = min(bias + rate * g.sum() / np.sqrt(square_b), -4.0)
+        bias = min(bias + rate * g_bias / np.sqrt(square_b), -4.0)
     return theta, bias, 1 / (1 + np.exp(-leak))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 5000) -> ToxicityModel:
+def per_document(texts: list[str]):
+    """(words, sentence of each word) of each text, each word once a sentence; sentences count from 0 in each text."""
+    words, sentence, text, _, _ = sentences(texts)
+    words, sentence = distinct(words, sentence)
+    first = np.searchsorted(text, np.arange(len(texts)))
+    cut = np.searchsorted(text[sentence], np.arange(len(texts) + 1)) if len(sentence) else np.zeros(len(texts) + 1, int)
+    n = np.bincount(text, minlength=len(texts))
+    return [(words[cut[i] : cut[i + 1]], sentence[cut[i] : cut[i + 1]] - first[i], int(n[i])) for i in range(len(texts))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", per_class: int = 5000, significance: float = 4.5, most_words: int = 20_000) -> ToxicityModel:
     """Learns from the documents of about ``per_class`` of either label, weighted back to the labels' shares.
 
-    Only hashed words of these rows reach the driver.
+    The likelihood has many optima, and labels err. So only words get a weight whose number of toxic documents is more than
+    ``significance`` standard deviations from what the toxic share makes expected (of these at most the ``most_words``
+    furthest), starting at their log-odds. Only where these stand in the sample reaches the driver.
     """
     rows, counts = labelled_sample(docs, labels, label, text, doc_id, per_class, "toxicity")
     constant = ToxicityModel(np.zeros(1), 0.0, constant=1.0 if counts.get(1) and not counts.get(0) else 0.0)
-    if len(counts) < 2:
+    n_docs = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n_docs) < 2:
         return constant
+    rate = n_docs[1] / sum(n_docs.values())
 
-    def hashed(batches):
+    def frequencies(batches):
+        n = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            labels_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                words, sentence, doc, _, _ = sentences(texts[a:b])
-                words, sentence = distinct(words, sentence)
-                cut = np.searchsorted(doc[sentence], np.arange(b - a + 1)) if len(sentence) else np.zeros(b - a + 1, int)
-                w = [words[cut[i] : cut[i + 1]].astype(np.int32) for i in range(b - a)]
-                s = [sentence[cut[i] : cut[i + 1]].astype(np.int32) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(labels[a:b], pa.int32()), pa.array(w, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int32()))], names=["y", "w", "s"])
-
-    sample = rows.select("y", "t").mapInArrow(hashed, "y int, w array<int>, s array<int>").toArrow()
-    y = sample.column("y").to_numpy().astype(float)
-    if len(set(y)) < 2:
-        return constant
-    lengths = np.array([len(x) for x in sample.column("w")])
+                for y, (words, _, _) in zip(labels_[a:b], per_document(texts[a:b])):
+                    n[y, np.unique(words)] += 1
+        on = np.flatnonzero(n.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(n[0, on]), pa.array(n[1, on])], names=["w", "clean", "toxic"])
+
+    found = rows.select("y", "t").mapInArrow(frequencies, "w int, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = F.col("clean") + F.col("toxic")
+    apart = F.abs(F.col("toxic") - n * rate) / F.sqrt(F.greatest(n * rate * (1 - rate), F.lit(0.5)))
+    known = found.where(apart > significance).orderBy(F.desc(apart), "w").limit(most_words).toPandas()
+    if not len(known):
+        return ToxicityModel(np.zeros(1), 0.0, constant=counts[1] / sum(counts.values()))
+    numbers = np.full(1 << BITS, -1, dtype=np.int32)
+    numbers[known.w] = np.arange(len(known))
+    odds = np.log((known.toxic + 0.5) / (known.clean + 0.5)) - np.log(rate / (1 - rate))
+
+    def places(batches):
+        for batch in batches:
+            labels_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                made = [(numbers[w], s, k) for w, s, k in per_document(texts[a:b])]
+                kept = [(w[w >= 0], s[w >= 0], k) for w, s, k in made]
+                yield pa.RecordBatch.from_arrays([pa.array(labels_[a:b], pa.int32()), pa.array([x[0] for x in kept], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in kept], pa.list_(pa.int32())), pa.array([x[2] for x in kept], pa.int32())], names=["y", "w", "s", "k"])
+
+    sample = rows.select("y", "t").mapInArrow(places, "y int, w array<int>, s array<int>, k int").toArrow()
+    y, k = sample.column("y").to_numpy().astype(float), sample.column("k").to_numpy()
+    lengths = np.array(pc.list_value_length(sample.column("w")))
     flat = lambda c: sample.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
-    words = flat("w")
-    doc_of_word = np.repeat(np.arange(len(y)), lengths)
-    _, first, sentence = np.unique(doc_of_word << 32 | flat("s"), return_index=True, return_inverse=True)
-    doc = doc_of_word[first]
+    of = np.repeat(np.arange(len(y)), lengths)
+    _, first, sentence = np.unique(of << 32 | flat("s"), return_index=True, return_inverse=True)
+    doc = of[first]
     weight = np.where(y == 1, counts[1] / max(y.sum(), 1), counts[0] / max((1 - y).sum(), 1))
-    return ToxicityModel(*train(words, sentence, doc, y, weight))
+    theta, bias, leak = train(flat("w"), sentence, doc, k - np.bincount(doc, minlength=len(y)), y, weight, np.clip(np.asarray(odds), -3, 3))
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    weights[known.w] = theta
+    return ToxicityModel(weights, bias, leak)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
