@@ -1 +1,150 @@
-"""Queries."""
+"""Queries: raw lines made from the tables, parsed and normalised again; sinks and slots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..sources import normalize as N
+from ..sources import parse as P
+from ..sources import sinks as K
+from .fixture import AS_OF
+from .registry import query
+
+
+def gkg_lines(t):
+    """Every signal as a landed line of 27 fields; a tenth is cut short, a tenth has a bad date."""
+    s, i = t.signals, F.col("signal_id")
+    stamp = F.when(i % 10 == 3, F.lit("not a date")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
+    fips = F.element_at(F.array(*map(F.lit, ("UK", "GM", "US", "FR"))), (i % 4 + 1).cast("int"))
+    place = F.concat_ws("#", F.lit("3"), F.lit("Town, Land"), fips, F.lit(""), F.lit(""), F.col("latitude").cast("string"), F.col("longitude").cast("string"), F.lit("7"), F.lit("12"))
+    wrong = F.lit("9#Nowhere#XX#####;1#Short#US")
+    themes = F.concat_ws(";", F.concat(F.lit("KILL,"), i.cast("string")), F.transform("themes", lambda x: F.concat(x, F.lit(",5"))))
+    fields = {0: F.concat(F.lit("r"), i.cast("string")), 1: stamp, 2: F.lit("1"), 3: F.col("source_name"), 4: F.concat_ws("/", "source_url", F.concat(F.lit("some-long-title-"), i.cast("string"), F.lit(".html"))), 5: F.concat(F.lit("KILL#"), (i % 9).cast("string"), F.lit("##3#Town#US#A#1.5#2.5#8;BAD#x#")), 7: F.array_join("themes", ";"), 8: themes, 10: F.concat_ws(";", wrong, place), 11: F.array_join("persons", ";"), 12: F.concat_ws(";", F.transform("persons", lambda x: F.concat(F.upper(x), F.lit(",9")))), 15: F.concat_ws(",", F.col("sentiment").cast("string"), *map(F.lit, ("1", "2", "3", "4", "5", "60")))}
+    whole = F.concat_ws("\t", *[F.coalesce(fields.get(k, F.lit("")), F.lit("")) for k in range(27)])
+    return s.select(F.when(i % 10 == 7, F.concat_ws("\t", F.lit("short"), i.cast("string"))).otherwise(whole).alias("value"))
+
+
+@query("a1_gkg_counts", "SELECT CASE signal_id % 10 WHEN 7 THEN 'too_few_fields' WHEN 3 THEN 'bad_date' ELSE 'good' END AS kind, count(*) AS n FROM signals GROUP BY ALL")
+def a1(t):
+    return P.parse_counts(*P.read_gkg(gkg_lines(t)))
+
+
+@query("a1_gkg_nested", "SELECT concat('r', CAST(signal_id AS VARCHAR)) AS record_id, CAST(1 AS INTEGER) AS places, CAST(1 AS INTEGER) AS counts, CAST(signal_id % 9 AS BIGINT) AS killed, sentiment AS tone, CAST(4 AS INTEGER) AS themes FROM signals WHERE signal_id % 10 NOT IN (3, 7)")
+def a1n(t):
+    good, _ = P.read_gkg(gkg_lines(t))
+    return good.select("record_id", F.size("locations").alias("places"), F.size("counts").alias("counts"), F.get("counts", F.lit(0))["number"].alias("killed"), F.col("tone.tone").alias("tone"), F.size("enhanced_themes").alias("themes"))
+
+
+@query("a2_gkg_to_signals", "SELECT CASE signal_id % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'US' ELSE 'FR' END AS country_code, 'Some Long Title ' || signal_id AS headline, nullif(latitude, 0) AS latitude, sentiment, true AS is_crisis, 'KILL,' || array_to_string(list_filter(themes, lambda x: length(x) > 2), ',') AS themes, array_to_string(persons, ',') AS persons, round(0.2 + 1 / (1 + len(list_filter(themes, lambda x: length(x) > 2))), 6) AS crisis_score FROM signals WHERE signal_id % 10 NOT IN (3, 7)")
+def a2(t):
+    rows = N.read_and_normalize(gkg_lines(t))
+    return rows.select("country_code", "headline", "latitude", "sentiment", "is_crisis", F.array_join("themes", ",").alias("themes"), F.array_join("persons", ",").alias("persons"), F.round("crisis_score", 6).alias("crisis_score"))
+
+
+@query("a3_events_scan", "SELECT event_id, quad_class, goldstein, CAST(num_mentions AS INTEGER) AS num_mentions, 'GB' AS country_code, CASE WHEN event_id % 6 = 0 THEN NULL ELSE latitude END AS latitude FROM geo_events")
+def a3(t):
+    f = {0: F.col("event_id").cast("string"), 6: F.col("actor1"), 16: F.col("actor2"), 25: F.lit("1"), 28: F.col("root_code"), 29: F.col("quad_class").cast("string"), 30: F.col("goldstein").cast("string"), 31: F.col("num_mentions").cast("string"), 53: F.lit("UK"), 56: F.when(F.col("event_id") % 6 == 0, "x").otherwise(F.col("latitude").cast("string")), 59: F.date_format("ts", "yyyyMMddHHmmss")}
+    lines = t.geo_events.select(F.concat_ws("\t", *[F.coalesce(f.get(k, F.lit("")), F.lit("")) for k in range(61)]).alias("value"))
+    return P.read_events(lines).select("event_id", "quad_class", "goldstein", "num_mentions", "country_code", "latitude")
+
+
+@query("a4_conflict_scan", "SELECT concat('C', CAST(event_id AS VARCHAR)) AS event_id_cnty, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(num_mentions AS INTEGER) END AS fatalities, CASE WHEN event_id % 5 = 0 THEN NULL ELSE latitude END AS latitude FROM geo_events")
+def a4(t):
+    e = t.geo_events
+    text = lambda c: F.col(c).cast("string")
+    raw = e.select(F.concat(F.lit("C"), text("event_id")).alias("event_id_cnty"), F.date_format("ts", "yyyy-MM-dd").alias("event_date"), F.when(F.col("event_id") % 3 == 0, "about 5").otherwise(text("num_mentions")).alias("fatalities"), F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(text("latitude")).alias("latitude"), text("longitude").alias("longitude"), *[F.lit("x").alias(c) for c in ("event_type", "sub_event_type", "actor1", "actor2", "country", "region", "location", "notes", "source")])
+    return P.read_conflicts(raw).select("event_id_cnty", "fatalities", "latitude")
+
+
+@query("a5_trend_items", "SELECT country_code, keyword, CAST(rank AS INTEGER) AS rank, CASE WHEN rank % 2 = 0 THEN CAST(rank AS BIGINT) * 1000 ELSE CAST(rank AS BIGINT) * 1000000 END AS volume FROM trends WHERE rank <= 15")
+def a5(t):
+    items = t.trends.select("country_code", (F.col("rank") - 1).alias("position"), F.col("keyword").alias("title"), F.concat(F.col("rank").cast("string"), F.when(F.col("rank") % 2 == 0, "K+").otherwise("M+")).alias("traffic"))
+    return P.read_trends(items, 15)
+
+
+@query("a6_pageviews", ", p AS (SELECT region AS project, title, CAST(sum(views) AS BIGINT) AS views FROM pageviews JOIN countries USING (country_code) GROUP BY ALL), r AS (SELECT project, replace(title, '_', ' ') AS title, views, CAST(row_number() OVER (PARTITION BY project ORDER BY views DESC, title) AS INTEGER) AS rank FROM p QUALIFY rank <= 25) SELECT country_code, title, views, rank FROM r JOIN countries ON region = project")
+def a6(t):
+    lang = t.countries.select(F.col("region").alias("project"), F.lit("en").alias("language"), "country_code")
+    per = t.pageviews.join(lang, "country_code").groupBy("project", "title").agg(F.sum("views").alias("views"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("views")).alias("v"), "title"))), lambda x: F.struct(x["title"].alias("article"), (-x["v"]).alias("views")))
+    lists = per.groupBy("project").agg(ordered.alias("a")).select(F.lit("2024-01-30").alias("day"), F.array(F.struct("project", F.concat(F.array(F.struct(F.lit("Main_Page").alias("article"), F.lit(9).cast("long").alias("views"))), "a").alias("articles"))).alias("items"))
+    return P.read_pageviews(lists, lang).select("country_code", "title", "views", "rank")
+
+
+@query("a7_feed_articles", "SELECT headline, 'src' || CAST(split_part(split_part(source_name, 'src', 2), '.', 1) AS VARCHAR) || '.example.com' AS source_name, CASE WHEN contains(lower(headline), 'nation_1') THEN 'AA' WHEN contains(lower(headline), 'nation_2') THEN 'BB' ELSE 'ZZ' END AS country_code, 'reporting' AS signal_class FROM signals WHERE ts > {AS_OF} - INTERVAL 240 HOURS AND source_name <> 'src5.example.com'")
+def a7(t):
+    items = t.signals.select(F.concat(F.lit("<b>"), "headline", F.lit("</b>")).alias("title"), F.col("source_url").alias("link"), F.lit(None).cast("string").alias("description"), "ts")
+    feed = N.Feed(country="ZZ", keywords=[("nation_1", "AA"), ("nation_2", "BB")])
+    since = F.to_timestamp(F.lit(AS_OF)) - F.expr("INTERVAL 240 HOURS")
+    return N.normalize_articles(items, feed, since, ["src5.example.com"]).select("headline", "source_name", "country_code", "signal_class")
+
+
+@query("a10_social_posts", "SELECT headline, 'XX' AS country_code, 'social_commentary' AS signal_class, geo_confidence * 0 + 0.5 AS geo_confidence FROM signals WHERE signal_id % 8 <> 0")
+def a10(t):
+    posts = t.signals.select(F.when(F.col("signal_id") % 8 == 0, "[removed]").otherwise(F.col("headline")).alias("title"), F.lit("https://social.example.org/p").alias("link"), F.col("source_url").alias("external_url"), "ts")
+    return N.normalize_articles(posts, N.FEEDS["social"]).select("headline", "country_code", "signal_class", "geo_confidence")
+
+
+@query("a9_provider_articles", "SELECT headline, CASE WHEN signal_id % 3 = 0 THEN 'FR' ELSE 'XX' END AS country_code, geo_confidence * 0 + 0.7 AS geo_confidence, 'api' AS source_family FROM signals")
+def a9(t):
+    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), F.when(F.col("signal_id") % 3 == 0, "fr").otherwise("france").alias("provider_country"), "ts")
+    return N.normalize_articles(items, N.FEEDS["news_by_provider"]).select("headline", "country_code", "geo_confidence", "source_family")
+
+
+@query("a8_humanitarian", "SELECT headline, 'AA' AS country_code, true AS is_crisis, 0.5::DOUBLE AS crisis_score, 'humanitarian' AS signal_class FROM signals WHERE contains(lower(headline), 'nation_1')")
+def a8(t):
+    from dataclasses import replace
+
+    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), F.lit("").alias("description"), "ts")
+    return N.normalize_articles(items, replace(N.FEEDS["humanitarian"], keywords=[("nation_1", "AA")])).select("headline", "country_code", "is_crisis", "crisis_score", "signal_class")
+
+
+@query("a11_combined_feeds", "SELECT source_family, count(*) AS n FROM (SELECT 'social' AS source_family FROM signals UNION ALL SELECT 'api' FROM signals) GROUP BY ALL")
+def a11(t):
+    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), "ts")
+    both = N.combined([N.normalize_articles(items, N.FEEDS[k]) for k in ("social", "news_by_words")])
+    return both.groupBy("source_family").agg(F.count("*").alias("n"))
+
+
+@query("a13_missing_slots", "SELECT CAST(slot AS VARCHAR) AS slot FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12', INTERVAL 15 MINUTES)) AS slot) WHERE slot NOT IN (SELECT time_bucket(INTERVAL 15 MINUTES, ts) FROM signals)")
+def a13(t):
+    return K.missing_slots(t.signals, "2024-01-10 00:00:00", "2024-01-12 00:00:00").select(F.col("slot").cast("string").alias("slot"))
+
+
+@query("a14_page_meta", "SELECT page_id, substr(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 1, 500) AS title FROM pages")
+def a14(t):
+    return P.page_meta(t.raw("pages")).select("page_id", "title")
+
+
+@query("a15_new_rows", "SELECT min(signal_id) AS signal_id, source_url FROM signals WHERE event_type = 'click' AND source_url NOT IN (SELECT source_url FROM signals WHERE event_type = 'view' OR event_type = 'purchase') GROUP BY source_url")
+def a15(t):
+    new, old = t.signals.where("event_type = 'click'"), t.signals.where("event_type in ('view', 'purchase')")
+    return K.new_rows(new.select("signal_id", "source_url"), old.select("source_url"), "source_url")
+
+
+@query("a16_merged_rows", ", o AS (SELECT country_code, max(sentiment) AS top, min(headline) AS head, count(*) AS n FROM signals WHERE event_type = 'click' GROUP BY ALL), w AS (SELECT country_code, max(sentiment) AS top, max(headline) AS head, count(*) AS n FROM signals WHERE event_type <> 'click' GROUP BY ALL) SELECT country_code, CASE WHEN o.top IS NULL THEN w.top WHEN w.top IS NULL THEN o.top ELSE greatest(o.top, w.top) END AS top, coalesce(o.head, w.head) AS head, coalesce(w.n, o.n) AS n FROM o FULL JOIN w USING (country_code)")
+def a16(t):
+    part = lambda c, f: t.signals.where(c).groupBy("country_code").agg(F.max("sentiment").alias("top"), f("headline").alias("head"), F.count("*").alias("n"))
+    return K.merge_rows(part("event_type = 'click'", F.min), part("event_type <> 'click'", F.max), ["country_code"], {"top": "greatest", "head": "old", "n": "new"})
+
+
+@query("a18_bridges", "SELECT signal_id, array_to_string(list_sort(list_distinct(themes)), ',') AS themes, array_to_string(list_sort(list_distinct(persons)), ',') AS persons FROM signals WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
+def a18(t):
+    back = K.from_bridges(K.to_bridges(t.signals), "2024-01-05 00:00:00", "2024-01-20 00:00:00")
+    return back.select("signal_id", F.array_join("themes", ",").alias("themes"), F.array_join("persons", ",").alias("persons"))
+
+
+@query("a19_new_members", "SELECT DISTINCT country_code FROM signals WHERE country_code NOT IN (SELECT country_code FROM countries WHERE region <> 'R1')")
+def a19(t):
+    return K.new_members(t.signals, t.countries.where("region <> 'R1'"))
+
+
+@query("c17_iso_and_domains", "SELECT source_url, source_name AS domain, 'independent' AS family FROM signals GROUP BY ALL")
+def c1(t):
+    return t.signals.select("source_url").distinct().select("source_url", exprs.domain(F.col("source_url")).alias("domain"), exprs.source_family(F.col("source_url")).alias("family"))
+
+
+@query("c1_page_domains", "SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1), '^www\\.', '') AS domain FROM pages")
+def c1p(t):
+    return t.raw("pages").select("page_id", exprs.domain(F.col("url")).alias("domain"))
