@@ -63,17 +63,19 @@ class Vocabulary:
         letters = byte_letters()
         return cls(tokens, [ids[c] for c in letters], [ids[c + end] for c in letters], {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(pairs)}, special)
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Pairs as sorted numbers with their ranks, the id that each rank makes, and the ids of bytes."""
+        keys = np.array([a << 20 | b for a, b in self.merges], dtype=np.int64)
+        ranks = np.array([r for r, _ in self.merges.values()], dtype=np.int64)
+        made = np.zeros(len(ranks), dtype=np.int64)
+        made[ranks] = [i for _, i in self.merges.values()]
+        order = np.argsort(keys)
+        return keys[order], ranks[order], made, np.array(self.first), np.array(self.last)
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word: the pair of the lowest rank merges first, of equal ones the leftmost."""
         ids = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
         merges = self.merges
-        if len(ids) <= 32:
-            while len(ids) > 1:
-                best = min(((r[0], i, r[1]) for i, p in enumerate(pairwise(ids)) if (r := merges.get(p))), default=None)
-                if best is None:
-                    break
-                ids[best[1] : best[1] + 2] = [best[2]]
-            return tuple(ids)
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
         heap = [(r[0], i, r[1], *p) for i, p in enumerate(pairwise(ids)) if (r := merges.get(p))]
@@ -92,8 +94,57 @@ class Vocabulary:
         return tuple(i for i in ids if i >= 0)
 
 
+def merge_many(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> list[tuple[int, ...]]:
+    """Ids of many short words, all merged together: each round makes each word's best merge."""
+    keys, ranks, made, first, last = arrays
+    none = len(made)
+
+    def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (a >= 0) & (b >= 0), ranks[at], none)
+
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    width = int(lengths.max(initial=1))
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ids = np.full((len(words), width + 1), -1, dtype=np.int64)
+    ids[np.arange(width + 1) < lengths[:, None]] = first[data]
+    ids[np.arange(len(words)), lengths - 1] = last[data[np.cumsum(lengths) - 1]]
+    if width > 1 and len(keys):
+        rows, work = np.arange(len(words)), ids.copy()
+        best = rank(work[:, :-1], work[:, 1:])
+        columns = np.arange(width + 1)
+        while len(rows):
+            at = best.argmin(1)
+            lowest = best[np.arange(len(rows)), at]
+            going = lowest < none
+            ids[rows[~going]] = work[~going]
+            rows, work, best, at, lowest = rows[going], work[going], best[going], at[going], lowest[going]
+            if not len(rows):
+                break
+            here = np.arange(len(rows))
+            work[here, at] = made[lowest]
+            shift = np.minimum(columns + (columns > at[:, None]), width)
+            work = np.take_along_axis(work, shift, 1)
+            work[:, width] = -1
+            best = np.take_along_axis(np.column_stack([best, np.full(len(rows), none)]), shift, 1)[:, :width]
+            best[here, at] = rank(work[here, at], work[here, at + 1])
+            back = here[at > 0]
+            best[back, at[back] - 1] = rank(work[back, at[back] - 1], work[back, at[back]])
+    n = (ids >= 0).sum(1)
+    flat, ends = ids[ids >= 0].tolist(), np.cumsum(n).tolist()
+    return [tuple(flat[e - k : e]) for e, k in zip(ends, n.tolist())]
+
+
+#: Most stretches are letters that need no normalising, perhaps with a run of punctuation after them: two words at most.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)").fullmatch
+
+
 def words_of(chunk: str) -> list[bytes]:
     """Words of a stretch without ASCII white space and special tokens."""
+    if m := PLAIN(chunk):
+        word, rest = m.groups()
+        return [word.lower().encode(), rest.encode()] if rest else [word.lower().encode()]
     if not chunk.isascii():
         # Lower case goes letter by letter, so a sigma at a word's end is like any other.
         chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
@@ -106,7 +157,7 @@ class Encoder:
     lexicon: bytes  # an automaton over words
     ids: np.ndarray  # of all its words, one after the other
     ends: np.ndarray
-    most_cached: int = 150_000
+    most_cached: int = 300_000
     _state: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -115,30 +166,45 @@ class Encoder:
     def _ready(self) -> dict:
         if not self._state:
             names = sorted(map(re.escape, self.vocabulary.special), key=len, reverse=True)
-            self._state.update(automaton=Automaton(self.lexicon), special=re.compile("|".join(names)) if names else None, cache={})
+            self._state.update(automaton=Automaton(self.lexicon), special=re.compile("|".join(names)) if names else None, cache={}, words={}, arrays=self.vocabulary.arrays(), begins=np.append(0, self.ends).tolist(), ids=self.ids.tolist())
         return self._state
 
     def look_up(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of distinct words: from the lexicon, else by merging."""
-        places = self._ready()["automaton"].places(words).tolist()
-        begin, end = np.append(0, self.ends[:-1]) if len(self.ends) else self.ends, self.ends
-        return [tuple(self.ids[begin[p] : end[p]].tolist()) if p >= 0 else self.vocabulary.merge(w) for w, p in zip(words, places)]
+        state = self._ready()
+        places = state["automaton"].places(words).tolist()
+        begins, ids = state["begins"], state["ids"]
+        out = [tuple(ids[begins[p] : begins[p + 1]]) if p >= 0 else None for p in places]
+        unseen = [i for i, x in enumerate(out) if x is None]
+        short = [i for i in unseen if len(words[i]) <= 32]
+        for i, x in zip(short, merge_many([words[i] for i in short], state["arrays"])):
+            out[i] = x
+        return [self.vocabulary.merge(w) if x is None else x for w, x in zip(words, out)]
 
     def learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks into the cache."""
         state, parts = self._ready(), {}
         for c in chunks:
-            found: list = []
-            at = 0
             if "<|" in c and state["special"]:
+                found: list = []
+                at = 0
                 for m in state["special"].finditer(c):
                     found += [*words_of(c[at : m.start()]), self.vocabulary.special[m[0]]]
                     at = m.end()
-            parts[c] = found + words_of(c[at:])
-        words = list({w for p in parts.values() for w in p if isinstance(w, bytes)})
-        known = dict(zip(words, self.look_up(words)))
+                parts[c] = found + words_of(c[at:])
+            else:
+                parts[c] = words_of(c)
+        known = state["words"]
+        if len(known) > self.most_cached:
+            known.clear()
+        new = list({w for p in parts.values() for w in p if w.__class__ is bytes}.difference(known))
+        known.update(zip(new, self.look_up(new)))
+        cache = state["cache"]
         for c, p in parts.items():
-            state["cache"][c] = tuple(chain.from_iterable(known[w] if isinstance(w, bytes) else (w,) for w in p))
+            if len(p) == 1 and p[0].__class__ is bytes:
+                cache[c] = known[p[0]]
+            else:
+                cache[c] = tuple(chain.from_iterable(known[w] if w.__class__ is bytes else (w,) for w in p))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cache = self._ready()["cache"]
