@@ -1 +1,132 @@
-"""Queries."""
+"""Queries: scalar functions over the signals, documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..operators import happenings as H
+from ..operators import rollups as R
+from .fixture import AS_OF
+from .registry import query
+
+
+@query("c2_slug_titles", "SELECT page_id, CASE WHEN length(slug) >= 5 AND (contains(slug, '-') OR contains(slug, '_')) THEN 1 ELSE 0 END AS has_title FROM (SELECT page_id, list_last(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')) AS slug FROM pages)")
+def c2(t):
+    return t.raw("pages").select("page_id", F.when(exprs.slug_title(F.col("url")).isNotNull(), 1).otherwise(0).alias("has_title"))
+
+
+@query("c3_stripped_pages", "SELECT page_id, md5(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS text_md5 FROM pages")
+def c3(t):
+    return t.raw("pages").select("page_id", F.md5(exprs.strip_tags(F.col("html"))).alias("text_md5"))
+
+
+@query("c4_search_text", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(translate(text, 'ßœæøłđðþ', '        '))), '[^a-z0-9]+', ' ', 'g'))) AS text_md5 FROM documents WHERE lang <> 'xx'")
+def c4(t):
+    return t.raw("documents").where("lang <> 'xx'").select("doc_id", F.md5(exprs.search_text(F.col("text"))).alias("text_md5"))
+
+
+@query("c6_singular_words", ", w AS (SELECT DISTINCT lower(unnest(string_split(headline, ' '))) AS word FROM signals) SELECT word, CASE WHEN word LIKE '%virus' THEN word WHEN length(word) > 4 AND word LIKE '%ies' THEN substr(word, 1, length(word) - 3) || 'y' WHEN length(word) > 4 AND word LIKE '%es' THEN substr(word, 1, length(word) - 2) WHEN length(word) > 3 AND word LIKE '%s' THEN substr(word, 1, length(word) - 1) ELSE word END AS one FROM w")
+def c6(t):
+    words = t.signals.select(F.explode(F.split(F.lower("headline"), " ")).alias("word")).distinct()
+    return words.select("word", exprs.singular(F.col("word")).alias("one"))
+
+
+@query("c7_theme_labels", ", t AS (SELECT DISTINCT unnest(themes) AS theme FROM signals) SELECT theme, CASE WHEN theme LIKE 'SEG\\_%' ESCAPE '\\' THEN 'Seg ' || upper(substr(theme, 5, 1)) || lower(substr(theme, 6)) WHEN theme LIKE 'K%' AND length(theme) = 2 THEN 'K' ELSE upper(substr(theme, 1, 1)) || lower(substr(theme, 2)) END AS label, 'other' AS category FROM t")
+def c7(t):
+    return R.exploded(t.signals).select("theme").distinct().select("theme", exprs.theme_label(F.col("theme")).alias("label"), exprs.theme_category(F.col("theme")).alias("category"))
+
+
+@query("c10_coded_labels", "SELECT DISTINCT root_code, quad_class, CASE root_code WHEN '01' THEN 'Statement' WHEN '03' THEN 'Cooperation' ELSE root_code END AS label FROM geo_events")
+def c10(t):
+    return t.geo_events.select("root_code", "quad_class").distinct().select("root_code", "quad_class", H.coded_label(F.col("root_code"), {"01": "Statement", "03": "Cooperation"}).alias("label"))
+
+
+@query("c11_url_hashes", "SELECT signal_id, md5(source_url) AS url_hash FROM signals")
+def c11(t):
+    return t.signals.select("signal_id", F.md5("source_url").alias("url_hash"))
+
+
+@query("c12_tokens", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS tokens FROM documents")
+def c12(t):
+    return t.raw("documents").select("doc_id", F.size(exprs.tokens(F.col("text"))).cast("long").alias("tokens"))
+
+
+@query("c13_scripts", "SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN 'arabic' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'other' END AS script, coalesce(lower(lang), 'en') AS lang FROM documents")
+def c13(t):
+    return t.raw("documents").select("doc_id", exprs.script(F.col("text")).alias("script"), exprs.language_hint(F.col("text"), F.col("lang")).alias("lang"))
+
+
+@query("c14_clean_titles", "SELECT doc_id, CASE WHEN length(x) >= 3 THEN x END AS title FROM (SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 100) AS x FROM documents)")
+def c14(t):
+    return t.raw("documents").select("doc_id", exprs.clean_title(F.col("text")).alias("title"))
+
+
+@query("c24_distances", "SELECT signal_id, round(6371 * 2 * atan2(sqrt(a), sqrt(1 - a)), 3) AS km FROM (SELECT signal_id, pow(sin(radians(48.85 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(48.85)) * pow(sin(radians(2.35 - longitude) / 2), 2) AS a FROM signals)")
+def c24(t):
+    return t.signals.select("signal_id", F.round(exprs.haversine_km(F.col("latitude"), F.col("longitude"), F.lit(48.85), F.lit(2.35)), 3).alias("km"))
+
+
+@query("c28_buckets", "SELECT signal_id, CAST(time_bucket(INTERVAL 15 MINUTES, ts) AS VARCHAR) AS quarter, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour FROM signals")
+def c28(t):
+    return t.signals.select("signal_id", F.window("ts", "15 minutes")["start"].cast("string").alias("quarter"), R.hour().cast("string").alias("hour"))
+
+
+@query("c29_labels", "SELECT signal_id, CASE WHEN x < -10 THEN 'very_negative' WHEN x < -2 THEN 'negative' WHEN x <= 2 THEN 'neutral' WHEN x <= 10 THEN 'positive' ELSE 'very_positive' END AS tone, CASE WHEN sentiment > 0.5 THEN 'positive' WHEN sentiment > -0.5 THEN 'neutral' WHEN sentiment > -2 THEN 'negative' ELSE 'hostile' END AS framing, round(greatest(-1, least(1, x / 10)), 6) AS clamped FROM (SELECT *, sentiment * 3 AS x FROM signals)")
+def c29(t):
+    x = F.col("sentiment") * 3
+    return t.signals.select("signal_id", exprs.tone_label(x).alias("tone"), exprs.framing_label(F.col("sentiment")).alias("framing"), R.r(exprs.clamped_tone(x)).alias("clamped"))
+
+
+@query("c33_decay", "SELECT signal_id, round(exp(-(epoch(TIMESTAMP '2024-01-31') - epoch(ts)) / 3600 / 100), 6) AS decay FROM signals")
+def c33(t):
+    return t.signals.select("signal_id", R.r(exprs.decay(F.col("ts"), F.to_timestamp(F.lit(AS_OF)), 100.0)).alias("decay"))
+
+
+@query("c37_conflict_intensity", "SELECT event_id, CAST(round(CAST(greatest(0, least(1, 0.5 - goldstein / 10)) AS DECIMAL(24, 8)), 2) AS DOUBLE) AS intensity FROM geo_events")
+def c37(t):
+    return t.geo_events.select("event_id", exprs.conflict_intensity(F.col("goldstein")).alias("intensity"))
+
+
+@query("c38_chosen_sentiment", "SELECT signal_id, coalesce(nlp_sentiment, sentiment) AS tone FROM signals")
+def c38(t):
+    return t.signals.select("signal_id", F.coalesce("nlp_sentiment", "sentiment").alias("tone"))
+
+
+@query("c39_gated_tone", "SELECT country_code, round(CASE WHEN count(nlp_sentiment) / count(*) >= 0.34 THEN avg(nlp_sentiment) ELSE avg(sentiment) END, 6) AS tone FROM signals GROUP BY ALL")
+def c39(t):
+    return t.signals.groupBy("country_code").agg(R.r(exprs.gated_tone(F.avg("nlp_sentiment"), F.avg("sentiment"), F.count("nlp_sentiment"), F.count("*"), 0.34)).alias("tone"))
+
+
+@query("b9_valid_persons", "SELECT signal_id, len(persons) AS n FROM signals")
+def b9(t):
+    """All made-up names have two words; none is a place."""
+    return t.signals.select("signal_id", F.size(F.filter("persons", lambda p: exprs.valid_person(p, ["nation 1"]))).cast("long").alias("n"))
+
+
+@query("b11_attention", "SELECT title FROM (SELECT DISTINCT title FROM pageviews) WHERE NOT starts_with(title, 'VIEW')")
+def b11(t):
+    """Titles of one kind are named after a singer, and go."""
+    titles = t.pageviews.select("title").distinct()
+    named = titles.withColumn("shown", F.when(F.col("title").startswith("VIEW"), F.concat(F.col("title"), F.lit("_singer"))).otherwise(F.col("title")))
+    return named.where(exprs.attention_relevant(F.col("shown"))).select("title")
+
+
+@query("b7_theme_bundle", "SELECT signal_id FROM signals WHERE list_has_any(themes, ['K2', 'ERROR'])")
+def b7(t):
+    return t.signals.where(F.arrays_overlap("themes", F.array(F.lit("K2"), F.lit("ERROR")))).select("signal_id")
+
+
+@query("b6_like_any", "SELECT signal_id FROM signals WHERE contains(lower(headline), 'nation_2') OR contains(lower(headline), 'error')")
+def b6(t):
+    return t.signals.where(exprs.like_any(F.col("headline"), ["nation_2", "error"])).select("signal_id")
+
+
+@query("c19_outlet_country", "SELECT page_id, CASE WHEN host LIKE '%.example.net' THEN 'NL' WHEN host LIKE '%.example.com' THEN 'US' END AS home FROM (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1), '^www\\.', '') AS host FROM pages)")
+def c19(t):
+    return t.raw("pages").select("page_id", exprs.outlet_country(F.col("url"), {"example.net": "NL", "example.com": "US"}).alias("home"))
+
+
+@query("c18_first_keyword", "SELECT doc_id, CASE WHEN contains(lower(text), 'ción') THEN 'ES' WHEN contains(lower(text), 'eau') THEN 'FR' WHEN contains(lower(text), 'sch') THEN 'DE' ELSE 'XX' END AS country FROM documents")
+def c18(t):
+    return t.raw("documents").select("doc_id", exprs.first_keyword(F.lower("text"), [("ción", "ES"), ("eau", "FR"), ("sch", "DE")], F.lit("XX")).alias("country"))

@@ -1 +1,81 @@
-"""Queries."""
+"""Queries: streams over the events table, run until it is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import stream as M
+from .fixture import SIGNALS, SPARK
+from .registry import query
+
+
+def streamed_signals(t):
+    """The signals view with the events as a stream."""
+    events = t.spark.readStream.schema(t.raw("events").schema).parquet(f"{t.sf_dir}/events.parquet*")
+    return t.spark.sql(SIGNALS.format(**SPARK, events="{events}", customer="{customer}", nation="{nation}"), events=events, customer=t.raw("customer"), nation=t.raw("nation"))
+
+
+def _logged(t, df, name, keys, mode="update"):
+    path = M.scratch(t.spark, name)
+    M.run_available(df, M.update_log(path), path + "-checkpoint", mode)
+    return M.latest_of_log(t.spark, path, keys)
+
+
+@query("m3_dedup_stream", "SELECT count(DISTINCT source_url) AS urls FROM signals")
+def m3(t):
+    """All rows come in one batch, so the first of each URL is found whatever the watermark."""
+    path = M.scratch(t.spark, "m3")
+    M.run_available(M.dedup_stream(streamed_signals(t)).select("source_url"), M.update_log(path), path + "-checkpoint")
+    return t.spark.read.parquet(path).agg(F.count("*").alias("urls"))
+
+
+@query("m4_theme_hourly_stream", ", t AS (SELECT ts, sentiment, unnest(themes) AS theme FROM signals) SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, theme, count(*) AS signal_count, round(avg(sentiment), 6) AS avg_sentiment FROM t GROUP BY ALL")
+def m4(t):
+    rows = _logged(t, M.stream_theme_hourly(streamed_signals(t)), "m4", ["hour", "theme"])
+    return rows.select(F.col("hour").cast("string").alias("hour"), "theme", "signal_count", "avg_sentiment")
+
+
+@query("m5_accepted_rows", "SELECT source_family, count(*) AS n FROM signals WHERE epoch(TIMESTAMP '2024-01-31') - epoch(ts) <= 3600 * CASE source_family WHEN 'gdelt' THEN 200 WHEN 'social' THEN 100 ELSE 300 END GROUP BY ALL")
+def m5(t):
+    return M.accepted(t.signals, "2024-01-31 00:00:00", {"gdelt": 200, "social": 100}, 300).groupBy("source_family").agg(F.count("*").alias("n"))
+
+
+@query("m6_velocity_stream", ", w AS (SELECT ts, unnest([time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOURS]) AS upto FROM signals) SELECT CAST(upto AS VARCHAR) AS upto, count(*) FILTER (WHERE ts >= upto - INTERVAL 1 HOUR) AS last, count(*) FILTER (WHERE ts < upto - INTERVAL 1 HOUR) AS previous FROM w GROUP BY ALL")
+def m6(t):
+    rows = _logged(t, M.stream_velocity(streamed_signals(t), "2 hours", "1 hour"), "m6", ["upto"])
+    return rows.withColumn("upto", F.col("upto").cast("string"))
+
+
+@query("m7_quarter_hours", "SELECT CAST(time_bucket(INTERVAL 15 MINUTES, ts) AS VARCHAR) AS slot, country_code, count(*) AS n FROM signals GROUP BY ALL")
+def m7(t):
+    rows = _logged(t, M.stream_buckets(streamed_signals(t)), "m7", ["slot", "country_code"])
+    return rows.withColumn("slot", F.col("slot").cast("string"))
+
+
+@query("m8_latest_positions", "SELECT 'v' || (signal_id % 300) AS vessel, CAST(max(ts) AS VARCHAR) AS ts FROM signals WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY ALL")
+def m8(t):
+    ships = streamed_signals(t).select(F.concat(F.lit("v"), (F.col("signal_id") % 300).cast("string")).alias("vessel"), "ts", "latitude", "longitude")
+    path = M.scratch(t.spark, "m8")
+    M.run_available(M.latest_positions(ships), M.update_log(path), path + "-checkpoint", "update")
+    rows = t.spark.read.parquet(path)
+    return rows.groupBy("vessel").agg(F.max("ts").cast("string").alias("ts"))
+
+
+@query("m10_running_statistics", "SELECT country_code, count(sentiment) AS n, min(sentiment) AS low, max(sentiment) AS high, round(avg(sentiment), 6) AS mean FROM signals GROUP BY ALL")
+def m10(t):
+    """Partial aggregates merged batch by batch."""
+    from ..operators import rollups as R
+
+    path = M.scratch(t.spark, "m10")
+    state = "country_code string, n long, total double, low double, high double"
+
+    def merge(old, batch):
+        new = R.partials(batch, ["country_code"])
+        known = old if "total" in old.columns else old.sparkSession.createDataFrame([], state)
+        both = known.unionByName(new).groupBy("country_code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return both
+
+    query_ = M.run_available(streamed_signals(t), M.merge_into(path, ["country_code"], merge), path + "-checkpoint")
+    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
+    rows = t.spark.read.parquet(f"{path}/v{last}")
+    return rows.select("country_code", "n", "low", "high", R.r(F.try_divide("total", "n")).alias("mean"))
