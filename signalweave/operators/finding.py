@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dims, exprs
 from .rollups import r, top_per
@@ -89,7 +90,7 @@ def fuzzy_suggest(queries: DataFrame, S: DataFrame, countries: DataFrame, pagevi
     return best.join(most, "query").where("most = 0 or s = most").select("query", "value", "kind", "n", F.round("score", 3).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; Spark has none. Only distinct pairs of words come here."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

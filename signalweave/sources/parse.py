@@ -109,7 +109,8 @@ def in_country(records: DataFrame, country: str) -> DataFrame:
 def primary_location(places: Column, preferred: str | None = None) -> Column:
     """The preferred country's first place if it has one, else the first of the most specific kind: city, region, country."""
     rank = lambda x: F.when(x["location_type"].isin(3, 4), 0).when(x["location_type"].isin(2, 5), 1).otherwise(2)
-    best = F.get(F.concat(*[F.filter(places, lambda x, k=k: rank(x) == k) for k in (0, 1, 2)]), F.lit(0))
+    ranked = lambda k: F.filter(places, lambda x: rank(x) == k)
+    best = F.get(F.concat(ranked(0), ranked(1), ranked(2)), F.lit(0))
     return best if preferred is None else F.coalesce(F.get(F.filter(places, lambda x: x["country_code"] == preferred), F.lit(0)), best)
 
 
