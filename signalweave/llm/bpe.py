@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Automaton, build
-from .common import WORD, count_words, map_texts
+from .common import WORD, checkpointed, count_words, map_texts, most_frequent
 
 #: How the vocabulary splits a text into words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -221,7 +221,7 @@ class Encoder:
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", most_words: int = 1 << 17) -> Encoder:
     """An encoder whose lexicon has the words of the ``most_words`` most frequent stretches between white space."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(most_words).select("word")
+    top = most_frequent(checkpointed(count_words(docs, text)), most_words).select("word")
     words = sorted({w for r in top.toArrow().column("word").to_pylist() for w in words_of(r.decode("utf-8", "replace"))})
     ids = [vocabulary.merge(w) for w in words]
     return Encoder(vocabulary, build(words), np.array(list(chain.from_iterable(ids)), dtype=np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64))

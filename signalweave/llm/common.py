@@ -132,3 +132,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, d
     picked = F.broadcast(known.where(uniform("i", salt) < share).limit(4 * per_class))
     sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null").join(picked, "i")
     return checkpointed(sample.select("y", "t", uniform("i", salt + " order").alias("u"))), counts
+
+
+def most_frequent(counts: DataFrame, k: int) -> DataFrame:
+    """The k most frequent words of (word, n), ties by the smaller word.
+
+    A histogram of the numbers, in steps of an eighth of a doubling, tells how frequent a word has to be, so only about k
+    rows are sorted and not k of each partition. ``counts`` is read twice.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    floor, total = 0, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        floor, total = r.s, total + r.words
+        if total >= k:
+            break
+    return counts.where(step >= floor).orderBy(F.desc("n"), "word").limit(k)
