@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, brown, compression, language_id, mixing, quality_rules, secrets, simhash, topk, toxicity
+from . import bpe, brown, compression, language_id, mixing, oracles, quality_rules, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
@@ -22,7 +22,8 @@ def op1_language_id(spark, sf_dir):
 
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.apply_rules(docs, quality_rules.fit(docs), keep=["doc_id"])
+    judged = quality_rules.apply_rules(docs, quality_rules.fit(docs), keep=["doc_id"])
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op3_simhash(spark, sf_dir):
@@ -75,14 +76,4 @@ def op10_brown_lm(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors, op10_brown_lm)}
-ORACLES: dict[str, str] = {
-    "op9_top_vectors": """
-        WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
-          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        p AS (
-          SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-        FROM p QUALIFY rank <= 5""",
-}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.QUALITY, "op4_secrets": oracles.SECRETS, "op6_mixing": oracles.MIXING, "op9_top_vectors": oracles.TOP_VECTORS}
