@@ -188,3 +188,29 @@ def insight_facts(S: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     now = R.exploded(S.where(exprs.in_window(F.col("ts"), as_of, hours)))
     facts = now.groupBy("theme").agg(F.count("*").alias("n"), F.countDistinct("country_code").alias("countries"), F.countDistinct("source_name").alias("sources"), r(F.avg("sentiment")).alias("tone"), r(F.min("sentiment")).alias("lowest"), r(F.max("sentiment")).alias("highest"))
     return facts.join(theme_momentum(S, as_of).select("theme", "momentum"), "theme", "left")
+
+
+def visible_persons(people: DataFrame, hidden: list[str] = (), limit: int = 8) -> DataFrame:
+    """People (person, n) with two names or more who are not hidden, the most frequent first."""
+    good = (F.size(F.split(F.trim("person"), r"\s+")) >= 2) & (F.col("n") > 0) & ~F.lower("person").isin(*(list(hidden) or [""]))
+    return people.where(good).orderBy(F.desc("n"), "person").limit(limit)
+
+
+def with_place(S: DataFrame, countries: DataFrame) -> DataFrame:
+    """Signals with their own place, else their country's centre."""
+    centre = countries.select("country_code", F.col("latitude").alias("lat0"), F.col("longitude").alias("lon0"))
+    return S.join(centre, "country_code", "left").withColumn("latitude", F.coalesce("latitude", "lat0")).withColumn("longitude", F.coalesce("longitude", "lon0")).drop("lat0", "lon0")
+
+
+def choose_source(hours: float, raw_up_to: float = 24.0, hourly_up_to: float = 168.0) -> str:
+    """Which table answers a window: raw signals, the hourly rollup, or the daily one."""
+    return "raw" if hours <= raw_up_to else "hourly" if hours <= hourly_up_to else "daily"
+
+
+def totals_routed(S: DataFrame, hourly: DataFrame, daily: DataFrame, as_of: str, hours: float) -> DataFrame:
+    """Rows a country in a window from the smallest table that has them."""
+    table = choose_source(hours)
+    if table == "raw":
+        return S.where(exprs.in_window(F.col("ts"), as_of, hours)).groupBy("country_code").agg(F.count("*").alias("n"))
+    rows, at = (hourly, "hour") if table == "hourly" else (daily, "day")
+    return rows.where(exprs.in_window(F.col(at), as_of, hours)).groupBy("country_code").agg(F.sum("signal_count").alias("n"))

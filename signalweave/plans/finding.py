@@ -87,3 +87,11 @@ def h7(t):
     first = R.exploded(t.signals.where("is_crisis")).select(F.col("theme").alias("item")).distinct()
     second = t.signals.select(F.explode("persons").alias("item")).union(R.exploded(t.signals.where("event_type = 'click'")).select("theme")).distinct()
     return S.merged_hits(first, second)
+
+
+@query("k39_unified_search", ", th AS (SELECT 'themes' AS part, item, total FROM (SELECT item, CAST(sum(n) AS BIGINT) AS total FROM (SELECT item, country_code, count(*) AS n FROM (SELECT country_code, unnest(themes) AS item FROM signals WHERE contains(lower(array_to_string(themes, ' ')), 'click')) GROUP BY ALL HAVING count(*) >= 2) GROUP BY item ORDER BY total DESC, item LIMIT 10)), pg AS (SELECT 'pages' AS part, title AS item, CAST(sum(views) AS BIGINT) AS total FROM pageviews WHERE contains(lower(title), 'click') GROUP BY title ORDER BY total DESC, item LIMIT 20) SELECT * FROM th UNION ALL SELECT * FROM pg")
+def k39(t):
+    """Themes and pages of one search, as one list."""
+    parts = S.unified_search(t.signals, t.countries, t.pageviews, "Click")
+    pages = parts["pages"].select(F.lit("pages").alias("part"), F.col("title").alias("item"), F.col("views").alias("total"))
+    return parts["themes"].select(F.lit("themes").alias("part"), "item", "total").unionByName(pages)

@@ -148,3 +148,25 @@ def c1(t):
 @query("c1_page_domains", "SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1), '^www\\.', '') AS domain FROM pages")
 def c1p(t):
     return t.raw("pages").select("page_id", exprs.domain(F.col("url")).alias("domain"))
+
+
+@query("b12_records_in_country", "SELECT concat('r', CAST(signal_id AS VARCHAR)) AS record_id FROM signals WHERE signal_id % 10 NOT IN (3, 7) AND signal_id % 4 = 1")
+def b12(t):
+    return P.in_country(P.read_gkg(gkg_lines(t))[0], "GM").select("record_id")
+
+
+@query("b13_records_by_text", "SELECT concat('r', CAST(signal_id AS VARCHAR)) AS record_id FROM signals WHERE signal_id % 10 NOT IN (3, 7) AND (contains(source_name, 'src12') OR len(list_filter(persons, lambda p: contains(p, 'src12'))) > 0 OR len(list_filter(themes, lambda x: contains(lower(x), 'src12'))) > 0)")
+def b13(t):
+    return P.text_filter(P.read_gkg(gkg_lines(t))[0], "SRC12").select("record_id")
+
+
+@query("c20_primary_locations", "SELECT concat('r', CAST(signal_id AS VARCHAR)) AS record_id, CASE signal_id % 4 WHEN 0 THEN 'UK' WHEN 1 THEN 'GM' WHEN 2 THEN 'US' ELSE 'FR' END AS country FROM signals WHERE signal_id % 10 NOT IN (3, 7)")
+def c20(t):
+    return P.read_gkg(gkg_lines(t))[0].select("record_id", P.primary_location(F.col("locations"), "US")["country_code"].alias("country"))
+
+
+@query("a12_slot_paths", "SELECT strftime(slot, '%Y%m%d%H%M%S') || '.gkg.csv' AS path, count(signal_id) > 0 AS landed FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11', INTERVAL 15 MINUTES)) AS slot) LEFT JOIN signals ON time_bucket(INTERVAL 15 MINUTES, ts) = slot GROUP BY ALL")
+def a12(t):
+    slots = K.slot_paths(t.spark, "yyyyMMddHHmmss'.gkg.csv'", "2024-01-10 00:00:00", "2024-01-11 00:00:00")
+    seen = t.signals.select(F.window("ts", "15 minutes")["start"].alias("slot")).distinct().withColumn("landed", F.lit(True))
+    return slots.join(seen, "slot", "left").select("path", F.coalesce("landed", F.lit(False)).alias("landed"))

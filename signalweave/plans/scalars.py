@@ -130,3 +130,78 @@ def c19(t):
 @query("c18_first_keyword", "SELECT doc_id, CASE WHEN contains(lower(text), 'ción') THEN 'ES' WHEN contains(lower(text), 'eau') THEN 'FR' WHEN contains(lower(text), 'sch') THEN 'DE' ELSE 'XX' END AS country FROM documents")
 def c18(t):
     return t.raw("documents").select("doc_id", exprs.first_keyword(F.lower("text"), [("ción", "ES"), ("eau", "FR"), ("sch", "DE")], F.lit("XX")).alias("country"))
+
+
+@query("b10_visible_persons", ", p AS (SELECT unnest(persons) AS person FROM signals) SELECT person, count(*) AS n FROM p WHERE person <> 'person 3' GROUP BY ALL ORDER BY n DESC, person LIMIT 8")
+def b10(t):
+    from ..operators.themes import visible_persons
+
+    return visible_persons(R.exploded(t.signals, "persons", "person").groupBy("person").agg(F.count("*").alias("n")), ["person 3"])
+
+
+@query("b3_focus_person", "SELECT signal_id FROM signals WHERE len(list_filter(persons, lambda p: contains(lower(p), 'person 12'))) > 0")
+def b3(t):
+    return t.signals.where(exprs.focus("person", "Person 12")).select("signal_id")
+
+
+@query("b14_valid_entities", ", e AS (SELECT DISTINCT unnest(list_concat(persons, [headline, source_family])) AS name FROM signals) SELECT name FROM e WHERE length(name) BETWEEN 3 AND 60 AND NOT regexp_matches(name, '[0-9]') AND len(string_split(name, ' ')) <= 5")
+def b14(t):
+    names = t.signals.select(F.explode(F.concat("persons", F.array("headline", "source_family"))).alias("name")).distinct()
+    return names.where(exprs.entity_valid(F.col("name"), F.lit("en")))
+
+
+@query("c8_simple_labels", ", t AS (SELECT DISTINCT unnest(themes) AS theme FROM signals) SELECT theme, CASE WHEN theme LIKE 'SEG%' THEN 'Seg ' || upper(substr(theme, 5, 1)) || lower(substr(theme, 6)) WHEN length(theme) = 2 THEN 'K' ELSE upper(substr(theme, 1, 1)) || lower(substr(theme, 2)) END AS label FROM t")
+def c8(t):
+    return R.exploded(t.signals).select("theme").distinct().select("theme", exprs.simple_label(F.col("theme")).alias("label"))
+
+
+@query("c21_centroid_fallback", "SELECT signal_id, CASE WHEN signal_id % 2 = 0 THEN s.latitude ELSE c.latitude END AS latitude FROM signals s LEFT JOIN countries c USING (country_code)")
+def c21(t):
+    from ..operators.themes import with_place
+
+    some = t.signals.withColumn("latitude", F.when(F.col("signal_id") % 2 == 0, F.col("latitude")))
+    return with_place(some, t.countries).select("signal_id", "latitude")
+
+
+@query("c23_query_country", "SELECT signal_id, CASE event_type WHEN 'click' THEN 'KR' WHEN 'view' THEN 'US' END AS code FROM signals")
+def c23(t):
+    text = F.concat_ws(" ", "headline", F.when(F.col("event_type") == "click", "in South Korea").when(F.col("event_type") == "view", "sobre Estados Unidos"))
+    return t.signals.select("signal_id", exprs.query_country(text)["code"].alias("code"))
+
+
+@query("c27_aircraft_classes", "SELECT signal_id, CASE signal_id % 4 WHEN 0 THEN 'military' WHEN 1 THEN 'government' WHEN 2 THEN 'commercial' ELSE CASE WHEN signal_id % 8 = 3 THEN 'military' ELSE 'private' END END AS kind FROM signals")
+def c27(t):
+    k = F.col("signal_id") % 4
+    callsign = F.when(k == 0, " rch12").when(k == 1, "GAF1").when(k == 2, "DLH44").otherwise("N-1")
+    return t.signals.select("signal_id", exprs.aircraft_class(callsign, F.when(F.col("signal_id") % 8 == 3, "AE12").otherwise("3c12"), ["RCH"], ["GAF"], ["ae"]).alias("kind"))
+
+
+@query("c31_precision", "SELECT signal_id, CASE signal_id % 6 WHEN 1 THEN 'country' WHEN 2 THEN 'region' WHEN 5 THEN 'region' WHEN 0 THEN 'unknown' ELSE 'city' END AS place FROM signals")
+def c31(t):
+    return t.signals.select("signal_id", exprs.precision(F.col("signal_id") % 6).alias("place"))
+
+
+@query("c35_theme_intensity", ", m AS (SELECT country_code, theme, count(*) AS n FROM (SELECT country_code, unnest(themes) AS theme FROM signals) GROUP BY ALL) SELECT country_code, round(least(1, sum(n) / 500), 6) AS intensity FROM m GROUP BY ALL")
+def c35(t):
+    per = R.exploded(t.signals).groupBy("country_code", "theme").agg(F.count("*").alias("n"))
+    maps = per.groupBy("country_code").agg(F.map_from_entries(F.collect_list(F.struct("theme", "n"))).alias("m"))
+    return maps.select("country_code", R.r(exprs.intensity(F.col("m"))).alias("intensity"))
+
+
+@query("c36_source_confidence", "SELECT signal_id, round(0.7 + CASE WHEN source_lang IS NOT NULL THEN 0.15 ELSE 0 END + 0.15, 2) AS confidence FROM signals")
+def c36(t):
+    return t.signals.select("signal_id", exprs.source_confidence(F.col("source_url").isNotNull(), F.col("source_lang").isNotNull(), F.col("ts").isNotNull()).alias("confidence"))
+
+
+@query("c41_signed_scores", "SELECT signal_id, round(5 * (geo_confidence - (1 - geo_confidence)), 6) AS score, round(greatest(geo_confidence, 1 - geo_confidence), 6) AS confidence FROM signals")
+def c41(t):
+    s = exprs.signed_score(F.create_map(F.lit("positive"), F.col("geo_confidence"), F.lit("negative"), 1 - F.col("geo_confidence")))
+    return t.signals.select("signal_id", R.r(s["score"]).alias("score"), R.r(s["confidence"]).alias("confidence"))
+
+
+@query("d3_routed_totals", "SELECT country_code, count(*) AS n FROM signals WHERE date_trunc('day', ts) > TIMESTAMP '2024-01-31' - INTERVAL 480 HOURS GROUP BY ALL")
+def d3(t):
+    """A window of 20 days, which the daily rollup answers."""
+    from ..operators.themes import totals_routed
+
+    return totals_routed(t.signals, R.country_hourly(t.signals), R.country_daily(t.signals), AS_OF, 480)
