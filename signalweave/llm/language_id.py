@@ -161,8 +161,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     return map_texts(docs, text, OUT, lambda texts: shared.value.predict(texts), docs.columns if keep is None else keep)
 
 
-def accepted(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows, all their columns as they were, that language ID doesn't turn down: those with letters, and clear unless they have under 40."""
+def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.35, few: int = 40) -> DataFrame:
+    """The rows, all their columns as they were, that language ID doesn't turn down.
+
+    These are texts with letters whose best language scores ``least`` or more, or that have under ``few`` letters to tell by. A
+    text between two languages scores about a half and stays; one that is like none of them goes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema, at = docs.schema, docs.columns.index(text)
 

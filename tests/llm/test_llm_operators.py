@@ -466,3 +466,9 @@ def test_oracles(spark, small, name):
     from tests.compare import connect, of_duckdb, of_spark
 
     assert of_spark(queries.QUERIES[name](spark, small)) == of_duckdb(connect(small), queries.ORACLES[name])
+
+
+def test_language_stage_keeps_clean_documents(spark, docs):
+    import corpus_pipeline
+
+    assert corpus_pipeline.identified(spark, docs, None).count() == docs.count()
