@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, exprs
-from .rollups import r, two
+from .rollups import containing, r, two
 
 
 def reranked(pages: DataFrame, n: int, by: str = "views", key: str = "title") -> DataFrame:
@@ -69,7 +69,7 @@ def trending_searches(trends: DataFrame, country: str | None = None, limit: int
 def text_match(words: DataFrame, texts: DataFrame, text: str, counted: str) -> DataFrame:
     """Texts that contain any of the words, with the words found and the sum of ``counted``. Words: a column ``word``."""
     found = texts.groupBy(F.lower(text).alias("t")).agg(F.sum(counted).alias("total"))
-    hits = found.join(words.select("word").distinct(), F.col("t").contains(F.col("word")))
+    hits = containing(found, "t", words.select("word").distinct(), "word")
     return hits.groupBy("t").agg(F.first("total").alias("total"), F.array_join(F.array_sort(F.collect_set("word")), ",").alias("words"))
 
 

@@ -210,3 +210,20 @@ def duplication_index(S: DataFrame, key: str) -> DataFrame:
 def grouped_top(df: DataFrame, group: str, n: str = "signal_count", last: str = "other") -> DataFrame:
     """Groups by their totals, one of them always at the end."""
     return df.groupBy(group).agg(F.sum(n).alias("total")).orderBy(F.when(F.col(group) == last, 1).otherwise(0), F.desc("total"), group)
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str, most: int = 4) -> DataFrame:
+    """Texts joined with the words that they contain, by an equi-join on a word's first letters (up to ``most``).
+
+    Every piece of that length of a text is a key, so only texts that have the beginning of a word meet it; the test
+    for the whole word follows. No nested loop over words and texts.
+    """
+    t = F.col(text)
+    pieces = F.flatten(F.array(*[F.when(F.length(t) >= n, _pieces(t, n)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]))
+    keyed = texts.withColumn("__piece", F.explode(F.array_distinct(pieces)))
+    begun = words.where(F.length(word) > 0).withColumn("__piece", F.substring(F.col(word), 1, most))
+    return keyed.join(begun, "__piece").where(t.contains(F.col(word))).drop("__piece")
+
+
+def _pieces(t: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))

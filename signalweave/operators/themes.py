@@ -45,13 +45,10 @@ def narratives(S: DataFrame, as_of: str, hours: int, limit: int = 20, velocity_h
 
 
 def interest_flags(themes: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(theme, interested): whether a word of over three letters of a theme's label is in any of the texts.
-
-    Words are joined with distinct texts' words first where they are equal; the substring test runs against distinct texts.
-    """
+    """(theme, interested): whether a word of over three letters of a theme's label is in any of the texts (distinct ones, by pieces)."""
     words = themes.select("theme", F.explode(F.filter(F.split(F.lower(exprs.theme_label(F.col("theme"))), " "), lambda w: F.length(w) > 3)).alias("word"))
     found = texts.select(F.lower(text).alias("t")).distinct()
-    hit = words.join(found, F.col("t").contains(F.col("word")), "left_semi").select("theme").distinct().withColumn("interested", F.lit(True))
+    hit = R.containing(found, "t", words, "word").select("theme").distinct().withColumn("interested", F.lit(True))
     return themes.select("theme").distinct().join(hit, "theme", "left").select("theme", F.coalesce("interested", F.lit(False)).alias("interested"))
 
 
