@@ -113,7 +113,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     A text's spans are as bounded as the text is; rows without weak parts are not joined with anything.
     """
     found = checkpointed(parts(docs, text, keep))
-    return found.join(linked(found), "__row", "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))).withColumn("base", F.array_sort("base")).drop("weak", "linked", "__row")
+    plain, some = found.where(F.size("weak") == 0), found.where(F.size("weak") > 0)
+    joined = some.join(linked(found), "__row", "left").withColumn("linked", F.coalesce("linked", F.array().cast(SPAN)))
+    rows = plain.withColumn("linked", F.array().cast(SPAN)).unionByName(joined)
+    return rows.withColumn("all", F.array_sort(F.concat("base", "linked"))).withColumn("base", F.array_sort("base")).drop("weak", "linked", "__row")
 
 
 def digest(found: DataFrame) -> DataFrame:
