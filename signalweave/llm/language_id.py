@@ -175,8 +175,8 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: f
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep: list[bool] = []
             for a, b in slices(texts):
-                lang, _, unclear, n = shared.value.predict(texts[a:b])
-                keep += [not (g == "und" or (u and k >= 40)) for g, u, k in zip(lang, unclear, n)]
+                lang, score, _, n = shared.value.predict(texts[a:b])
+                keep += [bool(g != "und" and (s >= least or k < few)) for g, s, k in zip(lang, score, n)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -472,3 +472,11 @@ def test_language_stage_keeps_clean_documents(spark, docs):
     import corpus_pipeline
 
     assert corpus_pipeline.identified(spark, docs, None).count() == docs.count()
+
+
+def test_texts_between_languages_stay(spark, docs):
+    model = language_id.fit(docs)
+    first = {r.lang: r.text for r in docs.where("length(text) between 400 and 4000").collect()}
+    mixes = [(i, first[a][:400] + " " + first[b][:400]) for i, (a, b) in enumerate([("de", "en"), ("en", "fr"), ("es", "fr"), ("de", "es")])]
+    df = spark.createDataFrame([*mixes, (9, "123 456"), (10, None)], "doc_id long, text string")
+    assert {r.doc_id for r in language_id.accepted(df, model).collect()} == {0, 1, 2, 3}
