@@ -5,6 +5,11 @@ hashed letter n-grams, predicts whether a text's language has that bit. Decoding
 loss by how reliable its classifier is for the codeword's language, takes the nearest codeword, and
 flags a text whose two nearest are about as near.
 
+Decoding only says which language is nearest. Whether a text is like any is told by the mean log-likelihood of its n-grams, which for
+each language, and for all of them mixed in equal parts, has a limit from the training texts, wider for short texts. A text under all
+limits is unlike all languages: it is flagged too. A language with under 20 training texts of 100 n-grams takes the lowest limit of the
+others; where none has so many, no text is unlike.
+
 Cases: a null or empty text, or one without letters, is ``und`` with score 0. Ties go to the language that
 sorts first. A corpus without labelled rows gives ``und`` everywhere. Repeated rows get equal results.
 """
@@ -24,6 +29,8 @@ from .common import map_texts, slices, uniform
 
 BITS = 13  # of a feature's number
 FEATURES = 1 << BITS
+SMOOTH = 1e-5  # share of an n-gram that training lacks
+STEP = 0.05  # of the histogram of mean log-likelihoods
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("n_letters", T.LongType())])
 
 
@@ -77,29 +84,48 @@ class LanguageModel:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # features x bits
     reliability: np.ndarray  # languages x bits, each row sums to 1
+    logs: np.ndarray | None = None  # languages and their mix x features: log shares
+    limit: np.ndarray | None = None  # of each of these for the mean log share in long texts
+    spread: np.ndarray | None = None  # of the log shares in each
 
-    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Margin of each bit, grown with the evidence, and letters of each text."""
+    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Margin of each bit, grown with the evidence; letters and n-grams of each text; its mean log share in each language and their mix."""
         out, n = np.zeros((len(texts), self.code.shape[1])), np.zeros(len(texts), dtype=np.int64)
+        grams, like = np.ones(len(texts)), np.zeros((len(texts), len(self.languages) + 1))
         for a, b in small_slices(texts):
             x, n[a:b] = features(texts[a:b])
             total = np.maximum(x.sum(1, keepdims=True), 1)
             out[a:b] = (x @ self.weights) / total * np.sqrt(np.minimum(total, 400))
-        return out, n
+            grams[a:b] = total[:, 0]
+            if self.logs is not None:
+                like[a:b] = (x @ self.logs.T) / total
+        return out, n, grams, like
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of each codeword."""
         return np.stack([(self.reliability[k] * np.logaddexp(0, -2 * self.code[k] * margins)).sum(1) for k in range(len(self.languages))], axis=1)
 
-    def predict(self, texts: list[str], unclear: float = 0.6) -> list:
+    def unlike(self, grams: np.ndarray, like: np.ndarray) -> np.ndarray:
+        """Whether a text is under every limit. Its n-grams of three lengths overlap, so a third of them count as draws."""
+        if self.limit is None:
+            return np.zeros(len(grams), dtype=bool)
+        return (like < self.limit - 3 * self.spread * np.sqrt(3 / grams)[:, None]).all(1)
+
+    def judge(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, whether it is unlike all languages, letters of each text."""
         if not self.languages:
-            return [["und"] * len(texts), [0.0] * len(texts), [True] * len(texts), [0] * len(texts)]
-        margins, n = self.margins(texts)
+            none = np.zeros(len(texts), dtype=np.int64)
+            return ["und"] * len(texts), none.astype(float), none == 0, none
+        margins, n, grams, like = self.evidence(texts)
         loss = self.losses(margins) * self.code.shape[1]
         near = np.exp(-(loss - loss.min(1, keepdims=True)))
         score, best = 1 / near.sum(1), loss.argmin(1)
         none = n == 0
-        return [[("und" if z else self.languages[k]) for k, z in zip(best, none)], np.where(none, 0.0, score), none | (score < unclear), n]
+        return [("und" if z else self.languages[k]) for k, z in zip(best, none)], np.where(none, 0.0, score), none | self.unlike(grams, like), n
+
+    def predict(self, texts: list[str], unclear: float = 0.6) -> list:
+        lang, score, unlike, n = self.judge(texts)
+        return [lang, score, unlike | (score < unclear), n]
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 4000) -> LanguageModel:
@@ -135,23 +161,42 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     prob = counts / np.maximum(counts.sum(1, keepdims=True), 1e-9)
     code = codewords(len(names))
     plus, minus = np.maximum(code, 0), np.maximum(-code, 0)
-    smooth = 1e-5
-    weights = np.log((prob.T @ plus) / np.maximum(plus.sum(0), 1) + smooth) - np.log((prob.T @ minus) / np.maximum(minus.sum(0), 1) + smooth)
-    model = LanguageModel(names, code, weights.astype(np.float32), np.full(code.shape, 1 / code.shape[1]))
-
-    def right_bits(batches):
+    weights = np.log((prob.T @ plus) / np.maximum(plus.sum(0), 1) + SMOOTH) - np.log((prob.T @ minus) / np.maximum(minus.sum(0), 1) + SMOOTH)
+    each = np.concatenate([prob, prob[counts.sum(1) > 0].mean(0, keepdims=True) if counts.any() else prob[:1]])
+    logs = np.log(each + SMOOTH)
+    spread = np.sqrt(np.maximum((each * logs**2).sum(1) - (each * logs).sum(1) ** 2, 0))
+    model = LanguageModel(names, code, weights.astype(np.float32), np.full(code.shape, 1 / code.shape[1]), logs.astype(np.float32), spread=spread)
+    n_bits, n_steps = code.shape[1], int(np.ceil(-np.log(SMOOTH) / STEP)) + 1
+
+    def checked(batches):
+        """Texts, right bits, and a histogram of the mean log shares in the own language and the mix, of texts of 100 n-grams or more."""
+        sums = np.zeros((len(each), 1 + n_bits + n_steps), dtype=np.int64)
         for batch in batches:
-            labels = batch.column(0).to_pylist()
-            good = (model.margins(batch.column(1).to_pylist())[0] > 0) == (code[[place[g] for g in labels]] > 0)
-            for g in set(labels):
-                own = good[[k == g for k in labels]]
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.string()), pa.array([own.sum(0).tolist()], pa.list_(pa.int64())), pa.array([len(own)], pa.int64())], names=["g", "hits", "n"])
-
-    bits = [F.sum(F.get("hits", F.lit(j))).alias(f"b{j}") for j in range(code.shape[1])]
-    for r in sample.mapInArrow(right_bits, "g string, hits array<long>, n long").groupBy("g").agg(F.sum("n").alias("n"), *bits).collect():
-        rate = (np.array([r[f"b{j}"] for j in range(code.shape[1])]) + 1) / (r.n + 2)
-        model.reliability[place[r.g]] = np.maximum(rate - 0.5, 0.01)
+            own = np.array([place[g] for g in batch.column(0).to_pylist()], dtype=np.int64)
+            margins, _, grams, like = model.evidence(batch.column(1).to_pylist())
+            np.add.at(sums[:, 0], own, 1)
+            np.add.at(sums[:, 1 : 1 + n_bits], own, (margins > 0) == (code[own] > 0))
+            step = np.clip(-like / STEP, 0, n_steps - 1).astype(np.int64)
+            for k in (own, np.full(len(own), len(names))):
+                np.add.at(sums, (k[grams >= 100], 1 + n_bits + step[np.arange(len(own)), k][grams >= 100]), 1)
+        k, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[k, j], pa.int64())], names=["k", "j", "n"])
+
+    sums = np.zeros((len(each), 1 + n_bits + n_steps))
+    for r in sample.mapInArrow(checked, "k int, j int, n long").groupBy("k", "j").agg(F.sum("n").alias("n")).collect():
+        sums[r.k, r.j] = r.n
+    known = sums[: len(names)]
+    taught = known[:, 0] > 0
+    rate = (known[:, 1 : 1 + n_bits] + 1) / (known[:, :1] + 2)
+    model.reliability[taught] = np.maximum(rate - 0.5, 0.01)[taught]
     model.reliability /= model.reliability.sum(1, keepdims=True)
+    # The middle less five times its way to the twentieth part from below, which a few bad texts among the training texts don't move.
+    upto = sums[:, 1 + n_bits :].cumsum(1)
+    enough = upto[:, -1] >= 20
+    if enough.any():
+        middle, low = [-(upto < share * upto[:, -1:]).sum(1) * STEP for share in (0.5, 0.95)]
+        limit = middle - 5 * np.maximum(middle - low, 2 * STEP)
+        model.limit = np.where(enough, limit, limit[enough].min())
     return model
 
 
@@ -164,8 +209,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
 def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.35, few: int = 40) -> DataFrame:
     """The rows, all their columns as they were, that language ID doesn't turn down.
 
-    These are texts with letters whose best language scores ``least`` or more, or that have under ``few`` letters to tell by. A
-    text between two languages scores about a half and stays; one that is like none of them goes.
+    These are texts with letters that are not unlike all languages and whose best language scores ``least`` or more, or that have
+    under ``few`` letters to tell by. A text between two languages scores about a half and stays; one that is like none of them goes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema, at = docs.schema, docs.columns.index(text)
@@ -175,8 +220,8 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: f
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep: list[bool] = []
             for a, b in slices(texts):
-                lang, score, _, n = shared.value.predict(texts[a:b])
-                keep += [bool(g != "und" and (s >= least or k < few)) for g, s, k in zip(lang, score, n)]
+                lang, score, unlike, n = shared.value.judge(texts[a:b])
+                keep += [bool(g != "und" and (k < few or (s >= least and not u))) for g, s, u, k in zip(lang, score, unlike, n)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -480,3 +480,25 @@ def test_texts_between_languages_stay(spark, docs):
     mixes = [(i, first[a][:400] + " " + first[b][:400]) for i, (a, b) in enumerate([("de", "en"), ("en", "fr"), ("es", "fr"), ("de", "es")])]
     df = spark.createDataFrame([*mixes, (9, "123 456"), (10, None)], "doc_id long, text string")
     assert {r.doc_id for r in language_id.accepted(df, model).collect()} == {0, 1, 2, 3}
+
+
+def test_texts_like_no_language_go(spark, docs):
+    """Random letters and foreign scripts of any length are flagged and dropped; held-out documents are not."""
+    held = held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~held))
+    rng = random.Random(8)
+
+    def noise(alphabet, n):
+        words = []
+        while n > 0:
+            words.append("".join(rng.choice(alphabet) for _ in range(min(n, rng.randint(2, 9)))))
+            n -= len(words[-1])
+        return " ".join(words)
+
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这中大来上国"]
+    rows = [(1000 * k + n, noise(alphabet, n)) for k, alphabet in enumerate(alphabets) for n in (60, 100, 300, 1000, 5000) for _ in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert language_id.accepted(df, model).count() == 0
+    assert all(r.ambiguous for r in language_id.identify(df, model).collect())
+    kept = language_id.accepted(docs.where(held), model)
+    assert kept.count() == docs.where(held).count()
