@@ -1,12 +1,13 @@
 """Language-model scoring with Brown classes.
 
-P(word | previous word) = P(class | previous class) * P(word | class). The most frequent words are put into classes by
+P(word | previous word) = P(class | previous class) * P(word | class). The most frequent words start the classes by
 exchange clustering: each word in turn moves to the class where the likelihood of the corpus's class
-bigrams is highest, until few move. All other words fall into classes by their endings; a
+bigrams is highest, until few move. Then every other word of the frequent ones that occurs often enough moves there too, all words at once in
+each pass, by the classes that stand before and after it. Words that are left fall into classes by their endings; a
 class of that kind keeps mass for words that training lacks. The end of a text is a class of its own.
 
-Counts come from every training text: words by a shuffle, bigrams of frequent words, endings and ends in tables of a fixed
-size per task. Scoring takes frequent words' counts from a broadcast table of a fixed number of words; what is left, rare words
+Counts come from every training text: words, and the classes beside each word, by a shuffle; bigrams of the first words, classes, endings
+and ends in tables of a fixed size per task. Scoring takes frequent words' counts from a broadcast table of a fixed number of words; what is left, rare words
 with their numbers per text, is joined with the counts by word, so nothing that grows with the vocabulary is broadcast.
 
 Cases: a null, empty or blank text is its end alone. Without training texts every word is unknown, N and V are 0.
@@ -88,6 +89,139 @@ def exchange(bigrams: np.ndarray, n_words: int, n_classes: int, passes: int = 6)
     return of
 
 
+def best_classes(g: np.ndarray, left: np.ndarray, right: np.ndarray, old: np.ndarray, n_classes: int) -> np.ndarray:
+    """The class among the first ``n_classes`` where each word adds most to the likelihood, all other words staying where they are.
+
+    g: class bigrams with the words in their ``old`` classes. left, right: words x classes before and after them. Ties keep
+    the old class, else the lowest.
+    """
+    out, k, j = np.empty(len(old), dtype=np.int64), n_classes, np.arange(n_classes)
+    rows, cols = g.sum(1), g.sum(0)
+    for a in range(0, len(old), 256):
+        o, l, r = old[a : a + 256], left[a : a + 256].astype(float), right[a : a + 256].astype(float)
+        i, own = np.arange(len(o)), o < k
+        after, before = np.repeat(g[None, :k], len(o), 0), np.repeat(g.T[None, :k], len(o), 0)
+        after[i[own], o[own]] -= r[own]
+        before[i[own], o[own]] -= l[own]
+        after[i, :, o] -= l[:, :k] * (o[:, None] != j)
+        before[i, :, o] -= r[:, :k] * (o[:, None] != j)
+        after[i[own], o[own], o[own]] -= l[own, o[own]]
+        before[i[own], o[own], o[own]] -= r[own, o[own]]
+        after, before = np.maximum(after, 0), np.maximum(before, 0)  # a word beside itself is taken off twice
+        more, less = xlogx(after + r[:, None]) - xlogx(after), xlogx(before + l[:, None]) - xlogx(before)
+        both = xlogx(after[:, j, j] + r[:, :k] + l[:, :k]) - xlogx(after[:, j, j])
+        gain = more.sum(2) - more[:, j, j] + less.sum(2) - less[:, j, j] + both
+        here, n_right, n_left = o[:, None] == j, r.sum(1, keepdims=True), l.sum(1, keepdims=True)
+        row, col = np.maximum(rows[:k] - here * n_right, 0), np.maximum(cols[:k] - here * n_left, 0)
+        gain -= xlogx(row + n_right) - xlogx(row) + xlogx(col + n_left) - xlogx(col)
+        out[a : a + 256] = (gain + here * 1e-9).argmax(1)
+    return out
+
+
+def bigrams(train: DataFrame, text: str, of: dict[bytes, int], base: int) -> np.ndarray:
+    """Bigram counts of units: what ``of`` makes of a word, or ``base`` plus its ending; the end of a text is the last."""
+    units = base + ENDINGS + 1
+    shared = train.sparkSession.sparkContext.broadcast(of)  # a fixed number of words
+
+    def run(batches):
+        get, table = shared.value.get, np.zeros(units * units, dtype=np.int64)
+        for batch in batches:
+            seq: list[int] = [units - 1]
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                for w in t.lower().split():
+                    i = get(w)
+                    seq.append(i if i is not None else base + ending(w))
+                seq.append(units - 1)
+                if len(seq) > 200_000:
+                    a = np.array(seq)
+                    table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
+                    seq = [units - 1]
+            a = np.array(seq)
+            table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
+        for row in range(units):
+            part = table[row * units : (row + 1) * units]
+            on = np.flatnonzero(part)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), row), pa.int32()), pa.array(on, pa.int32()), pa.array(part[on], pa.int64())], names=["a", "b", "n"])
+
+    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((units, units))
+    table[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return table
+
+
+def moved(train: DataFrame, text: str, words: dict[bytes, int], of: np.ndarray, first: int, g: np.ndarray, n_classes: int, most: int = 1_000_000) -> np.ndarray:
+    """The classes after one pass over all words from number ``first`` on, each moved to its best class by what stands beside it.
+
+    Each task counts the classes beside each word before the shuffle, and hands on its counts whenever it holds ``most`` of them.
+    """
+    total, n = len(g), len(of)
+    shared = train.sparkSession.sparkContext.broadcast((words, of, g))  # the frequent words and a table of classes
+
+    def beside(batches):
+        numbers, classes, _ = shared.value
+        get, held, size = numbers.get, [], 0
+
+        def out():
+            key = np.concatenate([x for x, _ in held])
+            key, where = np.unique(key, return_inverse=True)
+            count = np.bincount(where, np.concatenate([x for _, x in held])).astype(np.int64)
+            held.clear()
+            for i in range(0, len(key), 100_000):
+                x = key[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x // (2 * total), pa.int32()), pa.array(x % (2 * total), pa.int32()), pa.array(count[i : i + 100_000], pa.int64())], names=["id", "slot", "n"])
+
+        def add(ids, cls):
+            ids, cls = np.array(ids, dtype=np.int64), np.array(cls, dtype=np.int64)
+            at = np.flatnonzero(ids >= first)
+            held.append(np.unique(np.concatenate([ids[at] * 2 * total + cls[at - 1], ids[at] * 2 * total + total + cls[at + 1]]), return_counts=True))
+            return len(held[-1][0])
+
+        ids, cls, listed = [-1], [total - 1], classes.tolist()
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                for w in t.lower().split():
+                    i = get(w, n)
+                    if i < n:
+                        ids.append(i)
+                        cls.append(listed[i])
+                    else:
+                        ids.append(-1)
+                        cls.append(n_classes + ending(w))
+                ids.append(-1)
+                cls.append(total - 1)
+                if len(ids) > 200_000:
+                    size += add(ids, cls)
+                    ids, cls = [-1], [total - 1]
+                    if size > most:
+                        yield from out()
+                        size = 0
+        if add(ids, cls) + size:
+            yield from out()
+
+    def choose(batches):
+        _, classes, table = shared.value
+        place, seen, sums = np.full(n, -1), [], np.zeros((0, 2 * total), dtype=np.float32)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            new = np.unique(ids[place[ids] < 0])
+            place[new] = np.arange(len(new)) + len(sums)
+            if len(new):
+                seen.append(new)
+                sums = np.concatenate([sums, np.zeros((len(new), 2 * total), dtype=np.float32)])
+            np.add.at(sums, (place[ids], batch.column(1).to_numpy()), batch.column(2).to_numpy())
+        if seen:
+            ids = np.concatenate(seen)
+            to = best_classes(table, sums[:, :total], sums[:, total:], classes[ids], n_classes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(to, pa.int32())], names=["id", "to"])
+
+    counts = train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(beside, "id int, slot int, n long").repartition("id")
+    found = counts.mapInArrow(choose, "id int, to int").toArrow()
+    out = of.copy()
+    out[found.column("id").to_numpy()] = found.column("to").to_numpy()
+    return out
+
+
 @dataclass
 class BrownModel:
     words: dict[bytes, int]  # of the frequent words, by rank
@@ -126,8 +260,11 @@ class BrownModel:
         return out, rare
 
 
-def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: int = 512, frequent: int = 1 << 18) -> tuple[BrownModel, DataFrame]:
-    """A model of the training rows, and their word counts (word, n), which scoring joins with."""
+def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: int = 512, frequent: int = 1 << 18, least: int = 8, passes: int = 2) -> tuple[BrownModel, DataFrame]:
+    """A model of the training rows, and their word counts (word, n), which scoring joins with.
+
+    The ``clustered`` most frequent words start the classes; all of the ``frequent`` ones that occur ``least`` times get one.
+    """
     counts = checkpointed(count_words(train, text))
     n_docs = train.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -136,36 +273,20 @@ def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: in
     words = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     n = top.column("n").to_numpy().astype(np.int64)
     ranked = list(words)
-    m = min(clustered, len(ranked))
-    units = m + ENDINGS + 1
-    shared = train.sparkSession.sparkContext.broadcast({w: i for w, i in words.items() if i < m})
+    first = min(clustered, len(ranked))
+    start = exchange(bigrams(train, text, dict(zip(ranked[:first], range(first))), first), first, n_classes)
+    k = int(start[first])
+    m = max(first, int((n >= least).sum()))
+    of = np.array([*start[:first], *(k + ending(w) for w in ranked[first:m])], dtype=np.int64)
+    known = dict(zip(ranked[:m], range(m)))
 
-    def bigrams(batches):
-        get, table = shared.value.get, np.zeros(units * units, dtype=np.int64)
-        for batch in batches:
-            seq: list[int] = [units - 1]
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                for w in t.lower().split():
-                    i = get(w)
-                    seq.append(i if i is not None else m + ending(w))
-                seq.append(units - 1)
-                if len(seq) > 200_000:
-                    a = np.array(seq)
-                    table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
-                    seq = [units - 1]
-            a = np.array(seq)
-            table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
-        for row in range(units):
-            part = table[row * units : (row + 1) * units]
-            on = np.flatnonzero(part)
-            if len(on):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), row), pa.int32()), pa.array(on, pa.int32()), pa.array(part[on], pa.int64())], names=["a", "b", "n"])
+    def classes_beside():
+        return bigrams(train, text, dict(zip(ranked[:m], of.tolist())), k)
 
-    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(bigrams, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((units, units))
-    table[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
-    of = exchange(table, m, n_classes)
-    k = int(of[m]) if units > m else 0
+    g = classes_beside()
+    for _ in range(passes if m > first else 0):
+        of = moved(train, text, known, of, first, g, k)
+        g = classes_beside()
     # Endings' totals cover all words that are not clustered, of which the driver only knows the frequent ones.
     by_ending = counts.groupBy((F.crc32(F.substring("word", -3, 3)) % ENDINGS).cast("int").alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
@@ -175,16 +296,13 @@ def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: in
         mass[ending(w)] -= c
         kinds[ending(w)] -= 1
     ending_total = np.log10(mass + 0.5 * (kinds + 1))
-    member = np.zeros((units, k + ENDINGS + 1))
-    member[np.arange(units), of] = 1
-    g = member.T @ table @ member
     row, follows = g.sum(1, keepdims=True), (g > 0).sum(1, keepdims=True)
     share = (g.sum(0) + 0.5) / (g.sum() + 0.5 * g.shape[1])
     back = np.where(row > 0, follows / np.maximum(follows + row, 1), 1.0)  # Witten-Bell
     transition = np.log10((1 - back) * g / np.maximum(row, 1) + back * share)
-    classes = np.array([*of[:m], *(k + ending(w) for w in ranked[m:])], dtype=np.int64)
-    of_class = np.bincount(of[:m], n[:m], minlength=k + 1)
-    emission = np.concatenate([np.log10(n[:m] / of_class[of[:m]]), np.log10(n[m:] + 0.5) - ending_total[classes[m:] - k]])
+    classes = np.array([*of, *(k + ending(w) for w in ranked[m:])], dtype=np.int64)
+    of_class = np.bincount(of, n[:m], minlength=k + 1)
+    emission = np.concatenate([np.log10(n[:m] / of_class[of]), np.log10(n[m:] + 0.5) - ending_total[classes[m:] - k]])
     return BrownModel(words, n, classes, k, transition, emission, ending_total, tokens, distinct, n_docs), counts
 
 

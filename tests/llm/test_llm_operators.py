@@ -502,3 +502,32 @@ def test_texts_like_no_language_go(spark, docs):
     assert all(r.ambiguous for r in language_id.identify(df, model).collect())
     kept = language_id.accepted(docs.where(held), model)
     assert kept.count() == docs.where(held).count()
+
+
+def test_words_beyond_the_first_get_classes_by_their_neighbours(spark):
+    """Names, verbs and things of one ending, of which only two of each kind start the classes."""
+    rng = random.Random(6)
+    kinds = [[f"{k}{i}xyz" for i in range(30)] for k in "abc"]
+    weights = [200, 200, *[5] * 28]
+    texts = [(" ".join(rng.choices(kinds[j % 3], weights)[0] for j in range(30)),) for _ in range(400)]
+    model, _ = brown.fit(spark.createDataFrame(texts, "text string"), clustered=6, n_classes=3)
+    of = [{int(model.classes[model.words[w.encode()]]) for w in kind if w.encode() in model.words and model.counts[model.words[w.encode()]] >= 8} for kind in kinds]
+    assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 3 and (model.classes[model.counts >= 8] < model.n_clustered).all()
+
+
+def test_best_classes_are_those_of_the_likelihood():
+    def likelihood(b, of):
+        m = np.eye(6)[of]
+        g = m.T @ b @ m
+        return brown.xlogx(g).sum() - brown.xlogx(g.sum(0)).sum() - brown.xlogx(g.sum(1)).sum()
+
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        b = (rng.integers(0, 50, (12, 12)) * (rng.random((12, 12)) < 0.6)).astype(float)
+        np.fill_diagonal(b, 0)
+        of = np.concatenate([rng.integers(0, 6, 10), [4, 5]])
+        m = np.eye(6)[of]
+        got = brown.best_classes(m.T @ b @ m, (m.T @ b).T, b @ m, of, 4)
+        for w in range(12):
+            each = [likelihood(b, np.array([*of[:w], c, *of[w + 1 :]])) for c in range(4)]
+            assert each[got[w]] >= max(each) - 1e-6
