@@ -162,8 +162,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 60)
             rules.classes[r.lang] = h / h.sum()
     counts = checkpointed(count_words(source, "text", group="lang"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    # Ranking needs few rows of a language: a word among its top ones is at least as frequent as any floor that enough words reach.
-    often = counts.where(F.col("n") * 2000 >= F.coalesce(*[F.when(F.col("lang") == g, F.lit(n)) for g, n in totals.items()], F.lit(0)))
+    # Ranking needs few rows of a language: a histogram of its words' numbers tells how frequent one has to be.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    floors: dict[str, int] = {}
+    reached: dict[str, int] = {}
+    for r in sorted(counts.groupBy("lang", step.alias("s")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.s):
+        if reached.get(r.lang, 0) < top:
+            floors[r.lang], reached[r.lang] = r.s, reached.get(r.lang, 0) + r.words
+    often = counts.where(step >= F.coalesce(*[F.when(F.col("lang") == g, F.lit(x)) for g, x in floors.items()], F.lit(0)))
     ranked = often.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= top)
     found: dict[str, list] = {}
     for r in ranked.collect():

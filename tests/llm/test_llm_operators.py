@@ -531,3 +531,11 @@ def test_best_classes_are_those_of_the_likelihood():
         for w in range(12):
             each = [likelihood(b, np.array([*of[:w], c, *of[w + 1 :]])) for c in range(4)]
             assert each[got[w]] >= max(each) - 1e-6
+
+
+def test_quality_flat_vocabulary_has_its_top_words(spark):
+    """No word of these reaches a fixed share of its language; the top ones are found all the same."""
+    words = [f"w{i:04d}" for i in range(6000)]
+    rows = [(" ".join(words), "flat"), (" ".join(words[5900:]), "flat"), ("one two two", "few")]
+    found = quality_rules.fit(spark.createDataFrame(rows, "text string, lang string")).words
+    assert found["flat"][0] == [w.encode() for w in words[5900:5960]] and found["few"][0] == [b"two", b"one"]
