@@ -7,7 +7,7 @@ each pass, by the classes that stand before and after it. Words that are left fa
 class of that kind keeps mass for words that training lacks. The end of a text is a class of its own.
 
 Counts come from every training text: words, and the classes beside each word, by a shuffle; bigrams of the first words, classes, endings
-and ends in tables of a fixed size per task. Scoring takes frequent words' counts from a broadcast table of a fixed number of words; what is left, rare words
+and ends in tables of a fixed size per task. Texts are split twice in training, to count words and to write them as numbers. Scoring takes frequent words' counts from a broadcast table of a fixed number of words; what is left, rare words
 with their numbers per text, is joined with the counts by word, so nothing that grows with the vocabulary is broadcast.
 
 Cases: a null, empty or blank text is its end alone. Without training texts every word is unknown, N and V are 0.
@@ -93,131 +93,162 @@ def best_classes(g: np.ndarray, left: np.ndarray, right: np.ndarray, old: np.nda
     """The class among the first ``n_classes`` where each word adds most to the likelihood, all other words staying where they are.
 
     g: class bigrams with the words in their ``old`` classes. left, right: words x classes before and after them. Ties keep
-    the old class, else the lowest.
+    the old class, else the lowest. Only classes that do stand beside a word are looked at, so rare words cost little.
     """
-    out, k, j = np.empty(len(old), dtype=np.int64), n_classes, np.arange(n_classes)
-    rows, cols = g.sum(1), g.sum(0)
-    for a in range(0, len(old), 256):
-        o, l, r = old[a : a + 256], left[a : a + 256].astype(float), right[a : a + 256].astype(float)
-        i, own = np.arange(len(o)), o < k
-        after, before = np.repeat(g[None, :k], len(o), 0), np.repeat(g.T[None, :k], len(o), 0)
-        after[i[own], o[own]] -= r[own]
-        before[i[own], o[own]] -= l[own]
-        after[i, :, o] -= l[:, :k] * (o[:, None] != j)
-        before[i, :, o] -= r[:, :k] * (o[:, None] != j)
-        after[i[own], o[own], o[own]] -= l[own, o[own]]
-        before[i[own], o[own], o[own]] -= r[own, o[own]]
-        after, before = np.maximum(after, 0), np.maximum(before, 0)  # a word beside itself is taken off twice
-        more, less = xlogx(after + r[:, None]) - xlogx(after), xlogx(before + l[:, None]) - xlogx(before)
-        both = xlogx(after[:, j, j] + r[:, :k] + l[:, :k]) - xlogx(after[:, j, j])
-        gain = more.sum(2) - more[:, j, j] + less.sum(2) - less[:, j, j] + both
-        here, n_right, n_left = o[:, None] == j, r.sum(1, keepdims=True), l.sum(1, keepdims=True)
-        row, col = np.maximum(rows[:k] - here * n_right, 0), np.maximum(cols[:k] - here * n_left, 0)
+    out, k, every = np.empty(len(old), dtype=np.int64), n_classes, np.arange(n_classes)
+    rows, cols, diagonal = g.sum(1)[:k], g.sum(0)[:k], g[every, every]
+
+    def added(o: np.ndarray, side: np.ndarray, other: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """What the bigrams with the classes on one side add in each class; ``table``: classes on that side x the word's class."""
+        i, j = np.nonzero(side)
+        v, gain = side[i, j], np.zeros((len(o), k))
+        if not len(i):
+            return gain
+        there = table[j][:, :k].copy()
+        own = np.flatnonzero(o[i] < k)
+        there[own, o[i[own]]] -= v[own]
+        same = np.flatnonzero(j == o[i])
+        there[same] -= other[i[same], :k]
+        there = np.maximum(there, 0)  # a word beside itself is taken off twice
+        more = xlogx(there + v[:, None]) - xlogx(there)
+        inside = np.flatnonzero(j < k)
+        more[inside, j[inside]] = 0  # bigrams within the class come on their own
+        starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        gain[i[starts]] = np.add.reduceat(more, starts)
+        return gain
+
+    for a in range(0, len(old), 1024):
+        o, l, r = old[a : a + 1024], left[a : a + 1024].astype(float), right[a : a + 1024].astype(float)
+        here, n_right, n_left = o[:, None] == every, r.sum(1, keepdims=True), l.sum(1, keepdims=True)
+        gain = added(o, r, l, g.T) + added(o, l, r, g)
+        within = np.maximum(diagonal - here * (l[:, :k] + r[:, :k]), 0)
+        gain += xlogx(within + l[:, :k] + r[:, :k]) - xlogx(within)
+        row, col = np.maximum(rows - here * n_right, 0), np.maximum(cols - here * n_left, 0)
         gain -= xlogx(row + n_right) - xlogx(row) + xlogx(col + n_left) - xlogx(col)
-        out[a : a + 256] = (gain + here * 1e-9).argmax(1)
+        out[a : a + 1024] = (gain + here * 1e-9).argmax(1)
     return out
 
 
-def bigrams(train: DataFrame, text: str, of: dict[bytes, int], base: int) -> np.ndarray:
-    """Bigram counts of units: what ``of`` makes of a word, or ``base`` plus its ending; the end of a text is the last."""
-    units = base + ENDINGS + 1
-    shared = train.sparkSession.sparkContext.broadcast(of)  # a fixed number of words
+def coded(train: DataFrame, text: str, words: dict[bytes, int], most: int = 1_000_000) -> DataFrame:
+    """The texts as numbers of words, written once so that no pass splits them again: rows of int32 (``ids`` binary).
+
+    A word among ``words`` has its number n, another one n + its ending's class, the end of a text n + ENDINGS. A row starts with an end and
+    holds whole texts.
+    """
+    n = len(words)
+    shared = train.sparkSession.sparkContext.broadcast(words)  # the frequent words
 
     def run(batches):
-        get, table = shared.value.get, np.zeros(units * units, dtype=np.int64)
+        get, end = shared.value.get, np.array([n + ENDINGS], dtype=np.int32)
+        held, size = [end], 0
+
+        def out():
+            row = np.concatenate(held).tobytes()
+            del held[1:]
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["ids"])
+
         for batch in batches:
-            seq: list[int] = [units - 1]
             for t in batch.column(0).cast(pa.binary()).to_pylist():
-                for w in t.lower().split():
-                    i = get(w)
-                    seq.append(i if i is not None else base + ending(w))
-                seq.append(units - 1)
-                if len(seq) > 200_000:
-                    a = np.array(seq)
-                    table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
-                    seq = [units - 1]
-            a = np.array(seq)
-            table += np.bincount(a[:-1] * units + a[1:], minlength=units * units)
+                split = t.lower().split()
+                ids = np.fromiter((get(w, -1) for w in split), dtype=np.int32, count=len(split))
+                for i in np.flatnonzero(ids < 0).tolist():
+                    ids[i] = n + ending(split[i])
+                held += [ids, end]
+                size += len(ids) + 1
+                if size > most:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
+
+    return checkpointed(train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "ids binary"))
+
+
+def bigrams(codes: DataFrame, unit_of: np.ndarray) -> np.ndarray:
+    """Bigram counts of units, which ``unit_of`` gives for each number of a word."""
+    units = int(unit_of.max()) + 1
+    shared = codes.sparkSession.sparkContext.broadcast(unit_of)
+
+    def run(batches):
+        table = np.zeros(units * units, dtype=np.int64)
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                u = shared.value[np.frombuffer(row, dtype=np.int32)]
+                table += np.bincount(u[:-1] * units + u[1:], minlength=units * units)
         for row in range(units):
             part = table[row * units : (row + 1) * units]
             on = np.flatnonzero(part)
             if len(on):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), row), pa.int32()), pa.array(on, pa.int32()), pa.array(part[on], pa.int64())], names=["a", "b", "n"])
 
-    found = train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    found = codes.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((units, units))
     table[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
     return table
 
 
-def moved(train: DataFrame, text: str, words: dict[bytes, int], of: np.ndarray, first: int, g: np.ndarray, n_classes: int, most: int = 1_000_000) -> np.ndarray:
-    """The classes after one pass over all words from number ``first`` on, each moved to its best class by what stands beside it.
+def moved(codes: DataFrame, unit_of: np.ndarray, first: int, last: int, g: np.ndarray, n_classes: int, most: int = 2_000_000) -> np.ndarray:
+    """The classes of all words after one pass over those from number ``first`` to before ``last``, each moved to its best class by what
+    stands beside it.
 
-    Each task counts the classes beside each word before the shuffle, and hands on its counts whenever it holds ``most`` of them.
+    A task hands on one row a word for each ``most`` words it has seen: the classes before it, and those after it, which are told apart
+    by the number of classes. So a frequent word is as many rows as there are such stretches, whatever it occurs.
     """
-    total, n = len(g), len(of)
-    shared = train.sparkSession.sparkContext.broadcast((words, of, g))  # the frequent words and a table of classes
+    total = len(g)
+    shared = codes.sparkSession.sparkContext.broadcast((unit_of, g))  # numbers of the frequent words and a table of classes
 
     def beside(batches):
-        numbers, classes, _ = shared.value
-        get, held, size = numbers.get, [], 0
+        held, size = [], 0
 
         def out():
-            key = np.concatenate([x for x, _ in held])
-            key, where = np.unique(key, return_inverse=True)
-            count = np.bincount(where, np.concatenate([x for _, x in held])).astype(np.int64)
+            ids, slots = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            for i in range(0, len(key), 100_000):
-                x = key[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x // (2 * total), pa.int32()), pa.array(x % (2 * total), pa.int32()), pa.array(count[i : i + 100_000], pa.int64())], names=["id", "slot", "n"])
-
-        def add(ids, cls):
-            ids, cls = np.array(ids, dtype=np.int64), np.array(cls, dtype=np.int64)
-            at = np.flatnonzero(ids >= first)
-            held.append(np.unique(np.concatenate([ids[at] * 2 * total + cls[at - 1], ids[at] * 2 * total + total + cls[at + 1]]), return_counts=True))
-            return len(held[-1][0])
+            order = np.argsort(ids, kind="stable")
+            ids, slots = ids[order], slots[order]
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            bounds = np.append(starts, len(ids))
+            for i in range(0, len(starts), 50_000):
+                edge = bounds[i : i + 50_001]
+                part = slots[edge[0] : edge[-1]]
+                offsets = ((edge - edge[0]) * 2).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]], pa.int32()), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(part)])], names=["id", "slots"])
 
-        ids, cls, listed = [-1], [total - 1], classes.tolist()
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                for w in t.lower().split():
-                    i = get(w, n)
-                    if i < n:
-                        ids.append(i)
-                        cls.append(listed[i])
-                    else:
-                        ids.append(-1)
-                        cls.append(n_classes + ending(w))
-                ids.append(-1)
-                cls.append(total - 1)
-                if len(ids) > 200_000:
-                    size += add(ids, cls)
-                    ids, cls = [-1], [total - 1]
-                    if size > most:
-                        yield from out()
-                        size = 0
-        if add(ids, cls) + size:
+            for row in batch.column(0).to_pylist():
+                ids = np.frombuffer(row, dtype=np.int32)
+                cls = shared.value[0][ids]
+                at = np.flatnonzero((ids >= first) & (ids < last))
+                if len(at):
+                    held.append((np.repeat(ids[at], 2), np.stack([cls[at - 1], total + cls[at + 1]], 1).astype(np.uint16).ravel()))
+                    size += len(at)
+                if size > most:
+                    yield from out()
+                    size = 0
+        if size:
             yield from out()
 
     def choose(batches):
-        _, classes, table = shared.value
-        place, seen, sums = np.full(n, -1), [], np.zeros((0, 2 * total), dtype=np.float32)
+        classes, table = shared.value
+        place, seen, sums = np.full(last, -1), [], np.zeros((0, 2 * total), dtype=np.float32)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, slots = batch.column(0).to_numpy(), batch.column(1)
             new = np.unique(ids[place[ids] < 0])
-            place[new] = np.arange(len(new)) + len(sums)
+            place[new] = np.arange(len(new)) + sum(map(len, seen))
             if len(new):
                 seen.append(new)
-                sums = np.concatenate([sums, np.zeros((len(new), 2 * total), dtype=np.float32)])
-            np.add.at(sums, (place[ids], batch.column(1).to_numpy()), batch.column(2).to_numpy())
+                if place[new[-1]] >= len(sums):
+                    sums = np.concatenate([sums, np.zeros((max(len(sums), len(new)), 2 * total), dtype=np.float32)])
+            offsets = np.frombuffer(slots.buffers()[1], dtype=np.int32)[slots.offset : slots.offset + len(slots) + 1]
+            flat = np.frombuffer(slots.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.uint16)
+            key, n = np.unique(np.repeat(place[ids], np.diff(offsets) // 2) * 2 * total + flat, return_counts=True)
+            sums.ravel()[key] += n
         if seen:
             ids = np.concatenate(seen)
-            to = best_classes(table, sums[:, :total], sums[:, total:], classes[ids], n_classes)
+            to = best_classes(table, sums[: len(ids), :total], sums[: len(ids), total:], classes[ids], n_classes)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(to, pa.int32())], names=["id", "to"])
 
-    counts = train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(beside, "id int, slot int, n long").repartition("id")
-    found = counts.mapInArrow(choose, "id int, to int").toArrow()
-    out = of.copy()
+    found = codes.mapInArrow(beside, "id int, slots binary").repartition("id").mapInArrow(choose, "id int, to int").toArrow()
+    out = unit_of.copy()
     out[found.column("id").to_numpy()] = found.column("to").to_numpy()
     return out
 
@@ -273,20 +304,20 @@ def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: in
     words = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     n = top.column("n").to_numpy().astype(np.int64)
     ranked = list(words)
+    m = int((n >= least).sum())
     first = min(clustered, len(ranked))
-    start = exchange(bigrams(train, text, dict(zip(ranked[:first], range(first))), first), first, n_classes)
+    m = max(first, m)
+    codes = coded(train, text, words)
+    other = [ending(w) for w in ranked] + list(range(ENDINGS + 1))  # the end of a text follows the endings
+    start = exchange(bigrams(codes, np.array([*range(first), *(first + e for e in other[first:])])), first, n_classes)
     k = int(start[first])
-    m = max(first, int((n >= least).sum()))
-    of = np.array([*start[:first], *(k + ending(w) for w in ranked[first:m])], dtype=np.int64)
-    known = dict(zip(ranked[:m], range(m)))
-
-    def classes_beside():
-        return bigrams(train, text, dict(zip(ranked[:m], of.tolist())), k)
-
-    g = classes_beside()
+    # the class of each number: clustered words, frequent words that are too rare for a class of their own, endings, the end
+    unit_of = np.array([*start[:first], *(k + e for e in other[first:])], dtype=np.int64)
+    g = bigrams(codes, unit_of)
     for _ in range(passes if m > first else 0):
-        of = moved(train, text, known, of, first, g, k)
-        g = classes_beside()
+        unit_of = moved(codes, unit_of, first, m, g, k)
+        g = bigrams(codes, unit_of)
+    of = unit_of[:m]
     # Endings' totals cover all words that are not clustered, of which the driver only knows the frequent ones.
     by_ending = counts.groupBy((F.crc32(F.substring("word", -3, 3)) % ENDINGS).cast("int").alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
