@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, count_words, most_frequent, slices
+from .common import checkpointed, count_words, most_frequent, quoted, slices
 
 ENDINGS = 32  # classes of other words
 
@@ -161,7 +161,7 @@ def coded(train: DataFrame, text: str, words: dict[bytes, int], most: int = 1_00
         if size:
             yield out()
 
-    return checkpointed(train.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "ids binary"))
+    return checkpointed(train.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("t")).mapInArrow(run, "ids binary"))
 
 
 def bigrams(codes: DataFrame, unit_of: np.ndarray) -> np.ndarray:
@@ -291,7 +291,7 @@ class BrownModel:
         return out, rare
 
 
-def fit(train: DataFrame, text: str = "text", n_classes: int = 32, clustered: int = 512, frequent: int = 1 << 18, least: int = 8, passes: int = 2) -> tuple[BrownModel, DataFrame]:
+def fit(train: DataFrame, text: str = "text", n_classes: int = 128, clustered: int = 512, frequent: int = 1 << 18, least: int = 8, passes: int = 2) -> tuple[BrownModel, DataFrame]:
     """A model of the training rows, and their word counts (word, n), which scoring joins with.
 
     The ``clustered`` most frequent words start the classes; all of the ``frequent`` ones that occur ``least`` times get one.
@@ -341,7 +341,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "te
     """The kept columns with n_tokens, n_known, train_tokens, base_score, score and perplexity of each row."""
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    source = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    source = docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(quoted(text)), F.lit("")).alias("__t"))
     kept = [T.StructField(f.name, f.dataType) for f in source.schema.fields[1:-1]]
     sums = [("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("__row", T.LongType()), *kept, T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType()), *[T.StructField(f"h_{c}", kind) for c, kind in sums]])
