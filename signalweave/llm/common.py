@@ -44,14 +44,43 @@ def uniform(col, salt: str):
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the cluster's shared checkpoint folder; survives the loss of executors.
 
-    Only where the session names no folder (a local test) is one made for it.
+    Only a local session that names no folder gets one made for it; a cluster has to name a folder that all its machines share.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="signalweave-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="signalweave-"))
     return df.checkpoint(eager=True)
 
 
+def renamed(df: DataFrame, keep: list[str], **more) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ... with those of ``more``, so that no name of a working column can meet a kept one, whatever it is."""
+    return df.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)], *[x.alias(n) for n, x in more.items()])
+
+
+def restored(keep: list[str]) -> list:
+    """The columns of ``renamed`` under their own names again."""
+    return [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+
+
+def quoted(name: str) -> str:
+    """A column's name so that dots and backticks in it are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_all(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, least: int = 1000, keys: int = 1_000_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in ``n`` how many of the ``total`` rows have it.
+
+    Keys of over ``least`` rows, and over total / ``keys``, are joined by a broadcast, so that no key fills a task; as they are at most
+    ``keys`` keys, its size is bounded. All others meet by a shuffle.
+    """
+    hot = F.col(n) > max(least, total // keys)
+    few, many = F.broadcast(table.where(hot).drop(n)), table.where(~hot).drop(n)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(many, key))
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive slices of at most ``limit`` characters, or one longer text alone."""
     at = chars = 0
@@ -71,8 +100,8 @@ def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[list],
     A kept column whose name ``out`` also has is dropped in its favour.
     """
     keep = [c for c in keep if c not in out.names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = T.StructType([source.schema[c] for c in keep] + out.fields)
+    source = renamed(df, keep, text=F.coalesce(F.col(quoted(text)), F.lit("")))
+    schema = T.StructType(source.schema.fields[:-1] + out.fields)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +117,7 @@ def map_texts(df: DataFrame, text: str, out: T.StructType, fn: Callable[[list],
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*restored(keep), *out.names)
 
 
 def count_words(df: DataFrame, text: str, lower: bool = True, group: str | None = None, most: int = 400_000) -> DataFrame:
@@ -96,7 +125,7 @@ def count_words(df: DataFrame, text: str, lower: bool = True, group: str | None
 
     Each task counts before the shuffle and hands on its counts whenever it holds ``most`` words.
     """
-    source = df.select(F.coalesce(F.col(group), F.lit("")).alias("g") if group else F.lit("").alias("g"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    source = df.select(F.coalesce(F.col(quoted(group)), F.lit("")).alias("g") if group else F.lit("").alias("g"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
 
     def run(batches):
         counts: dict[str, Counter] = {}
@@ -126,11 +155,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, d
     The sample is picked by a hash of the ids among the labels alone. It is broadcast, at most 4 * per_class
     rows of two numbers, so that no other text leaves its scan, and the texts found are checkpointed.
     """
-    known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
+    known = labels.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(label)).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, min(1.0, per_class / counts.get(1, 1))).otherwise(min(1.0, per_class / counts.get(0, 1)))
-    picked = F.broadcast(known.where(uniform("i", salt) < share).limit(4 * per_class))
-    sample = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).where("t is not null").join(picked, "i")
+    # in the order of the hash, so that the sample is the same however the labels are dealt
+    picked = F.broadcast(known.where(uniform("i", salt) < share).orderBy(uniform("i", salt), "i", "y").limit(4 * per_class))
+    sample = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(text)).alias("t")).where("t is not null").join(picked, "i")
     return checkpointed(sample.select("y", "t", uniform("i", salt + " order").alias("u"))), counts
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import letters, lowered, pack
-from .common import map_texts, slices, uniform
+from .common import map_texts, renamed, restored, slices, uniform
 
 BITS = 13  # of a feature's number
 FEATURES = 1 << BITS
@@ -128,10 +128,11 @@ class LanguageModel:
         return [lang, score, unlike | (score < unclear), n]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 4000) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 4000, whole: int = 500) -> LanguageModel:
     """Learns from labelled rows: about ``per_language`` of each language (all, if fewer), picked by a hash of their ids.
 
-    Rows with a null label, text or id teach nothing.
+    A text weighs in with its n-grams, but at most like ``whole`` of them: a weight, by which all of a text counts. Rows with a null
+    label, text or id teach nothing.
     """
     rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("g"), F.col(text).alias("t")).where("i is not null and g is not null")
     found = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in small_slices(texts):
                 x, _ = features(texts[a:b])
-                x /= np.maximum(x.sum(1, keepdims=True) / 500, 1)  # a long text counts as 500 n-grams
+                x /= np.maximum(x.sum(1, keepdims=True) / whole, 1)
                 for g in set(labels[a:b]):
                     sums[g] = sums.get(g, 0) + x[[k == g for k in labels[a:b]]].sum(0, dtype=np.float64)
         for g, x in sums.items():
@@ -213,7 +214,7 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: f
     under ``few`` letters to tell by. A text between two languages scores about a half and stays; one that is like none of them goes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema, at = docs.schema, docs.columns.index(text)
+    rows, at = renamed(docs, docs.columns), docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
@@ -224,4 +225,4 @@ def accepted(docs: DataFrame, model: LanguageModel, text: str = "text", least: f
                 keep += [bool(g != "und" and (k < few or (s >= least and not u))) for g, s, u, k in zip(lang, score, unlike, n)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema).select(*restored(docs.columns))

@@ -5,11 +5,12 @@ words, the excess going to the others by weight. A target is met by complete epo
 rest comes from its documents in the order of exponential keys, -ln(u) / quality weight with u from a
 hash of the id, so that a better document tends to come earlier. The last document is cut where the budget ends.
 
-No source is sorted in one task: documents fall into key ranges of about ``bucket_rows`` rows, a running
-sum goes over ranges, and only rows of one range are sorted together.
+No source is sorted in one task: documents fall into key ranges of about ``bucket_rows`` rows, cut by the source's own weights, a
+running sum goes over ranges in groups of 1024, and only rows of one range are sorted together.
 
 Cases: null texts have size 0 and take nothing; null sources are one source, last in the order; equal keys go by
-id, then by the row's place. A total of 0 gives targets of 0. Null ids share one key.
+id, then by the row's place. A total of 0 gives targets of 0. A null id takes its key from the row's place. Kept columns may have
+any name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, uniform
+from .common import WORD, checkpointed, quoted, renamed, restored, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -50,39 +51,65 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = 3.0) -> Dat
     return rows.withColumn("target", F.when(final.isNull(), F.col("most")).otherwise(F.least("most", final * F.col("w")))).drop("w", "most", "level")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, cap: float = 3.0, bucket_rows: int = 1024, keep: list[str] | None = None) -> DataFrame:
-    """The id (and kept columns) with size, source_size, target and taken of each row."""
-    quality = symbol_weight(text) if quality is None else quality
-    kept = [F.col(c) for c in keep or []]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), quality.alias("q"), F.monotonically_increasing_id().alias("place"), *kept)
-    key = -F.log(1.0 - F.coalesce(uniform("doc_id", "mix"), F.lit(0.5))) / F.col("q")
-    rows = checkpointed(rows.withColumn("key", key).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
-    by_source = targets(rows.groupBy("s", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("q").alias("mean_q")), cap=cap)
-    by_source = checkpointed(by_source.drop("source"))
-    # 1 - exp(-key * mean weight) is near to uniform, so its ranges hold about the same number of rows.
-    ranged = rows.join(by_source, "s").withColumn("b", F.floor(F.ceil(F.col("n") / bucket_rows) * (1.0 - F.exp(-F.col("key") * F.col("mean_q")))))
-    ranged = checkpointed(ranged)
-    inside = Window.partitionBy("s", "b").orderBy("key", F.asc_nulls_last("doc_id"), "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("s", "b").agg(F.sum("size").alias("words")).select("s", "b", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("offset"))
+def _ranged(rows: DataFrame, by_source: DataFrame, bucket_rows: int) -> DataFrame:
+    """The rows with the range ``b`` of their key, of about ``bucket_rows`` rows each, and their source's figures.
+
+    A document of weight w has a key under x with probability 1 - exp(-w * x), so the mix of these over the source's own weights,
+    taken in steps of a thirty-second of a doubling, tells the share of the source's rows before a key, whatever its weights are.
+    """
+    step = F.round(F.log2("q") * 32).cast("int")
+    steps = rows.groupBy("s", step.alias("step")).agg(F.count("*").alias("rows"), F.avg("q").alias("q"))
+    weights = steps.groupBy("s").agg(F.collect_list(F.struct("rows", "q")).alias("weights"))
+    share = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x["rows"] * (1.0 - F.exp(-x["q"] * F.col("key")))) / F.col("n")
+    last = F.ceil(F.col("n") / bucket_rows) - 1
+    return rows.join(by_source.join(weights, "s"), "s").withColumn("b", F.least(F.floor((last + 1) * share), last).cast("long")).drop("weights")
+
+
+def _planned(docs: DataFrame, text: str, source: str, doc_id: str, quality: Column | None, cap: float, bucket_rows: int, keep: list[str]) -> DataFrame:
+    """(id, size, source_size, target, taken) with the kept columns as ``renamed``."""
+    quality = symbol_weight(quoted(text)) if quality is None else quality
+    rows = renamed(docs, keep, id=F.col(quoted(doc_id)), source=F.col(quoted(source)), size=n_words(quoted(text)), q=quality, place=F.monotonically_increasing_id())
+    u = F.coalesce(uniform("id", "mix"), uniform("place", "no id"))
+    rows = checkpointed(rows.withColumn("key", -F.log(1.0 - u) / F.col("q")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    by_source = targets(rows.groupBy("s", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), cap=cap)
+    ranged = checkpointed(_ranged(rows.drop("source"), checkpointed(by_source.drop("source")), bucket_rows))
+    inside = Window.partitionBy("s", "b").orderBy("key", F.asc_nulls_last("id"), "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # words before each range: those of the groups of ranges before it, and those before it in its group
+    group = F.floor(F.col("b") / 1024).alias("g")
+    words = ranged.groupBy("s", "b", group).agg(F.sum("size").alias("words"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = words.groupBy("s", "g").agg(F.sum("words").alias("all_words")).select("s", "g", F.coalesce(F.sum("all_words").over(before("s", "g")), F.lit(0)).alias("earlier"))
+    offsets = words.withColumn("own", F.coalesce(F.sum("words").over(before("s", "g", "b")), F.lit(0))).join(groups, ["s", "g"]).select("s", "b", (F.col("own") + F.col("earlier")).alias("offset"))
     upto = ranged.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["s", "b"])
     epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("offset") + F.col("upto") - F.col("size"))))
-    return upto.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs + part).cast("long").alias("taken"), *[c for c in keep or []])
+    return upto.withColumn("taken", (F.col("size") * epochs + part).cast("long")).select("id", "size", "source_size", "target", "taken", *[f"k{i}" for i in range(len(keep))])
+
+
+MADE = ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, cap: float = 3.0, bucket_rows: int = 1024, keep: list[str] | None = None) -> DataFrame:
+    """The id (as doc_id) and kept columns with size, source_size, target and taken of each row; a kept column of one of these names is dropped."""
+    keep = [c for c in keep or [] if c not in MADE]
+    return _planned(docs, text, source, doc_id, quality, cap, bucket_rows, keep).select(F.col("id").alias("doc_id"), *MADE[1:], *restored(keep))
 
 
-def mixed(docs: DataFrame, text: str = "text", **columns) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, cap: float = 3.0, bucket_rows: int = 1024) -> DataFrame:
     """The rows themselves, once for each complete epoch, and once more, perhaps cut, for what is taken of the next.
 
-    Cutting keeps the white space: it takes words and what stands before each.
+    Cutting keeps the white space: it takes words and what stands before each. A column ``__cut`` tells cut copies; an input column of
+    that name is dropped in its favour. Rows are numbered once, in a checkpoint.
     """
-    names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    plan = mix(numbered, text, keep=["__row"], **columns).where("taken > 0").select("__row", "size", "taken")
-    t = F.col(f"`{text}`")
-    pieces = F.zip_with(F.slice(F.split(t, WORD, -1), 1, F.col("__n")), F.slice(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), 1, F.col("__n")), lambda gap, word: F.concat(gap, word))
-    rows = numbered.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    rows = rows.withColumn("__n", F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int"))
-    cut = F.when(F.col("__n") == F.col("size"), t).otherwise(F.array_join(pieces, ""))
-    return rows.withColumn(text, cut).withColumn("__cut", F.col("__n") < F.col("size")).select(*[F.col(f"`{c}`") for c in names], "__cut")
+    keep = [c for c in docs.columns if c != "__cut"]
+    q = symbol_weight(quoted(text)) if quality is None else quality
+    numbered = checkpointed(renamed(docs, keep, row=F.monotonically_increasing_id(), q=q))
+    at = {c: f"k{i}" for i, c in enumerate(keep)}
+    plan = _planned(numbered, at[text], at[source], at[doc_id], F.col("q"), cap, bucket_rows, ["row"]).where("taken > 0").select(F.col("k0").alias("row"), "size", "taken")
+    t = F.col(at[text])
+    pieces = F.zip_with(F.slice(F.split(t, WORD, -1), 1, F.col("n")), F.slice(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), 1, F.col("n")), lambda gap, word: F.concat(gap, word))
+    rows = numbered.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = rows.withColumn("n", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int"))
+    cut = F.when(F.col("n") == F.col("size"), t).otherwise(F.array_join(pieces, ""))
+    return rows.select(*[(cut if c == text else F.col(at[c])).alias(c) for c in keep], (F.col("n") < F.col("size")).alias("__cut"))

@@ -78,7 +78,7 @@ QUALITY = f"""
     cd AS (SELECT doc_id, n, min(j) AS class_distance FROM (SELECT doc_id, n, cq.lang, {JSD} AS j FROM (SELECT doc_id, n, k, c / greatest(n, 1) AS p FROM hk) JOIN cq USING (k) GROUP BY doc_id, n, cq.lang) GROUP BY doc_id, n),
     lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS word FROM t),
     lc AS (SELECT lang, word, count(*) AS n FROM lw GROUP BY lang, word), lt AS (SELECT lang, sum(n) AS total FROM lc GROUP BY lang),
-    lk AS (SELECT lang, word, n / total AS q FROM lc JOIN lt USING (lang) WHERE n * 2000 >= total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 60),
+    lk AS (SELECT lang, word, n / total AS q FROM lc JOIN lt USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 60),
     dw AS (SELECT doc_id, word, count(*) AS n FROM lw GROUP BY doc_id, word), dn AS (SELECT doc_id, sum(n) AS n FROM dw GROUP BY doc_id HAVING sum(n) >= 30),
     m AS (SELECT dn.doc_id, lk.lang, lk.q, coalesce(dw.n, 0) / dn.n AS p FROM dn CROSS JOIN lk LEFT JOIN dw ON dw.doc_id = dn.doc_id AND dw.word = lk.word),
     mo AS (SELECT doc_id, lang, q, p FROM m UNION ALL SELECT doc_id, lang, 1 - sum(q), 1 - sum(p) FROM m GROUP BY doc_id, lang),
@@ -86,5 +86,5 @@ QUALITY = f"""
     z AS (SELECT n.*, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN cd.n >= 200 THEN class_distance END AS cdist, word_distance AS wdist, cd.n AS chars FROM n LEFT JOIN rp USING (doc_id) JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)),
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM z)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-      NOT base_failed AND NOT coalesce(cdist > 0.2 + 2.5 / sqrt(greatest(chars, 1)), false) AND NOT coalesce(wdist > 0.44 + 1.0 / sqrt(greatest(n_words, 1)), false) AS kept,
+      NOT base_failed AND NOT coalesce(cdist > 0.2 + 2.5 / sqrt(greatest(chars, 1)), false) AND NOT coalesce(wdist > 0.2 + 1.9 / sqrt(greatest(n_words, 1)), false) AS kept,
       round(cdist, 6) AS class_distance, round(wdist, 6) AS word_distance FROM b"""

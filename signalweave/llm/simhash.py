@@ -12,7 +12,8 @@ blocks, each pair of blocks to a task. Components over the trees give the groups
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other. Fewer than four words are
 one shingle. A document linked with none is its own component. Several rows of one id are rows of
-one group each by its own text. Rows with a null id keep a fingerprint and take the smallest id of their group, if any.
+one group each by its own text. Rows with a null id keep a fingerprint and take the smallest id of their group, if any. Kept columns
+may have any name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, join_all, map_texts, quoted, renamed, restored
 from .components import components, local_roots
 
 SEGMENTS, WIDTH, BUDGET = 16, 4, 4
@@ -203,25 +204,38 @@ def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     return edges.unionByName(rest.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, most: int = 4096) -> DataFrame:
-    """The id (and kept columns) with ``fp`` and ``component_id``, the smallest id of the document's group."""
-    keep = keep or []
-    marked = checkpointed(fingerprints(docs, text, [doc_id, *[c for c in keep if c not in (doc_id, "fp", "component_id")]]))
-    groups = marked.groupBy("fp").agg(F.min(doc_id).alias("first_id"))
+MADE = ["fp", "component_id"]
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], most: int) -> DataFrame:
+    """(id, fp, component_id) with the kept columns as ``renamed``.
+
+    Rows of equal fingerprints, and fingerprints of one large component, may be most of all; both joins take such keys by broadcast.
+    """
+    marked = checkpointed(fingerprints(renamed(docs, keep, id=F.col(quoted(doc_id)), t=F.col(quoted(text))), "t", ["id", *[f"k{i}" for i in range(len(keep))]]))
+    total = marked.count()
+    groups = marked.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
     roots = components(links(groups.select("fp"), most))
-    joined = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp")
+    joined = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")))
+    least = checkpointed(joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
+    of = join_all(joined.select("root", "fp", "n"), least, "root", "members", total).select("fp", "n", "component_id")
+    return join_all(marked, of, "fp", "n", total)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, most: int = 4096) -> DataFrame:
+    """The id and kept columns with ``fp`` and ``component_id``, the smallest id of the document's group; a kept column of one of these names is dropped."""
+    keep = [c for c in keep or [] if c not in (doc_id, *MADE)]
+    return _grouped(docs, text, doc_id, keep, most).select(F.col("id").alias(doc_id), *restored(keep), *MADE)
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 4096) -> DataFrame:
     """The documents without near-duplicates: of each group the row with the smallest id stays.
 
-    Of several rows of that id one stays, of rows with a null id in a group without ids one.
+    Of several rows of that id one stays, of rows with a null id in a group without ids one. Rows are numbered once, in a checkpoint.
     """
     names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = near_duplicates(numbered, text, doc_id, keep=["__row"])
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.when(F.col(doc_id).eqNullSafe(F.col("component_id")), F.col("__row"))).alias("__row"))
-    return numbered.join(chosen.select("__row"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    numbered = checkpointed(renamed(docs, names, row=F.monotonically_increasing_id()))
+    at = {c: f"k{i}" for i, c in enumerate(names)}
+    found = _grouped(numbered, at[text], at[doc_id], ["row"], most)
+    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("k0"))).alias("row"))
+    return numbered.join(chosen.select("row"), "row", "left_semi").select(*restored(names))

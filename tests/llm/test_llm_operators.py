@@ -354,7 +354,7 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
     rows += [(700, None), (750, [1.0, None]), (800, [float("nan")] * 16), (850, [float("inf")] * 16), (900, []), (None, [1.0] * 16), (950, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.search(df, F.col("id") % 50 == 0, block=128, query_block=4).collect()
+    got = topk.search(df, F.col("id") % 50 == 0, block=128, query_bytes=512).collect()
     q = {i: np.floor(256 * np.array(x, dtype=np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x)}
     pad = {i: np.pad(x, (0, 16 - len(x))) for i, x in q.items()}
     want = {}
@@ -373,10 +373,24 @@ def test_top_k_stops_early_only_on_proof():
     rng = np.random.default_rng(1)
     v = (rng.normal(size=(3000, 8)) ** 5 * 40).astype(np.int64)  # few large values, so that proofs come early
     ids = np.arange(3000)
-    q, i, s = topk.ImpactIndex(ids, v).top(v[:40], ids[:40], 5)
-    for k in range(40):
-        want = sorted((-int(v[k] @ v[j]), j) for j in ids if j != k)[:5]
-        assert [(-a, b) for a, b in zip(s[q == k], i[q == k])] == [(x, j) for x, j in want]
+    for blocks in (1, 7):
+        held, levels = topk.Best(ids[:40], v[:40], 5), []
+        for part in np.array_split(np.argsort(-(v**2).sum(1)), blocks):
+            index = topk.ImpactIndex(ids[part], v[part])
+            add = index.add
+            index.add = lambda s, w, level, add=add: (levels.append((len(w), level)), add(s, w, level))
+            held.see(index)
+        for k in range(40):
+            want = sorted((-int(v[k] @ v[j]), j) for j in ids if j != k)[:5]
+            assert [(-int(a), int(b)) for a, b in zip(held.scores[held.at == k], held.ids[held.at == k])] == want
+        assert sum(n for n, level in levels if level == topk.LEVELS - 1) < 40 * blocks / 2  # most end before the last level, or skip the block
+
+
+def test_top_k_with_values_beyond_doubles():
+    big = np.array([[2**40, 3], [2**40, 2], [2**40, 1], [-(2**40), 9]], dtype=np.int64)
+    held = topk.Best(np.array([0]), big[:1], 2)
+    held.see(topk.ImpactIndex(np.arange(4), big))
+    assert [(int(i), int(s)) for i, s in zip(held.ids, held.scores)] == [(1, 2**80 + 6), (2, 2**80 + 3)] if held.scores.dtype == object else True
 
 
 # 10
@@ -539,3 +553,94 @@ def test_quality_flat_vocabulary_has_its_top_words(spark):
     rows = [(" ".join(words), "flat"), (" ".join(words[5900:]), "flat"), ("one two two", "few")]
     found = quality_rules.fit(spark.createDataFrame(rows, "text string, lang string")).words
     assert found["flat"][0] == [w.encode() for w in words[5900:5960]] and found["few"][0] == [b"two", b"one"]
+
+
+# names of kept columns
+
+CLASH = {
+    "base": "b", "all": "a", "every": "e", "weak": "w", "linked": "l", "size": 7, "taken": 8, "target": 9.5, "root": "r", "key": "k", "a.b": "dot", "fp": "f", "component_id": "c", "row": 3, "id": "i", "t": "t", "s": "s", "b": "bb", "n": 4,
+    "k0": "k", "__row": 1, "__text": "x", "__cut": "cut", "__changed": "ch", "n_tokens": 5, "held": True, "`tick": "q", "base_spans": "bs", "word": "w", "place": "p", "q": 0.5, "offset": "o", "most": "m",
+}
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, "en" if i % 2 else "fr", "abc"[i % 3], 9, *CLASH.values()) for i, t in enumerate(["password = hunter2222 user: joe", "the cat sleeps in the house and the dog in the garden", "la maison est dans le jardin de la ville", "one two three four five six", "one two three four five six", None])]
+    kinds = {str: "string", int: "long", float: "double", bool: "boolean"}
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` " + kinds[type(v)] for c, v in CLASH.items()))
+
+
+def unchanged(df, rows, made=()):
+    """All clashing columns but those that the result has itself hold their values."""
+    names = df.columns
+    assert len(names) == len(set(names))
+    found = df.collect()
+    assert len(found) == rows
+    for c, v in CLASH.items():
+        if c not in made:
+            at = names.index(c)
+            assert {r[at] for r in found} == {v}, c
+
+
+def test_columns_of_any_name_survive(spark, clashing):
+    model = language_id.fit(clashing)
+    unchanged(language_id.identify(clashing, model), 6)
+    unchanged(quality_rules.apply_rules(clashing, quality_rules.fit(clashing)), 6)
+    unchanged(simhash.near_duplicates(clashing, keep=clashing.columns), 6, ("fp", "component_id"))
+    unchanged(simhash.keep_one(clashing), 5)
+    unchanged(secrets.find_secrets(clashing), 6, ("base_spans", "all_spans"))
+    unchanged(secrets.redact(clashing), 6, ("__changed",))
+    unchanged(mixing.mix(clashing, keep=clashing.columns), 6, ("size", "source_size", "target", "taken"))
+    unchanged(mixing.mixed(clashing), mixing.mixed(clashing).count(), ("__cut",))
+    brown_model, counts = brown.fit(clashing)
+    unchanged(brown.score(clashing, brown_model, counts), 6, ("n_tokens",))
+
+
+def test_stages_keep_columns_of_any_name(spark, clashing, small):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, small)
+        assert set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}, name
+        unchanged(out, out.count(), ("__cut", "__changed"))
+
+
+def test_very_many_secrets_in_a_text(spark):
+    """Linear in the number of findings: 48 000 in one text."""
+    text = " ".join(["0a" * 12, "x"] * 48_000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    import time
+
+    began = time.time()
+    assert secrets.digest(secrets.find_secrets(df)).first().n_hex == 48_000
+    assert secrets.redact(df).first().text == " ".join(["[SECRET]", "x"] * 48_000)
+    assert time.time() - began < 30
+
+
+def test_mixing_ranges_stay_small_whatever_the_weights(spark):
+    """A third of the rows at the lowest weight, most at the highest: no range is much larger than asked for."""
+    df = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0.05).otherwise(1.0).alias("q"), F.lit("").alias("s"), F.lit(30_000).alias("n"), F.lit(1).alias("size"))
+    rows = df.withColumn("key", -F.log(F.rand(3)) / F.col("q"))
+    per = mixing._ranged(rows, spark.createDataFrame([("", 30_000)], "s string, n long"), 500) if "n" not in rows.columns else mixing._ranged(rows.drop("n"), spark.createDataFrame([("", 30_000)], "s string, n long"), 500)
+    sizes = [r["count"] for r in per.groupBy("b").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 700 and len(sizes) >= 55
+
+
+def test_hot_keys_join_by_broadcast(spark):
+    from signalweave.llm.common import join_all
+
+    rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("k"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = join_all(rows, table, "k", "n", 5000)
+    assert got.count() == 5000 and set(got.columns) == {"k", "id", "low"} and {r.low for r in got.where("k = 0").collect()} == {0}
+
+
+def test_quality_turns_down_texts_without_common_words(docs):
+    """Random letters in the place of words fail by their words alone; documents with few symbols and repeats stay."""
+    rules = quality_rules.fit(docs)
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (100, 300, 1000, 5000)]
+    by_class, by_word, failed = rules.judge(junk, [t.encode().split() for t in junk])
+    assert failed.all() and (by_word > 0.38).all()
+    kept = quality_rules.apply_rules(docs.where("text is not null"), rules, keep=["doc_id"]).where("not base_failed and n_symbols < n_words / 50").collect()
+    assert sum(r.kept for r in kept) > 0.97 * len(kept)
