@@ -46,15 +46,7 @@ EVENT_TYPES = {
     "health_emergency": ["EPIDEMIC", "PANDEMIC", "DISEASE_OUTBREAK"],
     "violence": ["KILL", "WOUND", "MASSACRE", "SHOOTING"],
 }
-# FIPS 10-4 country codes whose ISO code differs; others stay as they are.
-FIPS_TO_ISO = {
-    "UK": "GB", "GM": "DE", "RS": "RU", "CH": "CN", "SZ": "CH", "JA": "JP", "EI": "IE", "SP": "ES", "SF": "ZA",
-    "NI": "NG", "UP": "UA", "KS": "KR", "KN": "KP", "AS": "AU", "PO": "PL", "TU": "TR", "IS": "IL", "IZ": "IQ",
-    "SW": "SE", "DA": "DK", "AU": "AT", "BU": "BG", "LO": "SK", "EZ": "CZ", "EN": "EE", "LG": "LV", "LH": "LT",
-    "BO": "BY", "SN": "SG", "VM": "VN", "CB": "KH", "BM": "MM", "CE": "LK", "BG": "BD", "CI": "CL", "BL": "BO",
-    "NU": "NI", "HO": "HN", "ES": "SV", "DR": "DO", "HA": "HT", "MO": "MA", "AG": "DZ", "TS": "TN", "SU": "SD", "CG": "CD",
-}
-# Home countries of outlets, and of country-code top-level domains.
+# Home countries of some outlets, a default for the parameter that takes the caller's whole table.
 OUTLET_COUNTRY = {
     "cnn.com": "US", "nytimes.com": "US", "reuters.com": "US", "apnews.com": "US", "bloomberg.com": "US", "washingtonpost.com": "US",
     "bbc.co.uk": "GB", "bbc.com": "GB", "theguardian.com": "GB", "ft.com": "GB", "lemonde.fr": "FR", "france24.com": "FR",
@@ -62,28 +54,21 @@ OUTLET_COUNTRY = {
     "aljazeera.com": "QA", "thehindu.com": "IN", "abc.net.au": "AU", "cbc.ca": "CA", "elpais.com": "ES", "clarin.com": "AR",
     "globo.com": "BR", "eltiempo.com": "CO", "news24.com": "ZA", "punchng.com": "NG", "haaretz.com": "IL", "scmp.com": "HK",
 }
+# Home countries of country-code top-level domains.
 TLD_COUNTRY = {
     "uk": "GB", "fr": "FR", "de": "DE", "ru": "RU", "cn": "CN", "ir": "IR", "in": "IN", "au": "AU", "ca": "CA", "br": "BR",
     "mx": "MX", "jp": "JP", "kr": "KR", "eg": "EG", "ng": "NG", "za": "ZA", "tr": "TR", "pk": "PK", "il": "IL", "ua": "UA",
     "pl": "PL", "ar": "AR", "ve": "VE", "co": "CO", "cl": "CL",
 }
-# Source families of domains, and suffixes of state domains.
-SOURCE_FAMILY = {
-    "xinhuanet.com": "state", "globaltimes.cn": "state", "cgtn.com": "state", "rt.com": "state", "ria.ru": "state", "presstv.ir": "state",
-    "irna.ir": "state", "france24.com": "state", "dw.com": "state", "bbc.co.uk": "state", "bbc.com": "state", "voanews.com": "state",
-    "aa.com.tr": "state", "granma.cu": "state", "reuters.com": "wire", "apnews.com": "wire", "afp.com": "wire", "bloomberg.com": "wire",
-    "efe.com": "wire", "dpa.com": "wire", "ansa.it": "wire",
-}
-STATE_SUFFIXES = [".gov", ".mil", ".gov.uk", ".gc.ca", ".gob.mx", ".gob.ar", ".gov.au"]
 # Regions of countries by ISO code.
 REGIONS = {
-    "North America": "US CA",
-    "Latin America": "MX BR AR CO CL PE VE EC BO PY UY CU",
-    "Europe": "GB DE FR IT ES PL NL BE SE NO CH AT PT GR CZ HU RO UA RU FI DK SK BG HR RS",
-    "Middle East": "SA IR IL TR AE IQ SY JO LB KW QA YE OM PS BH",
-    "Asia": "CN JP IN KR ID PK BD VN TH MY PH TW SG MM KZ UZ AF NP LK",
-    "Africa": "NG ZA EG ET KE GH TZ DZ MA AO MZ CI MG CM SN",
-    "Oceania": "AU NZ",
+    "North America": ["US", "CA"],
+    "Latin America": ["MX", "BR", "AR", "CO", "CL", "PE", "VE", "EC", "BO", "PY", "UY", "CU"],
+    "Europe": ["GB", "DE", "FR", "IT", "ES", "PL", "NL", "BE", "SE", "NO", "CH", "AT", "PT", "GR", "CZ", "HU", "RO", "UA", "RU", "FI", "DK", "SK", "BG", "HR", "RS"],
+    "Middle East": ["SA", "IR", "IL", "TR", "AE", "IQ", "SY", "JO", "LB", "KW", "QA", "YE", "OM", "PS", "BH"],
+    "Asia": ["CN", "JP", "IN", "KR", "ID", "PK", "BD", "VN", "TH", "MY", "PH", "TW", "SG", "MM", "KZ", "UZ", "AF", "NP", "LK"],
+    "Africa": ["NG", "ZA", "EG", "ET", "KE", "GH", "TZ", "DZ", "MA", "AO", "MZ", "CI", "MG", "CM", "SN"],
+    "Oceania": ["AU", "NZ"],
 }
 # Straits and canals (id, latitude, longitude, radius in km), in order.
 CHOKEPOINTS = [
@@ -97,12 +82,6 @@ SEARCH_ALIASES = {
     "usa": ["us", "united states"], "orthohantavirus": ["hantavirus"], "aviones": ["aircraft", "planes"], "aeronaves": ["aircraft", "planes"],
     "barcos": ["ships", "vessels", "maritime"], "buques": ["ships", "vessels", "maritime"],
 }
-# Names of countries in queries, in either of two languages.
-COUNTRY_ALIASES = {
-    "united states": "US", "estados unidos": "US", "united kingdom": "GB", "reino unido": "GB", "south africa": "ZA", "sudafrica": "ZA",
-    "south korea": "KR", "north korea": "KP", "saudi arabia": "SA", "new zealand": "NZ", "costa rica": "CR", "el salvador": "SV",
-    "tailandia": "TH", "bangladesh": "BD",
-}
 # Themes by category.
 THEME_CATEGORIES = {
     "security": ["TAX_TERROR", "ARMEDCONFLICT", "CRISISLEX_C03_DEAD_WOUNDED", "CRISISLEX_C06_VIOLENCE", "CRIME", "ARREST", "KILL", "MILITARY", "SEIZE", "CYBERATTACK"],

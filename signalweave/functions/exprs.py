@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import dims
+from . import dims, fixed
 
 
 def any_of(words: list[str]) -> str:
@@ -15,6 +16,20 @@ def any_of(words: list[str]) -> str:
     return "|".join("".join("\\" + c if not c.isalnum() and c not in " _" else c for c in w) for w in words)
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    A plain projection may be merged into each later use, filters too, and then does its work several times; a generator is not.
+    """
+    made = df.select("*", F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("__once"))
+    return made.select(*[c for c in df.columns if c not in columns], *[F.col(f"__once.{n}").alias(n) for n in columns])
+
+
 # Text and URLs
 
 
@@ -48,13 +63,43 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, "<[^>]+>", ""))
 
 
-#: Latin letters with marks, and what remains of them.
-ACCENTED, PLAIN = "àáâãäåèéêëìíîïòóôõöùúûüñçýÿÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+@cache
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str], str, str]:
+    """By the compatibility decomposition: characters that become one ASCII letter or digit, those that become several characters, what
+    becomes nothing (marks), and a pattern of a few ranges around the second kind."""
+    single, several, marks, spans = {}, {}, [], []
+    for c in map(chr, range(0x80, 0x30000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not plain:
+            marks.append(c)
+        elif plain != c and any(x.isascii() and x.isalnum() for x in plain):
+            (single if len(plain) == 1 else several)[c] = plain
+    for c in map(ord, several):
+        if spans and c - spans[-1][1] <= 64:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return single, several, "".join(marks), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case, letters without marks: they are taken apart (compatibility form), so what has an ASCII base keeps that."""
+    single, several, marks, rare = _ascii_forms()
+    # characters beyond the replacements are marks, which translate drops
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(single) + marks, "".join(single.values()))).otherwise(text)
+    table = F.map_from_arrays(F.lit(list(several)), F.lit(list(several.values())))
+    whole = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(rare), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+    return F.lower(F.when(plain.rlike(rare), whole).otherwise(plain))
 
 
 def search_text(text: Column) -> Column:
-    """Lower case, without marks on Latin letters, everything else but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, ACCENTED, PLAIN)), "[^a-z0-9]+", " "))
+    """Lower case, without marks on letters, everything else but ASCII letters and digits as single spaces."""
+    return F.trim(F.regexp_replace(unmarked(text), "[^a-z0-9]+", " "))
+
+
+def search_words(text: Column) -> Column:
+    """Words of two letters or more of a search text."""
+    return F.filter(F.split(search_text(text), " "), lambda w: F.length(w) > 1)
 
 
 def singular(token: Column) -> Column:
@@ -77,9 +122,10 @@ def script(text: Column) -> Column:
     return F.when(text.rlike(r"[؀-ۿ]"), "arabic").when(text.rlike("[A-Za-z]"), "latin").otherwise("other")
 
 
-def language_hint(text: Column, lang: Column) -> Column:
-    """The stated language, else Arabic by its script, else English."""
-    return F.coalesce(F.lower(lang), F.when(script(text) == "arabic", "ar").otherwise("en"))
+def language_hint(text: Column, lang: Column, supported: list[str] | None = None) -> Column:
+    """The stated language, if it is one of the supported ones (all, if none are given), else Arabic by its script, else English."""
+    stated = F.lower(lang) if supported is None else F.when(F.lower(lang).isin(supported), F.lower(lang))
+    return F.coalesce(stated, F.when(script(text) == "arabic", "ar").otherwise("en"))
 
 
 def clean_title(title: Column) -> Column:
@@ -108,12 +154,12 @@ LABEL_RULES = [
 
 
 def theme_label(theme: Column, named: dict[str, str] | None = None) -> Column:
-    """A label: a name of its own if it has one, else by the first prefix that fits, else its words."""
+    """A label: its name in the taxonomy, else a name of its own if it has one, else by the first prefix that fits, else its words."""
     code = F.upper(theme)
-    own = {"CRISISLEX_C07_SAFETY": "Public Safety", "CRISISLEX_CRISISLEXREC": "Crisis Event", "UNGP_FORESTS_RIVERS_OCEANS": "Environment"} | (named or {})
+    own = {"CRISISLEX_C07_SAFETY": "Public Safety", "CRISISLEX_CRISISLEXREC": "Crisis Event", "UNGP_FORESTS_RIVERS_OCEANS": "Environment"} | fixed.THEME_LABELS | (named or {})
     out = F.when(code.rlike("^WB_"), F.concat(theme_words(F.regexp_replace(code, r"^WB_(\d+_)?", "")), F.lit(" (World Bank)")))
-    for pattern, start, fixed in LABEL_RULES:
-        out = out.when(code.rlike(pattern), F.lit(fixed) if fixed else F.concat(F.lit(start), theme_words(F.regexp_replace(code, pattern, ""))))
+    for pattern, start, whole in LABEL_RULES:
+        out = out.when(code.rlike(pattern), F.lit(whole) if whole else F.concat(F.lit(start), theme_words(F.regexp_replace(code, pattern, ""))))
     return F.coalesce(dims.lookup(own, code), out.otherwise(theme_words(code)))
 
 
@@ -142,9 +188,10 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 # Places
 
 
-def iso_country(fips: Column) -> Column:
-    code = F.upper(F.substring(fips, 1, 2))
-    return F.coalesce(dims.lookup(dims.FIPS_TO_ISO, code), F.when(F.length(code) == 2, code))
+def iso_country(fips: Column, table: dict[str, str] | None = None) -> Column:
+    """The ISO code of a FIPS code; a code that is the same in both, or unknown, stays as it is. Null for empty or null."""
+    code = F.substring(F.trim(F.upper(F.nullif(fips, F.lit("")))), 1, 2)
+    return F.coalesce(dims.lookup(table or fixed.FIPS_TO_ISO, code), code)
 
 
 def first_keyword(text: Column, patterns: list[tuple[str, str]], default: Column | None = None) -> Column:
@@ -162,12 +209,12 @@ def outlet_country(url: Column, outlets: dict[str, str] | None = None, tlds: dic
 
 def source_family(url: Column, families: dict[str, str] | None = None) -> Column:
     host = domain(url)
-    state = reduce(lambda a, b: a | b, [host.endswith(s) for s in dims.STATE_SUFFIXES])
-    return F.coalesce(dims.lookup(families or dims.SOURCE_FAMILY, host), F.when(state, "state").otherwise("independent"))
+    state = reduce(lambda a, b: a | b, [host.endswith(s) for s in fixed.STATE_SUFFIXES])
+    return F.coalesce(dims.lookup(families or fixed.SOURCE_FAMILY, host), F.when(state, "state").otherwise("independent"))
 
 
-def region(country: Column, regions: dict[str, str] | None = None) -> Column:
-    return dims.lookup({c: r for r, cs in (regions or dims.REGIONS).items() for c in cs.split()}, F.upper(country))
+def region(country: Column, regions: dict[str, list[str]] | None = None) -> Column:
+    return dims.lookup({c: r for r, cs in (regions or dims.REGIONS).items() for c in cs}, F.upper(country))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -175,15 +222,24 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 6371.0 * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
 
 
-def query_country(query: Column) -> Column:
-    """(code, topic): the country whose longest alias a query names, and the query without it; null if none."""
+def word_runs(words: Column, longest: int) -> Column:
+    """Runs of one to ``longest`` neighbouring words, joined by a space."""
+
+    def runs(n: int) -> Column:
+        return F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))
+
+    return F.array_compact(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
+
+
+def query_country(query: Column, aliases: dict[str, str] | None = None) -> Column:
+    """(code, topic): the country whose longest alias a query names, and the query without it; null if none. Of equal length the first counts."""
+    aliases = fixed.COUNTRY_ALIASES if aliases is None else aliases
     q = search_text(query)
-    out = None
-    for alias, code in sorted(dims.COUNTRY_ALIASES.items(), key=lambda x: (-len(x[0]), x[0])):
-        rest = F.trim(F.regexp_replace(F.regexp_replace(q, rf"\b((en|in|de|del|sobre|from|about)\s+)?{alias}\b", " "), r"\s+", " "))
-        hit = F.struct(F.lit(code).alias("code"), F.when(F.length(rest) >= 2, rest).otherwise(query).alias("topic"))
-        out = (F if out is None else out).when(q.rlike(rf"\b{alias}\b"), hit)
-    return out
+    named = F.filter(word_runs(F.split(q, " "), max(a.count(" ") for a in aliases) + 1), lambda w: w.isin(list(aliases)))
+    order = {a: i for i, a in enumerate(aliases)}
+    best = F.array_min(F.transform(named, lambda w: F.struct((-F.length(w)).alias("l"), dims.lookup(order, w).alias("i"), w.alias("alias"))))["alias"]
+    rest = F.trim(F.regexp_replace(F.regexp_replace(q, F.concat(F.lit(r"\b((en|in|de|del|sobre|from|about)\s+)?"), best, F.lit(r"\b")), F.lit(" ")), r"\s+", " "))
+    return F.when(best.isNotNull(), F.struct(dims.lookup(aliases, best).alias("code"), F.when(F.length(rest) >= 2, rest).otherwise(query).alias("topic")))
 
 
 # Labels and scores
@@ -216,13 +272,15 @@ def crisis_themes(themes: Column) -> Column:
 
 
 def _first_hit(themes: Column, table: dict[str, list[str]], default: str) -> Column:
-    joined = F.upper(F.array_join(themes, " "))
-    return first_keyword(joined, [(any_of(words), name) for name, words in table.items()], F.lit(default))
+    return once(F.upper(F.array_join(themes, " ")), lambda joined: first_keyword(joined, [(any_of(words), name) for name, words in table.items()], F.lit(default)))
 
 
 def crisis(themes: Column) -> Column:
     """(is_crisis, crisis_score, crisis_themes, severity, event_type) of a row's themes."""
-    found = crisis_themes(themes)
+    return once(themes, lambda ts: once(crisis_themes(ts), lambda found: _crisis(ts, found)))
+
+
+def _crisis(themes: Column, found: Column) -> Column:
     some = F.size(found) > 0
     score = F.least(F.lit(1.0), F.try_divide(F.size(found), F.size(themes)) + dims.lookup(dims.SEVERITY_BOOST, _first_hit(found, dims.SEVERITY, "low")))
     return F.struct(
@@ -282,8 +340,18 @@ def signed_score(labels: Column) -> Column:
     return F.struct((5.0 * (p("positive") - p("negative"))).alias("score"), F.array_max(F.map_values(labels)).alias("confidence"))
 
 
-def heat_flags(local_voice: Column, top_share: Column, n: Column, duplication: Column) -> Column:
-    return F.array_compact(F.array(F.when(local_voice < 0.2, "external_coverage"), F.when(top_share > 0.6, "wire_dominance"), F.when(n < 20, "thin_coverage"), F.when(duplication > 0.5, "echo_chamber")))
+def heat_flags(local_voice: Column, diversity: Column, volume: Column, geo_confidence: Column, polyphony: Column) -> Column:
+    """Warnings about a country's heat, by its parts: little local voice (missing or 0: 0.5), few families, thin coverage, one frame for many rows."""
+    known = lambda x, default: F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(default))
+    n = F.coalesce(volume, F.lit(0))
+    return F.array_compact(
+        F.array(
+            F.when(known(local_voice, 0.5) < 0.2, "external_coverage"),
+            F.when(F.coalesce(diversity, F.lit(0.0)) < 0.3, "wire_dominance"),
+            F.when((n < 50) & (known(geo_confidence, 1.0) < 0.7), "thin_coverage"),
+            F.when((known(polyphony, 1.0) < 0.3) & (n > 100), "echo_chamber"),
+        )
+    )
 
 
 # Predicates
@@ -311,21 +379,27 @@ def like_any(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike(any_of([w.lower() for w in words]))
 
 
-def blocked(url: Column, domains: list[str]) -> Column:
+def blocked(url: Column, domains: list[str] | None = None) -> Column:
     """Whether the host is one of the domains or below one."""
-    return F.arrays_overlap(host_suffixes(domain(url)), F.array(*[F.lit(d) for d in domains]))
+    return F.exists(host_suffixes(domain(url)), lambda h: h.isin(fixed.BLOCKED_DOMAINS if domains is None else list(domains)))
 
 
-def valid_person(name: Column, places: list[str] = (), directions: list[str] = ("north", "south", "east", "west", "northern", "southern", "eastern", "western", "central")) -> Column:
+def valid_person(name: Column, places: list[str] = fixed.PLACE_NAMES, first_words: list[str] = fixed.PLACE_FIRST_WORDS) -> Column:
+    """Two words or more, 60 letters at most, no place's name and no first word of such."""
     words = F.split(F.lower(F.trim(name)), r"\s+")
-    return (F.size(words) >= 2) & (F.length(name) <= 60) & ~F.lower(F.trim(name)).isin(*(list(places) or [""])) & ~F.get(words, F.lit(0)).isin(*directions)
+    return (F.size(words) >= 2) & (F.length(name) <= 60) & ~F.lower(name).isin(list(places)) & ~F.get(words, F.lit(0)).isin(list(first_words))
 
 
 def attention_relevant(title: Column) -> Column:
     return ~F.regexp_replace(title, "_", " ").rlike(r"(?i)\b(" + "|".join(dims.ATTENTION_NOISE) + r")\b")
 
 
-def entity_valid(text: Column, lang: Column, most_foreign: float = 0.3) -> Column:
-    """3 to 60 letters, no digit, at most five words; English and unknown languages with few letters beyond ASCII."""
-    foreign = F.regexp_count(text, F.lit(r"[^\x00-\x7F]")) / F.greatest(F.length(text), F.lit(1))
-    return F.length(text).between(3, 60) & ~text.rlike(r"\d") & (F.size(F.split(F.trim(text), r"\s+")) <= 5) & ((F.coalesce(lang, F.lit("en")) != "en") | (foreign <= most_foreign))
+def entity_valid(text: Column, lang: Column, multilingual: bool = False) -> Column:
+    """Two letters or more, not only digits, at most five words; in languages of Latin script few letters beyond ASCII.
+
+    Few: under 0.4 of the letters, or 0.6 where models for several languages are in use.
+    """
+    t = F.trim(text)
+    foreign = F.regexp_count(t, F.lit(r"[^\x00-\x7F]")) / F.greatest(F.length(t), F.lit(1))
+    latin = ~F.lower(F.coalesce(lang, F.lit(""))).isin(fixed.NON_LATIN_LANGUAGES)
+    return (F.length(t) >= 2) & ~t.rlike(r"^\p{Nd}+$") & (F.size(F.split(t, r"\s+")) <= 5) & (~latin | (foreign < (0.6 if multilingual else 0.4)))

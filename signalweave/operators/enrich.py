@@ -8,35 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
 from . import rollups as R
 from .rollups import r
 
-# Words and weights by language; marks on letters don't matter, both forms are looked up without them.
-LEXICON = {
-    "en": {
-        "war": -2.5, "attack": -2.5, "killed": -3.0, "dead": -2.5, "wounded": -2.0, "crisis": -2.0, "violence": -2.5, "protest": -1.5, "riot": -2.5, "tension": -1.5,
-        "sanction": -2.0, "threat": -2.0, "collapse": -2.5, "corruption": -2.0, "fraud": -2.0, "fear": -1.5, "famine": -3.0, "disaster": -2.5, "deadly": -3.0,
-        "peace": 2.5, "agreement": 2.0, "deal": 1.5, "treaty": 2.0, "ceasefire": 2.5, "aid": 1.5, "recovery": 2.0, "growth": 2.0, "victory": 2.0, "win": 1.5, "support": 1.5, "success": 2.0,
-    },
-    "es": {"guerra": -2.5, "ataque": -2.5, "muertos": -3.0, "crisis": -2.0, "violencia": -2.5, "amenaza": -2.0, "miedo": -1.5, "desastre": -2.5, "paz": 2.5, "acuerdo": 2.0, "ayuda": 1.5, "victoria": 2.0, "apoyo": 1.5},
-    "fr": {"guerre": -2.5, "attaque": -2.5, "morts": -3.0, "crise": -2.0, "violence": -2.5, "menace": -2.0, "peur": -1.5, "catastrophe": -2.5, "paix": 2.5, "accord": 2.0, "aide": 1.5, "victoire": 2.0, "soutien": 1.5},
-    "pt": {"guerra": -2.5, "ataque": -2.5, "mortos": -3.0, "crise": -2.0, "medo": -1.5, "desastre": -2.5, "paz": 2.5, "acordo": 2.0, "ajuda": 1.5, "apoio": 1.5},
-    "ar": {"حرب": -2.5, "هجوم": -2.5, "قتل": -3.0, "أزمة": -2.0, "عنف": -2.5, "خوف": -1.5, "سلام": 2.5, "اتفاق": 2.0, "مساعدة": 1.5, "نصر": 2.0},
-}
-
-
-def lexicon_frame(spark, lexicon: dict[str, dict[str, float]] = LEXICON) -> DataFrame:
+def lexicon_frame(spark, lexicon: dict[str, dict[str, float]] = fixed.LEXICON) -> DataFrame:
     return spark.createDataFrame([(lang, w, float(x)) for lang, ws in lexicon.items() for w, x in ws.items()], "lang string, word string, weight double")
 
 
-def lexicon_sentiment(df: DataFrame, key: str, text: str, lang: str, lexicon: DataFrame, least_tokens: int = 3) -> DataFrame:
+def lexicon_sentiment(df: DataFrame, key: str, text: str, lang: str, lexicon: DataFrame, least_tokens: int = 3, languages: list[str] = list(fixed.LEXICON)) -> DataFrame:
     """(key, score, confidence): weights of a text's words summed, clamped to 5; confidence at most 0.5.
 
-    Only texts of ``least_tokens`` words with a hit get a row. Words meet the lexicon by a join; each text counts its words first.
+    A text in none of ``languages`` goes by its script. Only texts of ``least_tokens`` words with a hit get a row. Words meet the lexicon by a join; each text counts its words first.
     """
-    words = df.where(F.size(exprs.tokens(F.col(text))) >= least_tokens).select(key, exprs.language_hint(F.col(text), F.col(lang)).alias("lang"), F.explode(exprs.tokens(F.col(text))).alias("word"))
-    counted = words.join(F.broadcast(lexicon), ["lang", "word"]).groupBy(key).agg(F.sum("weight").alias("s"))  # the lexicon is a fixed list
+    words = df.where(F.size(exprs.tokens(F.col(text))) >= least_tokens).select(key, exprs.language_hint(F.col(text), F.col(lang), languages).alias("lang"), F.explode(exprs.tokens(F.col(text))).alias("word"))
+    counted = words.join(lexicon, ["lang", "word"]).groupBy(key).agg(F.sum("weight").alias("s"))
     score = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("s")))
     return counted.select(key, F.round(score, 3).alias("score"), F.round(F.least(F.lit(0.5), 0.5 * F.abs(score) / 5.0), 3).alias("confidence"))
 
@@ -93,13 +79,18 @@ def nlp_progress(S: DataFrame, as_of: str) -> DataFrame:
     return S.agg(F.count_if(pending).alias("pending"), F.count_if(pending & exprs.in_window(F.col("ts"), as_of, 24)).alias("pending_24h"), F.count("*").alias("total"), R.two(hours).alias("lag_hours"))
 
 
-def assign_topics(S: DataFrame, topics: DataFrame, least: float = 0.2) -> DataFrame:
+def topic_frame(spark, seeds: dict[str, tuple] = fixed.TOPIC_SEEDS) -> DataFrame:
+    """(topic, terms, hints) of the seed topics."""
+    return spark.createDataFrame([(slug, terms, hints) for slug, (_, _, terms, hints) in seeds.items()], "topic string, terms array<string>, hints array<string>")
+
+
+def assign_topics(S: DataFrame, topics: DataFrame, least: float = 0.2, longest: int = 3) -> DataFrame:
     """(signal_id, topic, confidence, evidence): share of a topic's terms in the headline, plus 0.5 for a common theme.
 
-    topics: topic, terms, hints. Headlines' words meet terms, themes meet hints, by joins.
+    topics: topic, terms (of up to ``longest`` words), hints. Headlines' words and runs of words meet terms, themes meet hints, by joins.
     """
     terms = topics.select("topic", F.size("terms").alias("n"), F.explode("terms").alias("word"))
-    words = S.select("signal_id", F.explode(F.array_distinct(exprs.tokens(F.col("headline")))).alias("word"))
+    words = S.select("signal_id", F.explode(F.array_distinct(exprs.word_runs(exprs.tokens(F.col("headline")), longest))).alias("word"))
     by_text = words.join(terms, "word").groupBy("signal_id", "topic", "n").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("word")).alias("w")).select("signal_id", "topic", (F.col("k") / F.col("n")).alias("c"), "w")
     hints = topics.select("topic", F.explode("hints").alias("theme"))
     by_theme = R.exploded(S.select("signal_id", "themes")).join(hints, "theme").groupBy("signal_id", "topic").agg(F.array_sort(F.collect_set("theme")).alias("w")).select("signal_id", "topic", F.lit(0.5).alias("c"), "w")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import dims, exprs
-from .rollups import r, top_per
+from ..functions import dims, exprs, fixed
+from .rollups import containing, r, top_per
 
 
 def query_variants(queries: DataFrame, most: int = 24) -> DataFrame:
@@ -96,49 +96,93 @@ def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_dictionary(queries: DataFrame, entries: DataFrame, least: float = 0.6) -> DataFrame:
+def fuzzy_dictionary(queries: DataFrame, entries: DataFrame, least: float = 0.6, salts: int = 16) -> DataFrame:
     """(query, entry, score): the mean over a query's words of the best match among an entry's words.
 
     entries: entry, text. Equal to or part of a word (or the other way round) counts 1; under three letters only equal words
-    count; else the ratio. Distinct words of queries meet distinct words of the dictionary, both small next to any text.
+    count; else the ratio. Distinct words meet by an equi-join on the smallest letter that they share, as words without one have a ratio of 0; the
+    few letters are salted, and words of the dictionary go to each salt.
     """
-    words = lambda col: F.array_distinct(F.filter(F.split(exprs.search_text(F.col(col)), " "), lambda w: F.length(w) > 1))
-    q = queries.select("query", F.explode(words("query")).alias("qw"))
-    e = entries.select("entry", F.explode(words("text")).alias("ew")).distinct()
-    pairs = q.select("qw").distinct().join(e.select("ew").distinct(), F.col("qw").isNotNull() & F.col("ew").isNotNull())
+    q = exprs.computed(queries.select("query").distinct(), ws=exprs.search_words(F.col("query"))).select("query", F.posexplode("ws").alias("at", "qw"))
+    e = exprs.computed(entries.select("entry", "text"), ws=exprs.search_words(F.col("text"))).select("entry", F.explode("ws").alias("ew")).distinct()
+    letters = lambda w: F.array_distinct(F.split(w, ""))
+    left = q.select("qw").distinct().withColumn("ql", letters(F.col("qw"))).withColumn("salt", F.pmod(F.hash("qw"), F.lit(salts))).withColumn("letter", F.explode("ql"))
+    right = e.select("ew").distinct().withColumn("el", letters(F.col("ew"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("letter", F.explode("el"))
+    pairs = left.join(right, ["letter", "salt"]).where(F.array_min(F.array_intersect("ql", "el")) == F.col("letter")).select("qw", "ew")
     inside = F.col("ew").contains(F.col("qw")) | F.col("qw").contains(F.col("ew"))
     sure = F.when(F.length("qw") < 3, (F.col("qw") == F.col("ew")).cast("double")).when(inside, 1.0)
     scored = pairs.withColumn("sure", sure)
     known = scored.where("sure is not null").withColumn("s", F.col("sure")).unionByName(scored.where("sure is null").withColumn("s", matcher_ratio("qw", "ew")))
-    best = q.join(known.select("qw", "ew", "s"), "qw").join(e, "ew").groupBy("query", "entry", "qw").agg(F.max("s").alias("s"))
+    best = q.join(known.select("qw", "ew", "s"), "qw").join(e, "ew").groupBy("query", "entry", "at").agg(F.max("s").alias("s"))
     n = q.groupBy("query").agg(F.count("*").alias("n"))
     return best.groupBy("query", "entry").agg(F.sum("s").alias("t")).join(n, "query").select("query", "entry", r(F.col("t") / F.col("n")).alias("score")).where(F.col("score") >= least)
 
 
+def concept_frame(spark, concepts: dict[str, dict] = fixed.CONCEPTS) -> DataFrame:
+    return spark.createDataFrame([(k, c["label"], c["description"], c["themes"], c["aliases"], c["related_concepts"]) for k, c in concepts.items()], "slug string, label string, description string, themes array<string>, aliases array<string>, related array<string>")
+
+
 def fuzzy_concepts(queries: DataFrame, concepts: DataFrame, least: float = 0.7) -> DataFrame:
-    """Concepts (slug, label, description, themes, aliases) by the best of: label and aliases, 0.7 description, 0.5 themes."""
+    """Concepts (slug, label, description, themes, aliases) by the best of: label, slug and aliases, 0.7 description, 0.5 themes.
+
+    A query that is the slug counts 10, one that is an alias 2, one that has an alias within 1.5 at least.
+    """
+    q = queries.select("query").distinct().withColumn("q", F.trim(F.regexp_replace(exprs.unmarked(F.col("query")), r"\s+", " "))).where(F.size(exprs.search_words(F.col("query"))) > 0)
+    slugs = concepts.select("slug", F.explode(F.array("slug", F.translate("slug", "-", " "))).alias("q"))
+    exact = q.join(slugs, "q").select("query", "slug", F.lit(10.0).alias("score"))
+    aliases = concepts.select("slug", F.explode("aliases").alias("alias")).withColumn("alias", F.trim(F.regexp_replace(exprs.unmarked(F.col("alias")), r"\s+", " ")))
+    phrases = containing(q, "q", aliases, "alias").select("query", "slug", F.when(F.col("q") == F.col("alias"), 2.0).otherwise(1.5).alias("score"))
     parts = [(F.concat_ws(" ", "label", F.translate("slug", "-", " "), F.array_join("aliases", " ")), 1.0), (F.col("description"), 0.7), (F.translate(F.array_join("themes", " "), "_", " "), 0.5)]
-    found = None
+    found = exact.unionByName(phrases)
     for text, weight in parts:
-        x = fuzzy_dictionary(queries, concepts.select(F.col("slug").alias("entry"), text.alias("text")), 0.0).withColumn("score", F.col("score") * weight)
-        found = x if found is None else found.unionByName(x)
-    exact = queries.join(concepts.select("slug"), F.translate("slug", "-", " ") == exprs.search_text(F.col("query"))).select("query", F.col("slug").alias("entry"), F.lit(10.0).alias("score"))
-    return found.unionByName(exact).groupBy("query", F.col("entry").alias("slug")).agg(r(F.max("score")).alias("score")).where(F.col("score") >= least)
+        x = fuzzy_dictionary(queries, concepts.select(F.col("slug").alias("entry"), text.alias("text")), 0.0)
+        found = found.unionByName(x.select("query", F.col("entry").alias("slug"), (F.col("score") * weight).alias("score")))
+    return found.groupBy("query", "slug").agg(r(F.max("score")).alias("score")).where(F.col("score") >= least)
+
+
+def closest_concepts(queries: DataFrame, concepts: DataFrame, limit: int = 3) -> DataFrame:
+    """The concepts whose label and slug are nearest to a query, however far: what to suggest where nothing is found."""
+    near = fuzzy_dictionary(queries, concepts.select(F.col("slug").alias("entry"), F.concat_ws(" ", "label", F.translate("slug", "-", " ")).alias("text")), 0.0).where("score > 0")
+    return top_per(near, ["query"], [F.desc("score"), F.asc("entry")], limit).select("query", F.col("entry").alias("slug"), "score", "rank")
+
+
+def search_regions(queries: DataFrame, regions: dict[str, dict] = fixed.SEARCH_REGIONS, least: float = 0.5) -> DataFrame:
+    """(query, region): the first region of that name or alias, else the one whose alias has the largest share of the query's words."""
+    rows = [(i, j, slug, name, j <= 1) for i, (slug, x) in enumerate(regions.items()) for j, name in enumerate([slug, slug.replace("-", " "), *x["aliases"]])]
+    names = queries.sparkSession.createDataFrame(rows, "region_no int, name_no int, region string, name string, is_slug boolean").withColumn("name", F.trim(F.regexp_replace(exprs.unmarked(F.col("name")), r"\s+", " ")))
+    q = queries.select("query").distinct().withColumn("name", F.trim(F.regexp_replace(exprs.unmarked(F.col("query")), r"\s+", " ")))
+    same = q.join(names, "name").select("query", "region", "region_no", "name_no", F.lit(2.0).alias("share"))
+    words = q.select("query", F.array_distinct(exprs.search_words(F.col("query"))).alias("ws")).select("query", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    theirs = names.where("not is_slug").select("region", "region_no", "name_no", F.explode(F.array_distinct(exprs.search_words(F.col("name")))).alias("w"))
+    shared = words.join(theirs, "w").groupBy("query", "n", "region", "region_no", "name_no").agg(F.count("*").alias("k")).withColumn("share", F.col("k") / F.col("n")).where(F.col("share") >= least)
+    every = same.unionByName(shared.select("query", "region", "region_no", "name_no", "share"))
+    return top_per(every, ["query"], [F.desc("share"), F.asc("region_no"), F.asc("name_no")], 1).select("query", "region")
 
 
-def unified_search(S: DataFrame, countries: DataFrame, pageviews: DataFrame, text: str) -> dict[str, DataFrame]:
-    """All kinds of hits for one text, with the country and topic that it names."""
+def unified_search(S: DataFrame, countries: DataFrame, pageviews: DataFrame, text: str) -> DataFrame:
+    """Everything that one text finds, as one list (part, item, total, rank): themes, persons, countries, signals, pages, concepts, a
+    country or region that it names, and suggestions where there are any."""
     words = [w for w in text.lower().split() if w]
     one = S.sparkSession.createDataFrame([(text,)], "query string")
-    return {
-        "themes": search_items(S, words, "themes"),
-        "persons": search_items(S, words, "persons", limit=8, excluded=()),
-        "countries": search_countries(countries, text),
-        "signals": search_signals(S, words),
-        "pages": search_pages(pageviews, words),
-        "suggestions": fuzzy_suggest(one, S, countries, pageviews),
-        "country": one.select(exprs.query_country(F.col("query")).alias("hit")).where("hit is not null").select("hit.*"),
+    concepts = concept_frame(S.sparkSession)
+    hits = fuzzy_concepts(one, concepts).select(F.col("slug").alias("item"), F.col("score").alias("total"))
+    parts = {
+        "theme": search_items(S, words, "themes").select("item", "total"),
+        "person": search_items(S, words, "persons", limit=8, excluded=()).select("item", "total"),
+        "country": search_countries(countries, text).select(F.col("country_code").alias("item"), (-F.col("rank")).alias("total")),
+        "signal": search_signals(S, words).select(F.col("signal_id").cast("string").alias("item"), F.col("ts").cast("long").alias("total")),
+        "page": search_pages(pageviews, words).select(F.col("title").alias("item"), F.col("views").alias("total")),
+        "concept": hits,
+        "named_country": one.select(exprs.query_country(F.col("query"))["code"].alias("item"), F.lit(1).alias("total")).where("item is not null"),
+        "region": search_regions(one).select(F.col("region").alias("item"), F.lit(1).alias("total")),
+        "suggestion": fuzzy_suggest(one, S, countries, pageviews).select(F.col("value").alias("item"), F.col("score").alias("total")),
     }
+    rows = [x.select(F.lit(i).alias("no"), F.lit(part).alias("part"), "item", F.col("total").cast("double").alias("total")) for i, (part, x) in enumerate(parts.items())]
+    every = rows[0]
+    for x in rows[1:]:
+        every = every.unionByName(x)
+    # at most a few dozen rows a part
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("no").orderBy(F.desc("total"), "item"))).drop("no")
 
 
 def merged_hits(first: DataFrame, second: DataFrame, key: str = "item") -> DataFrame:

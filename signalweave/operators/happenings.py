@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dims, exprs
+from ..functions import dims, exprs, fixed
 from .rollups import containing, r, two
 
 
@@ -39,14 +39,17 @@ def list_events(events: DataFrame, as_of: str, hours: float, country: str | None
     return rows.orderBy(F.desc("ts"), "event_id").limit(limit)
 
 
-QUAD_LABELS = {1: "Verbal Cooperation", 2: "Material Cooperation", 3: "Verbal Conflict", 4: "Material Conflict"}
-
-
 def coded_label(code: Column, labels: dict[str, str]) -> Column:
     """The label of a code, else of its first three, else of its first two letters, else the code."""
     return F.coalesce(*[dims.lookup(labels, x) for x in (code, F.substring(code, 1, 3), F.substring(code, 1, 2))], code)
 
 
+def event_label(code: Column, labels: dict[str, str] = fixed.EVENT_CODE_LABELS) -> Column:
+    """The label of an event code of three digits or more (zeros are put before shorter ones), else of its first digits, else ``Action`` and the code."""
+    whole = F.when(F.length(code) < 3, F.lpad(code, 3, "0")).otherwise(code)
+    return F.coalesce(*[dims.lookup(labels, x) for x in (whole, F.substring(whole, 1, 3), F.substring(whole, 1, 2))], F.concat(F.lit("Action "), whole))
+
+
 def event_clusters(events: DataFrame, as_of: str, hours: float, least: int = 3) -> DataFrame:
     """Events by country and class: number, Goldstein, mentions, centre, kinds, most frequent actors (ties: the smaller)."""
     rows = events.where(exprs.in_window(F.col("ts"), as_of, hours) & F.col("country_code").isNotNull())
@@ -55,7 +58,7 @@ def event_clusters(events: DataFrame, as_of: str, hours: float, least: int = 3)
     for a in ("actor1", "actor2"):
         counts = rows.where(F.col(a).isNotNull()).groupBy(*keys, a).agg(F.count("*").alias("k"))
         base = base.join(counts.groupBy(*keys).agg(F.min_by(a, F.struct(-F.col("k"), a)).alias(f"top_{a}")), keys, "left")
-    label = dims.lookup({str(k): v for k, v in QUAD_LABELS.items()}, F.col("quad_class").cast("string"))
+    label = dims.lookup({str(k): v for k, v in fixed.QUAD_CLASS_LABELS.items()}, F.col("quad_class").cast("string"))
     return base.where(F.col("event_count") >= least).withColumn("label", label).withColumn("intensity", exprs.conflict_intensity(F.col("avg_goldstein")))
 
 

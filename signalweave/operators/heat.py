@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
 from . import rollups as R
 from .rollups import r, two
 
@@ -99,14 +99,45 @@ def theme_anomalies(S: DataFrame, daily: DataFrame, as_of: str, hours: int = 24,
     return rows.where(z > z_min).withColumns(_against_baseline(F.col("current_count"), F.col("mean"), F.col("sd"), hours)).select("theme", "current_count", r(F.col("mean")).alias("baseline_avg"), "multiplier", "zscore")
 
 
-def country_nodes(S: DataFrame, countries: DataFrame, baseline: DataFrame, as_of: str, hours: int) -> DataFrame:
-    """Countries as map nodes: rows, tone, outlets, place (its own rows' mean, else the country's), heat = z / 3 from 0 to 1, level."""
-    now = S.where(exprs.in_window(F.col("ts"), as_of, hours)).groupBy("country_code").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("tone"), F.countDistinct("source_name").alias("sources"))
-    rows = now.join(countries.select("country_code", "name", "latitude", "longitude"), "country_code", "left").join(baseline, "country_code", "left")
-    z = F.try_divide(F.col("signal_count") / (hours / 24.0) - F.col("avg_daily"), F.col("sd_daily"))
-    multiplier = F.try_divide(F.col("signal_count") / (hours / 24.0), F.col("avg_daily"))
-    heat = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), z / 3.0)), F.lit(0.0))
-    return rows.select("country_code", "name", "latitude", "longitude", "signal_count", "tone", "sources", r(heat).alias("heat"), anomaly_level(multiplier, z).alias("level"))
+#: Hours of the named ranges of the map.
+RANGES = {"24h": 24, "1w": 168, "1m": 720, "3m": 2160, "record": 8760}
+
+
+def country_nodes(
+    S: DataFrame, hourly: DataFrame, daily: DataFrame, countries: DataFrame, baseline: DataFrame, as_of: str, hours: int = 24, range_name: str | None = None, focus: tuple[str, str] | None = None, only: list[str] | None = None, limit: int = 217
+) -> DataFrame:
+    """Countries as map nodes, the largest ``limit`` by rows: intensity (rows over the largest), heat, level, tone over 10, outlets.
+
+    With a focus (kind, value) the rows themselves are counted, of 168 hours at most, and 80 countries at most; else up to 168
+    hours come from the hourly rollup and longer windows from the daily one, whose tones are averaged and outlets summed as they
+    are. ``only`` then picks countries. Heat is z / 3 against the daily baseline, from 0 to 1; with a focus, without a baseline
+    or without deviation it is the intensity, and the level normal. A country without a place has no node.
+    """
+    hours = RANGES.get(range_name, hours) if range_name else hours
+    if focus:
+        kind, value = focus
+        rows = S.where(exprs.in_window(F.col("ts"), as_of, min(hours, 168)) & exprs.focus(kind, value.upper() if kind in ("theme", "country") else value))
+        now = rows.groupBy("country_code").agg(F.count("*").alias("signal_count"), F.avg("sentiment").alias("t"), F.countDistinct("source_name").alias("sources"))
+        limit = min(limit, 80)
+    else:
+        at, rollup, back = ("day", daily, hours // 24 * 24) if hours > 168 else ("hour", hourly, hours)
+        now = rollup.where(exprs.in_window(F.col(at), as_of, back)).groupBy("country_code").agg(F.sum("signal_count").alias("signal_count"), F.avg("avg_sentiment").alias("t"), F.sum("sources").alias("sources"))
+    top = now.orderBy(F.desc("signal_count"), "country_code").limit(min(limit, 217))
+    if only:
+        top = top.where(F.col("country_code").isin([c.strip().upper() for c in only]))
+    largest = top.agg(F.max("signal_count").alias("largest"))
+    # one row, and at most ``limit`` rows
+    rows = top.join(F.broadcast(largest)).join(countries.select("country_code", "name", "latitude", "longitude"), "country_code", "left").join(baseline, "country_code", "left")
+    n, scale = F.col("signal_count"), hours / 24.0
+    intensity = F.try_divide(n.cast("double"), F.col("largest"))
+    sd = F.coalesce(F.nullif("sd_daily", F.lit(0.0)), F.nullif(0.3 * F.col("avg_daily"), F.lit(0.0)), F.lit(1.0))
+    told = F.lit(focus is None) & F.col("avg_daily").isNotNull()
+    z = (n - F.col("avg_daily") * scale) / (sd * scale)
+    multiplier = F.coalesce(F.try_divide(n.cast("double"), F.nullif(F.col("avg_daily") * scale, F.lit(0.0))), F.lit(1.0))
+    return rows.where("latitude is not null and longitude is not null").select(
+        "country_code", F.coalesce("name", "country_code").alias("name"), "latitude", "longitude", "signal_count", r(F.coalesce("t", F.lit(0.0)) / 10).alias("tone"), "sources", r(intensity).alias("intensity"),
+        r(F.when(told, F.greatest(F.lit(0.0), F.least(F.lit(1.0), z / 3.0))).otherwise(intensity)).alias("heat"), F.when(told, anomaly_level(multiplier, z)).otherwise("normal").alias("level"),
+    )
 
 
 def source_diversity(S: DataFrame, key: str) -> DataFrame:
@@ -116,7 +147,7 @@ def source_diversity(S: DataFrame, key: str) -> DataFrame:
     return spread.select(key, F.col("kinds").alias("outlets"), r(score).alias("diversity"))
 
 
-def source_quality(S: DataFrame, key: str, allowed: list[str], denied: list[str]) -> DataFrame:
+def source_quality(S: DataFrame, key: str, allowed: list[str] = fixed.TRUSTED_DOMAINS, denied: list[str] = fixed.AGGREGATOR_DOMAINS) -> DataFrame:
     """30, plus 10 an allowed domain up to 70, less 20 a denied one; 0 to 100."""
     domains = S.select(key, exprs.domain(F.col("source_url")).alias("d")).distinct()
     a, d = F.count_if(F.col("d").isin(allowed)), F.count_if(F.col("d").isin(denied))
@@ -124,23 +155,26 @@ def source_quality(S: DataFrame, key: str, allowed: list[str], denied: list[str]
     return domains.groupBy(key).agg(F.count("*").alias("domains"), score.cast("int").alias("quality"))
 
 
-def volume_level(multiplier: Column) -> Column:
-    return F.when(multiplier.isNull(), None).when(multiplier >= 3, "surge").when(multiplier >= 1.5, "high").when(multiplier >= 0.5, "normal").otherwise("low")
+def volume_level(z: Column) -> Column:
+    return F.when(z.isNull(), "unknown").when(z > 3, "exceptional").when(z > 2, "high").when(z > 1, "elevated").when(z < -1, "low").otherwise("normal")
 
 
 def normalized_volume(S: DataFrame, key: str, as_of: str, hours: int = 24, days: int = 7) -> DataFrame:
-    """Rows in the window against the daily mean before it; null without a baseline, z of 3 or -3 without deviation."""
+    """Rows in the window against the daily mean before it, scaled to the window: multiplier and z to two places, level by z.
+
+    Without a baseline both are null and the level is unknown; without deviation z is 3, 0 or -3.
+    """
     now = S.where(exprs.in_window(F.col("ts"), as_of, hours)).groupBy(key).agg(F.count("*").alias("current"))
     daily = S.where(exprs.in_window(F.col("ts"), as_of, days * 24 + hours, hours)).groupBy(key, R.day().alias("day")).agg(F.count("*").alias("n"))
     base = daily.groupBy(key).agg(F.avg("n").alias("mean"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd"))
     rows = now.join(base, key, "left")
-    gap = F.col("current") / (hours / 24.0) - F.col("mean")
-    m = r(F.try_divide(F.col("current") / (hours / 24.0), F.col("mean")))
+    per_day = F.col("current") / (hours / 24.0)
+    gap = per_day - F.col("mean")
     z = F.when(F.col("sd") > 0, gap / F.nullif("sd", F.lit(0.0))).when(gap > 0, 3.0).when(gap < 0, -3.0).when(gap == 0, 0.0)
-    return rows.select(key, "current", m.alias("multiplier"), r(z).alias("z"), volume_level(m).alias("level"))
+    return rows.select(key, "current", F.round(F.col("mean").try_cast("decimal(24,8)"), 1).cast("double").alias("baseline"), two(F.try_divide(per_day, F.col("mean"))).alias("multiplier"), two(z).alias("z"), volume_level(z).alias("level"))
 
 
-def country_indicators(S: DataFrame, as_of: str, hours: int, allowed: list[str], denied: list[str]) -> DataFrame:
+def country_indicators(S: DataFrame, as_of: str, hours: int, allowed: list[str] = fixed.TRUSTED_DOMAINS, denied: list[str] = fixed.AGGREGATOR_DOMAINS) -> DataFrame:
     now = S.where(exprs.in_window(F.col("ts"), as_of, hours) & F.col("country_code").isNotNull())
     joined = source_diversity(now, "country_code").join(source_quality(now, "country_code", allowed, denied), "country_code")
     return joined.join(normalized_volume(S, "country_code", as_of, hours), "country_code")

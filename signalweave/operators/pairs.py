@@ -72,32 +72,42 @@ def pivoted(pairs: DataFrame, names: list[str]) -> DataFrame:
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "that", "the", "to", "was", "with"]
 
 
-def term_vectors(topics: DataFrame, label: str = "label", stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Unit TF-IDF vectors of labels over words and pairs of neighbours: (topic_id, term, w). idf = ln((1 + n) / (1 + df)) + 1."""
+def term_vectors(topics: DataFrame, label: str = "label", stop_words: list[str] = STOP_WORDS, carry: list[str] = ()) -> DataFrame:
+    """Unit TF-IDF vectors of labels over words and pairs of neighbours: (topic_id, carried columns, term, w, df). idf = ln((1 + n) / (1 + df)) + 1."""
     words = F.filter(exprs.tokens(F.col(label)), lambda w: (F.length(w) > 1) & ~w.isin(stop_words))
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    terms = topics.withColumn("ws", words).select("topic_id", F.explode(F.array_compact(F.concat("ws", pairs(F.col("ws"))))).alias("term"))
-    tf = terms.groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+    terms = topics.withColumn("ws", words).select("topic_id", *carry, F.explode(F.array_compact(F.concat("ws", pairs(F.col("ws"))))).alias("term"))
+    tf = terms.groupBy("topic_id", *carry, "term").agg(F.count("*").alias("tf"))
     n = topics.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = tf.join(df, "term").join(F.broadcast(n)).select("topic_id", "term", (F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, "topic_id").select("topic_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    weights = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("topic_id")))
+    return weights.select("topic_id", *carry, "term", (F.col("w") / norm).alias("w"), "df")
 
 
 def topic_flows(topics: DataFrame, halflife: float = 6.0, threshold: float = 0.3, window_hours: float = 24.0, shared: int = 3) -> DataFrame:
     """From earlier to later countries: the best cosine of their topics times exp(-hours / halflife), if over ``threshold``.
 
-    topics: topic_id, country_code, label, ts (one time a country). Only topics with a term in common meet.
+    topics: topic_id, country_code, label, ts (one time a country). Topics only meet by terms of their prefixes: in the order from rare to
+    frequent terms, what stands after the prefix is too short a vector to reach the threshold alone, so of two topics that
+    reach it the rarest common term is in both prefixes. Very frequent terms thus bring few topics together. What meets is compared by whole vectors.
     """
-    v = term_vectors(topics).join(topics.select("topic_id", "country_code", "ts", "label"), "topic_id")
-    a, b = (v.select("term", *[F.col(c).alias(f"{c}_{x}") for c in ("topic_id", "country_code", "ts", "label", "w")]) for x in ("a", "b"))
+    carry = ["country_code", "ts", "label"]
+    v = term_vectors(topics, carry=carry)
+    after = F.coalesce(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("topic_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))
+    whole = Window.partitionBy("topic_id").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keyed = v.withColumn("after", after).withColumn("vector", F.collect_list(F.struct("term", "w")).over(whole)).where(F.sqrt("after") >= threshold * (1 - 1e-9)).select("topic_id", *carry, "term", "vector")
+    a, b = (keyed.select("term", *[F.col(c).alias(f"{c}_{x}") for c in ("topic_id", *carry, "vector")]) for x in ("a", "b"))
     earlier = (F.col("ts_a") < F.col("ts_b")) | ((F.col("ts_a") == F.col("ts_b")) & (F.col("country_code_a") < F.col("country_code_b")))
-    dots = a.join(b, "term").where(earlier & (F.col("country_code_a") != F.col("country_code_b"))).groupBy("topic_id_a", "topic_id_b", "country_code_a", "country_code_b", "ts_a", "ts_b", "label_a").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine"))
-    pairs = dots.groupBy("country_code_a", "country_code_b").agg(F.max("cosine").alias("similarity"), F.min("ts_a").alias("ts_a"), F.min("ts_b").alias("ts_b"), F.slice(F.array_sort(F.collect_set(F.when(F.col("cosine") >= threshold, F.col("label_a")))), 1, shared).alias("topics"))
     hours = (F.col("ts_b").cast("double") - F.col("ts_a").cast("double")) / 3600.0
+    met = a.join(b, "term").where(earlier & (F.col("country_code_a") != F.col("country_code_b")) & (hours <= window_hours))
+    met = met.groupBy("topic_id_a", "topic_id_b").agg(*[F.any_value(f"{c}_{x}").alias(f"{c}_{x}") for x in ("a", "b") for c in (*carry, "vector")])
+    weight = F.map_from_entries("vector_b")
+    dot = exprs.once(weight, lambda m: F.aggregate("vector_a", F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(F.try_element_at(m, e["term"]), F.lit(0.0))))
+    dots = met.withColumn("cosine", dot)
+    pairs = dots.groupBy("country_code_a", "country_code_b").agg(F.max("cosine").alias("similarity"), F.min("ts_a").alias("ts_a"), F.min("ts_b").alias("ts_b"), F.slice(F.array_sort(F.collect_set(F.when(F.col("cosine") >= threshold, F.col("label_a")))), 1, shared).alias("topics"))
     heat = F.col("similarity") * exprs.decay(F.col("ts_a"), F.col("ts_b"), halflife)
-    return pairs.where(hours <= window_hours).withColumn("heat", r(heat)).where(F.col("heat") >= threshold).select(F.col("country_code_a").alias("source"), F.col("country_code_b").alias("target"), r(F.col("similarity")).alias("similarity"), "heat", F.array_join("topics", ",").alias("topics"))
+    return pairs.withColumn("heat", r(heat)).where(F.col("heat") >= threshold).select(F.col("country_code_a").alias("source"), F.col("country_code_b").alias("target"), r(F.col("similarity")).alias("similarity"), "heat", F.array_join("topics", ",").alias("topics"))
 
 
 def hotspots(S: DataFrame, mentions: Column) -> DataFrame:
@@ -126,45 +136,48 @@ def active_flows(flows: DataFrame, countries: DataFrame, least: float = 0.5) ->
 def temporal_graph(S: DataFrame, theme: str, countries: int = 12, related: int = 5, people: int = 5, sources: int = 8) -> dict[str, DataFrame]:
     """Hourly nodes and links around a theme, with the largest countries, sources, people and themes of each hour.
 
-    Rows of a country beyond an hour's cap make no country, source or person links; related themes come from all rows.
+    Rows of a country beyond an hour's cap make no country, source or person links; related themes come from all rows. The
+    signals are read once: every row becomes its edges, which are counted by hour, and the caps are ranks among these counts.
     """
-    rows = S.where(F.array_contains("themes", theme)).withColumn("hour", R.hour())
-    capped = lambda col, n: top_per(rows.where(F.col(col).isNotNull()).groupBy("hour", col).agg(F.count("*").alias("k")), ["hour"], [F.desc("k"), F.asc(col)], n).select("hour", col)
-    placed = rows.join(capped("country_code", countries), ["hour", "country_code"], "left_semi")
-    sourced = placed.join(capped("source_name", sources), ["hour", "source_name"], "left_semi")
+    rows = S.where(F.array_contains("themes", theme)).select(R.hour().alias("hour"), "country_code", "source_name", "sentiment", "persons", "themes")
+    edge = lambda kind, item: F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"))
+    others = F.slice(F.filter("themes", lambda x: x != theme), 1, related)
+    edges = F.concat(F.array(edge("country", F.col("country_code")), edge("source", F.col("source_name"))), F.transform(F.slice(F.coalesce("persons", F.array().cast("array<string>")), 1, people), lambda p: edge("person", p)), F.transform(others, lambda x: edge("theme", x)))
+    flat = rows.select("hour", "country_code", "sentiment", F.explode(edges).alias("e"))
+    counted = flat.groupBy("hour", "country_code", "e.kind", "e.item").agg(F.count("*").alias("n"), F.count("sentiment").alias("k"), F.sum("sentiment").alias("s"))
+    of = lambda kind: F.col("kind") == kind
+    # an hour's edges are now one row for each pair of things, so its windows hold few rows
+    hour, total = Window.partitionBy("hour"), lambda kind, *keys: F.sum(F.when(of(kind), F.col("n"))).over(Window.partitionBy("hour", *keys))
+    sized = counted.withColumn("of_country", total("country", "country_code")).withColumn("of_source", F.when(of("source"), total("source", "kind", "item")))
+    ranked = sized.withColumn("country_rank", F.dense_rank().over(hour.orderBy(F.col("country_code").isNull(), F.desc("of_country"), "country_code")))
+    ranked = ranked.withColumn("source_rank", F.dense_rank().over(hour.orderBy(F.col("item").isNull() | ~of("source"), F.desc("of_source"), "item")))
+    placed = F.col("country_code").isNotNull() & (F.col("country_rank") <= countries) & F.col("item").isNotNull()
+    kept = ranked.where((of("theme") & F.col("item").isNotNull()) | (placed & (~of("source") | (F.col("source_rank") <= sources))))
+    caps = F.when(of("theme"), related).when(of("country"), countries).when(of("source"), sources).otherwise(2 * people)
+    named = kept.withColumn("id", F.concat_ws("-", "kind", "item")).withColumn("size", F.sum("n").over(Window.partitionBy("hour", "id")))
+    shown = named.withColumn("rank", F.dense_rank().over(Window.partitionBy("hour", "kind").orderBy(F.desc("size"), "id"))).where(F.col("rank") <= caps)
     centre = F.lit(f"theme-{theme}")
-    node = lambda kind, col: F.concat(F.lit(f"{kind}-"), col)
-    link = lambda df, a, b, kind, who: df.select("hour", a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), who.alias("node"), "sentiment")
-    country = node("country", F.col("country_code"))
-    persons = placed.select("*", F.explode(F.slice("persons", 1, people)).alias("person"))
-    others = rows.select("*", F.explode(F.slice(F.filter("themes", lambda x: x != theme), 1, related)).alias("other"))
-    edges = [
-        link(placed, country, centre, "country-theme", country),
-        link(sourced, node("source", F.col("source_name")), country, "source-country", node("source", F.col("source_name"))),
-        link(persons, node("person", F.col("person")), country, "person-country", node("person", F.col("person"))),
-        link(others, centre, node("theme", F.col("other")), "related-theme", node("theme", F.col("other"))),
-    ]
-    flat = reduce(DataFrame.unionByName, edges)
-    kind = F.substring_index("node", "-", 1)
-    nodes = flat.groupBy("hour", F.col("node").alias("id"), kind.alias("type")).agg(F.count("*").alias("n"), r(F.avg("sentiment")).alias("sentiment"))
-    caps = F.when(F.col("type") == "theme", related).when(F.col("type") == "country", countries).when(F.col("type") == "source", sources).otherwise(2 * people)
-    kept = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("hour", "type").orderBy(F.desc("n"), "id"))).where(F.col("rank") <= caps).drop("rank")
-    links = flat.groupBy("hour", "source", "target", "kind").agg(F.count("*").alias("n"))
-    for end in ("source", "target"):
-        ok = kept.select("hour", F.col("id").alias(end)).unionByName(kept.select("hour", centre.alias(end)).distinct())
-        links = links.join(ok.distinct(), ["hour", end], "left_semi")
-    return {"nodes": kept, "links": links}
+    source = F.when(of("theme"), centre).otherwise(F.col("id"))
+    target = F.when(of("theme"), F.col("id")).when(of("country"), centre).otherwise(F.concat(F.lit("country-"), "country_code"))
+    label = F.when(of("theme"), "related-theme").when(of("country"), "country-theme").otherwise(F.concat("kind", F.lit("-country")))
+    return {
+        "nodes": shown.groupBy("hour", "id", F.col("kind").alias("type")).agg(F.sum("n").alias("n"), r(F.try_divide(F.sum("s"), F.sum("k"))).alias("sentiment")),
+        "links": shown.groupBy("hour", source.alias("source"), target.alias("target"), label.alias("kind")).agg(F.sum("n").alias("n")),
+    }
 
 
 def entity_graph(S: DataFrame, entities: DataFrame, per_group: int = 8) -> DataFrame:
     """Links of each entity (kind, value) to the things that most often come with it, at most ``per_group`` of each kind.
 
-    Kinds are theme, person, source and country. Signals become (signal, kind, value) rows; entities meet them by a join.
+    Kinds are theme, person, source and country. A row's things stay together while its entities are found by a join, so signals are
+    read once and never joined with themselves.
     """
-    columns = {"theme": F.explode("themes"), "person": F.explode("persons"), "source": F.explode(F.array("source_name")), "country": F.explode(F.array("country_code"))}
-    things = reduce(DataFrame.unionByName, [S.select("signal_id", F.lit(k).alias("kind"), e.alias("value")) for k, e in columns.items()]).where("value is not null")
-    pins = things.join(entities.select("kind", "value").distinct(), ["kind", "value"]).select("signal_id", F.col("kind").alias("kind_a"), F.col("value").alias("a"))
-    near = pins.join(things.select("signal_id", F.col("kind").alias("kind_b"), F.col("value").alias("b")), "signal_id").where("not (kind_a = kind_b and a = b)")
+    thing = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    every = F.concat(F.transform("themes", lambda x: thing("theme", x)), F.transform("persons", lambda x: thing("person", x)), F.array(thing("source", F.col("source_name")), thing("country", F.col("country_code"))))
+    rows = S.select(F.filter(every, lambda x: x["value"].isNotNull()).alias("things"))
+    pins = rows.select("things", F.explode("things").alias("pin")).select("things", F.col("pin.kind").alias("kind"), F.col("pin.value").alias("value"))
+    met = pins.join(entities.select("kind", "value").distinct(), ["kind", "value"], "left_semi").select(F.col("kind").alias("kind_a"), F.col("value").alias("a"), F.explode("things").alias("x"))
+    near = met.select("kind_a", "a", F.col("x.kind").alias("kind_b"), F.col("x.value").alias("b")).where("not (kind_a = kind_b and a = b)")
     counts = near.groupBy("kind_a", "a", "kind_b", "b").agg(F.count("*").alias("weight"))
     top = top_per(counts, ["kind_a", "a", "kind_b"], [F.desc("weight"), F.asc("b")], per_group).drop("rank")
     x, y = F.concat_ws("-", "kind_a", "a"), F.concat_ws("-", "kind_b", "b")

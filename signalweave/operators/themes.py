@@ -29,15 +29,15 @@ def narratives(S: DataFrame, as_of: str, hours: int, limit: int = 20, velocity_h
     rows = flat.join(F.broadcast(top.select("theme")), "theme", "left_semi")
     recent = lambda a, b: F.count_if(exprs.in_window(F.col("ts"), as_of, a, b))
     scope = rows.groupBy("theme").agg(F.countDistinct("country_code").alias("country_count"), F.countDistinct("source_name").alias("source_count"), recent(velocity_hours, 0).alias("velocity"), recent(2 * velocity_hours, velocity_hours).alias("before"), F.min("ts").alias("first_seen"))
-    ordered = lambda df, key, name: top_per(df.groupBy("theme", key).agg(F.count("*").alias("n")), ["theme"], [F.desc("n"), F.asc(key)], 3).groupBy("theme").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]), ",").alias(name))
     if zipped:
         pairs = now.select(F.explode(F.arrays_zip("themes", "persons")).alias("z")).select(F.col("z.themes").alias("theme"), F.col("z.persons").alias("person"))
         people = pairs.where("theme is not null and person is not null").join(F.broadcast(top.select("theme")), "theme", "left_semi")
+        lists = [top_lists(rows, "theme", {"top_countries": F.array("country_code")}), top_lists(people, "theme", {"top_persons": F.array("person")})]
     else:
-        people = R.exploded(rows, "persons", "person")
+        lists = [top_lists(rows, "theme", {"top_countries": F.array("country_code"), "top_persons": F.col("persons")})]
     timeline = rows.groupBy("theme", F.date_format("ts", "MM-dd").alias("day")).agg(F.count("*").alias("n")).groupBy("theme").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "day", "n"))), ",").alias("timeline"))
     active = now.agg(F.greatest(F.countDistinct("country_code"), F.lit(1)).alias("active"))
-    parts = [scope, ordered(rows, "country_code", "top_countries"), ordered(people, "person", "top_persons"), timeline]
+    parts = [scope, *lists, timeline]
     joined = reduce(lambda a, b: a.join(b, "theme", "left"), parts, top).join(F.broadcast(active))
     if words is not None:
         joined = joined.join(words, "theme", "left").withColumn("interested", F.coalesce("interested", F.lit(False)))
@@ -58,6 +58,14 @@ def concept_summary(S: DataFrame, themes: list[str], as_of: str, hours: int) ->
     return rows.groupBy("country_code").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("tone"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.array_join(F.slice(F.array_sort(F.collect_set("source_name")), 1, 5), ",").alias("sources"))
 
 
+def concepts_by_country(S: DataFrame, concepts: DataFrame, as_of: str, hours: int) -> DataFrame:
+    """Countries of every concept (slug, themes) at once: rows with any of its themes, mean tone, outlets. Rows meet concepts by a join on the theme."""
+    members = concepts.select("slug", F.explode("themes").alias("theme"))
+    rows = R.exploded(S.where(exprs.in_window(F.col("ts"), as_of, hours))).select("signal_id", "country_code", "sentiment", "source_name", "theme").join(members, "theme")
+    once = rows.groupBy("slug", "signal_id").agg(*[F.any_value(c).alias(c) for c in ("country_code", "sentiment", "source_name")])
+    return once.groupBy("slug", "country_code").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("tone"), F.countDistinct("source_name").alias("sources"))
+
+
 def concept_from_rollup(hourly: DataFrame, themes: list[str]) -> DataFrame:
     """The same from the theme-country-hour rollup, for long windows."""
     return R.weighted_tone(hourly.where(F.col("theme").isin(themes)), ["country_code"])
@@ -103,11 +111,15 @@ def theme_drift(S: DataFrame, theme: str, country: str | None = None) -> DataFra
     return rows.groupBy(R.day().alias("day")).agg(F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("tone"))
 
 
-def theme_spikes(S: DataFrame, theme: str, limit: int = 10) -> DataFrame:
-    """Hours with the largest growth over the hour of rows before, with the hour's first article."""
-    rows = S.where(F.array_contains("themes", theme)).withColumn("key", F.lit(theme)).withColumn("hour", R.hour())
-    hourly = rows.groupBy("key", "hour").agg(F.count("*").alias("signal_count"), F.min_by("headline", F.struct("ts", "signal_id")).alias("trigger"))
-    return R.hourly_change(hourly, "key").where("delta > 0").orderBy(F.desc("pct"), "hour").limit(limit).drop("key")
+def theme_spikes(S: DataFrame, theme: str, as_of: str | None = None, hours: int = 168, limit: int = 10) -> DataFrame:
+    """Hours with the largest growth in percent over the hour of rows before, each with its first article that has a URL: URL, outlet, country, tone."""
+    rows = S.where(F.array_contains("themes", theme))
+    rows = rows if as_of is None else rows.where(exprs.in_window(F.col("ts"), as_of, hours))
+    first = F.min_by(F.struct("source_url", "source_name", "country_code", F.round(F.coalesce("sentiment", F.lit(0.0)).try_cast("decimal(24,8)"), 3).cast("double").alias("sentiment")), F.when(F.col("source_url").isNotNull(), F.struct("ts", "signal_id")))
+    hourly = rows.groupBy(F.lit(theme).alias("key"), R.hour().alias("hour")).agg(F.count("*").alias("signal_count"), first.alias("t"))
+    grown = R.hourly_change(hourly, "key").where("delta > 0").withColumn("pct", F.round(F.col("delta").cast("decimal(20,0)") * 100 / F.col("previous"), 1).cast("double"))
+    out = grown.select("hour", "signal_count", "previous", "pct", F.col("t.source_url").alias("trigger_url"), F.col("t.source_name").alias("trigger_source"), F.col("t.country_code").alias("trigger_country"), F.col("t.sentiment").alias("trigger_tone"))
+    return out.orderBy(F.desc("pct"), "hour").limit(limit)
 
 
 def theme_momentum(S: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
@@ -131,15 +143,28 @@ def focus_summary(S: DataFrame, kind: str, value: str, limit: int = 10) -> dict[
     }
 
 
+def top_lists(rows: DataFrame, key: str, kinds: dict[str, Column], n: int = 3) -> DataFrame:
+    """One row a key with the ``n`` most frequent values of each kind (a name and an array of values), joined by commas.
+
+    All kinds are counted in one pass: each row becomes (kind, value) pairs.
+    """
+    pairs = F.concat(*[_tagged(k, x) for k, x in kinds.items()])
+    counts = rows.select(key, F.explode(pairs).alias("p")).where("p.value is not null").groupBy(key, "p.kind", "p.value").agg(F.count("*").alias("n"))
+    ranked = top_per(counts, [key, "kind"], [F.desc("n"), F.asc("value")], n)
+    lists = {k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value")))), lambda x: x["value"]), ",") for k in kinds}
+    return ranked.groupBy(key).agg(*[x.alias(k) for k, x in lists.items()])
+
+
+def _tagged(kind: str, values: Column) -> Column:
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def country_detail(S: DataFrame, least_known: int = 50) -> DataFrame:
     """Each country's totals, top three themes, sources and persons, and share of foreign outlets where enough are known."""
     own = F.col("source_origin_country")
     base = S.groupBy("country_code").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("tone"), F.countDistinct("source_name").alias("sources"), F.when(F.count(own) > least_known, F.round(100.0 * F.count_if(own != F.col("country_code")) / F.count(own), 1)).alias("foreign_pct"))
-    def best(df, key, name):
-        ranked = top_per(df.groupBy("country_code", key).agg(F.count("*").alias("n")), ["country_code"], [F.desc("n"), F.asc(key)], 3)
-        return ranked.groupBy("country_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]), ",").alias(name))
-    parts = [best(R.exploded(S), "theme", "top_themes"), best(S, "source_name", "top_sources"), best(R.exploded(S, "persons", "person"), "person", "top_persons")]
-    return reduce(lambda a, b: a.join(b, "country_code", "left"), parts, base)
+    lists = top_lists(S, "country_code", {"top_themes": F.col("themes"), "top_sources": F.array("source_name"), "top_persons": F.col("persons")})
+    return base.join(lists, "country_code", "left")
 
 
 def source_profile(S: DataFrame, source: str, hourly: bool) -> dict[str, DataFrame]:

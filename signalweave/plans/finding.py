@@ -89,9 +89,7 @@ def h7(t):
     return S.merged_hits(first, second)
 
 
-@query("k39_unified_search", ", th AS (SELECT 'themes' AS part, item, total FROM (SELECT item, CAST(sum(n) AS BIGINT) AS total FROM (SELECT item, country_code, count(*) AS n FROM (SELECT country_code, unnest(themes) AS item FROM signals WHERE contains(lower(array_to_string(themes, ' ')), 'click')) GROUP BY ALL HAVING count(*) >= 2) GROUP BY item ORDER BY total DESC, item LIMIT 10)), pg AS (SELECT 'pages' AS part, title AS item, CAST(sum(views) AS BIGINT) AS total FROM pageviews WHERE contains(lower(title), 'click') GROUP BY title ORDER BY total DESC, item LIMIT 20) SELECT * FROM th UNION ALL SELECT * FROM pg")
+@query("k39_unified_search", ", th AS (SELECT 'theme' AS part, item, total FROM (SELECT item, sum(n) AS total FROM (SELECT item, country_code, count(*) AS n FROM (SELECT country_code, unnest(themes) AS item FROM signals WHERE contains(lower(array_to_string(themes, ' ')), 'click')) GROUP BY ALL HAVING count(*) >= 2) GROUP BY item ORDER BY total DESC, item LIMIT 10)), pg AS (SELECT 'page' AS part, title AS item, sum(views) AS total FROM pageviews WHERE contains(lower(title), 'click') GROUP BY title ORDER BY total DESC, item LIMIT 20), sg AS (SELECT 'signal' AS part, CAST(signal_id AS VARCHAR) AS item, floor(epoch(ts)) AS total FROM signals WHERE contains(lower(headline), 'click') ORDER BY ts DESC, signal_id LIMIT 50), gr AS (SELECT title AS item, " + GRAMS.format("title") + " AS a, " + GRAMS.format("'click'") + " AS b FROM (SELECT DISTINCT title FROM pageviews)), su AS (SELECT 'suggestion' AS part, item, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 3) AS total, CAST((SELECT sum(views) FROM pageviews WHERE title = item) AS BIGINT) AS v FROM gr), s2 AS (SELECT part, item, total FROM su WHERE total >= 0.45 ORDER BY total DESC, v DESC, item LIMIT 5), s3 AS (SELECT * FROM s2 WHERE total >= 0.55 OR NOT EXISTS (SELECT 1 FROM s2 WHERE total >= 0.55)), u AS (SELECT * FROM th UNION ALL SELECT * FROM pg UNION ALL SELECT * FROM sg UNION ALL SELECT * FROM s3) SELECT part, item, CAST(total AS DOUBLE) AS total, CAST(row_number() OVER (PARTITION BY part ORDER BY total DESC, item) AS INTEGER) AS rank FROM u")
 def k39(t):
-    """Themes and pages of one search, as one list."""
-    parts = S.unified_search(t.signals, t.countries, t.pageviews, "Click")
-    pages = parts["pages"].select(F.lit("pages").alias("part"), F.col("title").alias("item"), F.col("views").alias("total"))
-    return parts["themes"].select(F.lit("themes").alias("part"), "item", "total").unionByName(pages)
+    """One search over everything; this text names no country, region or concept."""
+    return S.unified_search(t.signals, t.countries, t.pageviews, "Click")

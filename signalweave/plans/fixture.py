@@ -58,12 +58,30 @@ FROM (""" + EVENTS + """) e JOIN {customer} c ON e.user_id = c.c_custkey GROUP B
 VIEWS = {"signals": SIGNALS, "countries": COUNTRIES, "geo_events": GEO_EVENTS, "trends": TRENDS, "pageviews": PAGEVIEWS}
 
 
+def exactly_rounded(sql: str) -> str:
+    """``round(x, 6)`` by way of exact decimals of ten places, as the operators round."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, commas, end = 0, [], start + 5
+        for end in range(start + 5, len(sql)):
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            if sql[end] == "," and depth == 1:
+                commas.append(end)
+            if depth == 0:
+                break
+        inner, places = sql[start + 6 : commas[-1] if commas else end], sql[commas[-1] + 1 : end].strip() if commas else ""
+        inner = exactly_rounded(inner)
+        out += sql[at:start] + (f"CAST(round(TRY_CAST({inner} AS DECIMAL(28, 10)), 6) AS DOUBLE)" if places == "6" else f"round({inner}{', ' + places if places else ''})")
+        at = end + 1
+    return out + sql[at:]
+
+
 def oracle(body: str) -> str:
     """SQL for DuckDB: the views that ``body`` names, and ``body``, which starts with SELECT or with ", x AS (...)"."""
     names = {"events": "events", "customer": "customer", "nation": "nation"}
     used = [v for v in VIEWS if v in body]
     views = ", ".join(f"{v} AS ({VIEWS[v].format(**DUCK, **names)})" for v in used)
-    body = body.replace("{AS_OF}", f"TIMESTAMP '{AS_OF}'").strip()
+    body = exactly_rounded(body.replace("{AS_OF}", f"TIMESTAMP '{AS_OF}'").strip())
     if not views:
         return body if not body.startswith(",") else "WITH " + body[1:]
     return f"WITH {views} {body}"

@@ -19,7 +19,7 @@ ROUND2 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(24, 8)), 2) AS DOUBLE)"  # n
 LEVEL = "CASE WHEN multiplier IS NULL OR zscore IS NULL THEN 'normal' WHEN zscore > 4 AND multiplier > 3 THEN 'critical' WHEN zscore > 2.5 OR multiplier > 2 THEN 'elevated' WHEN zscore > 1.5 AND multiplier > 1.5 THEN 'notable' ELSE 'normal' END"
 
 
-@query("k1_country_heat", f""", w AS (SELECT * FROM signals WHERE {NOW(72)}),
+HEAT = f""", w AS (SELECT * FROM signals WHERE {NOW(72)}),
  a AS (SELECT country_code, count(*) AS volume_now, avg(nullif(geo_confidence, 0)) AS geo, count(source_origin_country) AS known,
    count(*) FILTER (WHERE source_origin_country = country_code) / nullif(count(source_origin_country), 0) AS loc, 1 - count(DISTINCT lower(headline)) / nullif(count(headline), 0) AS dup FROM w GROUP BY ALL),
  d AS (SELECT country_code, date_trunc('day', ts) AS day, count(*) AS n FROM signals WHERE {BASE(336, 24)} GROUP BY ALL), b AS (SELECT country_code, avg(n) AS base, nullif(stddev_pop(n), 0) AS sigma FROM d GROUP BY ALL),
@@ -29,7 +29,10 @@ LEVEL = "CASE WHEN multiplier IS NULL OR zscore IS NULL THEN 'normal' WHEN zscor
  m AS (SELECT country_code, nlp_framing AS x, count(*) AS n FROM w WHERE nlp_framing IS NOT NULL GROUP BY ALL), mp AS (SELECT country_code, n, n / sum(n) OVER (PARTITION BY country_code) AS p FROM m), me AS (SELECT country_code, -sum(p * ln(p)) AS fh, sum(n) AS framed FROM mp GROUP BY ALL),
  j AS (SELECT a.country_code, volume_now, round(base, 6) AS baseline_daily, coalesce(1 / (1 + exp(-(volume_now / 3.0 - base) / sigma / 3)), 0.5) AS velocity, coalesce(least(greatest(kl, 0) / 2, 1), 0) AS surprise, coalesce(fam, 0) AS diversity,
    coalesce(CASE WHEN known >= 20 THEN loc END, 0.5) AS local_voice, coalesce(CASE WHEN framed >= 10 THEN fh / ln(6) END, 0.5) AS polyphony, coalesce(geo, 0.5) AS geo_confidence, coalesce(least(greatest(dup, 0), 1), 0) AS duplication
-   FROM a LEFT JOIN b USING (country_code) LEFT JOIN kl USING (country_code) LEFT JOIN fe USING (country_code) LEFT JOIN me USING (country_code))
+   FROM a LEFT JOIN b USING (country_code) LEFT JOIN kl USING (country_code) LEFT JOIN fe USING (country_code) LEFT JOIN me USING (country_code))"""
+
+
+@query("k1_country_heat", HEAT + """
  SELECT country_code, volume_now, baseline_daily, round(velocity, 6) AS velocity, round(surprise, 6) AS surprise, round(diversity, 6) AS diversity, round(local_voice, 6) AS local_voice, round(polyphony, 6) AS polyphony, round(geo_confidence, 6) AS geo_confidence, round(duplication, 6) AS duplication,
    round(0.25 * velocity + 0.2 * surprise + 0.15 * diversity + 0.15 * local_voice + 0.1 * polyphony + 0.1 * geo_confidence - 0.05 * duplication, 6) AS heat FROM j""")
 def k1(t):
@@ -71,16 +74,39 @@ def k4(t):
     return H.country_baseline(t.signals, AS_OF)
 
 
-@query("k5_country_nodes", BASELINE + f""", w AS (SELECT country_code, count(*) AS signal_count, round(avg(sentiment), 6) AS tone, count(DISTINCT source_name) AS sources FROM signals WHERE {NOW(48)} GROUP BY ALL),
- z AS (SELECT w.*, name, latitude, longitude, (signal_count / 2.0) / avg_daily AS multiplier, (signal_count / 2.0 - avg_daily) / sd_daily AS zscore FROM w LEFT JOIN countries USING (country_code) LEFT JOIN b USING (country_code))
- SELECT country_code, name, latitude, longitude, signal_count, tone, sources, round(coalesce(greatest(0, least(1, zscore / 3)), 0), 6) AS heat, {LEVEL} AS level FROM z""")
+#: Rows, tone and outlets by country from a rollup of means, or from the rows with a focus.
+NODES = f""", hr AS (SELECT country_code, date_trunc('hour', ts) AS slot, count(*) AS n, round(avg(sentiment), 6) AS tone, count(DISTINCT source_name) AS sources FROM signals GROUP BY ALL),
+ dy AS (SELECT country_code, date_trunc('day', ts) AS slot, count(*) AS n, round(avg(sentiment), 6) AS tone, count(DISTINCT source_name) AS sources FROM signals GROUP BY ALL)"""
+NODE = lambda hours, told: f"""SELECT country_code, coalesce(name, country_code) AS name, latitude, longitude, CAST(n AS BIGINT) AS signal_count, round(tone / 10, 6) AS tone, CAST(sources AS BIGINT) AS sources, round(n / max(n) OVER (), 6) AS intensity,
+ round(CASE WHEN {told} AND avg_daily IS NOT NULL THEN greatest(0, least(1, (n - avg_daily * {hours} / 24) / (sd_daily * {hours} / 24) / 3)) ELSE n / max(n) OVER () END, 6) AS heat,
+ CASE WHEN {told} AND avg_daily IS NOT NULL THEN {LEVEL.replace("multiplier", f"(n / (avg_daily * {hours} / 24))").replace("zscore", f"((n - avg_daily * {hours} / 24) / (sd_daily * {hours} / 24))")} ELSE 'normal' END AS level FROM w LEFT JOIN countries USING (country_code) LEFT JOIN b USING (country_code)"""
+BASELINE_B = BASELINE.removeprefix(", ").replace("d AS (", "bd AS (", 1).replace("FROM d GROUP", "FROM bd GROUP")
+
+
+def _nodes(t, **how):
+    return H.country_nodes(t.signals, R.country_hourly(t.signals), R.country_daily(t.signals), t.countries, H.country_baseline(t.signals, AS_OF), AS_OF, **how)
+
+
+@query("k5_country_nodes", NODES + f", {BASELINE_B}, w AS (SELECT country_code, sum(n) AS n, avg(tone) AS tone, sum(sources) AS sources FROM hr WHERE slot > {{AS_OF}} - INTERVAL 48 HOURS AND slot <= {{AS_OF}} GROUP BY ALL) " + NODE(48, "true"))
 def k5(t):
-    return H.country_nodes(t.signals, t.countries, H.country_baseline(t.signals, AS_OF), AS_OF, 48)
+    return _nodes(t, hours=48)
+
+
+@query("k5_country_nodes_month", NODES + f", {BASELINE_B}, w AS (SELECT country_code, sum(n) AS n, avg(tone) AS tone, sum(sources) AS sources FROM dy WHERE slot > {{AS_OF}} - INTERVAL 30 DAYS AND slot <= {{AS_OF}} GROUP BY ALL ORDER BY n DESC, country_code LIMIT 12) " + NODE(720, "true"))
+def k5m(t):
+    """A month, from the daily rollup; the twelve largest countries."""
+    return _nodes(t, range_name="1m", limit=12)
+
+
+@query("k5_country_nodes_focus", f", {BASELINE_B}, w AS (SELECT country_code, count(*) AS n, avg(sentiment) AS tone, count(DISTINCT source_name) AS sources FROM signals WHERE {NOW(168)} AND list_contains(themes, 'CLICK') GROUP BY ALL), w2 AS (SELECT * FROM w WHERE country_code IN ('N01', 'N05', 'N07', 'N19')) " + NODE(168, "false").replace("FROM w ", "FROM w2 w "))
+def k5f(t):
+    """The rows about one theme in four countries; heat is the share of the largest."""
+    return _nodes(t, range_name="3m", focus=("theme", "click"), only=["n01", "N05", "N07 ", "N19"])
 
 
 DIVERSITY = ", c AS (SELECT country_code, source_name, count(*) AS n FROM src GROUP BY ALL), p AS (SELECT country_code, n / sum(n) OVER (PARTITION BY country_code) AS p FROM c), dv AS (SELECT country_code, count(*) AS outlets, round(least(50, 50 * ln(count(*) + 1) / ln(21)) + 50 * CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS diversity FROM p GROUP BY ALL)"
 QUALITY = f", q AS (SELECT DISTINCT country_code, source_name AS d FROM src), ql AS (SELECT country_code, count(*) AS domains, CAST(greatest(0, least(100, 30 + least(70, 10 * count(*) FILTER (WHERE d IN {LIST(ALLOWED)})) - 20 * count(*) FILTER (WHERE d IN {LIST(DENIED)}))) AS INTEGER) AS quality FROM q GROUP BY ALL)"
-VOLUME = f", nw AS (SELECT country_code, count(*) AS current FROM signals WHERE {NOW(72)} GROUP BY ALL), vd AS (SELECT country_code, date_trunc('day', ts) AS day, count(*) AS n FROM signals WHERE {BASE(240, 72)} GROUP BY ALL), vb AS (SELECT country_code, avg(n) AS mean, coalesce(stddev_samp(n), 0) AS sd FROM vd GROUP BY ALL), vl AS (SELECT country_code, current, round(current / 3.0 / mean, 6) AS multiplier, round(CASE WHEN sd > 0 THEN (current / 3.0 - mean) / sd WHEN current / 3.0 > mean THEN 3 WHEN current / 3.0 < mean THEN -3 WHEN current / 3.0 = mean THEN 0 END, 6) AS z FROM nw LEFT JOIN vb USING (country_code)), v AS (SELECT *, CASE WHEN multiplier >= 3 THEN 'surge' WHEN multiplier >= 1.5 THEN 'high' WHEN multiplier >= 0.5 THEN 'normal' WHEN multiplier IS NOT NULL THEN 'low' END AS level FROM vl)"
+VOLUME = f", nw AS (SELECT country_code, count(*) AS current FROM signals WHERE {NOW(72)} GROUP BY ALL), vd AS (SELECT country_code, date_trunc('day', ts) AS day, count(*) AS n FROM signals WHERE {BASE(240, 72)} GROUP BY ALL), vb AS (SELECT country_code, avg(n) AS mean, coalesce(stddev_samp(n), 0) AS sd FROM vd GROUP BY ALL), vl AS (SELECT country_code, current, mean, current / 3.0 / mean AS m, CASE WHEN sd > 0 THEN (current / 3.0 - mean) / sd WHEN current / 3.0 > mean THEN 3 WHEN current / 3.0 < mean THEN -3 WHEN current / 3.0 = mean THEN 0 END AS x FROM nw LEFT JOIN vb USING (country_code)), v AS (SELECT country_code, current, CAST(round(CAST(mean AS DECIMAL(24, 8)), 1) AS DOUBLE) AS baseline, {ROUND2('m')} AS multiplier, {ROUND2('x')} AS z, CASE WHEN x IS NULL THEN 'unknown' WHEN x > 3 THEN 'exceptional' WHEN x > 2 THEN 'high' WHEN x > 1 THEN 'elevated' WHEN x < -1 THEN 'low' ELSE 'normal' END AS level FROM vl)"
 
 
 @query("k30_source_diversity", ", src AS (SELECT * FROM signals)" + DIVERSITY + " SELECT * FROM dv")
@@ -98,13 +124,14 @@ def k32(t):
     return H.normalized_volume(t.signals, "country_code", AS_OF, 72)
 
 
-@query("k33_country_indicators", f", src AS (SELECT * FROM signals WHERE {NOW(72)})" + DIVERSITY + QUALITY + VOLUME + " SELECT country_code, outlets, diversity, domains, quality, current, multiplier, z, level FROM dv JOIN ql USING (country_code) JOIN v USING (country_code)")
+@query("k33_country_indicators", f", src AS (SELECT * FROM signals WHERE {NOW(72)})" + DIVERSITY + QUALITY + VOLUME + " SELECT country_code, outlets, diversity, domains, quality, current, baseline, multiplier, z, level FROM dv JOIN ql USING (country_code) JOIN v USING (country_code)")
 def k33(t):
     return H.country_indicators(t.signals, AS_OF, 72, ALLOWED, DENIED)
 
 
-@query("c40_heat_flags", ", a AS (SELECT country_code, coalesce(count(*) FILTER (WHERE source_origin_country = country_code) / nullif(count(source_origin_country), 0), 0.5) AS loc, count(*) FILTER (WHERE source_family = 'wire') / count(*) AS wire, count(*) AS n, 1 - count(DISTINCT lower(headline)) / count(*) AS dup FROM signals GROUP BY ALL) SELECT country_code, array_to_string(list_filter([CASE WHEN loc < 0.2 THEN 'external_coverage' END, CASE WHEN wire > 0.6 THEN 'wire_dominance' END, CASE WHEN n < 20 THEN 'thin_coverage' END, CASE WHEN dup > 0.5 THEN 'echo_chamber' END], lambda x: x IS NOT NULL), ',') AS flags FROM a")
+@query("c40_heat_flags", HEAT + """, hh AS (SELECT country_code, volume_now AS n, round(diversity, 6) AS dv, round(local_voice, 6) AS lv, round(polyphony, 6) AS po, round(geo_confidence, 6) AS ge FROM j)
+ SELECT country_code, concat_ws(',', CASE WHEN lv > 0 AND lv < 0.2 THEN 'external_coverage' END, CASE WHEN dv < 0.3 THEN 'wire_dominance' END, CASE WHEN n < 50 AND ge > 0 AND ge < 0.7 THEN 'thin_coverage' END, CASE WHEN n > 100 AND po > 0 AND po < 0.3 THEN 'echo_chamber' END) AS flags FROM hh""")
 def c40(t):
-    own = F.col("source_origin_country")
-    rows = t.signals.groupBy("country_code").agg(F.coalesce(F.try_divide(F.count_if(own == F.col("country_code")), F.count(own)), F.lit(0.5)).alias("l"), F.avg((F.col("source_family") == "wire").cast("int")).alias("w"), F.count("*").alias("n"), (1 - F.countDistinct(F.lower("headline")) / F.count("*")).alias("d"))
-    return rows.select("country_code", F.array_join(exprs.heat_flags(F.col("l"), F.col("w"), F.col("n"), F.col("d")), ",").alias("flags"))
+    """Warnings from the parts of each country's heat."""
+    c = F.col
+    return k1(t).select("country_code", F.array_join(exprs.heat_flags(c("local_voice"), c("diversity"), c("volume_now"), c("geo_confidence"), c("polyphony")), ",").alias("flags"))

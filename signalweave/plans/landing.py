@@ -13,8 +13,11 @@ from .registry import query
 
 
 def gkg_lines(t):
-    """Every signal as a landed line of 27 fields; a tenth is cut short, a tenth has a bad date."""
-    s, i = t.signals, F.col("signal_id")
+    """Every signal as a landed line of 27 fields; a tenth is cut short, a tenth has a bad date.
+
+    The given table is one small file; landed files are many, so its rows are dealt over the cores first.
+    """
+    s, i = t.signals.repartition(t.spark.sparkContext.defaultParallelism), F.col("signal_id")
     stamp = F.when(i % 10 == 3, F.lit("not a date")).otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
     fips = F.element_at(F.array(*map(F.lit, ("UK", "GM", "US", "FR"))), (i % 4 + 1).cast("int"))
     place = F.concat_ws("#", F.lit("3"), F.lit("Town, Land"), fips, F.lit(""), F.lit(""), F.col("latitude").cast("string"), F.col("longitude").cast("string"), F.lit("7"), F.lit("12"))

@@ -21,9 +21,9 @@ def c3(t):
     return t.raw("pages").select("page_id", F.md5(exprs.strip_tags(F.col("html"))).alias("text_md5"))
 
 
-@query("c4_search_text", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(translate(text, 'ßœæøłđðþ', '        '))), '[^a-z0-9]+', ' ', 'g'))) AS text_md5 FROM documents WHERE lang <> 'xx'")
+@query("c4_search_text", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(translate(text, 'ßœæøłđðþ', '        '))), '[^a-z0-9]+', ' ', 'g'))) AS text_md5 FROM documents")
 def c4(t):
-    return t.raw("documents").where("lang <> 'xx'").select("doc_id", F.md5(exprs.search_text(F.col("text"))).alias("text_md5"))
+    return t.raw("documents").select("doc_id", F.md5(exprs.search_text(F.col("text"))).alias("text_md5"))
 
 
 @query("c6_singular_words", ", w AS (SELECT DISTINCT lower(unnest(string_split(headline, ' '))) AS word FROM signals) SELECT word, CASE WHEN word LIKE '%virus' THEN word WHEN length(word) > 4 AND word LIKE '%ies' THEN substr(word, 1, length(word) - 3) || 'y' WHEN length(word) > 4 AND word LIKE '%es' THEN substr(word, 1, length(word) - 2) WHEN length(word) > 3 AND word LIKE '%s' THEN substr(word, 1, length(word) - 1) ELSE word END AS one FROM w")
@@ -98,12 +98,6 @@ def c39(t):
     return t.signals.groupBy("country_code").agg(R.r(exprs.gated_tone(F.avg("nlp_sentiment"), F.avg("sentiment"), F.count("nlp_sentiment"), F.count("*"), 0.34)).alias("tone"))
 
 
-@query("b9_valid_persons", "SELECT signal_id, len(persons) AS n FROM signals")
-def b9(t):
-    """All made-up names have two words; none is a place."""
-    return t.signals.select("signal_id", F.size(F.filter("persons", lambda p: exprs.valid_person(p, ["nation 1"]))).cast("long").alias("n"))
-
-
 @query("b11_attention", "SELECT title FROM (SELECT DISTINCT title FROM pageviews) WHERE NOT starts_with(title, 'VIEW')")
 def b11(t):
     """Titles of one kind are named after a singer, and go."""
@@ -144,10 +138,28 @@ def b3(t):
     return t.signals.where(exprs.focus("person", "Person 12")).select("signal_id")
 
 
-@query("b14_valid_entities", ", e AS (SELECT DISTINCT unnest(list_concat(persons, [headline, source_family])) AS name FROM signals) SELECT name FROM e WHERE length(name) BETWEEN 3 AND 60 AND NOT regexp_matches(name, '[0-9]') AND len(string_split(name, ' ')) <= 5")
+ENTITIES = ", e AS (SELECT signal_id, unnest(list_concat(persons, [headline, source_family, CAST(signal_id AS VARCHAR), 'G7', 'x', 'one two three four five six', concat('Дума ', CAST(signal_id % 3 AS VARCHAR)), 'abcdefgé', 'éèç', ' EU '])) AS name, CASE signal_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ar' END AS lang FROM signals), v AS (SELECT * FROM e WHERE length(trim(name)) >= 2 AND NOT regexp_matches(trim(name), '^[0-9]+$') AND len(string_split_regex(trim(name), '\\s+')) <= 5 AND (lang = 'ar' OR (lang IS DISTINCT FROM 'ar' AND length(regexp_replace(trim(name), '[\\x00-\\x7F]', '', 'g')) / length(trim(name)) < 0.4)))"
+
+
+def _entities(t):
+    k = F.col("signal_id") % 3
+    more = F.array("headline", "source_family", F.col("signal_id").cast("string"), F.lit("G7"), F.lit("x"), F.lit("one two three four five six"), F.concat(F.lit("Дума "), k.cast("string")), F.lit("abcdefgé"), F.lit("éèç"), F.lit(" EU "))
+    return t.signals.select("signal_id", F.explode(F.concat("persons", more)).alias("name"), F.when(k == 0, "en").when(k == 1, "ar").alias("lang"))
+
+
+@query("b14_valid_entities", ENTITIES + " SELECT DISTINCT name, lang FROM v")
 def b14(t):
-    names = t.signals.select(F.explode(F.concat("persons", F.array("headline", "source_family"))).alias("name")).distinct()
-    return names.where(exprs.entity_valid(F.col("name"), F.lit("en")))
+    """Short names, numbers, other scripts, in rows of three languages."""
+    return _entities(t).where(exprs.entity_valid(F.col("name"), F.col("lang"))).select("name", "lang").distinct()
+
+
+@query("l5_clean_entities", ENTITIES + ", w AS (SELECT * FROM (SELECT signal_id, name, lang FROM v UNION ALL SELECT signal_id, upper(name), lang FROM v)) SELECT signal_id, min(name) AS name FROM w GROUP BY signal_id, lower(name)")
+def l5(t):
+    """Each name twice, in other case; the smaller spelling stays."""
+    from ..operators.enrich import clean_entities
+
+    e = _entities(t).withColumn("type", F.lit("PERSON"))
+    return clean_entities(e.unionByName(e.withColumn("name", F.upper("name"))).unionByName(e.withColumn("type", F.lit("DATE")))).select("signal_id", "name")
 
 
 @query("c8_simple_labels", ", t AS (SELECT DISTINCT unnest(themes) AS theme FROM signals) SELECT theme, CASE WHEN theme LIKE 'SEG%' THEN 'Seg ' || upper(substr(theme, 5, 1)) || lower(substr(theme, 6)) WHEN length(theme) = 2 THEN 'K' ELSE upper(substr(theme, 1, 1)) || lower(substr(theme, 2)) END AS label FROM t")

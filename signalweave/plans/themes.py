@@ -76,9 +76,10 @@ def k14(t):
     return HOUR(T.theme_drift(t.signals, "CLICK"))
 
 
-@query("k15_theme_spikes", ", h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS signal_count, arg_min(headline, (ts, signal_id)) AS trigger FROM signals WHERE list_contains(themes, 'CLICK') GROUP BY ALL), l AS (SELECT *, lag(signal_count) OVER (ORDER BY hour) AS previous FROM h) SELECT CAST(hour AS VARCHAR) AS hour, signal_count, trigger, previous, signal_count - previous AS delta, round(100.0 * (signal_count - previous) / previous, 2) AS pct FROM l WHERE signal_count > previous ORDER BY pct DESC, l.hour LIMIT 10")
+@query("k15_theme_spikes", ", s AS (SELECT *, CASE WHEN signal_id % 3 <> 0 THEN source_url END AS url FROM signals WHERE list_contains(themes, 'CLICK')), h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS signal_count, arg_min({'u': url, 's': source_name, 'c': country_code, 't': CAST(round(CAST(sentiment AS DECIMAL(24, 8)), 3) AS DOUBLE)}, (ts, signal_id)) FILTER (WHERE url IS NOT NULL) AS x FROM s GROUP BY ALL), l AS (SELECT *, lag(signal_count) OVER (ORDER BY hour) AS previous FROM h) SELECT CAST(hour AS VARCHAR) AS hour, signal_count, previous, CAST(round(CAST(100.0 * (signal_count - previous) / previous AS DECIMAL(24, 8)), 1) AS DOUBLE) AS pct, x.u AS trigger_url, x.s AS trigger_source, x.c AS trigger_country, x.t AS trigger_tone FROM l WHERE signal_count > previous ORDER BY pct DESC, l.hour LIMIT 10")
 def k15(t):
-    return HOUR(T.theme_spikes(t.signals, "CLICK"))
+    """A third of the rows has no URL, so these are no triggers."""
+    return HOUR(T.theme_spikes(t.signals.withColumn("source_url", F.when(F.col("signal_id") % 3 != 0, F.col("source_url"))), "CLICK"))
 
 
 MOMENTUM = f", t AS (SELECT ts, unnest(themes) AS theme FROM signals), m AS (SELECT theme, count(*) FILTER (WHERE {NOW(48)}) AS recent, count(*) FILTER (WHERE {BASE(96, 48)}) AS before FROM t WHERE {NOW(96)} GROUP BY ALL), mo AS (SELECT *, CASE WHEN recent / nullif(before, 0) >= 1.5 THEN 'accelerating' WHEN recent / nullif(before, 0) <= 0.5 THEN 'declining' WHEN before = 0 AND recent > 0 THEN 'new' ELSE 'steady' END AS momentum FROM m)"

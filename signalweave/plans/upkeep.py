@@ -20,17 +20,17 @@ LEX_ROWS = "(VALUES " + ", ".join(f"('{g}', '{w}', {x}::DOUBLE)" for g, ws in LE
 
 
 def _lexicon_sql(table, key, text, lang):
-    return f", d AS (SELECT {key}, coalesce(lower({lang}), 'en') AS lang, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM {table}), w AS (SELECT {key}, lang, unnest(ws) AS word FROM d WHERE len(ws) >= 3), s AS (SELECT {key}, sum(weight) AS s FROM w JOIN {LEX_ROWS} USING (lang, word) GROUP BY ALL) SELECT {key}, round(greatest(-5, least(5, s)), 3) AS score, round(least(0.5, 0.5 * abs(greatest(-5, least(5, s))) / 5), 3) AS confidence FROM s"
+    return f", d AS (SELECT {key}, CASE WHEN lower({lang}) IN ('en', 'fr', 'de', 'es') THEN lower({lang}) WHEN regexp_matches({text}, '[؀-ۿ]') THEN 'ar' ELSE 'en' END AS lang, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM {table}), w AS (SELECT {key}, lang, unnest(ws) AS word FROM d WHERE len(ws) >= 3), s AS (SELECT {key}, sum(weight) AS s FROM w JOIN {LEX_ROWS} USING (lang, word) GROUP BY ALL) SELECT {key}, round(greatest(-5, least(5, s)), 3) AS score, round(least(0.5, 0.5 * abs(greatest(-5, least(5, s))) / 5), 3) AS confidence FROM s"
 
 
 @query("l1_lexicon_headlines", _lexicon_sql("signals", "signal_id", "headline", "CAST(NULL AS VARCHAR)"))
 def l1(t):
-    return E.lexicon_sentiment(t.signals.withColumn("lang", F.lit(None).cast("string")), "signal_id", "headline", "lang", E.lexicon_frame(t.spark, LEX))
+    return E.lexicon_sentiment(t.signals.withColumn("lang", F.lit(None).cast("string")), "signal_id", "headline", "lang", E.lexicon_frame(t.spark, LEX), languages=list(LEX))
 
 
 @query("l1_lexicon_documents", _lexicon_sql("documents", "doc_id", "text", "lang"))
 def l1d(t):
-    return E.lexicon_sentiment(t.raw("documents"), "doc_id", "text", "lang", E.lexicon_frame(t.spark, LEX))
+    return E.lexicon_sentiment(t.raw("documents"), "doc_id", "text", "lang", E.lexicon_frame(t.spark, LEX), languages=list(LEX))
 
 
 @query("l2_nlp_batch", f""", a AS (SELECT *, (epoch({{AS_OF}}) - epoch(ts)) / 86400 + CASE WHEN source_lang <> 'en' THEN -2 ELSE 0 END + CASE WHEN source_family IN ('api', 'social') THEN -1 ELSE 0 END + CASE WHEN geo_confidence > 0.8 THEN -0.5 ELSE 0 END AS p FROM signals WHERE nlp_sentiment IS NULL AND length(headline) > 10),
@@ -46,13 +46,6 @@ def l4(t):
     return E.score(t.signals.select("signal_id", "headline"), lambda b: b.assign(score=b.headline.str.len())[["signal_id", "score"]], "signal_id long, score long")
 
 
-@query("l5_clean_entities", ", e AS (SELECT signal_id, unnest(persons) AS name FROM signals UNION ALL SELECT signal_id, upper(persons[1]) FROM signals UNION ALL SELECT signal_id, 'Team A B' FROM signals) SELECT signal_id, 'Team A B' AS name FROM signals")
-def l5(t):
-    """Names with digits go, so do doubles in other case."""
-    names = t.signals.select("signal_id", F.explode(F.concat("persons", F.array(F.upper(F.get("persons", F.lit(0))), F.lit("Team A B"), F.lit("team a b")))).alias("name"))
-    return E.clean_entities(names.withColumn("type", F.lit("PERSON")).withColumn("lang", F.lit("en"))).select("signal_id", "name")
-
-
 @query("l6_nlp_progress", f"SELECT count(*) FILTER (WHERE nlp_sentiment IS NULL) AS pending, count(*) FILTER (WHERE nlp_sentiment IS NULL AND {NOW(24)}) AS pending_24h, count(*) AS total, {ROUND2('(epoch({AS_OF}) - epoch(min(ts) FILTER (WHERE nlp_sentiment IS NULL))) / 3600')} AS lag_hours FROM signals")
 def l6(t):
     return E.nlp_progress(t.signals, AS_OF)

@@ -26,29 +26,29 @@ def conform(df: DataFrame) -> DataFrame:
 
 def with_crisis(df: DataFrame) -> DataFrame:
     """Crisis columns from the themes."""
-    return df.withColumn("__c", exprs.crisis(F.col("themes"))).select(*[c for c in df.columns if c not in ("is_crisis", "crisis_score", "crisis_themes", "severity", "event_type")], "__c.*")
+    return exprs.computed(df, __c=exprs.crisis(F.col("themes"))).select(*[c for c in df.columns if c not in ("is_crisis", "crisis_score", "crisis_themes", "severity", "event_type")], "__c.*")
 
 
 def signal_id(url: Column, ts: Column) -> Column:
     return F.xxhash64(url, ts)
 
 
-def gkg_to_signals(records: DataFrame, source_lang: str = "en", blocked: list[str] = ()) -> DataFrame:
+def gkg_to_signals(records: DataFrame, source_lang: str = "en", blocked: list[str] | None = None) -> DataFrame:
     """Parsed records to signals: headline, first place with a country, ten themes and persons, tone, crisis, provenance.
 
-    Records without a country, or of a blocked domain, go. Themes and persons keep the order in which they first appear.
+    Records without a country, or of a blocked domain (by default those of the fixed list), go. Themes and persons keep the order in which they first appear.
     """
     iso = F.transform("locations", lambda x: F.struct(exprs.iso_country(x["country_code"]).alias("cc"), x["latitude"].alias("lat"), x["longitude"].alias("lon")))
-    usable = F.filter(iso, lambda x: x["cc"].isNotNull())
-    placed = F.filter(usable, lambda x: (x["lat"] != 0) & (x["lon"] != 0))
-    place = F.coalesce(F.get(placed, F.lit(0)), F.get(F.reverse(usable), F.lit(0)))
-    names = lambda c, f: F.slice(F.array_distinct(F.transform(F.filter(c, lambda x: F.length(x["theme"]) > 2), lambda x: f(x["theme"]))), 1, 10)
-    rows = records.withColumn("p", place).where("p is not null")
-    if blocked:
-        rows = rows.where(~exprs.blocked(F.col("source_url"), list(blocked)))
+    first = lambda xs: F.get(F.filter(xs, lambda x: (x["lat"] != 0) & (x["lon"] != 0)), F.lit(0))
+    place = exprs.once(F.filter(iso, lambda x: x["cc"].isNotNull()), lambda xs: F.coalesce(first(xs), F.get(F.reverse(xs), F.lit(0))))
+    # a name ends at its first comma
+    names = lambda c, f: F.slice(F.array_distinct(F.filter(F.transform(c, lambda x: f(F.substring_index(x["theme"], ",", 1))), lambda x: F.length(x) > 2)), 1, 10)
+    # each of these is parsed once, not again for every column that it gives
+    rows = exprs.computed(records, p=place, themes=names("enhanced_themes", F.upper), persons=names("enhanced_persons", F.lower)).where("p is not null")
+    rows = rows.where(~F.coalesce(exprs.blocked(F.col("source_url"), blocked), F.lit(False)))
     out = rows.select(
         signal_id(F.col("source_url"), F.col("ts")).alias("signal_id"), "ts", F.col("ts").alias("created_at"), F.upper("p.cc").alias("country_code"), F.nullif("p.lat", F.lit(0.0)).alias("latitude"), F.nullif("p.lon", F.lit(0.0)).alias("longitude"),
-        F.col("tone.tone").alias("sentiment"), "source_url", "source_name", exprs.headline(F.col("extras_xml"), F.col("source_url")).alias("headline"), names("enhanced_themes", F.upper).alias("themes"), names("enhanced_persons", F.lower).alias("persons"),
+        F.col("tone.tone").alias("sentiment"), "source_url", "source_name", exprs.headline(F.col("extras_xml"), F.col("source_url")).alias("headline"), "themes", "persons",
         F.lit("gdelt").alias("source_family"), F.lit(source_lang).alias("source_lang"), F.lit(0.85).alias("geo_confidence"), F.lit("gdelt_gkg" if source_lang == "en" else "gdelt_gkg_translated").alias("attribution_method"),
         F.lit(False).alias("is_state_media"), exprs.outlet_country(F.col("source_url")).alias("source_origin_country"), F.lit("reporting").alias("signal_class"),
     )

@@ -35,7 +35,7 @@ def _location(parts: Column, at: int, shift: bool) -> Column:
     """A location from the parts at ``at``; ``shift``: the form without a second-level area."""
     get = lambda i: F.trim(F.coalesce(F.get(parts, F.lit(at + i)), F.lit("")))
     lat_at, lon_at = (4, 5) if shift else (5, 6)
-    coordinate = lambda i, most: F.coalesce(F.when(F.abs(_num(get(i), "double")) <= most, _num(get(i), "double")), F.lit(0.0))
+    coordinate = lambda i, most: exprs.once(_num(get(i), "double"), lambda x: F.coalesce(F.when(F.abs(x) <= most, x), F.lit(0.0)))
     return F.struct(
         _num(get(0), "int").alias("location_type"), get(1).alias("full_name"), get(2).alias("country_code"), get(3).alias("adm1"),
         (F.lit("") if shift else get(4)).alias("adm2"), coordinate(lat_at, 90.0).alias("latitude"), coordinate(lon_at, 180.0).alias("longitude"),
@@ -48,7 +48,7 @@ def locations(text: Column) -> Column:
 
     A coordinate that is no number drops its block; an empty one is 0.
     """
-    blocks = F.transform(split_list(text), lambda b: F.split(b, "#", -1))
+    blocks = F.transform(F.filter(split_list(text), lambda b: b.rlike("^[ \\t]*[1-5][ \\t]*#")), lambda b: F.split(b, "#", -1))
     number = lambda p, i: (F.trim(F.get(p, F.lit(i))) == "") | _num(F.get(p, F.lit(i)), "double").isNotNull()
     good = F.filter(blocks, lambda p: (F.size(p) >= 7) & F.coalesce(number(p, 5) & number(p, 6), F.lit(False)))
     made = F.transform(good, lambda p: _location(p, 0, False))
@@ -76,8 +76,8 @@ def tone(text: Column) -> Column:
 
 def gkg_rows(lines: DataFrame) -> DataFrame:
     """Lines (a column ``value``) as 27 fields with a ``ts``, null where a line is bad."""
-    f = F.split("value", "\t", -1)
-    return lines.select("value", F.when(F.size(f) >= GKG_COLUMNS, f).alias("f")).withColumn("ts", F.try_to_timestamp(F.substring(F.get("f", F.lit(1)), 1, 14), F.lit("yyyyMMddHHmmss")))
+    rows = exprs.computed(lines.select("value"), f=exprs.once(F.split("value", "\t", -1), lambda f: F.when(F.size(f) >= GKG_COLUMNS, f)))
+    return exprs.computed(rows, ts=F.try_to_timestamp(F.substring(F.get("f", F.lit(1)), 1, 14), F.lit("yyyyMMddHHmmss")))
 
 
 def read_gkg(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,10 +107,8 @@ def in_country(records: DataFrame, country: str) -> DataFrame:
 
 
 def primary_location(places: Column, preferred: str | None = None) -> Column:
-    """The preferred country's first place if it has one, else the first of the most specific kind: city, region, country."""
-    rank = lambda x: F.when(x["location_type"].isin(3, 4), 0).when(x["location_type"].isin(2, 5), 1).otherwise(2)
-    ranked = lambda k: F.filter(places, lambda x: rank(x) == k)
-    best = F.get(F.concat(ranked(0), ranked(1), ranked(2)), F.lit(0))
+    """The preferred country's first place if it has one, else the first of the largest type."""
+    best = F.get(F.filter(places, lambda x: x["location_type"] == F.array_max(F.transform(places, lambda y: y["location_type"]))), F.lit(0))
     return best if preferred is None else F.coalesce(F.get(F.filter(places, lambda x: x["country_code"] == preferred), F.lit(0)), best)
 
 

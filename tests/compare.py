@@ -19,7 +19,7 @@ def norm(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if v != v else round(v, 5) + 0.0
+        return None if v != v else round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(norm, v))
     if isinstance(v, datetime.datetime):
