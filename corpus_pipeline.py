@@ -19,7 +19,7 @@ def _counted(changed, rows):
         return rows.select(*names)
     kind = rows.schema["n_chars"].dataType
     count = F.when(F.col(changed), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-    return rows.select(*[count.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    return rows.select(*[count.alias(c) if c == "n_chars" else F.col("`" + c.replace("`", "``") + "`") for c in names])
 
 
 def identified(spark, docs, sf_dir):
