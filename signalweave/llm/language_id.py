@@ -37,7 +37,9 @@ OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("s
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed n-grams of one to three letters, word ends included; letters of each text."""
     points, owner = pack(texts)
-    value = np.where(letters()[points], lowered()[points], 0).astype(np.uint64)
+    # a gap goes before the first text, too, so that a text has the same n-grams wherever it stands
+    owner = np.concatenate(([0], owner))
+    value = np.concatenate(([0], np.where(letters()[points], lowered()[points], 0))).astype(np.uint64)
     keep = (value != 0) | np.concatenate(([True], value[:-1] != 0))
     value, owner = value[keep], owner[keep]
     n_letters = np.bincount(owner[value != 0], minlength=len(texts))

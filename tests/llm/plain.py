@@ -105,3 +105,151 @@ def crc(doc_id, n):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Language ID
+
+
+M64 = (1 << 64) - 1
+
+
+def letter_grams(text):
+    """Numbers of the n-grams of one to three letters of a text, with word ends as 0."""
+    seq = [0]
+    for c in text or "":
+        low = c.lower()
+        v = (ord(low) if len(low) == 1 else ord(c)) if c.isalpha() else 0
+        if v or seq[-1]:
+            seq.append(v)
+    if seq[-1]:
+        seq.append(0)
+    if len(seq) < 2:
+        return Counter()
+    two = lambda a, b: (a * 0x1F123BB5 + b + (1 << 40)) & M64
+    grams = [v for v in seq if v] + [two(a, b) for a, b in zip(seq, seq[1:])]
+    grams += [(two(a, b) * 0x2545F491 + c) & M64 for a, b, c in zip(seq, seq[1:], seq[2:]) if b]
+    return Counter(((g * 0x9E3779B97F4A7C15) & M64) >> 51 for g in grams)
+
+
+def languages(train, texts):
+    """(language, score) of each text by error-correcting output codes learnt from rows (text, language), all of them."""
+    names = sorted({g for _, g in train})
+    splits = range(1, 2 ** (len(names) - 1))
+    code = {g: [1 if s >> k & 1 else -1 for s in splits] for k, g in enumerate(names)}
+    counts = {g: Counter() for g in names}
+    for t, g in train:
+        if t is not None:
+            x = letter_grams(t)
+            for f, n in x.items():
+                counts[g][f] += n / max(sum(x.values()) / 500, 1)
+    prob = {g: {f: n / sum(c.values()) for f, n in c.items()} for g, c in counts.items()}
+    seen = {f for c in counts.values() for f in c}
+
+    def weigh(bit, f):
+        side = lambda sign: [prob[g].get(f, 0.0) for g in names if code[g][bit] == sign]
+        return math.log(sum(side(1)) / len(side(1)) + 1e-5) - math.log(sum(side(-1)) / len(side(-1)) + 1e-5)
+
+    weights = [{f: weigh(b, f) for f in seen} for b in range(len(splits))]
+
+    def margins(t):
+        x = letter_grams(t)
+        total = max(sum(x.values()), 1)
+        return [sum(n * w.get(f, 0.0) for f, n in x.items()) / total * math.sqrt(min(total, 400)) for w in weights]
+
+    right, n = {g: [0] * len(splits) for g in names}, Counter()
+    for t, g in train:
+        if t is not None:
+            n[g] += 1
+            for b, m in enumerate(margins(t)):
+                right[g][b] += (m > 0) == (code[g][b] > 0)
+    reliable = {g: [max((k + 1) / (n[g] + 2) - 0.5, 0.01) for k in right[g]] for g in names}
+    reliable = {g: [x / sum(v) for x in v] for g, v in reliable.items()}
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        ms = margins(t)
+        loss = {g: len(splits) * sum(r * math.log1p(math.exp(-2 * c * m)) for r, c, m in zip(reliable[g], code[g], ms)) for g in names}
+        best = min(names, key=lambda g: loss[g])
+        out.append((best, 1 / sum(math.exp(loss[best] - x) for x in loss.values())))
+    return out
+
+
+# Quality by compression
+
+
+def uniform(i, salt):
+    return int(hashlib.md5(f"{i}{salt}".encode()).hexdigest()[:12], 16) / 16**12
+
+
+def compression(train, texts):
+    """Scores of texts by two dictionaries and a logistic curve learnt from rows (id, text, label), all of them."""
+    import numpy as np
+    import zstandard
+
+    parts = {y: [t.encode() for _, t in sorted((uniform(i, "compression order"), t) for i, t, z in train if z == y and t is not None)] for y in (0, 1)}
+    packers = {y: zstandard.ZstdCompressor(level=3, dict_data=zstandard.train_dictionary(64_000, parts[y][::2]), write_content_size=False, write_dict_id=False) for y in (0, 1)}
+
+    def inputs(t):
+        good, bad = (len(packers[y].compress(t)) for y in (1, 0))
+        return ((bad - good) / (bad + good), min(min(good, bad) / len(t), 1.0), 1.0) if t else (0.0, 1.0, 1.0)
+
+    fitted = [(inputs(t), y) for y in (0, 1) for t in parts[y][1::2]]
+    x, y = np.array([a for a, _ in fitted]), np.array([float(b) for _, b in fitted])
+    shares = [sum(z == k for *_, z in train) for k in (0, 1)]
+    weight = np.where(y == 1, shares[1] / y.sum(), shares[0] / (1 - y).sum())
+    weight *= len(y) / weight.sum()
+    w = np.zeros(3)
+    for _ in range(200):  # Newton steps of the weighted likelihood with a small ridge
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (weight * (p - y)) + np.array([1e-2, 1e-2, 1e-6]) * w
+        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag([1e-2, 1e-2, 1e-6]), slope)
+    return [float(1 / (1 + np.exp(-np.dot(inputs((t or "").encode()), w)))) for t in texts]
+
+
+# Toxicity
+
+
+def toxic_words(sentence):
+    """The words of a sentence and their beginnings, each once."""
+    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    return {("", w) for w in words} | {(str(n), w[:n]) for w in words for n in (4, 5, 6, 7) if len(w) > n}
+
+
+def toxicity(train, texts, significance=4.5, rounds=200, rate=0.3):
+    """Noisy-or scores of texts learnt from rows (text, label), all of them: word by word, sentence by sentence."""
+    bags = lambda t: [b for s in re.split(r"[.!?\n]", t or "") if (b := toxic_words(s))]
+    docs = [(bags(t), y) for t, y in train]
+    n, share = len(docs), sum(y for _, y in docs) / len(docs)
+    clean, toxic = Counter(), Counter()
+    for bs, y in docs:
+        for w in set().union(*bs):
+            (toxic if y else clean)[w] += 1
+    known = {}
+    for w in set(clean) | set(toxic):
+        k = clean[w] + toxic[w]
+        if abs(toxic[w] - k * share) / math.sqrt(max(k * share * (1 - share), 0.5)) > significance:
+            known[w] = max(-3.0, min(3.0, math.log((toxic[w] + 0.5) / (clean[w] + 0.5)) - math.log(share / (1 - share))))
+    bias, leak, square, square_b, square_l = -4.0, -3.0, dict.fromkeys(known, 1e-8), 1e-8, 1e-8
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    held = [([[w for w in b if w in known] for b in bs], y) for bs, y in docs]
+    for _ in range(rounds):
+        grad, g_bias, g_leak, rho = {w: -1e-3 * x / n for w, x in known.items()}, 0.0, 0.0, sig(leak)
+        for bs, y in held:
+            ps = [sig(sum(known[w] for w in b) + bias) for b in bs]
+            none = (1 - rho) * math.prod(1 - p for p in ps)
+            pull = (none / max(1 - none, 1e-12) if y else -1.0) / n
+            g_leak += rho * pull
+            for b, p in zip(bs, ps):
+                g_bias += p * pull
+                for w in b:
+                    grad[w] += p * pull
+        for w, g in grad.items():
+            square[w] += g * g
+            known[w] += rate * g / math.sqrt(square[w])
+        square_b, square_l = square_b + g_bias**2, square_l + g_leak**2
+        leak += rate * g_leak / math.sqrt(square_l)
+        bias = min(bias + rate * g_bias / math.sqrt(square_b), -4.0)
+    rho = sig(leak)
+    return [1 - (1 - rho) * math.prod(1 - sig(sum(known.get(w, 0.0) for w in b) + bias) for b in bs) if (bs := bags(t)) else 0.0 for t in texts]

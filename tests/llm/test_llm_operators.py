@@ -644,3 +644,88 @@ def test_quality_turns_down_texts_without_common_words(docs):
     assert failed.all() and (by_word > 0.38).all()
     kept = quality_rules.apply_rules(docs.where("text is not null"), rules, keep=["doc_id"]).where("not base_failed and n_symbols < n_words / 50").collect()
     assert sum(r.kept for r in kept) > 0.97 * len(kept)
+
+
+# op1, op5 and op8 against plain versions, row by row
+
+
+def test_language_id_against_plain_code(spark, docs, local):
+    rows = docs.select("doc_id", "text", "lang", held_out("doc_id", 4, 2).alias("held_out"))
+    got = {r.doc_id: r for r in language_id.identify(rows, language_id.fit(rows.where("not held_out")), keep=["doc_id"]).collect()}
+    train = [(d.text, d.lang) for i, d in local.items() if plain.crc(i, 4) != 2 and d.lang is not None]
+    for i, (lang, score) in zip(local, plain.languages(train, [d.text for d in local.values()])):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=2e-3), i
+
+
+def test_a_text_has_the_same_letters_wherever_it_stands():
+    a, b = language_id.features(["abc de", "x", "abc de"])[0][[0, 2]]
+    assert (a == b).all()
+
+
+def test_compression_against_plain_code(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest tables are too few to train a dictionary on
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality in (0, 1) and plain.crc(r.doc_id, 5) != 0}
+    got = {r.doc_id: r.score for r in queries.op5_compression_quality(spark, folder).collect()}
+    train = [(i, texts[i], y) for i, y in known.items() if i in texts]
+    for i, score in zip(texts, plain.compression(train, list(texts.values()))):
+        assert got[i] == pytest.approx(score, abs=1e-6), i
+
+
+def test_toxicity_against_plain_code(spark):
+    rng = random.Random(11)
+    nice, nasty = ["garden", "river", "house", "music", "bread", "window", "letter", "market"], ["rotten", "scumbag", "vermin"]
+    rows = []
+    for i in range(240):
+        toxic = i % 3 == 0
+        lines = [" ".join(rng.choice(nice) for _ in range(4)) for _ in range(rng.randint(1, 4))]
+        if toxic and i % 17:
+            at = rng.randrange(len(lines))
+            lines[at] += " " + rng.choice(nasty)
+        rows.append((i, rng.choice([". ", "! ", "\n"]).join(lines), int(toxic)))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, toxicity.fit(df, labels), keep=["doc_id"]).collect()}
+    want = plain.toxicity([(t, y) for i, t, y in rows if i % 5], [t for _, t, _ in rows])
+    assert max(want) > 0.8 and min(want) < 0.2
+    for (i, t, _), score in zip(rows, want):
+        assert got[i] == pytest.approx(score, abs=1e-4), (i, t)
+
+
+def test_brown_scores_against_plain_code(spark):
+    """The score of each text from the model's classes, and class and word probabilities counted anew."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()[: rng.randint(2, 8)]) for _ in range(30)) for _ in range(20)] + ["", "unseen words here alpha"]
+    train = texts[:18]
+    df = spark.createDataFrame([(i, t, i < 18) for i, t in enumerate(texts)], "id long, text string, train boolean")
+    model, counts = brown.fit(df.where("train"), clustered=4, n_classes=3, least=8)
+    of = {w: int(model.classes[i]) for w, i in model.words.items()}
+    end, unseen = model.n_clustered + brown.ENDINGS, lambda w: model.n_clustered + brown.ending(w)
+    seqs = [[end, *(of.get(w, unseen(w)) for w in t.encode().split()), end] for t in train]
+    pair, before, after = (plain.Counter() for _ in range(3))
+    for s in seqs:
+        for a, b in zip(s, s[1:]):
+            pair[a, b] += 1
+            before[a] += 1
+            after[b] += 1
+    n = plain.Counter(w for t in train for w in t.encode().split())
+    kinds, total = end + 1, sum(before.values())
+
+    def transition(a, b):
+        share = (after[b] + 0.5) / (total + 0.5 * kinds)
+        follows = sum(1 for x, _ in pair if x == a)
+        back = follows / (follows + before[a]) if before[a] else 1.0
+        return (1 - back) * pair[a, b] / max(before[a], 1) + back * share
+
+    def emission(w):
+        c = of.get(w, unseen(w))
+        if c < model.n_clustered:
+            return n[w] / sum(k for x, k in n.items() if of[x] == c)
+        others = [k for x, k in n.items() if of[x] == c]
+        return (n[w] + 0.5) / (sum(others) + 0.5 * (len(others) + 1))
+
+    for r in brown.score(df, model, counts, keep=["id"]).collect():
+        words = texts[r.id].encode().split()
+        s = [end, *(of.get(w, unseen(w)) for w in words), end]
+        want = sum(np.log10(transition(a, b)) for a, b in zip(s, s[1:])) + sum(np.log10(emission(w)) for w in words)
+        assert r.score == pytest.approx(want, abs=1e-6), r.id
