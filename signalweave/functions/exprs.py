@@ -156,11 +156,11 @@ LABEL_RULES = [
 def theme_label(theme: Column, named: dict[str, str] | None = None) -> Column:
     """A label: its name in the taxonomy, else a name of its own if it has one, else by the first prefix that fits, else its words."""
     code = F.upper(theme)
-    own = {"CRISISLEX_C07_SAFETY": "Public Safety", "CRISISLEX_CRISISLEXREC": "Crisis Event", "UNGP_FORESTS_RIVERS_OCEANS": "Environment"} | fixed.THEME_LABELS | (named or {})
+    own = {"CRISISLEX_C07_SAFETY": "Public Safety", "CRISISLEX_CRISISLEXREC": "Crisis Event", "UNGP_FORESTS_RIVERS_OCEANS": "Environment"} | (named or {})
     out = F.when(code.rlike("^WB_"), F.concat(theme_words(F.regexp_replace(code, r"^WB_(\d+_)?", "")), F.lit(" (World Bank)")))
     for pattern, start, whole in LABEL_RULES:
         out = out.when(code.rlike(pattern), F.lit(whole) if whole else F.concat(F.lit(start), theme_words(F.regexp_replace(code, pattern, ""))))
-    return F.coalesce(dims.lookup(own, code), out.otherwise(theme_words(code)))
+    return F.coalesce(dims.lookup(fixed.THEME_LABELS, theme), dims.lookup(own, code), out.otherwise(theme_words(code)))
 
 
 def simple_label(theme: Column) -> Column:

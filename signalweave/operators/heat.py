@@ -85,6 +85,18 @@ def country_anomalies(hourly: DataFrame, countries: DataFrame, as_of: str, hours
     return out if limit is None else out.orderBy(F.desc_nulls_last("zscore"), "country_code").limit(limit)
 
 
+def anomaly_lists(anomalies: DataFrame, limit: int = 10, misses: int = 3) -> dict[str, DataFrame]:
+    """Of the 2 * ``limit`` countries with the largest z: those that are not normal, at most ``limit``, and of the others the first few over their baseline."""
+    order = [F.desc_nulls_last("zscore"), F.asc("country_code")]
+    top = anomalies.orderBy(*order).limit(2 * limit)
+    return {"anomalies": top.where("level <> 'normal'").orderBy(*order).limit(limit), "near_misses": top.where("level = 'normal' and multiplier > 1").orderBy(*order).limit(misses)}
+
+
+def system_totals(hourly: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Active countries and rows of the last hours, from the hourly rollup."""
+    return hourly.where(exprs.in_window(F.col("hour"), as_of, hours)).agg(F.countDistinct("country_code").alias("active_countries"), F.coalesce(F.sum("signal_count"), F.lit(0)).alias("total_signals"))
+
+
 def overall_severity(anomalies: DataFrame) -> DataFrame:
     worst = F.max(F.when(F.col("level") == "critical", 3).when(F.col("level") == "elevated", 2).when(F.col("level") == "notable", 1).otherwise(0))
     return anomalies.agg(F.element_at(F.array(*map(F.lit, ("normal", "notable", "elevated", "critical"))), F.coalesce(worst, F.lit(0)) + 1).alias("overall"), F.count_if(F.col("level") != "normal").alias("anomalies"))

@@ -12,32 +12,49 @@ from . import rollups as R
 from .rollups import r, top_per
 
 
-def shared_pairs(sets: DataFrame, owner: str, element: str) -> DataFrame:
+def shared_pairs(sets: DataFrame, owner: str, element: str, names: int = 0) -> DataFrame:
     """(a, b, shared) for a < b: owners that have elements in common, by a join on the element, and how many.
 
-    No pair without a common element is made, and equal elements of a hot owner meet in partial counts.
+    No pair without a common element is made, and equal elements of a hot owner meet in partial counts. With ``names``, the first so
+    many common elements come too; sets should be small then.
     """
     left, right = sets.select(F.col(owner).alias("a"), element), sets.select(F.col(owner).alias("b"), element)
-    return left.join(right, element).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    named = [F.slice(F.array_sort(F.collect_list(element)), 1, names).alias("names")] if names else []
+    return left.join(right, element).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), *named)
 
 
-def jaccard_pairs(sets: DataFrame, owner: str, element: str) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, owner: str, element: str, names: int = 0) -> DataFrame:
     sizes = sets.groupBy(owner).agg(F.count("*").alias("n"))
     a, b = (sizes.select(F.col(owner).alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    rows = shared_pairs(sets, owner, element).join(a, "a").join(b, "b")
+    rows = shared_pairs(sets, owner, element, names).join(a, "a").join(b, "b")
     return rows.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
-def theme_flows(S: DataFrame, as_of: str, hours: float = 6, least_theme: int = 2, least_total: int = 5, top: int = 30, min_jaccard: float = 0.2, min_shared: int = 3, limit: int = 100) -> DataFrame:
-    """Countries whose most frequent themes overlap; strength is the overlap times the smaller volume over ten."""
+def theme_flows(S: DataFrame, as_of: str, hours: float = 6, least_theme: int = 2, least_total: int = 5, top: int = 30, min_jaccard: float = 0.2, min_shared: int = 3, limit: int = 100, focus: tuple[str, str] | None = None, countries: DataFrame | None = None) -> DataFrame:
+    """Countries whose most frequent themes overlap; strength is the overlap times the smaller volume over ten.
+
+    With a focus (kind, value) only rows about it count, and three of them are enough. With ``countries`` only those with a place have flows,
+    which then carry both places. Up to five of the shared themes are named.
+    """
+    if focus:
+        kind, value = focus
+        S, least_total = S.where(exprs.focus(kind, value.upper() if kind in ("theme", "country") else value)), min(least_total, 3)
     counts = R.exploded(S.where(exprs.in_window(F.col("ts"), as_of, hours) & F.col("country_code").isNotNull())).groupBy("country_code", "theme").agg(F.count("*").alias("n")).where(F.col("n") >= least_theme)
     totals = counts.groupBy("country_code").agg(F.sum("n").alias("total")).where(F.col("total") >= least_total)
     sets = top_per(counts, ["country_code"], [F.desc("n"), F.asc("theme")], top).join(totals.select("country_code"), "country_code", "left_semi")
-    rows = jaccard_pairs(sets.select("country_code", "theme"), "country_code", "theme").where((F.col("jaccard") >= min_jaccard) & (F.col("shared") >= min_shared))
+    if countries is not None:
+        places = countries.where("latitude is not null").select("country_code", "latitude", "longitude")
+        sets = sets.join(places.select("country_code"), "country_code", "left_semi")
+    rows = jaccard_pairs(sets.select("country_code", "theme"), "country_code", "theme", names=5).where((F.col("jaccard") >= min_jaccard) & (F.col("shared") >= min_shared))
     for x in ("a", "b"):
         rows = rows.join(totals.select(F.col("country_code").alias(x), F.col("total").alias(f"t_{x}")), x)
     strength = R.two(F.col("jaccard") * F.least("t_a", "t_b") / 10.0)
-    return rows.select("a", "b", strength.alias("strength"), F.round("jaccard", 3).alias("similarity"), "shared").orderBy(F.desc("strength"), "a", "b").limit(limit)
+    made = []
+    if countries is not None:
+        for x in ("a", "b"):
+            rows = rows.join(places.select(F.col("country_code").alias(x), F.col("latitude").alias(f"lat_{x}"), F.col("longitude").alias(f"lon_{x}")), x)
+        made = ["lat_a", "lon_a", "lat_b", "lon_b"]
+    return rows.select("a", "b", strength.alias("strength"), F.round("jaccard", 3).alias("similarity"), "shared", F.array_join("names", ",").alias("themes"), *made).orderBy(F.desc("strength"), "a", "b").limit(limit)
 
 
 def theme_correlation(S: DataFrame, top: int = 10) -> DataFrame:
@@ -110,8 +127,11 @@ def topic_flows(topics: DataFrame, halflife: float = 6.0, threshold: float = 0.3
     return pairs.withColumn("heat", r(heat)).where(F.col("heat") >= threshold).select(F.col("country_code_a").alias("source"), F.col("country_code_b").alias("target"), r(F.col("similarity")).alias("similarity"), "heat", F.array_join("topics", ",").alias("topics"))
 
 
-def hotspots(S: DataFrame, mentions: Column) -> DataFrame:
-    """Countries by topics: intensity from number, size and confidence of topics; dominant tone, variety of outlets, top five."""
+def hotspots(S: DataFrame, mentions: Column, signal_intensity: Column | None = None) -> DataFrame:
+    """Countries by topics: intensity from number, size and confidence of topics; dominant tone, variety of outlets, top five.
+
+    Where signals have an intensity of their own (``signal_intensity``), a country's is the mean of these.
+    """
     rows = R.exploded(S.withColumn("m", mentions)).groupBy("country_code", "theme").agg(F.sum("m").alias("count"), F.avg("geo_confidence").alias("confidence"))
     base = rows.groupBy("country_code").agg(F.count("*").alias("topics"), F.avg("count").alias("avg_count"), F.avg("confidence").alias("avg_conf"))
     tones = S.groupBy("country_code", exprs.tone_label(F.col("sentiment")).alias("label")).agg(F.count("*").alias("k")).groupBy("country_code").agg(F.min_by("label", F.struct(-F.col("k"), "label")).alias("dominant"))
@@ -119,6 +139,9 @@ def hotspots(S: DataFrame, mentions: Column) -> DataFrame:
     best = top_per(rows, ["country_code"], [F.desc("count"), F.asc("theme")], 5).groupBy("country_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "theme"))), lambda x: x["theme"]), ",").alias("top_topics"))
     intensity = 0.4 * F.least(F.col("topics") / 100.0, F.lit(1.0)) + 0.3 * F.least(F.col("avg_count") / 1000.0, F.lit(1.0)) + 0.3 * F.col("avg_conf")
     joined = reduce(lambda x, y: x.join(y, "country_code"), [tones, outlets, best], base)
+    if signal_intensity is not None:
+        own = S.groupBy("country_code").agg(F.avg(signal_intensity).alias("own_intensity"))
+        joined, intensity = joined.join(own, "country_code", "left"), F.coalesce("own_intensity", intensity)
     return joined.select("country_code", "topics", r(intensity).alias("intensity"), "dominant", r(F.col("diversity")).alias("diversity"), "top_topics")
 
 

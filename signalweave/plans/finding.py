@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
 from ..operators import finding as S
 from ..operators import rollups as R
 from .registry import query
@@ -68,12 +68,19 @@ def c5(t):
     return S.query_variants(t.signals.select(F.lower("headline").alias("query")).distinct()).select("query", "variant")
 
 
+@query("c5_short_queries", ", q AS (SELECT DISTINCT event_type || ' ' || source_family AS query, event_type AS a, source_family AS b FROM signals), v AS (SELECT query, unnest([a || ' ' || b, a || b, CASE WHEN length(a) > 3 AND a LIKE '%s' THEN left(a, -1) ELSE a END || ' ' || CASE WHEN length(b) > 3 AND b LIKE '%s' THEN left(b, -1) ELSE b END, b || ' ' || a]) AS variant FROM q) SELECT DISTINCT query, variant FROM v")
+def c5s(t):
+    """Two words: itself, joined, singular, the other way round."""
+    return S.query_variants(t.signals.select(F.concat_ws(" ", "event_type", "source_family").alias("query")).distinct()).select("query", "variant")
+
+
 @query("k38_fuzzy_dictionary")
 def k38(t):
-    """Every title of the pages table's site sections against the labels of all themes; tested against plain code."""
-    queries = t.signals.select(F.concat_ws(" ", F.substring("event_type", 1, 4), "source_family").alias("query")).distinct()
+    """The words of every page's host against the labels of all themes; the operator is tested against plain code."""
+    queries = t.raw("pages").select(F.translate(exprs.domain(F.col("url")), ".-", "  ").alias("query")).distinct()
     themes = R.exploded(t.signals).select(F.col("theme").alias("entry"), exprs.theme_label(F.col("theme")).alias("text")).distinct()
-    return S.fuzzy_dictionary(queries, themes)
+    labels = t.spark.createDataFrame(list(fixed.THEME_LABELS.items()), "entry string, text string")
+    return S.fuzzy_dictionary(queries, themes.unionByName(labels), 0.25)
 
 
 @query("k44_v1_search", ", x AS (SELECT 'theme' AS kind, unnest(themes) AS name FROM signals UNION ALL SELECT 'person', unnest(persons) FROM signals UNION ALL SELECT 'country', country_code FROM signals) SELECT kind, name, count(*) AS n FROM x WHERE contains(lower(name), '1') GROUP BY ALL")

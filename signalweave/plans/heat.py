@@ -54,6 +54,16 @@ def k2(t):
     return _anomalies(t)
 
 
+@query("k2_near_misses", ANOMALIES + " SELECT * FROM (SELECT * FROM (SELECT * FROM lv ORDER BY zscore DESC NULLS LAST, country_code LIMIT 40) WHERE level = 'normal' AND multiplier > 1 ORDER BY zscore DESC NULLS LAST, country_code LIMIT 3)")
+def k2m(t):
+    return H.anomaly_lists(_anomalies(t), 20)["near_misses"]
+
+
+@query("k2_system_totals", f", h AS (SELECT country_code, date_trunc('hour', ts) AS hour, count(*) AS n FROM signals GROUP BY ALL) SELECT count(DISTINCT country_code) AS active_countries, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_signals FROM h WHERE hour > {{AS_OF}} - INTERVAL 24 HOURS AND hour <= {{AS_OF}}")
+def k2t(t):
+    return H.system_totals(R.country_hourly(t.signals), AS_OF)
+
+
 @query("k2_overall_severity", ANOMALIES + " SELECT CASE max(CASE level WHEN 'critical' THEN 3 WHEN 'elevated' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'elevated' WHEN 1 THEN 'notable' ELSE 'normal' END AS overall, count(*) FILTER (WHERE level <> 'normal') AS anomalies FROM lv")
 def k2b(t):
     return H.overall_severity(_anomalies(t))

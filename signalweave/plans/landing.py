@@ -120,6 +120,24 @@ def a14(t):
     return P.page_meta(t.raw("pages")).select("page_id", "title")
 
 
+@query("a14_page_meta_tags", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Og ' || page_id ELSE substr(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 1, 500) END AS title, CASE page_id % 3 WHEN 0 THEN 'About ' || page_id WHEN 1 THEN 'Also ' || page_id END AS description FROM pages")
+def a14m(t):
+    """Pages with a description in either order of its attributes, or only an og: one, or none; some without a title element."""
+    i, text = F.col("page_id"), F.col("page_id").cast("string")
+    about = F.when(i % 3 == 0, F.concat(F.lit("<meta name='description' lang=en content='About "), text, F.lit("'>"))).when(i % 3 == 1, F.concat(F.lit('<META CONTENT="Also '), text, F.lit('" property="og:description">'))).otherwise("")
+    title = F.when(i % 4 == 0, F.concat(F.lit('<meta property="og:title" content="Og '), text, F.lit('">'))).otherwise("")
+    html = F.when(i % 4 == 0, F.regexp_replace("html", "(?is)<title.*?</title>", "")).otherwise(F.col("html"))
+    return P.page_meta(t.raw("pages").withColumn("html", F.concat(title, about, html))).select("page_id", "title", "description")
+
+
+@query("a11_combined_rows", "SELECT headline, source_url, 'social' AS source_family, 'XX' AS country_code, geo_confidence * 0 + 0.5 AS geo_confidence, 'social_commentary' AS signal_class FROM signals UNION ALL SELECT headline, source_url, 'api', 'XX', geo_confidence * 0 + 0.65, 'reporting' FROM signals UNION ALL SELECT headline, source_url, 'rss', NULL, geo_confidence * 0 + 0.6, 'reporting' FROM signals")
+def a11r(t):
+    """The same items as three feeds, as one frame of whole rows."""
+    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), "ts")
+    every = N.combined([N.normalize_articles(items, N.FEEDS[k]) for k in ("social", "news_by_words", "rss")])
+    return every.select("headline", "source_url", "source_family", "country_code", "geo_confidence", "signal_class")
+
+
 @query("a15_new_rows", "SELECT min(signal_id) AS signal_id, source_url FROM signals WHERE event_type = 'click' AND source_url NOT IN (SELECT source_url FROM signals WHERE event_type = 'view' OR event_type = 'purchase') GROUP BY source_url")
 def a15(t):
     new, old = t.signals.where("event_type = 'click'"), t.signals.where("event_type in ('view', 'purchase')")

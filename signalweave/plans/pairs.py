@@ -14,15 +14,25 @@ from .registry import query
 from .themes import TOP3
 
 
-@query("k6_theme_flows", f""", t AS (SELECT country_code, unnest(themes) AS theme FROM signals WHERE {NOW(240)}), c AS (SELECT country_code, theme, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2), tot AS (SELECT country_code, sum(n) AS total FROM c GROUP BY ALL HAVING sum(n) >= 5),
+K6 = f""", t AS (SELECT country_code, unnest(themes) AS theme FROM signals WHERE {NOW(240)}), c AS (SELECT country_code, theme, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 2), tot AS (SELECT country_code, sum(n) AS total FROM c GROUP BY ALL HAVING sum(n) >= 5),
  s AS (SELECT country_code, theme FROM (SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY n DESC, theme) AS rk FROM c) WHERE rk <= 12 AND country_code IN (SELECT country_code FROM tot)), z AS (SELECT country_code, count(*) AS k FROM s GROUP BY ALL),
- p AS (SELECT x.country_code AS a, y.country_code AS b, count(*) AS shared FROM s x JOIN s y USING (theme) WHERE x.country_code < y.country_code GROUP BY ALL),
- j AS (SELECT a, b, shared, shared / (za.k + zb.k - shared) AS jac, least(ta.total, tb.total) AS low FROM p JOIN z za ON a = za.country_code JOIN z zb ON b = zb.country_code JOIN tot ta ON a = ta.country_code JOIN tot tb ON b = tb.country_code)
- SELECT a, b, {ROUND2('jac * low / 10')} AS strength, round(jac, 3) AS similarity, shared FROM j WHERE jac >= 0.2 AND shared >= 3 ORDER BY strength DESC, a, b LIMIT 100""")
+ p AS (SELECT x.country_code AS a, y.country_code AS b, count(*) AS shared, array_to_string(list_slice(list_sort(list(theme)), 1, 5), ',') AS themes FROM s x JOIN s y USING (theme) WHERE x.country_code < y.country_code GROUP BY ALL),
+ j AS (SELECT a, b, shared, themes, shared / (za.k + zb.k - shared) AS jac, least(ta.total, tb.total) AS low FROM p JOIN z za ON a = za.country_code JOIN z zb ON b = zb.country_code JOIN tot ta ON a = ta.country_code JOIN tot tb ON b = tb.country_code)
+ SELECT a, b, {ROUND2('jac * low / 10')} AS strength, round(jac, 3) AS similarity, shared, themes FROM j WHERE jac >= 0.2 AND shared >= 3 ORDER BY strength DESC, a, b LIMIT 100"""
+
+
+@query("k6_theme_flows", K6)
 def k6(t):
     return P.theme_flows(t.signals, AS_OF, 240, top=12)
 
 
+@query("k6_flows_in_focus", K6.replace(NOW(240), NOW(400) + " AND list_contains(themes, 'CLICK') AND country_code NOT IN ('N03', 'N04')").replace("sum(n) >= 5", "sum(n) >= 3").replace("\n SELECT a, b,", "\n SELECT a, b, ca.latitude AS lat_a, ca.longitude AS lon_a, cb.latitude AS lat_b, cb.longitude AS lon_b,").replace("FROM j WHERE", "FROM j JOIN countries ca ON a = ca.country_code JOIN countries cb ON b = cb.country_code WHERE"))
+def k6f(t):
+    """Flows of the rows about one theme, between countries that have a place."""
+    placed = t.countries.withColumn("latitude", F.when(~F.col("country_code").isin("N03", "N04"), F.col("latitude")))
+    return P.theme_flows(t.signals, AS_OF, 400, top=12, focus=("theme", "click"), countries=placed)
+
+
 @query("k7_theme_correlation", EXPLODED + ", top AS (SELECT theme, count(*) AS n FROM t GROUP BY ALL ORDER BY n DESC, theme LIMIT 10), f AS (SELECT signal_id, theme FROM t SEMI JOIN top USING (theme)), b AS (SELECT x.theme AS a, y.theme AS b, count(*) AS shared FROM f x JOIN f y USING (signal_id) WHERE x.theme < y.theme GROUP BY ALL), e AS (SELECT x.theme AS a, y.theme AS b, x.n AS na, y.n AS nb FROM top x JOIN top y ON x.theme < y.theme) SELECT a, b, round(coalesce(shared, 0) / (na + nb - coalesce(shared, 0)), 3) AS jaccard FROM e LEFT JOIN b USING (a, b)")
 def k7(t):
     return P.theme_correlation(t.signals)
@@ -67,6 +77,11 @@ def k10(t):
     return P.hotspots(t.signals, F.col("signal_id") % 7)
 
 
+@query("k10_hotspots_by_signals", "SELECT country_code, round(avg(crisis_score), 6) AS intensity FROM signals GROUP BY ALL")
+def k10s(t):
+    return P.hotspots(t.signals, F.col("signal_id") % 7, F.col("crisis_score")).select("country_code", "intensity")
+
+
 GRAPH = """, g AS (SELECT *, date_trunc('hour', ts) AS hour FROM signals WHERE list_contains(themes, 'K1')), kc AS (SELECT hour, country_code FROM g GROUP BY hour, country_code QUALIFY row_number() OVER (PARTITION BY hour ORDER BY count(*) DESC, country_code) <= 2), ks AS (SELECT hour, source_name FROM g GROUP BY hour, source_name QUALIFY row_number() OVER (PARTITION BY hour ORDER BY count(*) DESC, source_name) <= 2),
  pl AS (SELECT g.* FROM g SEMI JOIN kc USING (hour, country_code)), sr AS (SELECT pl.* FROM pl SEMI JOIN ks USING (hour, source_name)), pe AS (SELECT hour, country_code, sentiment, unnest(list_slice(persons, 1, 1)) AS person FROM pl), ot AS (SELECT hour, sentiment, unnest(list_slice(list_filter(themes, lambda x: x <> 'K1'), 1, 1)) AS other FROM g),
  fl AS (SELECT hour, 'country-' || country_code AS source, 'theme-K1' AS target, 'country-theme' AS kind, 'country-' || country_code AS node, sentiment FROM pl UNION ALL SELECT hour, 'source-' || source_name, 'country-' || country_code, 'source-country', 'source-' || source_name, sentiment FROM sr
@@ -106,9 +121,12 @@ def k43(t):
     return P.v1_nodes(R.theme_mentions(t.signals, F.col("signal_id") % 7))
 
 
-@query("k49_grid_smooth", """, a AS (SELECT (sqrt(3) / 3 * longitude - latitude / 3) / 2 AS q0, latitude * 2 / 3 / 2 AS r0 FROM signals), c0 AS (SELECT *, round(q0) AS q, round(r0) AS r, round(-q0 - r0) AS s FROM a), c1 AS (SELECT q, r, s, abs(q - q0) AS dq, abs(r - r0) AS dr, abs(s + q0 + r0) AS ds FROM c0),
+GRID = """, a AS (SELECT (sqrt(3) / 3 * longitude - latitude / 3) / 2 AS q0, latitude * 2 / 3 / 2 AS r0 FROM signals), c0 AS (SELECT *, round(q0) AS q, round(r0) AS r, round(-q0 - r0) AS s FROM a), c1 AS (SELECT q, r, s, abs(q - q0) AS dq, abs(r - r0) AS dr, abs(s + q0 + r0) AS ds FROM c0),
  c AS (SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END AS INTEGER) AS q, CAST(CASE WHEN dr > ds AND NOT (dq > dr AND dq > ds) THEN -q - s ELSE r END AS INTEGER) AS r, count(*)::DOUBLE AS i FROM c1 GROUP BY ALL),
- k AS (SELECT unnest(range(-2, 3)) AS d), n AS (SELECT q + x.d AS q, r + y.d AS r, i / (1 + (abs(x.d) + abs(y.d) + abs(x.d + y.d)) / 2) AS v FROM c, k x, k y WHERE (abs(x.d) + abs(y.d) + abs(x.d + y.d)) / 2 <= 2), o AS (SELECT q, r, sum(v) AS v FROM n GROUP BY ALL) SELECT CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, round(v / max(v) OVER (), 6) AS intensity FROM o""")
+ k AS (SELECT unnest(range(-2, 3)) AS d), n AS (SELECT q + x.d AS q, r + y.d AS r, i / (1 + (abs(x.d) + abs(y.d) + abs(x.d + y.d)) / 2) AS v FROM c, k x, k y WHERE (abs(x.d) + abs(y.d) + abs(x.d + y.d)) / 2 <= 2), o AS (SELECT q, r, sum(v) AS v FROM n GROUP BY ALL)"""
+
+
+@query("k49_grid_smooth", GRID + " SELECT CAST(q AS INTEGER) AS q, CAST(r AS INTEGER) AS r, round(v / max(v) OVER (), 6) AS intensity FROM o")
 def k49(t):
     return P.grid_smooth(t.signals.select("latitude", "longitude", F.lit(1.0).alias("intensity")))
 

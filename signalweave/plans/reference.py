@@ -41,7 +41,7 @@ def c17(t):
 THEMES = [*fixed.THEME_LABELS, "CRISISLEX_CRISISLEXREC", "crime"]
 
 
-@query("c7_taxonomy_labels", dealt_sql(THEMES, "theme") + f", m AS (SELECT * FROM {VALUES([*fixed.THEME_LABELS.items(), ('CRISISLEX_CRISISLEXREC', 'Crisis Event')])} m(code, label)) SELECT theme, label, count(*) AS n FROM x JOIN m ON code = upper(theme) GROUP BY ALL")
+@query("c7_taxonomy_labels", dealt_sql(THEMES, "theme") + f", m AS (SELECT * FROM {VALUES([*fixed.THEME_LABELS.items(), ('CRISISLEX_CRISISLEXREC', 'Crisis Event'), ('crime', 'Crime')])} m(code, label)) SELECT theme, label, count(*) AS n FROM x JOIN m ON code = theme GROUP BY ALL")
 def c7(t):
     return dealt(t, THEMES, "theme").select("theme", exprs.theme_label(F.col("theme")).alias("label")).groupBy("theme", "label").agg(F.count("*").alias("n"))
 

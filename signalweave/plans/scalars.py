@@ -16,6 +16,15 @@ def c2(t):
     return t.raw("pages").select("page_id", F.when(exprs.slug_title(F.col("url")).isNotNull(), 1).otherwise(0).alias("has_title"))
 
 
+@query("c2_slug_words", ", s AS (SELECT signal_id, 'http://x.org/a/' || replace(headline, ' ', CASE signal_id % 2 WHEN 0 THEN '-' ELSE '_' END) || CASE signal_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.php?x=a-b' ELSE '/' END AS url FROM signals) SELECT signal_id, array_to_string(list_transform(string_split(replace(replace(regexp_replace(list_last(string_split(trim(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/'), '/')), '\\.html?|\\.php', '', 'g'), '-', ' '), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM s")
+def c2w(t):
+    """Headlines put into URLs, with file endings, queries and closing slashes, and got back."""
+    i = F.col("signal_id")
+    slug = F.regexp_replace("headline", " ", F.when(i % 2 == 0, "-").otherwise("_"))
+    url = F.concat(F.lit("http://x.org/a/"), slug, F.when(i % 3 == 0, ".html").when(i % 3 == 1, ".php?x=a-b").otherwise("/"))
+    return t.signals.select("signal_id", exprs.slug_title(url).alias("title"))
+
+
 @query("c3_stripped_pages", "SELECT page_id, md5(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS text_md5 FROM pages")
 def c3(t):
     return t.raw("pages").select("page_id", F.md5(exprs.strip_tags(F.col("html"))).alias("text_md5"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import ingest
 from ..streaming import stream as M
+from . import landing
 from .fixture import SIGNALS, SPARK
 from .registry import query
 
@@ -52,6 +54,61 @@ def m7(t):
     return rows.withColumn("slot", F.col("slot").cast("string"))
 
 
+def staged(t, parts):
+    """The signals as a stream of several files, one a batch: ``parts`` are conditions on the events, a file each, in order."""
+    path, schema = M.scratch(t.spark, "staged"), t.raw("events").schema
+    for i, where in enumerate(parts):
+        t.raw("events").where(where).coalesce(1).write.parquet(f"{path}/{i}")
+    events = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return t.spark.sql(SIGNALS.format(**SPARK, events="{events}", customer="{customer}", nation="{nation}"), events=events, customer=t.raw("customer"), nation=t.raw("nation"))
+
+
+#: Four batches: some rows of the second are late but within ten days, some of the last are later than that and go.
+IN_TIME = [
+    "ts < '2024-01-11' and event_id % 10 not in (0, 1)",
+    "ts >= '2024-01-11' and ts < '2024-01-16' or ts >= '2024-01-05' and ts < '2024-01-11' and event_id % 10 = 0",
+    "ts >= '2024-01-16' and ts < '2024-01-21'",
+]
+LATE = [*IN_TIME, "ts >= '2024-01-21' or ts < '2024-01-04' and event_id % 10 = 1"]
+KEPT = "(ts >= TIMESTAMP '2024-01-11' OR signal_id % 10 NOT IN (0, 1) OR (ts >= TIMESTAMP '2024-01-05' AND signal_id % 10 = 0))"
+
+
+@query("m4_theme_hours_late", f", t AS (SELECT ts, sentiment, unnest(themes) AS theme FROM signals WHERE {KEPT}) SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, theme, count(*) AS signal_count, round(avg(sentiment), 6) AS avg_sentiment FROM t GROUP BY ALL")
+def m4l(t):
+    """Hours that later batches add to are given out again; what is over ten days late goes."""
+    rows = _logged(t, M.stream_theme_hourly(staged(t, LATE), "10 days"), "m4l", ["hour", "theme"])
+    return rows.select(F.col("hour").cast("string").alias("hour"), "theme", "signal_count", "avg_sentiment")
+
+
+@query("m7_quarter_hours_late", f"SELECT CAST(time_bucket(INTERVAL 15 MINUTES, ts) AS VARCHAR) AS slot, country_code, count(*) AS n FROM signals WHERE {KEPT} GROUP BY ALL")
+def m7l(t):
+    rows = _logged(t, M.stream_buckets(staged(t, LATE), late="10 days"), "m7l", ["slot", "country_code"])
+    return rows.withColumn("slot", F.col("slot").cast("string"))
+
+
+@query("m6_velocity_late", f", w AS (SELECT ts, unnest([time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOURS]) AS upto FROM signals WHERE {KEPT}) SELECT CAST(upto AS VARCHAR) AS upto, count(*) FILTER (WHERE ts >= upto - INTERVAL 1 HOUR) AS last, count(*) FILTER (WHERE ts < upto - INTERVAL 1 HOUR) AS previous FROM w GROUP BY ALL")
+def m6l(t):
+    rows = _logged(t, M.stream_velocity(staged(t, LATE), "2 hours", "1 hour", "10 days"), "m6l", ["upto"])
+    return rows.withColumn("upto", F.col("upto").cast("string"))
+
+
+@query("m3_dedup_urls_late", f"SELECT source_url FROM signals WHERE {KEPT} GROUP BY ALL")
+def m3l(t):
+    """URLs come again in later batches, within the watermark."""
+    path = M.scratch(t.spark, "m3l")
+    M.run_available(M.dedup_stream(staged(t, [*IN_TIME, "ts >= '2024-01-21'"]), late="40 days").select("source_url", "ts"), M.update_log(path), path + "-checkpoint")
+    return t.spark.read.parquet(path).select("source_url")
+
+
+@query("m5_accepted_stream", f"SELECT signal_id, source_family FROM signals WHERE {KEPT} AND epoch(TIMESTAMP '2024-01-31') - epoch(ts) <= 3600 * CASE source_family WHEN 'gdelt' THEN 200 WHEN 'social' THEN 100 ELSE 300 END")
+def m5s(t):
+    """The rule of each feed in a stream of four batches."""
+    path = M.scratch(t.spark, "m5s")
+    rows = M.accepted(staged(t, [*IN_TIME, "ts >= '2024-01-21'"]), "2024-01-31 00:00:00", {"gdelt": 200, "social": 100}, 300)
+    M.run_available(rows.select("signal_id", "source_family"), M.update_log(path), path + "-checkpoint")
+    return t.spark.read.parquet(path).select("signal_id", "source_family")
+
+
 @query("m8_latest_positions", "SELECT 'v' || (signal_id % 300) AS vessel, CAST(max(ts) AS VARCHAR) AS ts FROM signals WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY ALL")
 def m8(t):
     ships = streamed_signals(t).select(F.concat(F.lit("v"), (F.col("signal_id") % 300).cast("string")).alias("vessel"), "ts", "latitude", "longitude")
@@ -61,21 +118,64 @@ def m8(t):
     return rows.groupBy("vessel").agg(F.max("ts").cast("string").alias("ts"))
 
 
+@query("m8_positions_expiry", ", s AS (SELECT 'v' || (signal_id % 300) AS vessel, ts, latitude, longitude FROM signals WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND ts < TIMESTAMP '2024-01-27'), l AS (SELECT vessel, max(ts) AS ts, arg_max(latitude, (ts, latitude, longitude)) AS latitude, arg_max(longitude, (ts, latitude, longitude)) AS longitude FROM s GROUP BY ALL) SELECT vessel, CAST(ts AS VARCHAR) AS ts, latitude, longitude, ts + INTERVAL 2 DAYS < (SELECT max(ts) FROM s) - INTERVAL 1 HOUR AS expired FROM l")
+def m8e(t):
+    """Places in three batches by time; vessels that are silent for two days are given out as expired, with their last place."""
+    parts = ["ts < '2024-01-12'", "ts >= '2024-01-12' and ts < '2024-01-20'", "ts >= '2024-01-20' and ts < '2024-01-27'"]
+    ships = staged(t, parts).select(F.concat(F.lit("v"), (F.col("signal_id") % 300).cast("string")).alias("vessel"), "ts", "latitude", "longitude")
+    path = M.scratch(t.spark, "m8e")
+    M.run_available(M.latest_positions(ships, expire_minutes=2 * 1440, late="1 hour"), M.update_log(path), path + "-checkpoint", "update")
+    rows = t.spark.read.parquet(path)
+    last = rows.groupBy("vessel").agg(F.max_by(F.struct("latitude", "longitude", "expired"), F.struct("ts", "expired")).alias("x"), F.max("ts").alias("ts"))
+    return last.select("vessel", F.col("ts").cast("string").alias("ts"), "x.latitude", "x.longitude", "x.expired")
+
+
 @query("m10_running_statistics", "SELECT country_code, count(sentiment) AS n, min(sentiment) AS low, max(sentiment) AS high, round(avg(sentiment), 6) AS mean FROM signals GROUP BY ALL")
 def m10(t):
-    """Partial aggregates merged batch by batch."""
+    """Partial aggregates of three batches, merged when they are read."""
     from ..operators import rollups as R
 
     path = M.scratch(t.spark, "m10")
-    state = "country_code string, n long, total double, low double, high double"
-
-    def merge(old, batch):
-        new = R.partials(batch, ["country_code"])
-        known = old if "total" in old.columns else old.sparkSession.createDataFrame([], state)
-        both = known.unionByName(new).groupBy("country_code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
-        return both
-
-    query_ = M.run_available(streamed_signals(t), M.merge_into(path, ["country_code"], merge), path + "-checkpoint")
-    last = query_.lastProgress["batchId"] if query_.lastProgress else 0
-    rows = t.spark.read.parquet(f"{path}/v{last}")
-    return rows.select("country_code", "n", "low", "high", R.r(F.try_divide("total", "n")).alias("mean"))
+    parts = ["ts < '2024-01-11'", "ts >= '2024-01-11' and ts < '2024-01-21'", "ts >= '2024-01-21'"]
+    M.run_available(staged(t, parts), M.partial_log(path, lambda batch: R.partials(batch, ["country_code"])), path + "-checkpoint")
+    return R.merge_aggregates(t.spark.read.parquet(path).drop("batch"), R.partials(t.signals.limit(0), ["country_code"]), ["country_code"]).select("country_code", "n", "low", "high", "mean")
+
+
+LINES = "WHERE signal_id % 10 NOT IN (3, 7)"
+THEMED = f", x AS (SELECT date_trunc('hour', ts) AS hour, sentiment, source_name, CASE signal_id % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'US' ELSE 'FR' END AS country, list_concat(['KILL'], list_filter(themes, lambda x: length(x) > 2)) AS themes FROM signals {LINES})"
+
+
+def ingested(t):
+    """The tables after two runs of the ingest job: files of the first days, then later ones, with a third of the first files' lines again."""
+    base = M.scratch(t.spark, "ingest")
+    lines = landing.gkg_lines(t).withColumn("part", F.when(F.col("value").startswith("short"), F.lit(0)).otherwise(F.pmod(F.xxhash64("value"), F.lit(4))))
+
+    def land(name, where):
+        lines.where(where).select("value").coalesce(2).write.text(f"{base}/landing/{name}")
+
+    land("a", "part = 0")
+    land("b", "part = 1")
+    first = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2)
+    land("c", "part = 2 or part = 0 and length(value) % 3 = 0")
+    land("d", "part = 3 or part = 1")
+    second = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2)
+    return base + "/tables", [*first, *second]
+
+
+@query("m1_ingested_theme_hours", THEMED + ", t AS (SELECT hour, sentiment, source_name, country, unnest(themes) AS theme FROM x) SELECT CAST(hour AS VARCHAR) AS hour, theme, count(*) AS signal_count, count(DISTINCT country) AS countries, count(DISTINCT source_name) AS sources, round(avg(sentiment), 6) AS avg_sentiment FROM t GROUP BY ALL")
+def m1(t):
+    """The theme rollup that the ingest job keeps, over several batches with repeated lines and a second run that goes on."""
+    rows = t.spark.read.parquet(ingested(t)[0] + "/theme_hourly")
+    return rows.select(F.col("hour").cast("string").alias("hour"), "theme", "signal_count", "countries", "sources", "avg_sentiment")
+
+
+@query("m11_ingest_batches", "SELECT count(*) AS rows_in FROM signals")
+def m11(t):
+    """Rows that the job's batches report, less those that were landed twice."""
+    base, batches = ingested(t)
+    signals = t.spark.read.parquet(base + "/signals")
+    assert signals.select("source_url").distinct().count() == signals.count()
+    lines = landing.gkg_lines(t)
+    part = F.when(F.col("value").startswith("short"), F.lit(0)).otherwise(F.pmod(F.xxhash64("value"), F.lit(4)))
+    again = lines.where((part == 1) | (part == 0) & (F.length("value") % 3 == 0)).count()
+    return t.spark.createDataFrame([(sum(b["rows"] for b in batches) - again,)], "rows_in long")

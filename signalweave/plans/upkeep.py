@@ -13,6 +13,7 @@ from ..sources import sinks as K
 from .aggregates import EXPLODED, HOUR
 from .fixture import AS_OF
 from .heat import NOW, ROUND2
+from .pairs import GRID
 from .registry import query
 
 LEX = {"en": {"click": 2.0, "error": -2.5, "the": 0.5, "of": -0.25}, "fr": {"de": -0.5, "le": 1.0}, "de": {"der": 0.75}, "es": {"la": 1.5, "que": -1.0}}
@@ -146,10 +147,11 @@ def n8(t):
     return Q.row_counts({"documents": t.raw("documents"), "events": t.raw("events"), "pages": t.raw("pages"), "signals": t.signals})
 
 
-@query("n9_grid_sanity", "SELECT 0::BIGINT AS broken")
+@query("n9_grid_sanity", GRID.replace("count(*)::DOUBLE AS i", "count(*) * 0.05 AS i") + " SELECT CAST(q AS INTEGER) AS q, 'intensity_range' AS rule, count(*) AS broken FROM o WHERE round(v, 6) > 1 GROUP BY ALL")
 def n9(t):
-    cells = P.grid_smooth(t.signals.select("latitude", "longitude", F.lit(1.0).alias("intensity")))
-    return Q.violations(cells, Q.grid_rules(), "q").agg(F.count("*").alias("broken"))
+    """A grid that is not normalised: its dense cells are over 1."""
+    cells = P.grid_smooth(t.signals.select("latitude", "longitude", F.lit(0.05).alias("intensity")), normalise=False)
+    return Q.violations(cells, Q.grid_rules(), "q").groupBy("q", "rule").agg(F.count("*").alias("broken"))
 
 
 @query("b4_signal_list", "SELECT signal_id FROM signals WHERE country_code IN ('N01', 'N02') AND list_contains(themes, 'CLICK') ORDER BY ts DESC, signal_id LIMIT 100")

@@ -19,8 +19,12 @@ EVERY_MINUTES = {"gdelt": 15, "rss": 30, "api": 60, "ngo": 120, "trends": 60, "p
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="signalweave-")
+    """A new folder under the cluster's shared checkpoint folder; where none is set, a local one, for a local session only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="signalweave-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -118,24 +122,26 @@ def latest_positions(df: DataFrame, expire_minutes: int = 10, late: str = "10 mi
     return good.select("vessel", "ts", "latitude", "longitude").withWatermark("ts", late).groupBy("vessel").applyInPandasWithState(step, POSITION + ", expired boolean", "ts long, latitude double, longitude double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def merge_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that merges each batch into the table of the batch before: versions v0, v1, ... under ``path``.
+def partial_log(path: str, partial: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch's partial aggregate under its number, so a batch costs what it holds, whatever came before it.
 
-    A version is written once from the one before it, so a batch that is run again gives the same table.
+    A batch that is run again replaces its own part. ``merged`` of the parts is the table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        table = merge(spark.read.parquet(f"{path}/v{number - 1}"), batch) if number else merge(batch.limit(0), batch)
-        table.write.mode("overwrite").parquet(f"{path}/v{number}")
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def batch_metrics(query) -> dict:
     """Rows in, rows a second and duration of a stream's last batch."""
-    p = query.lastProgress or {}
-    return {"rows": p.get("numInputRows", 0), "rows_per_second": p.get("processedRowsPerSecond", 0.0), "ms": (p.get("durationMs") or {}).get("triggerExecution", 0)}
+    return progress_metrics(query.lastProgress or {})
+
+
+def progress_metrics(p) -> dict:
+    """Number, rows in, rows a second and duration of a batch."""
+    return {"batch": p.get("batchId", 0), "rows": p.get("numInputRows", 0), "rows_per_second": p.get("processedRowsPerSecond", 0.0), "ms": (p.get("durationMs") or {}).get("triggerExecution", 0)}
 
 
 def counted(df: DataFrame, name: str = "ingest"):

@@ -1,16 +1,18 @@
 """Expectations for single rows: parsers, expressions, joins, graphs, sinks, streams."""
 
 import math
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from signalweave.functions import exprs
+from signalweave.functions import exprs, fixed
 from signalweave.operators import enrich, finding, happenings, heat, pairs, quality, rollups
 from signalweave.plans.fixture import AS_OF, Tables
 from signalweave.sources import normalize, parse, sinks
-from signalweave.streaming import stream
+from signalweave.streaming import ingest, stream
 
 
 def one(spark, column, **values):
@@ -53,6 +55,7 @@ def test_tone(spark):
 
 
 def test_named_offsets(spark):
+    assert [one(spark, exprs.iso_country(F.col("c")), c=c) for c in ("NG", "SE", "CD", "CF", "LI", "BY", "MI", "MP", "TO", "QQ", " ch", "")] == ["NE", "SC", "TD", "CG", "LR", "BI", "MW", "MU", "TG", "QQ", "CN", None]
     assert [tuple(x) for x in one(spark, parse.named_offsets(F.col("t")), t="A,B,5; C ;D,x")] == [("A,B", 5), ("C", 0), ("D", 0)]
 
 
@@ -95,11 +98,54 @@ def test_crisis(spark):
     assert (none.is_crisis, none.crisis_score, none.severity, none.event_type) == (False, 0.0, "low", "other")
 
 
-@pytest.mark.parametrize(("code", "label"), [("WB_633_ECONOMIC_STABILITY", "Economic Stability (World Bank)"), ("USPEC_POLICY_ECONOMIC1", "US Economic Policy"), ("USPEC_POLITICS_X", "US Politics"), ("CRISISLEX_C07_SAFETY", "Public Safety"), ("CRISISLEX_C03_DEAD", "Crisis: Dead"), ("UNGP_FOO_AND_BAR", "UN: Foo & Bar"), ("TAX_ETHNICITY_BASQUE", "Ethnicity: Basque"), ("ECON_DEBT", "Economic: Debt"), ("SOMETHING_NEW", "Something New")])
+@pytest.mark.parametrize(("code", "label"), [("WB_633_ECONOMIC_STABILITY", "Economic Stability"), ("WB_2433_CONFLICT_AND_VIOLENCE", "Conflict & Violence (World Bank)"), ("crime", "Crime"), ("USPEC_POLICY_ECONOMIC1", "US Economic Policy"), ("USPEC_POLITICS_X", "US Politics"), ("CRISISLEX_C07_SAFETY", "Public Safety"), ("CRISISLEX_C03_DEAD", "Crisis: Dead"), ("UNGP_FOO_AND_BAR", "UN: Foo & Bar"), ("TAX_ETHNICITY_BASQUE", "Ethnicity: Basque"), ("ECON_DEBT", "Economic: Debt"), ("SOMETHING_NEW", "Something New")])
 def test_theme_labels(spark, code, label):
     assert one(spark, exprs.theme_label(F.col("c")), c=code) == label
 
 
+def test_search_texts(spark):
+    plain = lambda t: " ".join(re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()).split())
+    for t in ("Žluťoučký kůň", "Đặng Thị Łódź", "ﬁne ½ ㎏ x²", "İstanbul", "Straße øre", "e\u0301a", "", "日本 abc", "ＦＵＬＬ①"):
+        assert one(spark, exprs.search_text(F.col("t")), t=t) == plain(t)
+
+
+def test_concepts_against_plain_code(spark):
+    def fuzzy(words, targets):
+        if not words or not targets:
+            return 0.0
+        total = 0.0
+        for w in words:
+            total += float(w in targets) if len(w) < 3 else 1.0 if any(w in x or x in w for x in targets) else max(SequenceMatcher(None, w, x).ratio() for x in targets)
+        return total / len(words)
+
+    low = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)).split())
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", low(t)) if len(w) > 1]
+    queries = ["war crimes", "viollence", "diamnts of blood", "narcotráfico en el norte", "kill", "zz", "el", "blood-diamonds"]
+    got = {(r.query, r.slug): r.score for r in finding.fuzzy_concepts(spark.createDataFrame([(q,) for q in queries], "query string"), finding.concept_frame(spark)).collect()}
+    near = {(r.query, r.slug): r.score for r in finding.closest_concepts(spark.createDataFrame([(q,) for q in queries], "query string"), finding.concept_frame(spark), 28).collect()}
+    for q in queries:
+        for slug, c in fixed.CONCEPTS.items():
+            label = words(c["label"]) + words(slug.replace("-", " "))
+            alias = [w for a in c["aliases"] for w in words(a)]
+            phrase = max([0.0, *(2.0 if low(a) == low(q) else 1.5 for a in c["aliases"] if low(a) in low(q))])
+            score = 10.0 if low(q) in (slug, slug.replace("-", " ")) else max(phrase, fuzzy(words(q), label + alias), 0.7 * fuzzy(words(q), words(c["description"])), 0.5 * fuzzy(words(q), [w for x in c["themes"] for w in words(x.replace("_", " "))]))
+            assert math.isclose(got.get((q, slug), 0.0), score if score >= 0.7 else 0.0, abs_tol=2e-6), (q, slug)
+            assert math.isclose(near.get((q, slug), 0.0), fuzzy(words(q), label), abs_tol=2e-6), (q, slug)
+
+
+def test_ingest_again_leaves_the_same_tables(spark, tmp_path):
+    line = "\t".join(["r1", "20240101120000", "1", "src.com", "https://src.com/a-long-title", "", "", "", "KILL,3;AB,1", "", LA, "", "joe doe,4", "", "", "-2,1,1,1,1,1,9"] + [""] * 11)
+    lines = lambda *ls: spark.createDataFrame([(x,) for x in ls], "value string")
+    sink, tables = ingest.signals_sink(str(tmp_path)), lambda n: spark.read.parquet(f"{tmp_path}/{n}")
+    sink(lines(line, "bad"), 0)
+    other = line.replace("a-long-title", "b-long-title")
+    for _ in range(2):  # the second time as after a failure
+        sink(lines(line, other, other, line.replace("a-long", "c-long").replace("20240101", "20240102")), 1)
+        assert tables("signals").count() == 3 and {(r.theme, r.signal_count) for r in tables("theme_hourly").where("day = '2024-01-01'").collect()} == {("KILL", 2)}
+    sink(lines("bad"), 2)
+    assert tables("country_hourly").agg(F.sum("signal_count")).first()[0] == 3
+
+
 def test_query_country(spark):
     assert tuple(one(spark, exprs.query_country(F.col("q")), q="Protests in South Korea")) == ("KR", "protests")
     assert one(spark, exprs.query_country(F.col("q")), q="nothing here") is None
@@ -147,7 +193,49 @@ def test_diversity_and_volume(spark):
     rows = [("A", f"2024-01-{d:02d} 05:00:00") for d in range(24, 30) for _ in range(4)] + [("A", "2024-01-30 12:00:00")] * 12 + [("B", "2024-01-30 12:00:00")]
     v = spark.createDataFrame(rows, "country_code string, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = {r.country_code: r for r in heat.normalized_volume(v, "country_code", AS_OF).collect()}
-    assert (got["A"].multiplier, got["A"].z, got["A"].level) == (3.0, 3.0, "surge") and got["B"].multiplier is None and got["B"].level is None
+    assert (got["A"].multiplier, got["A"].z, got["A"].level) == (3.0, 3.0, "high") and got["B"].multiplier is None and got["B"].level == "unknown"
+
+
+@pytest.mark.parametrize(("z", "level"), [(3.01, "exceptional"), (3.0, "high"), (2.5, "high"), (2.0, "elevated"), (1.5, "elevated"), (1.0, "normal"), (0.0, "normal"), (-1.0, "normal"), (-1.01, "low"), (None, "unknown")])
+def test_volume_levels(spark, z, level):
+    assert one(spark, heat.volume_level(F.lit(z).cast("double")), x=1) == level
+
+
+@pytest.mark.parametrize(
+    ("local", "diversity", "n", "geo", "polyphony", "flags"),
+    [
+        (0.1, 0.5, 200, 0.9, 0.5, ["external_coverage"]), (0.0, 0.5, 200, 0.9, 0.5, []), (None, None, 60, None, None, ["wire_dominance"]), (0.5, 0.29, 49, 0.69, 0.5, ["wire_dominance", "thin_coverage"]),
+        (0.5, 0.5, 101, 0.9, 0.29, ["echo_chamber"]), (0.5, 0.5, 100, 0.9, 0.29, []), (0.2, 0.3, 50, 0.5, 0.3, []), (0.5, 0.5, None, 0.5, 0.1, ["thin_coverage"]),
+    ],
+)
+def test_heat_flags(spark, local, diversity, n, geo, polyphony, flags):
+    lit = lambda v, kind: F.lit(v).cast(kind)
+    assert one(spark, exprs.heat_flags(lit(local, "double"), lit(diversity, "double"), lit(n, "long"), lit(geo, "double"), lit(polyphony, "double")), x=1) == flags
+
+
+@pytest.mark.parametrize(("name", "lang", "good"), [("G7", "en", True), ("EU", None, True), ("COVID 19", "en", True), ("2024", "en", False), ("x", "en", False), (" a ", "en", False), ("one two three four five six", "en", False), ("Дума", "en", False), ("Дума", "uk", False), ("دولة", "ar", True), ("José Pérez", "es", True), ("éèab", "fr", False), ("n" * 80, "en", True)])
+def test_entities(spark, name, lang, good):
+    assert one(spark, exprs.entity_valid(F.col("n"), F.lit(lang).cast("string")), n=name) == good
+
+
+def test_entities_of_several_languages(spark):
+    assert one(spark, exprs.entity_valid(F.col("n"), F.lit("fr"), multilingual=True), n="éèab")
+
+
+def test_country_nodes(spark):
+    """Three countries: one far over its baseline, one without a baseline, one without a place."""
+    ts = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    rows = [("A", 1.0, "s1", "x")] * 40 + [("B", -2.0, "s1", "x")] * 10 + [("C", 0.0, "s2", "y")] * 50
+    S = spark.createDataFrame(rows, "country_code string, sentiment double, source_name string, theme string").withColumn("ts", ts).withColumn("themes", F.array(F.upper("theme")))
+    countries = spark.createDataFrame([("A", "Aland", 1.0, 2.0), ("B", None, 3.0, 4.0), ("C", "Cland", None, 5.0)], "country_code string, name string, latitude double, longitude double")
+    baseline = spark.createDataFrame([("A", 8.0, 6.0)], "country_code string, avg_daily double, sd_daily double")
+    nodes = lambda **how: {r.country_code: r for r in heat.country_nodes(S, rollups.country_hourly(S), rollups.country_daily(S), countries, baseline, AS_OF, **how).collect()}
+    got = nodes(hours=24)
+    assert set(got) == {"A", "B"} and (got["A"].heat, got["A"].level, got["A"].intensity) == (1.0, "critical", 0.8)  # z = (40 - 8) / 6, five times
+    assert (got["B"].heat, got["B"].level, got["B"].name, got["B"].tone) == (0.2, "normal", "B", -0.2)
+    focus = nodes(hours=24, focus=("theme", "x"))
+    assert focus["A"].heat == 1.0 and focus["A"].level == "normal" and focus["B"].heat == 0.25
+    assert set(nodes(range_name="1m", only=[" b"])) == {"B"} and nodes(hours=24, limit=1) == {}
 
 
 def test_heat_stays_in_range(spark, small):
