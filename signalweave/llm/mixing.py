@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, quoted, renamed, restored, uniform
+from .common import WORD, checkpointed, join_all, quoted, renamed, restored, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -62,7 +62,10 @@ def _ranged(rows: DataFrame, by_source: DataFrame, bucket_rows: int) -> DataFram
     weights = steps.groupBy("s").agg(F.collect_list(F.struct("rows", "q")).alias("weights"))
     share = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x["rows"] * (1.0 - F.exp(-x["q"] * F.col("key")))) / F.col("n")
     last = F.ceil(F.col("n") / bucket_rows) - 1
-    return rows.join(by_source.join(weights, "s"), "s").withColumn("b", F.least(F.floor((last + 1) * share), last).cast("long")).drop("weights")
+    table = checkpointed(by_source.join(weights, "s").withColumn("of_source", F.col("n")))
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = join_all(rows, table, "s", "of_source", total)  # a source may be most of the rows
+    return joined.withColumn("b", F.least(F.floor((last + 1) * share), last).cast("long")).drop("weights")
 
 
 def _planned(docs: DataFrame, text: str, source: str, doc_id: str, quality: Column | None, cap: float, bucket_rows: int, keep: list[str]) -> DataFrame:
