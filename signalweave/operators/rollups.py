@@ -164,8 +164,9 @@ def hourly_sample(S: DataFrame, per_hour: int = 8, limit: int = 240) -> DataFram
     return rows.orderBy("ts", "signal_id").limit(limit)
 
 
-def stratified_sample(S: DataFrame, keys: list[str], per: int = 3) -> DataFrame:
-    """The newest few rows of each day and combination of keys."""
+def stratified_sample(S: DataFrame, keys: list[str], per: int = 3, newest: int = 75_000) -> DataFrame:
+    """The newest few rows of each day and combination of keys, among the ``newest`` rows of all."""
+    S = S.orderBy(F.desc("ts"), "signal_id").limit(newest)
     return top_per(S.withColumn("day", day()), ["day", *keys], [F.desc("ts"), F.asc("signal_id")], per)
 
 

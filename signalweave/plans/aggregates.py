@@ -159,7 +159,7 @@ def f2(t):
     return HOUR(R.hourly_sample(t.signals), "signal_id", "hour")
 
 
-@query("f3_stratified_sample", "SELECT signal_id FROM signals QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), country_code, source_family, source_lang, is_crisis, severity, event_type ORDER BY ts DESC, signal_id) <= 3")
+@query("f3_stratified_sample", "SELECT signal_id FROM (SELECT * FROM signals ORDER BY ts DESC, signal_id LIMIT 75000) QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), country_code, source_family, source_lang, is_crisis, severity, event_type ORDER BY ts DESC, signal_id) <= 3")
 def f3(t):
     return R.stratified_sample(t.signals, ["country_code", "source_family", "source_lang", "is_crisis", "severity", "event_type"]).select("signal_id")
 

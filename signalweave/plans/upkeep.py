@@ -35,7 +35,7 @@ def l1d(t):
 
 
 @query("l2_nlp_batch", f""", a AS (SELECT *, (epoch({{AS_OF}}) - epoch(ts)) / 86400 + CASE WHEN source_lang <> 'en' THEN -2 ELSE 0 END + CASE WHEN source_family IN ('api', 'social') THEN -1 ELSE 0 END + CASE WHEN geo_confidence > 0.8 THEN -0.5 ELSE 0 END AS p FROM signals WHERE nlp_sentiment IS NULL AND length(headline) > 10),
- sm AS (SELECT signal_id FROM signals QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), country_code ORDER BY ts DESC, signal_id) <= 3), h AS (SELECT signal_id, 'hot' AS lane FROM a WHERE {NOW(72)} ORDER BY p, signal_id LIMIT 130), s AS (SELECT signal_id, 'sample' AS lane FROM a WHERE signal_id IN (SELECT signal_id FROM sm) AND signal_id NOT IN (SELECT signal_id FROM h) ORDER BY ts, signal_id LIMIT 50),
+ sm AS (SELECT signal_id FROM (SELECT * FROM signals ORDER BY ts DESC, signal_id LIMIT 75000) QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), country_code ORDER BY ts DESC, signal_id) <= 3), h AS (SELECT signal_id, 'hot' AS lane FROM a WHERE {NOW(72)} ORDER BY p, signal_id LIMIT 130), s AS (SELECT signal_id, 'sample' AS lane FROM a WHERE signal_id IN (SELECT signal_id FROM sm) AND signal_id NOT IN (SELECT signal_id FROM h) ORDER BY ts, signal_id LIMIT 50),
  b AS (SELECT signal_id, 'backlog' AS lane FROM a WHERE ts > {{AS_OF}} - INTERVAL 20 DAYS AND ts <= {{AS_OF}} - INTERVAL 72 HOURS AND signal_id NOT IN (SELECT signal_id FROM h UNION ALL SELECT signal_id FROM s) ORDER BY p, signal_id LIMIT 200), u AS (SELECT *, 0 AS o FROM h UNION ALL SELECT *, 1 FROM s UNION ALL SELECT *, 2 FROM b) SELECT signal_id, lane FROM (SELECT u.*, p FROM u JOIN a USING (signal_id) ORDER BY o, p, signal_id LIMIT 200)""")
 def l2(t):
     return E.nlp_batch(t.signals, R.stratified_sample(t.signals, ["country_code"]), AS_OF, 200, hot_hours=72, backlog_days=20)
