@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, brown, compression, language_id, mixing, oracles, quality_rules, secrets, simhash, topk, toxicity
+from . import bpe, brown, compression, language_id, lexical, minhash, mixing, oracles, quality_rules, secrets, simhash, spelling, topk, toxicity
 from .common import held_out, table
 
 
@@ -75,5 +75,17 @@ def op10_brown_lm(spark, sf_dir):
     return brown.score(docs, model, counts, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors, op10_brown_lm)}
+def op11_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors, op10_brown_lm, op11_minhash, op12_lexical_search, op13_spelling_variants)}
 ORACLES: dict[str, str] = {"op2_quality_rules": oracles.QUALITY, "op4_secrets": oracles.SECRETS, "op6_mixing": oracles.MIXING, "op9_top_vectors": oracles.TOP_VECTORS}

@@ -253,3 +253,91 @@ def toxicity(train, texts, significance=4.5, rounds=200, rate=0.3):
         bias = min(bias + rate * g_bias / math.sqrt(square_b), -4.0)
     rho = sig(leak)
     return [1 - (1 - rho) * math.prod(1 - sig(sum(known.get(w, 0.0) for w in b) + bias) for b in bs) if (bs := bags(t)) else 0.0 for t in texts]
+
+
+def shingle_set(text, width=5):
+    words = WORDS.findall(ascii_lower(text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard_groups(ids, texts, percent=85):
+    """Smallest id reachable over links of sets, compared pair by pair."""
+    sets = [shingle_set(t) for t in texts]
+    n = len(ids)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted((i for i in range(n) if sets[i]), key=lambda i: len(sets[i]))
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if 100 * len(sets[i]) < percent * len(sets[j]):
+                break
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(n):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [len(s) for s in sets], [least.get(find(i)) for i in range(n)]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=10):
+    """(item_id, rank, doc_id, score) for documents and items (id, text), every document scored."""
+    bags = [(i, Counter(ascii_lower(x) for x in TERM.findall(t or ""))) for i, t in docs]
+    bags = [(i, b, sum(b.values())) for i, b in bags if b]
+    n_docs, n_terms = len(bags), sum(n for _, _, n in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    out = []
+    for item, text in items:
+        asked = Counter(ascii_lower(x) for x in TERM.findall(text or ""))
+        scores = []
+        for i, b, n in bags:
+            m = 25 + 75 * n * n_docs // n_terms
+            s = sum(x * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * b[t] // (1000 * b[t] + 8 * m)) for t, x in asked.items() if t in b)
+            if s > 0 and i is not None:
+                scores.append((-s, i))
+        out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def spelling(docs, least=7):
+    """word -> (form, root, n, n_near, form_n) by trying every edit of every word."""
+    counts = Counter()
+    for i, t in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = ascii_lower(w)
+            if i is not None and (h := zlib.crc32(f"{i}:{w}".encode())) % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= least:
+                counts[w] += 1
+    words = {w: n for w, n in counts.items() if n >= 2}
+    holes = {}
+    for w in words:
+        for i in range(len(w)):
+            holes.setdefault((w[:i], w[i + 1 :]), []).append(w)
+    form, near_n = {}, {}
+    for w, n in words.items():
+        near = {w[:i] + w[i + 1 :] for i in range(len(w))} & words.keys()
+        for i in range(len(w)):
+            near |= set(holes[w[:i], w[i + 1 :]])
+        for i in range(len(w) + 1):
+            near |= set(holes.get((w[:i], w[i:]), ()))
+        near.discard(w)
+        near_n[w] = len(near)
+        best = min(near, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n, near_n[w], words[form[w]] if form[w] else None) for w, n in words.items()}
