@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import dims, exprs, fixed
+from . import fuzzy
 from .rollups import containing, r, top_per
 
 
@@ -67,13 +64,8 @@ def offered(query: Column, value: Column, score: Column) -> Column:
 
 
 def fuzzy_candidates(queries: DataFrame, values: DataFrame, least: float = 0.25) -> DataFrame:
-    """(query, value, kind, n, score) with a trigram similarity of ``least`` or more: only those with a trigram in common meet."""
-    q = queries.select("query", exprs.gram_set(F.col("query")).alias("gq"))
-    v = values.select("value", "kind", "n", exprs.gram_set(F.col("value")).alias("gv"))
-    met = q.select("query", F.size("gq").alias("nq"), F.explode("gq").alias("g")).join(v.select("value", "kind", "n", F.size("gv").alias("nv"), F.explode("gv").alias("g")), "g")
-    common = met.groupBy("query", "value", "kind", "n", "nq", "nv").agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("nq") + F.col("nv") - F.col("c"))
-    return common.withColumn("score", score).where(F.col("score") >= least).select("query", "value", "kind", "n", "score")
+    """(query, value, kind, n, score) with a trigram similarity of ``least`` or more: distinct texts are compared, by the prefixes of their grams."""
+    return fuzzy.gram_pairs(queries, values, least).join(values.select("value", "kind", "n"), "value").select("query", "value", "kind", "n", "score")
 
 
 def fuzzy_suggest(queries: DataFrame, S: DataFrame, countries: DataFrame, pageviews: DataFrame, limit: int = 5) -> DataFrame:
@@ -90,30 +82,27 @@ def fuzzy_suggest(queries: DataFrame, S: DataFrame, countries: DataFrame, pagevi
     return best.join(most, "query").where("most = 0 or s = most").select("query", "value", "kind", "n", F.round("score", 3).alias("score"))
 
 
-@F.pandas_udf(T.DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; Spark has none. Only distinct pairs of words come here."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
-def fuzzy_dictionary(queries: DataFrame, entries: DataFrame, least: float = 0.6, salts: int = 16) -> DataFrame:
+def fuzzy_dictionary(queries: DataFrame, entries: DataFrame, least: float = 0.6) -> DataFrame:
     """(query, entry, score): the mean over a query's words of the best match among an entry's words.
 
     entries: entry, text. Equal to or part of a word (or the other way round) counts 1; under three letters only equal words
-    count; else the ratio. Distinct words meet by an equi-join on the smallest letter that they share, as words without one have a ratio of 0; the
-    few letters are salted, and words of the dictionary go to each salt.
+    count; else the ratio. A mean of ``least`` needs one word that matches that well, so only entries with such a pair of words are scored
+    with all their words. With ``least`` 0 every entry that shares a letter is scored.
     """
     q = exprs.computed(queries.select("query").distinct(), ws=exprs.search_words(F.col("query"))).select("query", F.posexplode("ws").alias("at", "qw"))
     e = exprs.computed(entries.select("entry", "text"), ws=exprs.search_words(F.col("text"))).select("entry", F.explode("ws").alias("ew")).distinct()
-    letters = lambda w: F.array_distinct(F.split(w, ""))
-    left = q.select("qw").distinct().withColumn("ql", letters(F.col("qw"))).withColumn("salt", F.pmod(F.hash("qw"), F.lit(salts))).withColumn("letter", F.explode("ql"))
-    right = e.select("ew").distinct().withColumn("el", letters(F.col("ew"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("letter", F.explode("el"))
-    pairs = left.join(right, ["letter", "salt"]).where(F.array_min(F.array_intersect("ql", "el")) == F.col("letter")).select("qw", "ew")
-    inside = F.col("ew").contains(F.col("qw")) | F.col("qw").contains(F.col("ew"))
-    sure = F.when(F.length("qw") < 3, (F.col("qw") == F.col("ew")).cast("double")).when(inside, 1.0)
-    scored = pairs.withColumn("sure", sure)
-    known = scored.where("sure is not null").withColumn("s", F.col("sure")).unionByName(scored.where("sure is null").withColumn("s", matcher_ratio("qw", "ew")))
-    best = q.join(known.select("qw", "ew", "s"), "qw").join(e, "ew").groupBy("query", "entry", "at").agg(F.max("s").alias("s"))
+    qs, es = q.select("qw").distinct(), e.select("ew").distinct()
+    long = qs.where(F.length("qw") > 2)
+    inside = containing(es, "ew", long, "qw").select("qw", "ew").union(containing(long, "qw", es, "ew").select("qw", "ew"))
+    sure = inside.union(qs.where(F.length("qw") <= 2).join(es, F.col("qw") == F.col("ew"))).distinct().withColumn("s", F.lit(1.0))
+    close = fuzzy.close_pairs(long, es, max(least - 1e-6, 0.0))
+    known = close.unionByName(sure).groupBy("qw", "ew").agg(F.max("s").alias("s"))
+    met = q.join(known, "qw").join(e, "ew")
+    if least > 0:
+        rows = met.select("query", "entry").distinct().join(q, "query").join(e, "entry")
+        rest = rows.where(F.length("qw") > 2).select("qw", "ew").distinct().join(known, ["qw", "ew"], "left_anti")
+        met = rows.join(known.unionByName(fuzzy.scored_pairs(rest)), ["qw", "ew"])
+    best = met.groupBy("query", "entry", "at").agg(F.max("s").alias("s"))
     n = q.groupBy("query").agg(F.count("*").alias("n"))
     return best.groupBy("query", "entry").agg(F.sum("s").alias("t")).join(n, "query").select("query", "entry", r(F.col("t") / F.col("n")).alias("score")).where(F.col("score") >= least)
 
@@ -135,7 +124,9 @@ def fuzzy_concepts(queries: DataFrame, concepts: DataFrame, least: float = 0.7)
     parts = [(F.concat_ws(" ", "label", F.translate("slug", "-", " "), F.array_join("aliases", " ")), 1.0), (F.col("description"), 0.7), (F.translate(F.array_join("themes", " "), "_", " "), 0.5)]
     found = exact.unionByName(phrases)
     for text, weight in parts:
-        x = fuzzy_dictionary(queries, concepts.select(F.col("slug").alias("entry"), text.alias("text")), 0.0)
+        if least > weight:  # no score is above 1
+            continue
+        x = fuzzy_dictionary(queries, concepts.select(F.col("slug").alias("entry"), text.alias("text")), max(least / weight - 1e-5, 0.0))
         found = found.unionByName(x.select("query", F.col("entry").alias("slug"), (F.col("score") * weight).alias("score")))
     return found.groupBy("query", "slug").agg(r(F.max("score")).alias("score")).where(F.col("score") >= least)
 
