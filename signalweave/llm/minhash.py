@@ -7,11 +7,11 @@ within 19 errors have a chunk with one error at most, so each chunk is a key fou
 every pair within the distance meets, whatever the errors are. What meets is compared by size and by the whole signature, and links are
 confirmed on the full sets.
 
-No group is expanded into pairs. Equal sets are one from the start. First each set meets only the smallest of each of its keys, which
-leaves one component of most groups. From then on only sets of different components are compared, those outside of a key's largest
-component with all others of the key, in blocks of at most ``most`` by ``most``; a set goes through its possible partners in order, a few a
-round and four times as many in the next, so that what an earlier round has linked is not tested again. It ends when no possible
-pair of different components is left untested: components are those of all links.
+No group is expanded into pairs. Equal sets are one from the start. Of the smallest sets of its keys, each set is first compared with the
+one that is nearest by signature, which leaves one component of most groups. From then on only sets of different components matter.
+Of each key with several, those outside its largest component are compared by signature with all others of the key, in blocks of at
+most ``most`` by ``most``; what may be a link makes components into families. A family's sets meet once, in pairs of blocks, where sets of different
+components are compared whole until they are one or no possible pair is left: components are those of all links.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing. Fewer than five words are one shingle. Texts of any length count
 whole. Rows of one id are rows of one group each by its own text. Rows with a null id take the smallest id of their group, if any, and
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, join_all, map_texts, quoted, renamed, restored
-from .components import components
+from .components import components, local_roots
 
 SHINGLE = 5
 CHUNKS, WIDTH = 10, 4
@@ -40,7 +40,6 @@ LINK = 85  # per cent
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 _RANDOM = np.random.default_rng(20240131)
 _XOR, _ODD = _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64), _RANDOM.integers(0, 2**64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_LAST = np.iinfo(np.int64).max
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -95,17 +94,18 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
     return reps.select("u", "sig").mapInArrow(keys, "k long, u long")
 
 
-def similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sizes and signatures allow a link."""
+def nearest(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """For each a of the pairs (a, b) the b with the nearest signature, if sizes and signatures allow a link at all."""
     side = lambda c: reps.select(F.col("u").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
 
     def check(batches):
         for batch in batches:
-            good = (symbols(batch.column(2)) != symbols(batch.column(3))).sum(1) <= ERRORS
-            yield batch.select([0, 1]).filter(pa.array(good))
+            errors = (symbols(batch.column(2)) != symbols(batch.column(3))).sum(1)
+            good = np.flatnonzero(errors <= ERRORS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(errors[good].astype(np.int32))], names=["a", "b", "errors"])
 
-    return near.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return near.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, errors int").groupBy("a").agg(F.min(F.struct("errors", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int = 512) -> DataFrame:
@@ -127,51 +127,85 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int = 512) -> DataFrame:
                 if a is None:
                     centre = own
                     continue
-                at = np.searchsorted(centre, own)
-                common = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
-                if 100 * common >= LINK * (len(own) + len(centre) - common):
+                shared = common(centre, own)
+                if 100 * shared >= LINK * (len(own) + len(centre) - shared):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return partners.unionByName(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a")).mapInArrow(check, "a long, b long")
 
 
-def possible(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (k, i, j, u, n, sig, own, member, label, cursor) sorted by (k, i, j), whose sizes, signatures and labels allow a
-    new link: each row that is ``own`` with the first ``few`` members past its cursor."""
-
-    def pairs(rows: pa.Table):
-        own, member = (rows.column(c).to_numpy() for c in ("own", "member"))
-        u, n, label, cursor = (rows.column(c).to_numpy() for c in ("u", "n", "label", "cursor"))
-        sig = symbols(rows.column("sig"))
-        mine, theirs = np.flatnonzero(own & (cursor < _LAST)), np.flatnonzero(member)
-        theirs = theirs[np.argsort(u[theirs])]
-        for x in mine:
-            y = theirs[(label[theirs] != label[x]) & (u[theirs] > cursor[x]) & (100 * n[x] >= LINK * n[theirs]) & (100 * n[theirs] >= LINK * n[x])]
-            y = y[(sig[y] != sig[x]).sum(1) <= ERRORS][:few]
-            if len(y):
-                yield np.full(len(y), u[x]), u[y]
-
-    def close(table: pa.Table):
-        out = list(pairs(table)) if len(np.unique(table.column("label").to_numpy())) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], names=["a", "b"])
-
+def groups(batches: Iterator[pa.RecordBatch], names: tuple) -> Iterator[pa.Table]:
+    """The rows of each combination of the columns ``names``, by which the batches are sorted."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        k, i, j = (batch.column(c).to_numpy() for c in ("k", "i", "j"))
-        cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = [0, *cuts.tolist(), len(k)]
+        keys = [batch.column(c).to_numpy() for c in names]
+        new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            new |= k[1:] != k[:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for a, b in zip(bounds, bounds[1:]):
             if a == b:
                 continue
             piece = batch.slice(a, b - a)
-            if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("k", "i", "j")):
-                yield from close(pa.Table.from_batches(held).combine_chunks())
+            if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in names):
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             held.append(piece)
     if held:
-        yield from close(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def allowed(x: int, others: np.ndarray, n: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Those of the others that may be linked with x by their sizes and signatures."""
+    y = others[(100 * n[x] >= LINK * n[others]) & (100 * n[others] >= LINK * n[x])]
+    return y[(sig[y] != sig[x]).sum(1) <= ERRORS]
+
+
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What may be linked in groups (k, i, j) of rows (u, n, sig, own, member, label): rows (u, -, -) of the sets, and edges (-, a, b) that connect their labels.
+
+    Rows that are ``own`` are compared with those that are ``member``. There are no more rows than sets, and no more edges than labels.
+    """
+    for table in groups(batches, ("k", "i", "j")):
+        own, member, u, n, label = (table.column(c).to_numpy() for c in ("own", "member", "u", "n", "label"))
+        sig, theirs = symbols(table.column("sig")), np.flatnonzero(member)
+        used, edges = [], []
+        for x in np.flatnonzero(own):
+            y = allowed(x, theirs[label[theirs] != label[x]], n, sig)
+            if len(y):
+                used += [[x], y]
+                edges.append(np.unique(label[y]))
+                edges[-1] = np.stack([np.full(len(edges[-1]), label[x]), edges[-1]])
+        if used:
+            nodes, roots = local_roots(*np.concatenate(edges, axis=1))
+            sets, apart = u[np.unique(np.concatenate(used))], nodes != roots
+            none = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sets), none(len(sets)), none(len(sets))], names=["u", "a", "b"])
+            yield pa.RecordBatch.from_arrays([none(apart.sum()), pa.array(nodes[apart]), pa.array(roots[apart])], names=["u", "a", "b"])
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def link_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between labels: in groups (family, i, j) of rows (label, n, sig, hashes), sets of different components are compared whole."""
+    for table in groups(batches, ("family", "i", "j")):
+        label, n, sig = table.column("label").to_numpy(), table.column("n").to_numpy(), symbols(table.column("sig"))
+        sets = [np.frombuffer(h.as_py(), dtype=np.uint64) for h in table.column("hashes")]
+        component, every, found = np.unique(label, return_inverse=True)[1], np.arange(len(sets)), []
+        for x in range(len(sets)):
+            y = allowed(x, every[:x][component[:x] != component[x]], n, sig)
+            while len(y):
+                shared = common(sets[x], sets[y[0]])
+                if 100 * shared >= LINK * (n[x] + n[y[0]] - shared):
+                    found.append((label[x], label[y[0]]))
+                    component[component == component[y[0]]] = component[x]
+                y = y[1:]
+                y = y[component[y] != component[x]]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _contested(met: DataFrame, reps: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -189,31 +223,30 @@ def _contested(met: DataFrame, reps: DataFrame, labels: DataFrame, most: int) ->
     rows = rows.withColumn("oi", i).withColumn("mj", j)
     as_member = rows.select("k", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.col("mj").alias("j"), "u", "own", "oi").select("k", "i", "j", "u", (F.col("own") & (F.col("oi") == F.col("i"))).alias("own"), F.lit(True).alias("member"))
     as_owner = rows.where("own").select("k", F.col("oi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), "u", "mj").where("j <> mj").select("k", "i", "j", "u", F.lit(True).alias("own"), F.lit(False).alias("member"))
-    return checkpointed(as_member.unionByName(as_owner).join(reps.select("u", "n", "sig"), "u"))
+    labels = labelled.select("u", "label").distinct()
+    return as_member.unionByName(as_owner).join(reps.select("u", "n", "sig"), "u").join(labels, "u")
+
+
+def _blocks(members: DataFrame, most: int) -> DataFrame:
+    """Rows (family, u, label) with pairs of blocks (i, j), so that any two sets of a family meet in one, of 2 * ``most`` sets or so."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    rows = members.join(sizes, "family").withColumn("x", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.where("x <> y or blocks = 1").select("family", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "u", "label")
 
 
 def links(reps: DataFrame, met: DataFrame, sets: DataFrame, most: int = 2048) -> DataFrame:
-    """Rows (node, root): components over all links between the distinct sets ``reps`` (u, n, sig) that meet in ``met`` (k, u, first)."""
-    stars = met.where("u <> first").select(F.col("u").alias("a"), F.col("first").alias("b")).distinct()
-    edges = checkpointed(confirmed(checkpointed(similar(stars, reps)), sets))
-    labels = components(edges)
-    contested = _contested(met, reps, labels.withColumnRenamed("node", "u"), most)
-    cursors = edges.sparkSession.createDataFrame([], "u long, cursor long")
-    few = 4
-    while True:
-        rows = contested.join(labels.withColumnRenamed("node", "u"), "u", "left").join(cursors, "u", "left")
-        rows = rows.select("k", "i", "j", "u", "n", "sig", "own", "member", F.coalesce("root", "u").alias("label"), F.coalesce("cursor", F.lit(-1).cast("long")).alias("cursor"))
-        found = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(lambda x, few=few: possible(x, few), "a long, b long").distinct()
-        tested = checkpointed(found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("r") <= few))
-        if tested.isEmpty():
-            return labels
-        # whoever has fewer partners than asked for has met all
-        new = tested.groupBy(F.col("a").alias("u")).agg(F.when(F.count("*") < few, F.lit(int(_LAST))).otherwise(F.max("b")).alias("cursor"))
-        cursors = checkpointed(cursors.unionByName(new).groupBy("u").agg(F.max("cursor").alias("cursor")))
-        more = confirmed(checkpointed(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), sets)
-        edges = checkpointed(edges.unionByName(more))
-        labels = components(edges)
-        few *= 4
+    """Rows (u, root): components over all links between the distinct sets ``reps`` (u, n, sig) that meet in ``met`` (k, u, first)."""
+    stars = nearest(met.where("u <> first").select(F.col("u").alias("a"), F.col("first").alias("b")).distinct(), reps)
+    labels = components(confirmed(checkpointed(stars), sets)).withColumnRenamed("node", "u")
+    dealt = _contested(met, reps, labels, most).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    found = checkpointed(dealt.mapInArrow(possible, "u long, a long, b long").distinct())
+    families = components(found.where("u is null").select("a", "b")).select(F.col("node").alias("label"), F.col("root").alias("family"))
+    used = found.where("u is not null").select("u").join(labels, "u", "left").select("u", F.coalesce("root", "u").alias("label"))
+    rows = _blocks(checkpointed(used.join(families, "label")), most).join(reps.select("u", "n", "sig"), "u").join(sets, "u")
+    more = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(link_families, "a long, b long")
+    above = components(more).select(F.col("node").alias("label"), F.col("root").alias("above"))
+    every = met.select("u").distinct().join(labels, "u", "left").withColumn("label", F.coalesce("root", "u"))
+    return every.join(above, "label", "left").select("u", F.coalesce("above", "label").alias("root"))
 
 
 MADE = ["n_shingles", "component_id", "kept"]
@@ -245,7 +278,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     met = checkpointed(join_all(keys, counts, "k", "c", reps.count() * SYMBOLS))
     wanted = reps.select("u", "first_id", "digest").join(met.select("u").distinct(), "u")
     roots = links(reps, met, checkpointed(_sets(texts, wanted)), most)
-    joined = checkpointed(reps.select("u", "digest", "rows", "first_id").join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u")))
+    joined = checkpointed(reps.select("u", "digest", "rows", "first_id").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")))
     least = checkpointed(joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("members")))
     total = marked.count()
     of = checkpointed(join_all(joined.select("root", "digest", "rows"), least, "root", "members", total).select("digest", "rows", "component_id"))
