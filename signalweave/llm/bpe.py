@@ -8,7 +8,9 @@ The vocabulary file (JSON; its path is a parameter) is read on the driver: BPE w
 in NFC and lower case, split into letters, single digits and other runs, white space dropped. Its special tokens are
 recognised in the texts as they are.
 
-Cases: null and empty texts, and texts of white space, have no ids and decode to the empty text. Repeated rows get equal ids.
+Cases: null and empty texts, and texts of white space, have no ids and decode to the empty text. Repeated rows get equal ids. An empty
+table gives no rows, and a lexicon without words. Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations

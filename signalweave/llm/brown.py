@@ -11,7 +11,9 @@ and ends in tables of a fixed size per task. Texts are split twice in training,
 with their numbers per text, is joined with the counts by word, so nothing that grows with the vocabulary is broadcast.
 
 Cases: a null, empty or blank text is its end alone. Without training texts every word is unknown, N and V are 0.
-Rows are told apart by their place, so null and repeated ids are no matter; equal texts get equal scores.
+Rows are told apart by their place, so null and repeated ids are no matter; equal texts get equal scores. An empty table gives no rows.
+Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ either: their difference over their sum, and how far the text packs at all, thro
 fitted on other labelled rows than the dictionaries.
 
 Cases: a null or empty text has difference 0 and ratio 1 and gets the curve's value there. With one class of labels
-only, the score is that class's share; with none it is 0.5. Repeated rows get equal scores.
+only, the score is that class's share; with none it is 0.5. Repeated rows get equal scores, an empty table no rows.
+Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ limits is unlike all languages: it is flagged too. A language with under 20 trai
 others; where none has so many, no text is unlike.
 
 Cases: a null or empty text, or one without letters, is ``und`` with score 0. Ties go to the language that
-sorts first. A corpus without labelled rows gives ``und`` everywhere. Repeated rows get equal results.
+sorts first. A corpus without labelled rows gives ``und`` everywhere. Repeated rows get equal results, an empty table no rows.
+Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import letters, lowered, pack
-from .common import map_texts, renamed, restored, slices, uniform
+from .common import map_texts, quoted, renamed, restored, slices, uniform
 
 BITS = 13  # of a feature's number
 FEATURES = 1 << BITS
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     A text weighs in with its n-grams, but at most like ``whole`` of them: a weight, by which all of a text counts. Rows with a null
     label, text or id teach nothing.
     """
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("g"), F.col(text).alias("t")).where("i is not null and g is not null")
+    rows = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(lang)).alias("g"), F.col(quoted(text)).alias("t")).where("i is not null and g is not null")
     found = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     names = sorted(found)
     if not names:

@@ -9,7 +9,8 @@ No source is sorted in one task: documents fall into key ranges of about ``bucke
 running sum goes over ranges in groups of 1024, and only rows of one range are sorted together.
 
 Cases: null texts have size 0 and take nothing; null sources are one source, last in the order; equal keys go by
-id, then by the row's place. A total of 0 gives targets of 0. A null id takes its key from the row's place. Kept columns may have
+id, then by the row's place. A total of 0 gives targets of 0. A null id takes its key from the row's place. Very
+long texts are cut like others; an empty table gives no rows. Kept columns may have
 any name; only a name that the result itself has is taken from them.
 """
 

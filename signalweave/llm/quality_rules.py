@@ -6,7 +6,9 @@ text as its Jensen-Shannon distance to the nearest language's references. The ru
 documents with enough characters and words for such a distance to mean something; the limit widens for short ones.
 
 Cases: a null text counts as empty and fails the base rules, as any text under ten words does. With no reference
-(an empty corpus) nothing is judged. Ties between words go to the smaller. Repeated rows get equal results.
+(an empty corpus) nothing is judged. Ties between words go to the smaller. Repeated rows get equal results, an empty table no rows.
+Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import TOP, pack
-from .common import WORD, checkpointed, count_words, map_texts, slices
+from .common import WORD, checkpointed, count_words, map_texts, quoted, slices
 
 #: Character classes, in the order of their numbers.
 CLASSES = ["lower", "upper", "other_letter", "digit", "space", "stop", "symbol", "bracket", "other"]
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 60,
     A document's classes weigh in with its characters, but at most like ``whole`` of them, so that a few very long ones don't
     stand for a language: a weight, by which all of every text counts.
     """
-    source = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.coalesce(F.col(quoted(lang)), F.lit("")).alias("lang"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
 
     def classes(batches):
         sums: dict[str, np.ndarray] = {}

@@ -13,7 +13,8 @@ and role (first start, last end). As a stretch is no longer than twice the scope
 exactly whether any part is within reach, and no pairs are made however many parts stand close together.
 
 Cases: a null text counts as empty; without findings the spans are empty strings. Equal spans of several kinds are
-all reported. Rows are told apart by their place, so null and repeated ids are no matter. Kept columns may have any name, also one with
+all reported. Rows are told apart by their place, so null and repeated ids are no matter. An empty table gives no rows. Texts of any length
+are searched whole, at a cost that grows with their length and their findings. Kept columns may have any name, also one with
 a dot or that of a working column; only a name that the result itself has is taken from them.
 """
 
@@ -40,11 +41,12 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "mixed": "s
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def running(items: Column, amount, combine, zero: Column, step, out: str, chunk: int = 256) -> Column:
+def running(items: Column, amount, combine, zero: Column, step, out: str, chunk: int = 256, shared=None) -> Column:
     """``step`` over items in order with a running state ``at``, giving the arrays that it makes of each as one.
 
     Items go in chunks: each chunk's amount is combined with those before it, and every chunk then starts from its own state. So no
     array is longer than a chunk or the number of chunks while it grows, and long lists cost little more than their length.
+    ``shared`` of a chunk's items and first state, if given, is worked out once a chunk and handed to each step.
     """
 
     def bound(x: Column, f) -> Column:
@@ -64,7 +66,8 @@ def running(items: Column, amount, combine, zero: Column, step, out: str, chunk:
 
     def within(c: Column, at: Column) -> Column:
         state = F.struct(at.alias("at"), F.array().cast(out).alias("out"))
-        return F.aggregate(c, state, lambda acc, x: F.struct(combine(acc["at"], amount(x)).alias("at"), F.concat(acc["out"], step(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+        along = lambda *more: F.aggregate(c, state, lambda acc, x: F.struct(combine(acc["at"], amount(x)).alias("at"), F.concat(acc["out"], step(acc["at"], x, *more)).alias("out")), lambda acc: acc["out"])
+        return bound(shared(c, at), along) if shared else along()
 
     return bound(items, over)
 
@@ -171,10 +174,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     found = _found(docs, text, keep)
     t = F.col(f"k{keep.index(text)}")
 
-    def piece(at: Column, s: Column) -> Column:
-        return F.when(s["start"] >= at, F.array(t.substr(at + 1, s["start"] - at), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+    # a cut walks from the start of what it cuts, so each chunk of findings has its own stretch of the text cut out first
+    def stretch(c: Column, at: Column) -> Column:
+        return F.struct(at.alias("from"), t.substr(at + 1, F.greatest(F.array_max(F.transform(c, lambda s: s["start"])) - at, F.lit(0))).alias("text"))
 
-    pieces = running(F.col("every"), lambda s: s["end"], lambda a, b: F.greatest(a, b), F.lit(0), piece, "array<string>")
+    def piece(at: Column, s: Column, part: Column) -> Column:
+        return F.when(s["start"] >= at, F.array(part["text"].substr(at - part["from"] + 1, s["start"] - at), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+
+    pieces = running(F.col("every"), lambda s: s["end"], lambda a, b: F.greatest(a, b), F.lit(0), piece, "array<string>", shared=stretch)
     tail = t.substr(F.array_max(F.transform("every", lambda s: s["end"])) + 1, F.length(t))
     changed = F.when(t.isNull() | (F.size("every") == 0), t).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return found.select(*[(changed if c == text else F.col(f"k{i}")).alias(c) for i, c in enumerate(keep)], (F.size("every") > 0).alias("__changed"))

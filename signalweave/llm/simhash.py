@@ -12,8 +12,8 @@ blocks, each pair of blocks to a task. Components over the trees give the groups
 
 Cases: a null, empty or blank text has fingerprint zero and is linked like any other. Fewer than four words are
 one shingle. A document linked with none is its own component. Several rows of one id are rows of
-one group each by its own text. Rows with a null id keep a fingerprint and take the smallest id of their group, if any. Kept columns
-may have any name; only a name that the result itself has is taken from them.
+one group each by its own text. Rows with a null id keep a fingerprint and take the smallest id of their group, if any. An empty table
+gives no rows. Texts of any length count whole, with one number a shingle in memory for the text at hand. Kept columns may have any name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations

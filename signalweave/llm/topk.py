@@ -14,7 +14,8 @@ own over the candidates. So candidates are neither copied nor shuffled, and of e
 Cases: vectors that are null or have a null or non-finite component are left out, as queries too. Shorter vectors count
 as padded with zeros; an empty vector scores 0. Equal scores rank by the smaller id. Rows with a null id take no part. Fewer
 candidates than k give as many rows as there are. Repeated ids are repeated candidates, none its own id's; a query id that occurs
-several times is one query for each, whose results are ranked together.
+several times is one query for each, whose results are ranked together. An empty table gives no rows; of longer vectors only as many
+components count as the longest query has. Other columns are never read, so their names are no matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, quoted
 
 LEVELS = 6
 RESULT = "query_id long, vec_id long, score long"
@@ -32,7 +33,7 @@ RESULT = "query_id long, vec_id long, score long"
 
 def quantised(vectors: DataFrame, vec: str = "embedding", vec_id: str = "vec_id", scale: int = 256) -> DataFrame:
     """Rows (id, q): integer vectors of those rows that are complete and finite."""
-    v, x = F.col(vec), F.col(vec_id)
+    v, x = F.col(quoted(vec)), F.col(quoted(vec_id))
     good = v.isNotNull() & x.isNotNull() & F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     return vectors.where(good).select(x.alias("id"), F.transform(v, lambda c: F.floor(c.cast("double") * float(scale)).cast("long")).alias("q"))
 

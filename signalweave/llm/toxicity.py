@@ -5,7 +5,9 @@ sentences. Only documents have labels; the gradient of the noisy-or shares each
 sentences, so the model finds out which words offend. It then tells where: spans of sentences of 0.5 or more.
 
 Cases: a null or empty text has no sentence and gets score 0. Without labels of both classes the score is the
-share of toxic labels (0 without any). Repeated rows get equal scores; ties between sentences go to the earlier.
+share of toxic labels (0 without any). Repeated rows get equal scores; ties between sentences go to the earlier. An empty table gives no rows.
+Texts of any length count whole: batches are cut by characters, and one long text is a batch alone. Kept columns may have any
+name; only a name that the result itself has is taken from them.
 """
 
 from __future__ import annotations
