@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signalweave.llm import bpe, language_id, mixing, secrets, simhash
+from signalweave.llm.common import checkpointed, quoted
 from signalweave.llm.queries import vocabulary_path
 
 
 def _counted(changed, rows):
     """n_chars follows the text where the stage has changed it, if there is such a column."""
     names = [c for c in rows.columns if c != changed]
-    if "n_chars" not in names:
-        return rows.select(*names)
-    kind = rows.schema["n_chars"].dataType
-    count = F.when(F.col(changed), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-    return rows.select(*[count.alias(c) if c == "n_chars" else F.col("`" + c.replace("`", "``") + "`") for c in names])
+    counted = {}
+    if "n_chars" in names:
+        counted["n_chars"] = F.when(F.col(changed), F.length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return rows.select(*[counted.get(c, F.col(quoted(c))) for c in names])
 
 
 def identified(spark, docs, sf_dir):
@@ -58,8 +58,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage over all of ``documents``, each stage on what the one before it kept."""
-    from signalweave.llm.common import checkpointed
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
