@@ -67,7 +67,7 @@ def running(items: Column, amount, combine, zero: Column, step, out: str, chunk:
     def within(c: Column, at: Column) -> Column:
         state = F.struct(at.alias("at"), F.array().cast(out).alias("out"))
         along = lambda *more: F.aggregate(c, state, lambda acc, x: F.struct(combine(acc["at"], amount(x)).alias("at"), F.concat(acc["out"], step(acc["at"], x, *more)).alias("out")), lambda acc: acc["out"])
-        return bound(shared(c, at), along) if shared else along()
+        return bound(shared(c, at), lambda part: along(part)) if shared else along()
 
     return bound(items, over)
 
