@@ -303,8 +303,11 @@ def signal_class(family: Column, method: Column, state_media: Column) -> Column:
     )
 
 
-def aircraft_class(callsign: Column, icao24: Column, military: list[str], government: list[str], hex_ranges: list[str]) -> Column:
-    """Prefixes of two to four letters first, then the address range, then the form of airline callsigns."""
+def aircraft_class(callsign: Column, icao24: Column, military: list[str] = fixed.MILITARY_PREFIXES, government: list[str] = fixed.GOVERNMENT_PREFIXES, hex_ranges: list[str] = fixed.MILITARY_ADDRESSES) -> Column:
+    """Prefixes of two to four letters first, then the address range, then the form of airline callsigns.
+
+    Only prefixes of these lengths are compared, so longer ones of the lists never apply.
+    """
     cs = F.upper(F.trim(callsign))
     starts = lambda names, sizes: reduce(lambda a, b: a | b, [F.substring(cs, 1, n).isin(names) for n in sizes])
     return (

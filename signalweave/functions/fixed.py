@@ -1047,3 +1047,89 @@ PLACE_NAMES = [
     "kuala lumpur", "tel aviv", "cape town", "addis ababa", "dar es salaam",
 ]
 PLACE_FIRST_WORDS = ["north", "south", "east", "west", "central", "greater", "upper", "lower"]
+
+# Words that name a country, in the order in which they are tried; the first one that a text has decides.
+COUNTRY_WORDS = [
+    ("IR", "Iran, Iranian, Tehran, IRGC, Khamenei, Araghchi"),
+    ("UA", "Ukraine, Ukrainian, Kyiv, Zelenskyy, Zelenskiy"),
+    ("RU", "Russia, Russian, Moscow, Kremlin, Putin, Rossiya"),
+    ("GZ", "Gaza, Palestine, Palestinian, Hamas, Rafah, West Bank"),
+    ("IL", "Israel, Israeli, Tel Aviv, Netanyahu, IDF"),
+    ("MM", "Myanmar, Burma, Rangoon, Naypyidaw, Tatmadaw, Military junta"),
+    ("SO", "Somalia, Somali, Mogadishu, Al-Shabaab"),
+    ("YE", "Yemen, Yemeni, Sanaa, Houthi, Aden"),
+    ("SD", "Sudan, Sudanese, Khartoum, Darfur, RSF"),
+    ("AF", "Afghanistan, Afghan, Kabul, Taliban"),
+    ("PK", "Pakistan, Pakistani, Islamabad, Karachi, Sharif"),
+    ("IN", "India, Indian, New Delhi, Mumbai, Modi"),
+    ("CN", "China, Chinese, Beijing, Shanghai, Xi Jinping"),
+    ("KP", "North Korea, North Korean, Pyongyang, Kim Jong"),
+    ("SY", "Syria, Syrian, Damascus, Assad"),
+    ("LB", "Lebanon, Lebanese, Beirut, Hezbollah"),
+    ("SA", "Saudi Arabia, Saudi, Riyadh, MBS"),
+    ("IQ", "Iraq, Iraqi, Baghdad, Basra"),
+    ("LY", "Libya, Libyan, Tripoli, Benghazi"),
+    ("ET", "Ethiopia, Ethiopian, Addis Ababa, Tigray"),
+    ("CD", "DR Congo, DRC, Congo, Kinshasa, M23"),
+    ("HT", "Haiti, Haitian, Port-au-Prince"),
+    ("VE", "Venezuela, Venezuelan, Caracas, Maduro"),
+    ("BR", "Brazil, Brazilian, Brasilia, Lula, São Paulo"),
+    ("US", "United States, American, Washington, Trump, Pentagon"),
+    ("GB", "United Kingdom, British, London, Starmer, Downing Street"),
+    ("FR", "France, French, Paris, Macron, Elysée"),
+    ("DE", "Germany, German, Berlin, Bundestag"),
+    ("IR", "Strait of Hormuz, Hormuz, Persian Gulf, Gulf of Oman"),
+    ("YE", "Red Sea, Gulf of Aden, Bab el-Mandeb"),
+    ("TW", "Taiwan, Taipei, Taiwanese"),
+    ("CO", "Colombia, Colombian, Bogotá, Bogota, Petro, FARC"),
+    ("PE", "Peru, Peruvian, Lima, Boluarte"),
+    ("AR", "Argentina, Argentine, Buenos Aires, Milei"),
+    ("CL", "Chile, Chilean, Santiago, Boric"),
+    ("MX", "Mexico, Mexican, México, Mexico City, Sheinbaum, Cartel"),
+    ("EC", "Ecuador, Ecuadorian, Quito, Noboa"),
+    ("BO", "Bolivia, Bolivian, La Paz, Arce"),
+    ("PY", "Paraguay, Paraguayan, Asunción"),
+    ("UY", "Uruguay, Uruguayan, Montevideo"),
+    ("CU", "Cuba, Cuban, Havana, Díaz-Canel"),
+    ("NI", "Nicaragua, Nicaraguan, Managua, Ortega"),
+    ("EG", "Egypt, Egyptian, Cairo, El-Sisi, Sisi"),
+    ("TR", "Turkey, Turkish, Ankara, Istanbul, Erdogan, Erdoğan"),
+    ("MA", "Morocco, Moroccan, Rabat, Casablanca"),
+    ("TN", "Tunisia, Tunisian, Tunis, Saied"),
+    ("JO", "Jordan, Jordanian, Amman, Abdullah"),
+    ("AE", "UAE, Dubai, Abu Dhabi, Emirati"),
+    ("QA", "Qatar, Qatari, Doha"),
+    ("KW", "Kuwait, Kuwaiti"),
+    ("NG", "Nigeria, Nigerian, Abuja, Lagos, Tinubu, Boko Haram"),
+    ("KE", "Kenya, Kenyan, Nairobi, Ruto"),
+    ("ZA", "South Africa, South African, Johannesburg, Pretoria, Ramaphosa, ANC"),
+    ("GH", "Ghana, Ghanaian, Accra, Mahama"),
+    ("TZ", "Tanzania, Tanzanian, Dar es Salaam, Dodoma"),
+    ("UG", "Uganda, Ugandan, Kampala, Museveni"),
+    ("CM", "Cameroon, Cameroonian, Yaoundé, Douala"),
+    ("ZW", "Zimbabwe, Zimbabwean, Harare, Mnangagwa"),
+    ("MZ", "Mozambique, Mozambican, Maputo, Frelimo"),
+    ("AO", "Angola, Angolan, Luanda, MPLA"),
+    ("SN", "Senegal, Senegalese, Dakar, Faye"),
+    ("ML", "Mali, Malian, Bamako, Wagner"),
+    ("BF", "Burkina Faso, Ouagadougou, Traoré"),
+    ("NE", "Niger, Nigerien, Niamey, Tiani"),
+    ("PH", "Philippines, Filipino, Manila, Marcos, Duterte"),
+    ("ID", "Indonesia, Indonesian, Jakarta, Prabowo"),
+    ("SG", "Singapore, Singaporean, Lee Hsien Loong, Lawrence Wong"),
+    ("TH", "Thailand, Thai, Bangkok, junta, Pita"),
+    ("VN", "Vietnam, Vietnamese, Hanoi, Ho Chi Minh"),
+    ("MY", "Malaysia, Malaysian, Kuala Lumpur, Anwar"),
+    ("KH", "Cambodia, Cambodian, Phnom Penh, Hun Sen, Hun Manet"),
+    ("LA", "Laos, Lao, Vientiane"),
+    ("BD", "Bangladesh, Bangladeshi, Dhaka, Yunus"),
+    ("LK", "Sri Lanka, Sri Lankan, Colombo, Dissanayake"),
+]
+
+# The encyclopedia edition whose page views stand for a country.
+COUNTRY_EDITION = {"US": "en", "GB": "en", "IN": "en", "ES": "es", "CO": "es", "MX": "es", "AR": "es", "BR": "pt", "FR": "fr", "DE": "de", "IT": "it", "JP": "ja", "KR": "ko", "CN": "zh", "RU": "ru", "TR": "tr", "UA": "uk"}
+
+# How callsigns of military and government aircraft begin, and the first two digits of military addresses.
+MILITARY_PREFIXES = ["RCH", "PAT", "REACH", "DUKE", "VALOR", "ZEUS", "TOPCAT", "VENUS", "NAVY", "USAF", "ARMY", "RAF", "RRR", "GAF", "GAFMED", "FAF", "CTM", "IAF", "NATO", "NATOEX", "RFF", "MAGMA", "COBRA", "VIPER", "GHOST"]
+GOVERNMENT_PREFIXES = ["SAM", "AF1", "AF2", "EXEC", "VENUS0", "SPAR", "CAPS", "IRON"]
+MILITARY_ADDRESSES = ["ae", "af", "43"]

@@ -131,7 +131,7 @@ def nearest_chokepoint(points: DataFrame, chokepoints: list[tuple] = dims.CHOKEP
     return points.withColumn("chokepoint", out)
 
 
-def aircraft_snapshot(positions: DataFrame, military: list[str], government: list[str], hex_ranges: list[str], limit: int = 2000) -> DataFrame:
+def aircraft_snapshot(positions: DataFrame, military: list[str] = fixed.MILITARY_PREFIXES, government: list[str] = fixed.GOVERNMENT_PREFIXES, hex_ranges: list[str] = fixed.MILITARY_ADDRESSES, limit: int = 2000) -> DataFrame:
     """Flying aircraft with valid places, classified, the highest first."""
     valid = ~F.coalesce("on_ground", F.lit(False)) & F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
     kind = exprs.aircraft_class(F.col("callsign"), F.col("icao24"), military, government, hex_ranges)

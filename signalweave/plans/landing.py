@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
+from ..operators import matching
 from ..sources import normalize as N
 from ..sources import parse as P
 from ..sources import sinks as K
 from .fixture import AS_OF
+from .reference import LIST, QUOTED, dealt, dealt_sql
 from .registry import query
 
 
@@ -75,32 +77,74 @@ def a6(t):
     return P.read_pageviews(lists, lang).select("country_code", "title", "views", "rank")
 
 
-@query("a7_feed_articles", "SELECT headline, 'src' || CAST(split_part(split_part(source_name, 'src', 2), '.', 1) AS VARCHAR) || '.example.com' AS source_name, CASE WHEN contains(lower(headline), 'nation_1') THEN 'AA' WHEN contains(lower(headline), 'nation_2') THEN 'BB' ELSE 'ZZ' END AS country_code, 'reporting' AS signal_class FROM signals WHERE ts > {AS_OF} - INTERVAL 240 HOURS AND source_name <> 'src5.example.com'")
+EDITIONS = f", ed AS (SELECT * FROM (VALUES {', '.join(f'({QUOTED(c)}, {QUOTED(l)})' for c, l in fixed.COUNTRY_EDITION.items())}) e(cc, lang)), lg AS (SELECT list(DISTINCT lang ORDER BY lang) AS ls FROM ed)"
+
+
+@query("a6_editions_of_countries", EDITIONS + ", p AS (SELECT ls[CAST(right(title, 1) AS INTEGER) % len(ls) + 1] AS lang, title, CAST(sum(views) AS BIGINT) AS views FROM pageviews, lg GROUP BY ALL), r AS (SELECT lang, replace(title, '_', ' ') AS title, views, CAST(row_number() OVER (PARTITION BY lang ORDER BY views DESC, title) AS INTEGER) AS rank FROM p QUALIFY rank <= 25) SELECT cc AS country_code, lang AS language, title, views, rank FROM r JOIN ed USING (lang)")
+def a6e(t):
+    """Lists by language edition to all countries of the fixed table; a list of an edition without countries goes."""
+    languages = sorted(set(fixed.COUNTRY_EDITION.values()))
+    lang = F.element_at(F.array(*map(F.lit, languages)), (F.substring("title", -1, 1).cast("int") % len(languages) + 1).cast("int"))
+    per = t.pageviews.groupBy(F.concat(lang, F.lit(".wikipedia")).alias("project"), "title").agg(F.sum("views").alias("views"))
+    per = per.unionByName(per.withColumn("project", F.lit("xx.wikipedia")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("views")).alias("v"), "title"))), lambda x: F.struct(x["title"].alias("article"), (-x["v"]).alias("views")))
+    lists = per.groupBy("project").agg(ordered.alias("a")).select(F.lit("2024-01-30").alias("day"), F.array(F.struct("project", F.concat(F.array(F.struct(F.lit("Main_Page").alias("article"), F.lit(9).cast("long").alias("views"))), "a").alias("articles"))).alias("items"))
+    return P.read_pageviews(lists).select("country_code", "language", "title", "views", "rank")
+
+
+#: Texts with a word of each row of the table, with several, with none, and with what only looks like one.
+NEWS = [f"Report from {ws[i % len(ws)]} on prices" for i, (_, words) in enumerate(fixed.COUNTRY_WORDS) for ws in [words.split(", ")]]
+NEWS += ["", "no place at all", "Romanian ports, Omani oil", "talks in Paris about Kyiv", "NIGERIA and Niger", "Iranians abroad", "a Somali-Kenyan border post", "aden_port", "in LIMA.", "Gulf of Aden, then Gulf of Oman", "Bogotá’s mayor", "São Paulo", "Perugia and Limassol"]
+#: (text, code) of those with a country: words between blanks, once all that is no letter, digit or underscore is one.
+SPACED = "' ' || regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') || ' '".format
+NEWS_CODES = f", kw AS (SELECT *, {SPACED('word')} AS spaced FROM (VALUES {', '.join(f'({i}, {QUOTED(code)}, {QUOTED(word)})' for i, (code, word) in enumerate((code, w) for code, words in fixed.COUNTRY_WORDS for w in words.split(', ')))}) k(no, code, word)), nc AS (SELECT txt, arg_min(code, no) AS code FROM (SELECT txt, {SPACED('txt')} AS spaced FROM (SELECT unnest({LIST(NEWS)}) AS txt)) n JOIN kw ON contains(n.spaced, kw.spaced) GROUP BY ALL)"
+WITH_NEWS = dealt_sql(NEWS, "txt") + NEWS_CODES
+
+
+def news_items(t, **more):
+    rows = dealt(t, NEWS, "txt").select("signal_id", "headline", F.col("source_url").alias("link"), F.concat(F.lit("<p>"), "txt", F.lit("</p>")).alias("description"), "ts", "txt")
+    return rows.withColumns({"title": F.col("headline")} | more)
+
+
+@query("c18_country_words", WITH_NEWS + " SELECT signal_id, code FROM x LEFT JOIN nc USING (txt)")
+def c18(t):
+    """Every signal's text through the whole table of country words."""
+    return dealt(t, NEWS, "txt").select("signal_id", matching.first_listed(F.col("txt"), fixed.COUNTRY_WORDS).alias("code"))
+
+
+@query("c18_country_mentions", WITH_NEWS + ", m AS (SELECT DISTINCT txt, code FROM (SELECT unnest(" + LIST(NEWS) + ") AS txt) JOIN kw ON contains(lower(txt), lower(word))) SELECT code, count(*) AS n FROM x JOIN m USING (txt) GROUP BY ALL")
+def c18m(t):
+    """How many texts have a word of each country, also within other words."""
+    words, codes = matching.listed(fixed.COUNTRY_WORDS)
+    names = t.spark.createDataFrame(list(zip(words, codes)), "word string, code string")
+    return matching.matches(dealt(t, NEWS, "txt").select("signal_id", "txt"), "txt", words).join(F.broadcast(names), "word").select("signal_id", "code").distinct().groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("a7_feed_articles", WITH_NEWS + " SELECT headline, 'src' || CAST(split_part(split_part(source_name, 'src', 2), '.', 1) AS VARCHAR) || '.example.com' AS source_name, coalesce(code, 'ZZ') AS country_code, 'reporting' AS signal_class FROM x LEFT JOIN nc USING (txt) WHERE ts > {AS_OF} - INTERVAL 240 HOURS AND source_name <> 'src5.example.com'")
 def a7(t):
-    items = t.signals.select(F.concat(F.lit("<b>"), "headline", F.lit("</b>")).alias("title"), F.col("source_url").alias("link"), F.lit(None).cast("string").alias("description"), "ts")
-    feed = N.Feed(country="ZZ", keywords=[("nation_1", "AA"), ("nation_2", "BB")])
     since = F.to_timestamp(F.lit(AS_OF)) - F.expr("INTERVAL 240 HOURS")
-    return N.normalize_articles(items, feed, since, ["src5.example.com"]).select("headline", "source_name", "country_code", "signal_class")
+    items = news_items(t, title=F.concat(F.lit("<b>"), "headline", F.lit("</b>")))
+    return N.normalize_articles(items, N.Feed(country="ZZ"), since, ["src5.example.com"]).select("headline", "source_name", "country_code", "signal_class")
 
 
-@query("a10_social_posts", "SELECT headline, 'XX' AS country_code, 'social_commentary' AS signal_class, geo_confidence * 0 + 0.5 AS geo_confidence FROM signals WHERE signal_id % 8 <> 0")
+@query("a10_social_posts", WITH_NEWS + " SELECT headline, coalesce(code, 'XX') AS country_code, 'social_commentary' AS signal_class, geo_confidence * 0 + 0.5 AS geo_confidence FROM x LEFT JOIN nc USING (txt) WHERE signal_id % 8 <> 0")
 def a10(t):
-    posts = t.signals.select(F.when(F.col("signal_id") % 8 == 0, "[removed]").otherwise(F.col("headline")).alias("title"), F.lit("https://social.example.org/p").alias("link"), F.col("source_url").alias("external_url"), "ts")
+    posts = news_items(t, title=F.when(F.col("signal_id") % 8 == 0, "[removed]").otherwise(F.col("headline")), external_url=F.col("link"), link=F.lit("https://social.example.org/p"))
     return N.normalize_articles(posts, N.FEEDS["social"]).select("headline", "country_code", "signal_class", "geo_confidence")
 
 
-@query("a9_provider_articles", "SELECT headline, CASE WHEN signal_id % 3 = 0 THEN 'FR' ELSE 'XX' END AS country_code, geo_confidence * 0 + 0.7 AS geo_confidence, 'api' AS source_family FROM signals")
+@query("a9_provider_articles", WITH_NEWS + " SELECT headline, CASE WHEN signal_id % 3 = 0 THEN 'FR' ELSE coalesce(code, 'XX') END AS country_code, geo_confidence * 0 + 0.7 AS geo_confidence, 'api' AS source_family FROM x LEFT JOIN nc USING (txt)")
 def a9(t):
-    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), F.when(F.col("signal_id") % 3 == 0, "fr").otherwise("france").alias("provider_country"), "ts")
+    """A provider's own country only counts with two letters; else words tell."""
+    items = news_items(t, provider_country=F.when(F.col("signal_id") % 3 == 0, "fr").otherwise("france"))
     return N.normalize_articles(items, N.FEEDS["news_by_provider"]).select("headline", "country_code", "geo_confidence", "source_family")
 
 
-@query("a8_humanitarian", "SELECT headline, 'AA' AS country_code, true AS is_crisis, 0.5::DOUBLE AS crisis_score, 'humanitarian' AS signal_class FROM signals WHERE contains(lower(headline), 'nation_1')")
+@query("a8_humanitarian", WITH_NEWS + ", y AS (SELECT *, CASE signal_id % 4 WHEN 0 THEN 'HT' WHEN 1 THEN 'TZ' ELSE code END AS cc FROM x LEFT JOIN nc USING (txt)) SELECT headline, cc AS country_code, true AS is_crisis, 0.5::DOUBLE AS crisis_score, 'humanitarian' AS signal_class FROM y WHERE cc IS NOT NULL")
 def a8(t):
-    from dataclasses import replace
-
-    items = t.signals.select(F.col("headline").alias("title"), F.col("source_url").alias("link"), F.lit("").alias("description"), "ts")
-    return N.normalize_articles(items, replace(N.FEEDS["humanitarian"], keywords=[("nation_1", "AA")])).select("headline", "country_code", "is_crisis", "crisis_score", "signal_class")
+    """A tag with the country goes before words; an unknown one leaves it to the words; rows without a country go."""
+    tag = F.when(F.col("signal_id") % 4 == 0, "Country: Haiti<br>").when(F.col("signal_id") % 4 == 1, "<i>x</i> Country:  dodoma, ").when(F.col("signal_id") % 4 == 2, "Country: Nowhere. ").otherwise("")
+    return N.normalize_articles(news_items(t, description=F.concat(tag, "txt")), N.FEEDS["humanitarian"]).select("headline", "country_code", "is_crisis", "crisis_score", "signal_class")
 
 
 @query("a11_combined_feeds", "SELECT source_family, count(*) AS n FROM (SELECT 'social' AS source_family FROM signals UNION ALL SELECT 'api' FROM signals) GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
 from ..operators import happenings as H
 from ..operators import rollups as R
 from .fixture import AS_OF
@@ -190,11 +190,15 @@ def c23(t):
     return t.signals.select("signal_id", exprs.query_country(text)["code"].alias("code"))
 
 
-@query("c27_aircraft_classes", "SELECT signal_id, CASE signal_id % 4 WHEN 0 THEN 'military' WHEN 1 THEN 'government' WHEN 2 THEN 'commercial' ELSE CASE WHEN signal_id % 8 = 3 THEN 'military' ELSE 'private' END END AS kind FROM signals")
+CALLSIGNS = [*[x + "12" for x in fixed.MILITARY_PREFIXES], *[x + "1" for x in fixed.GOVERNMENT_PREFIXES], " rch12", "DLH44", "BA9", "N-1", "", "raF", "NATO", "SPARK", "A1", "ABCD1"]
+ADDRESSES = ["3c12", "AE12", "af00", "43ff", "4", "", "a3af"]
+
+
+@query("c27_aircraft_classes", f", x AS (SELECT signal_id, upper(trim(unnest([{', '.join(repr(c) for c in CALLSIGNS)}]))) AS cs, [{', '.join(repr(a) for a in ADDRESSES)}][signal_id % {len(ADDRESSES)} + 1] AS ad FROM signals) SELECT signal_id, cs, CASE WHEN list_has_any([left(cs, 2), left(cs, 3), left(cs, 4)], {fixed.MILITARY_PREFIXES}) THEN 'military' WHEN list_has_any([left(cs, 3), left(cs, 4)], {fixed.GOVERNMENT_PREFIXES}) THEN 'government' WHEN lower(left(ad, 2)) IN ('ae', 'af', '43') THEN 'military' WHEN regexp_matches(cs, '^[A-Z]{{2,3}}[0-9]') THEN 'commercial' ELSE 'private' END AS kind FROM x")
 def c27(t):
-    k = F.col("signal_id") % 4
-    callsign = F.when(k == 0, " rch12").when(k == 1, "GAF1").when(k == 2, "DLH44").otherwise("N-1")
-    return t.signals.select("signal_id", exprs.aircraft_class(callsign, F.when(F.col("signal_id") % 8 == 3, "AE12").otherwise("3c12"), ["RCH"], ["GAF"], ["ae"]).alias("kind"))
+    """Every callsign of the tables, and others, with addresses in and out of the ranges."""
+    rows = t.signals.select("signal_id", F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.col("signal_id") % len(ADDRESSES) + 1).cast("int")).alias("ad"), F.explode(F.array(*map(F.lit, CALLSIGNS))).alias("c"))
+    return rows.select("signal_id", F.upper(F.trim("c")).alias("cs"), exprs.aircraft_class(F.col("c"), F.col("ad")).alias("kind"))
 
 
 @query("c31_precision", "SELECT signal_id, CASE signal_id % 6 WHEN 1 THEN 'country' WHEN 2 THEN 'region' WHEN 5 THEN 'region' WHEN 0 THEN 'unknown' ELSE 'city' END AS place FROM signals")

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
+from ..operators import matching
 from . import parse
 from .schema import SIGNALS
 
@@ -66,7 +67,8 @@ class Feed:
     country: str | None = None  # where nothing else tells
     default_country: str | None = None
     provider_country: bool = False  # items name a country of two letters
-    keywords: list[tuple[str, str]] = field(default_factory=list)
+    #: (country, comma-joined words): the first word, in this order, that title or text have tells the country
+    keywords: list[tuple[str, str]] = field(default_factory=lambda: fixed.COUNTRY_WORDS)
     drop_without_country: bool = False
     crisis: bool = False
     state_media: bool = False
@@ -99,11 +101,11 @@ def normalize_articles(items: DataFrame, feed: Feed, since: Column | None = None
         rows = rows.where(F.col(feed.when) > since)
     if blocked:
         rows = rows.where(~exprs.blocked(url, list(blocked)))
-    both = F.lower(F.concat_ws(" ", title, body))
+    both = F.concat_ws(" ", title, body)
     own = F.when(F.upper(has("provider_country")).rlike("^[A-Z]{2}$"), F.upper(has("provider_country"))) if feed.provider_country else F.lit(None).cast("string")
     tagged = F.regexp_extract(F.coalesce(has(feed.text), F.lit("")), r"Country:\s*([A-Za-z ]+)", 1) if feed.crisis else None
-    by_words = exprs.first_keyword(both, feed.keywords) if feed.keywords else F.lit(None).cast("string")
-    by_tag = exprs.first_keyword(F.lower(tagged), feed.keywords) if tagged is not None and feed.keywords else F.lit(None).cast("string")
+    by_words = matching.first_listed(both, feed.keywords) if feed.keywords else F.lit(None).cast("string")
+    by_tag = matching.first_listed(tagged, feed.keywords) if tagged is not None and feed.keywords else F.lit(None).cast("string")
     country = F.coalesce(own, by_tag, by_words, *[F.lit(x) for x in (feed.country, feed.default_country) if x])
     lang = F.coalesce(exprs.dims.lookup(feed.languages, F.lower(has("language"))) if feed.languages else F.lower(has("language")), F.lit(feed.lang))
     state = F.lit(feed.state_media)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, fixed
 
 GKG_COLUMNS = 27
 EVENT_COLUMNS = 61
@@ -155,13 +155,19 @@ SKIPPED_TITLES = ["Main_Page", "Special:Search", "Wikipedia:Main_Page", "-", "P
 SKIPPED_PREFIXES = ["Special:", "Wikipedia:", "Especial:", "Spezial:"]
 
 
-def read_pageviews(raw: DataFrame, editions: DataFrame, most: int = 25) -> DataFrame:
+def editions_frame(spark: SparkSession, table: dict[str, str] = fixed.COUNTRY_EDITION) -> DataFrame:
+    """(project, language, country_code): the edition that stands for each country."""
+    return spark.createDataFrame([(f"{lang}.wikipedia", lang, country) for country, lang in table.items()], "project string, language string, country_code string")
+
+
+def read_pageviews(raw: DataFrame, editions: DataFrame | None = None, most: int = 25) -> DataFrame:
     """Lists of most-viewed articles (``schema.PAGE_JSON`` and a day) to ranked rows a country that uses the edition.
 
-    editions: project, language, country_code. Ranks are given anew after titles that are not articles are gone.
+    editions: project, language, country_code; by default those of the fixed table. Ranks are given anew after titles that are not articles are gone.
     """
     from pyspark.sql import Window
 
+    editions = F.broadcast(editions_frame(raw.sparkSession)) if editions is None else editions
     rows = raw.select("day", F.explode("items").alias("i")).select("day", "i.project", F.posexplode("i.articles").alias("pos", "a")).select("day", "project", "pos", F.col("a.article").alias("article"), F.col("a.views").alias("views"))
     kept = rows.where((F.coalesce("article", F.lit("")) != "") & ~F.col("article").isin(SKIPPED_TITLES))
     for p in SKIPPED_PREFIXES:

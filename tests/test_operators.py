@@ -322,6 +322,6 @@ def test_feeds(spark):
     items = spark.createDataFrame([("<b>Quake in Chile</b>", "https://x.org/1", "Country: Chile", "2024-01-02 00:00:00"), ("Old", "https://x.org/2", "", "2023-01-01 00:00:00"), (None, "https://x.org/3", "", "2024-01-02 00:00:00")], "title string, link string, description string, ts string").withColumn("ts", F.to_timestamp("ts"))
     from dataclasses import replace
 
-    feed = replace(normalize.FEEDS["humanitarian"], keywords=[("chile", "CL")])
+    feed = replace(normalize.FEEDS["humanitarian"], keywords=[("CL", "chile")])
     rows = normalize.normalize_articles(items, feed, F.to_timestamp(F.lit("2023-06-01"))).collect()
     assert [(r.headline, r.country_code, r.is_crisis, r.severity, r.signal_class) for r in rows] == [("Quake in Chile", "CL", True, "medium", "humanitarian")]
