@@ -88,3 +88,43 @@ QUALITY = f"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT base_failed AND NOT coalesce(cdist > 0.2 + 2.5 / sqrt(greatest(chars, 1)), false) AND NOT coalesce(wdist > 0.2 + 1.9 / sqrt(greatest(n_words, 1)), false) AS kept,
       round(cdist, 6) AS class_distance, round(wdist, 6) AS word_distance FROM b"""
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+MINHASH = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER("text")}, '{WORD}'), []) AS ws FROM documents),
+    t AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS ss FROM w),
+    e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS s FROM t),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS k FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM c WHERE 100 * k >= 85 * (nx + ny - k)),
+    r(x, y) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+    g AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+    SELECT doc_id, len(ss) AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN g USING (doc_id)"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL = f"""
+    WITH d AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, regexp_extract_all({LOWER("text")}, '{TERM}') AS ts FROM documents) WHERE len(ts) > 0),
+    s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({LOWER("text")}, '{TERM}')) AS term FROM benchmark) GROUP BY ALL),
+    p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+    f AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 10"""
+
+#: crc32 by its table of 256 numbers, a byte at a time.
+SPELLING = f"""
+    WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+    y AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS h FROM o),
+    b AS (SELECT w, n, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS bs FROM y),
+    k AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS h FROM b, z),
+    c AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM k) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    v AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM c),
+    u AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less FROM v),
+    m AS (SELECT DISTINCT u.word AS a, c.word AS b FROM u JOIN c ON c.word = u.less),
+    e AS (SELECT a, b FROM m UNION SELECT b, a FROM m UNION SELECT x.word, y.word FROM u x JOIN u y ON x.hole = y.hole AND x.word <> y.word),
+    r AS (SELECT a AS word, b AS near, c.n AS near_n, count(*) OVER (PARTITION BY a) AS n_near FROM e JOIN c ON c.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY c.n DESC, b) = 1),
+    f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * c.n THEN near END AS form, CASE WHEN near_n >= 10 * c.n THEN near_n END AS form_n FROM c LEFT JOIN r USING (word)),
+    g(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL),
+    h AS (SELECT word, arg_max(root, step) AS root FROM g GROUP BY word)
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN h USING (word)"""

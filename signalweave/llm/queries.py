@@ -88,4 +88,4 @@ def op13_spelling_variants(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash, op4_secrets, op5_compression_quality, op6_mixing, op7_bpe, op8_toxicity, op9_top_vectors, op10_brown_lm, op11_minhash, op12_lexical_search, op13_spelling_variants)}
-ORACLES: dict[str, str] = {"op2_quality_rules": oracles.QUALITY, "op4_secrets": oracles.SECRETS, "op6_mixing": oracles.MIXING, "op9_top_vectors": oracles.TOP_VECTORS}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.QUALITY, "op4_secrets": oracles.SECRETS, "op6_mixing": oracles.MIXING, "op9_top_vectors": oracles.TOP_VECTORS, "op11_minhash": oracles.MINHASH, "op12_lexical_search": oracles.LEXICAL, "op13_spelling_variants": oracles.SPELLING}
