@@ -1,8 +1,9 @@
 """Ingest as a job: landed files to signals, deduplicated, appended, with the rollups of the hours that they touch.
 
-Tables below one folder: ``signals`` (partitions day, batch), ``theme_hourly`` and ``country_hourly`` (partition day). Each
-micro-batch writes its own partitions of signals and the hours of the days that it touches, whole and from the signals there, so a
-batch that runs again after a failure leaves the same tables. Which files are done is in the stream's checkpoint: a job that is started again
+Tables below one folder: ``signals`` (partitions day, h, batch), ``theme_hourly`` and ``country_hourly`` (partitions day, h), and ``seen``, the index of
+URLs. A micro-batch costs what it holds: which of its URLs are new it learns from the index, and it reads and writes the hours that it touches
+alone. It writes its own partitions of signals and those hours of rollups, whole and from the signals there, so a batch that runs again
+after a failure leaves the same tables. ``merge`` makes one file of an hour's old batches. Which files are done is in the stream's checkpoint: a job that is started again
 goes on after them, and a backfill is the same job over the slots that had not landed.
 """
 
@@ -15,50 +16,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollups as R
-from ..sources import normalize, sinks
+from ..sources import normalize, partitions
+from ..sources.seen import SeenKeys
 from . import stream
 
 ROLLUPS = {"theme_hourly": R.theme_hourly, "country_hourly": R.country_hourly}
 
 
-def signals_sink(tables: str, source_lang: str = "en", blocked: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+def signals_sink(tables: str, source_lang: str = "en", blocked: list[str] | None = None, buckets: int = 256, filter_bytes: int = 1 << 17) -> Callable[[DataFrame, int], None]:
     """A sink of landed lines: their signals with new URLs, then the rollups of touched hours."""
 
     def write(lines: DataFrame, number: int) -> None:
         spark = lines.sparkSession
         # parsed once; what a lost executor held is parsed again from the files
         found = normalize.gkg_to_signals(normalize.parse.read_gkg(lines)[0], source_lang, blocked).persist(StorageLevel.DISK_ONLY)
-        before = _table(spark, f"{tables}/signals", found.withColumn("batch", F.lit(0)))
-        earlier = before.where(F.col("batch") < number)  # not what an attempt of this batch has left
-        fresh = sinks.new_rows(found, earlier.select("source_url"), "source_url", [F.asc("ts"), F.asc("signal_id")])
-        dated = fresh.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("batch", F.lit(number)).repartition("day")
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{tables}/signals")
+        index = SeenKeys(spark, f"{tables}/seen", buckets, filter_bytes)
+        fresh = index.new_rows(found, "source_url", number, [F.asc("ts"), F.asc("signal_id")])
+        dated = fresh.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", F.hour("ts")).withColumn("batch", F.lit(number))
+        partitions.overwrite(dated, f"{tables}/signals", ["day", "h", "batch"])
         found.unpersist()
-        spark.catalog.refreshByPath(f"{tables}/signals")
         refresh(spark, tables, number)
 
     return write
 
 
 def refresh(spark: SparkSession, tables: str, number: int) -> None:
-    """Rollups of the days that batch ``number`` has rows of, from all their signals; other days are neither read nor written."""
-    rows = spark.read.parquet(f"{tables}/signals")
-    days = [r.day for r in rows.where(F.col("batch") == number).select("day").distinct().collect()]  # partition values: a batch is a few files
-    if not days:
+    """Rollups of the hours that batch ``number`` has rows of, from all their signals; other hours are neither read nor written."""
+    hours = {(day, h): hour for day, path in partitions.listed(spark, f"{tables}/signals", "day").items() for h, hour in partitions.listed(spark, path, "h").items()}
+    touched = [path for path in hours.values() if partitions.exists(spark, f"{path}/batch={number}")]
+    if not touched:
         return
-    touched = rows.where(F.col("day").isin(days))
+    rows = spark.read.option("basePath", f"{tables}/signals").parquet(*touched)
     for name, make in ROLLUPS.items():
-        made = make(touched).withColumn("day", F.date_format("hour", "yyyy-MM-dd")).repartition("day")
-        sinks.overwrite_partitions(made, f"{tables}/{name}", "day")
+        made = make(rows).withColumn("day", F.date_format("hour", "yyyy-MM-dd")).withColumn("h", F.hour("hour"))
+        partitions.overwrite(made, f"{tables}/{name}", ["day", "h"])
 
 
-def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # the table isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return like.limit(0)
+def merge(spark: SparkSession, tables: str, upto: int, buckets: int = 256, filter_bytes: int = 1 << 17) -> int:
+    """Old batches of each hour, and of each bucket of the index, as one; gives how many folders went. For times without a running batch."""
+    return partitions.merge_batches(spark, f"{tables}/signals", ["day", "h"], upto, "source_url") + SeenKeys(spark, f"{tables}/seen", buckets, filter_bytes).merge(upto)
 
 
 def run(spark: SparkSession, landing: str, tables: str, checkpoint: str, files_per_batch: int = 8, trigger: dict | None = None, **options) -> list[dict]:
