@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
@@ -15,24 +15,38 @@ from .rollups import r, two
 def country_heat(S: DataFrame, as_of: str, hours: int = 24, baseline_days: int = 14, least_origins: int = 50, least_framed: int = 25) -> DataFrame:
     """Each country's heat: volume against its baseline, surprise of its themes, diversity of families, local voice, variety of
     frames, confidence of places, less duplication. Every part is 0 to 1 and has a default where there is too little to tell.
+
+    The signals are read once: a row becomes (kind, value) pairs that are counted by country; a theme's count in all countries and the
+    total of all themes are sums over these counts. Of a divergence p * ln(p / q) with sums n of a country and m of all, what is left to
+    sum up are n * ln(n) and n * ln(m).
     """
-    now = S.where(exprs.in_window(F.col("ts"), as_of, hours))
-    placed = now.where("country_code is not null")
-    own = F.col("source_origin_country")
-    window = placed.groupBy("country_code").agg(
-        F.count("*").alias("volume_now"),
-        F.avg(F.nullif("geo_confidence", F.lit(0.0))).alias("geo"),
-        F.count(own).alias("known"),
-        F.try_divide(F.count_if(own == F.col("country_code")), F.count(own)).alias("local"),
-        (1 - F.try_divide(F.countDistinct(F.lower("headline")), F.count("headline"))).alias("dup"),
-    )
-    daily = S.where(exprs.in_window(F.col("ts"), as_of, baseline_days * 24, 24) & F.col("country_code").isNotNull()).groupBy("country_code", R.day().alias("day")).agg(F.count("*").alias("n"))
-    base = daily.groupBy("country_code").agg(F.avg("n").alias("base"), F.nullif(F.stddev_pop("n"), F.lit(0.0)).alias("sigma"))
-    themes = R.exploded(now.withColumn("themes", F.transform("themes", F.lower)), outer=True)
-    kl = R.kl_vs_global(themes, "country_code", "theme")
-    families = R.entropy(placed, ["country_code"], "source_family").select("country_code", F.col("evenness").alias("families"))
-    frames = R.entropy(placed, ["country_code"], "nlp_framing").select("country_code", F.col("entropy").alias("frame_h"), F.col("total").alias("framed"))
-    rows = reduce(lambda a, b: a.join(b, "country_code", "left"), [base, kl, families, frames], window)
+    now, before = exprs.in_window(F.col("ts"), as_of, hours), exprs.in_window(F.col("ts"), as_of, baseline_days * 24, 24)
+    pair = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    lower = F.transform(F.when(F.size("themes") > 0, F.col("themes")).otherwise(F.array(F.lit(None).cast("string"))), lambda x: pair("theme", F.coalesce(F.lower(x), F.lit("__none__"))))
+    placed = F.col("country_code").isNotNull()
+    window = F.array(pair("row", F.lit("")), pair("family", F.col("source_family")), pair("frame", F.col("nlp_framing")), pair("headline", F.lower("headline")))
+    pairs = F.concat(F.when(now, lower).otherwise(none), F.when(now & placed, window).otherwise(none), F.when(before & placed, F.array(pair("day", R.day()))).otherwise(none))
+    rows = S.where(now | before).select("country_code", "source_origin_country", "geo_confidence", F.explode(pairs).alias("p")).select("*", "p.kind", "p.value").where("value is not null")
+    of_row, own = F.col("kind") == "row", F.col("source_origin_country")
+    counts = rows.groupBy("country_code", "kind", "value").agg(
+        F.count("*").alias("n"), F.sum(F.when(of_row, F.nullif("geo_confidence", F.lit(0.0)))).alias("geo"), F.count(F.when(of_row, F.nullif("geo_confidence", F.lit(0.0)))).alias("geo_n"),
+        F.count(F.when(of_row, own)).alias("known"), F.count_if(of_row & (own == F.col("country_code"))).alias("own"),
+    )
+    counts = counts.withColumn("m", F.sum("n").over(Window.partitionBy("kind", "value")))
+    of = lambda kind, x=F.col("n"): F.when(F.col("kind") == kind, x)
+    total = lambda kind, x=F.col("n"): F.sum(of(kind, x))
+    nlogn = F.col("n") * F.log("n")
+    entropy = lambda kind: F.greatest(F.log(total(kind)) - total(kind, nlogn) / total(kind), F.lit(0.0))
+    kinds = lambda kind: F.count(of(kind))
+    rows = counts.groupBy("country_code").agg(
+        total("row").alias("volume_now"), F.try_divide(F.sum("geo"), F.sum("geo_n")).alias("geo"), F.sum("known").alias("known"), F.try_divide(F.sum("own"), F.sum("known")).alias("local"),
+        (1 - F.try_divide(kinds("headline"), total("headline"))).alias("dup"), F.avg(of("day")).alias("base"), F.nullif(F.stddev_pop(of("day")), F.lit(0.0)).alias("sigma"),
+        F.when(kinds("family") > 1, entropy("family") / F.log(kinds("family"))).when(kinds("family") == 1, 0.0).alias("families"), entropy("frame").alias("frame_h"), F.coalesce(total("frame"), F.lit(0)).alias("framed"),
+        total("theme").alias("themes"), (total("theme", nlogn) - total("theme", F.col("n") * F.log("m"))).alias("logs"),
+    )
+    every = F.sum("themes").over(Window.partitionBy())  # one row a country
+    rows = rows.withColumn("kl", F.col("logs") / F.col("themes") - F.log("themes") + F.log(every)).where(F.col("volume_now").isNotNull())
     z = (F.col("volume_now") / (hours / 24.0) - F.col("base")) / F.col("sigma")
     half = F.lit(0.5)
     parts = {

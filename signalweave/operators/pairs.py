@@ -40,20 +40,19 @@ def theme_flows(S: DataFrame, as_of: str, hours: float = 6, least_theme: int = 2
         kind, value = focus
         S, least_total = S.where(exprs.focus(kind, value.upper() if kind in ("theme", "country") else value)), min(least_total, 3)
     counts = R.exploded(S.where(exprs.in_window(F.col("ts"), as_of, hours) & F.col("country_code").isNotNull())).groupBy("country_code", "theme").agg(F.count("*").alias("n")).where(F.col("n") >= least_theme)
-    totals = counts.groupBy("country_code").agg(F.sum("n").alias("total")).where(F.col("total") >= least_total)
-    sets = top_per(counts, ["country_code"], [F.desc("n"), F.asc("theme")], top).join(totals.select("country_code"), "country_code", "left_semi")
+    # one row a country: its most frequent themes, at most ``top``, with the total of all
+    own = Window.partitionBy("country_code")
+    ranked = top_per(counts.withColumn("total", F.sum("n").over(own)), ["country_code"], [F.desc("n"), F.asc("theme")], top).where(F.col("total") >= least_total)
+    sets = ranked.groupBy("country_code").agg(F.max("total").alias("total"), F.collect_list("theme").alias("ts"))
+    made, carried = [], ["total", "size"]
     if countries is not None:
-        places = countries.where("latitude is not null").select("country_code", "latitude", "longitude")
-        sets = sets.join(places.select("country_code"), "country_code", "left_semi")
-    rows = jaccard_pairs(sets.select("country_code", "theme"), "country_code", "theme", names=5).where((F.col("jaccard") >= min_jaccard) & (F.col("shared") >= min_shared))
-    for x in ("a", "b"):
-        rows = rows.join(totals.select(F.col("country_code").alias(x), F.col("total").alias(f"t_{x}")), x)
-    strength = R.two(F.col("jaccard") * F.least("t_a", "t_b") / 10.0)
-    made = []
-    if countries is not None:
-        for x in ("a", "b"):
-            rows = rows.join(places.select(F.col("country_code").alias(x), F.col("latitude").alias(f"lat_{x}"), F.col("longitude").alias(f"lon_{x}")), x)
-        made = ["lat_a", "lon_a", "lat_b", "lon_b"]
+        sets = sets.join(countries.where("latitude is not null").select("country_code", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), "country_code")
+        made, carried = ["lat_a", "lon_a", "lat_b", "lon_b"], [*carried, "lat", "lon"]
+    side = lambda x: sets.withColumn("size", F.size("ts")).select(F.col("country_code").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in carried], F.explode("ts").alias("theme"))
+    met = side("a").join(side("b"), "theme").where("a < b").groupBy("a", "b", *[f"{c}_{x}" for c in carried for x in ("a", "b")])
+    rows = met.agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_list("theme")), 1, 5).alias("names"))
+    rows = rows.withColumn("jaccard", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).where((F.col("jaccard") >= min_jaccard) & (F.col("shared") >= min_shared))
+    strength = R.two(F.col("jaccard") * F.least("total_a", "total_b") / 10.0)
     return rows.select("a", "b", strength.alias("strength"), F.round("jaccard", 3).alias("similarity"), "shared", F.array_join("names", ",").alias("themes"), *made).orderBy(F.desc("strength"), "a", "b").limit(limit)
 
 

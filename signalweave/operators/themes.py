@@ -20,25 +20,35 @@ def trend(last: Column, previous: Column) -> Column:
 def narratives(S: DataFrame, as_of: str, hours: int, limit: int = 20, velocity_hours: float = 1, words: DataFrame | None = None, zipped: bool = False) -> DataFrame:
     """The most frequent themes with velocity, trend, spread over active countries, top countries and persons, daily timeline, first sight.
 
-    Phase one picks ``limit`` themes; their rows only go on, by a semi-join with a table of that size. ``words``
+    Phase one picks ``limit`` themes; only their rows go on, by a semi-join with a table of that size, as (kind, value) pairs that are counted
+    together: the signals are read twice. Active countries are counted as those of a further theme that every row has. ``words``
     (theme, interested) flags public interest. ``zipped`` pairs themes with persons by place, as a zipping unnest does.
     """
+    any_theme = "\x00any"
     now = S.where(exprs.in_window(F.col("ts"), as_of, hours))
-    flat = R.exploded(now)
-    top = flat.groupBy("theme").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment"), 4).alias("avg_sentiment")).orderBy(F.desc("signal_count"), "theme").limit(limit)
-    rows = flat.join(F.broadcast(top.select("theme")), "theme", "left_semi")
-    recent = lambda a, b: F.count_if(exprs.in_window(F.col("ts"), as_of, a, b))
-    scope = rows.groupBy("theme").agg(F.countDistinct("country_code").alias("country_count"), F.countDistinct("source_name").alias("source_count"), recent(velocity_hours, 0).alias("velocity"), recent(2 * velocity_hours, velocity_hours).alias("before"), F.min("ts").alias("first_seen"))
-    if zipped:
-        pairs = now.select(F.explode(F.arrays_zip("themes", "persons")).alias("z")).select(F.col("z.themes").alias("theme"), F.col("z.persons").alias("person"))
-        people = pairs.where("theme is not null and person is not null").join(F.broadcast(top.select("theme")), "theme", "left_semi")
-        lists = [top_lists(rows, "theme", {"top_countries": F.array("country_code")}), top_lists(people, "theme", {"top_persons": F.array("person")})]
-    else:
-        lists = [top_lists(rows, "theme", {"top_countries": F.array("country_code"), "top_persons": F.col("persons")})]
-    timeline = rows.groupBy("theme", F.date_format("ts", "MM-dd").alias("day")).agg(F.count("*").alias("n")).groupBy("theme").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "day", "n"))), ",").alias("timeline"))
-    active = now.agg(F.greatest(F.countDistinct("country_code"), F.lit(1)).alias("active"))
-    parts = [scope, *lists, timeline]
-    joined = reduce(lambda a, b: a.join(b, "theme", "left"), parts, top).join(F.broadcast(active))
+    themes = F.concat(F.coalesce("themes", F.array().cast("array<string>")), F.array(F.lit(any_theme)))
+    flat = now.select("ts", "country_code", "source_name", "sentiment", "persons", F.posexplode(themes).alias("place", "theme"))
+    top = flat.where(F.col("theme") != any_theme).groupBy("theme").agg(F.count("*").alias("signal_count"), r(F.avg("sentiment"), 4).alias("avg_sentiment")).orderBy(F.desc("signal_count"), "theme").limit(limit)
+    about = ["theme", *top.columns[1:]]  # figures of a theme go along with it
+    wanted = top.unionByName(S.sparkSession.createDataFrame([(any_theme,)], "theme string"), allowMissingColumns=True)
+    people = F.when(F.col("place") < F.size("persons"), F.array(F.get("persons", F.col("place")))) if zipped else F.col("persons")
+    one = lambda kind, value: _tagged(kind, F.array(value))
+    pairs = F.concat(one("row", F.lit("")), one("country", F.col("country_code")), one("source", F.col("source_name")), one("day", F.date_format("ts", "MM-dd")), _tagged("person", people))
+    pairs = F.when(F.col("theme") == any_theme, one("country", F.col("country_code"))).otherwise(pairs)
+    rows = flat.drop("sentiment").join(F.broadcast(wanted), "theme").select(*about, "ts", F.explode(pairs).alias("p")).select(*about, "ts", "p.kind", "p.value").where("value is not null")
+    recent = lambda a, b: F.count_if((F.col("kind") == "row") & exprs.in_window(F.col("ts"), as_of, a, b))
+    counts = rows.groupBy(*about, "kind", "value").agg(F.count("*").alias("n"), recent(velocity_hours, 0).alias("velocity"), recent(2 * velocity_hours, velocity_hours).alias("before"), F.min("ts").alias("first_seen"))
+    counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy("theme", "kind").orderBy(F.desc("n"), "value")))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    first = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("rank") <= 3), F.struct("rank", "value")))), lambda x: x["value"]), ",")
+    parts = counts.groupBy(*about).agg(
+        F.count(of("country", F.lit(1))).alias("country_count"), F.count(of("source", F.lit(1))).alias("source_count"), F.sum("velocity").alias("velocity"), F.sum("before").alias("before"), F.min(of("row", F.col("first_seen"))).alias("first_seen"),
+        first("country").alias("top_countries"), first("person").alias("top_persons"), F.array_join(F.array_sort(F.collect_list(of("day", F.concat_ws(":", "value", "n")))), ",").alias("timeline"),
+    )
+    active = F.greatest(F.coalesce(F.max(F.when(F.col("theme") == any_theme, F.col("country_count"))).over(Window.partitionBy()), F.lit(1)), F.lit(1))  # at most ``limit`` + 1 rows
+    if zipped:  # lists come from pairs then, and without a pair there is none
+        parts = parts.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("top_countries", "top_persons")})
+    joined = parts.withColumn("active", active).where(F.col("theme") != any_theme)
     if words is not None:
         joined = joined.join(words, "theme", "left").withColumn("interested", F.coalesce("interested", F.lit(False)))
     return joined.withColumn("trend", trend(F.col("velocity"), F.col("before"))).withColumn("spread_pct", F.round(100.0 * F.col("country_count") / F.col("active"), 1)).drop("active", "before")
