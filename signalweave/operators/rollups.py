@@ -57,6 +57,19 @@ def rollup_hourly(S: DataFrame, dim: Column) -> DataFrame:
     return S.groupBy(hour().alias("hour"), dim.alias("dim")).agg(F.count("*").alias("signal_count"), two(F.avg("sentiment")).alias("avg_sentiment"))
 
 
+def grouped_sets(S: DataFrame, sets: list[list[str]], unit: str = "hour") -> DataFrame:
+    """Rollups by several sets of columns in one read and one shuffle: rows of each set with ``kind``, its columns joined by commas.
+
+    Columns that are not of a row's set are null; so is a null value of the set itself, which ``kind`` tells apart. The empty set is all rows of the unit.
+    """
+    names = sorted({c for s in sets for c in s})
+    rows = S.select(F.date_trunc(unit, "ts").alias("slot"), "sentiment", "source_name", *[F.col(c).alias(f"by_{c}") for c in names])
+    per = rows.groupingSets([[F.col("slot"), *[F.col(f"by_{c}") for c in s]] for s in sets], F.col("slot"), *[F.col(f"by_{c}") for c in names])
+    kind = F.concat_ws(",", *[F.when(F.grouping(f"by_{c}") == 0, F.lit(c)) for c in names])
+    made = per.agg(kind.alias("kind"), F.count("*").alias("signal_count"), r(F.avg("sentiment")).alias("avg_sentiment"), F.countDistinct("source_name").alias("sources"))
+    return made.withColumnsRenamed({f"by_{c}": c for c in names})
+
+
 def theme_hourly(S: DataFrame) -> DataFrame:
     return exploded(S).groupBy("theme", hour().alias("hour")).agg(
         F.count("*").alias("signal_count"), F.countDistinct("country_code").alias("countries"), F.countDistinct("source_name").alias("sources"), r(F.avg("sentiment")).alias("avg_sentiment"), F.count("nlp_sentiment").alias("nlp_count"), r(F.avg("nlp_sentiment")).alias("nlp_avg")

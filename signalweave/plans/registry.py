@@ -8,7 +8,7 @@ from .fixture import Tables, oracle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("scalars", "aggregates", "heat", "themes", "pairs", "finding", "happenings", "upkeep", "landing", "streams", "reference", "pieces")
+MODULES = ("scalars", "aggregates", "heat", "themes", "pairs", "finding", "happenings", "upkeep", "landing", "streams", "reference", "pieces", "further")
 
 
 def query(name: str, sql: str | None = None):
