@@ -65,7 +65,8 @@ def _ranged(rows: DataFrame, by_source: DataFrame, bucket_rows: int) -> DataFram
     last = F.ceil(F.col("n") / bucket_rows) - 1
     table = checkpointed(by_source.join(weights, "s").withColumn("of_source", F.col("n")))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = join_all(rows, table, "s", "of_source", total)  # a source may be most of the rows
+    # a source may be most of the rows; each has at most 139 steps of weights of 16 bytes, so 5000 of them are some 12 MB
+    joined = join_all(rows, table, "s", "of_source", total, keys=5_000)
     return joined.withColumn("b", F.least(F.floor((last + 1) * share), last).cast("long")).drop("weights")
 
 
