@@ -70,6 +70,13 @@ def theme_correlation(S: DataFrame, top: int = 10) -> DataFrame:
     return rows.select("a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 3).alias("jaccard"))
 
 
+def row_pairs(S: DataFrame, array: str) -> DataFrame:
+    """(a, b, n) for a < b: in how many rows both are elements of the array. Pairs are made within a row, so nothing is joined."""
+    ts = F.array_sort(F.array_distinct(F.array_compact(array)))
+    both = lambda ts: F.flatten(F.transform(ts, lambda a: F.transform(F.filter(ts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return S.select(F.explode(exprs.once(ts, both)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
 def country_correlation(S: DataFrame, top: int = 10) -> DataFrame:
     """Overlap of theme sets of the countries with most rows."""
     names = S.groupBy("country_code").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country_code").limit(top)

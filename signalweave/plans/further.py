@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import sql
-from ..operators import near, sketches
+from ..functions import exprs, sql
+from ..operators import heat, near, pairs, quality, sketches
 from ..operators import rollups as R
 from ..sources import partitions
 from ..sources.seen import SeenKeys
 from ..streaming import stream as M
 from .fixture import AS_OF
+from .heat import NOW
 from .reference import LIST, dealt, dealt_sql
 from .registry import query
 from .streams import IN_TIME, staged
@@ -138,3 +139,60 @@ def p(t):
             FROM (SELECT *, {words}[signal_id % 6] AS word FROM {{s}}) s JOIN {{c}} c USING (country_code) LEFT JOIN LATERAL sw_countries_with_word(s.word) w""",
         s=t.signals, c=t.countries,
     )
+
+
+@query("c26_signal_classes", ", c AS (SELECT *, CASE WHEN attribution_method = 'reddit_public' OR source_family = 'social' THEN 'social_commentary' WHEN attribution_method = 'reliefweb_ocha' OR source_family = 'ngo' THEN 'humanitarian' WHEN is_state_media OR source_family = 'state' THEN 'state_media' WHEN source_family = 'wire' THEN 'wire' WHEN source_family IN ('gdelt', 'rss', 'api', 'independent') THEN 'reporting' ELSE 'unknown' END AS signal_class FROM signals) SELECT country_code, signal_class, count(*) AS n FROM c GROUP BY ALL")
+def c26(t):
+    return t.signals.groupBy("country_code", exprs.signal_class(F.col("source_family"), F.col("attribution_method"), F.col("is_state_media")).alias("signal_class")).agg(F.count("*").alias("n"))
+
+
+EDGES = [0.5, 0.51, -0.5, -0.49, -2.0, -2.01, -1.99, 0.0, 9.99, 10.0, 10.01, -10.0, -10.01, 250.0]
+
+
+def _edge(t):
+    return t.signals.select("signal_id", F.element_at(F.array(*map(F.lit, EDGES)), (F.col("signal_id") % len(EDGES) + 1).cast("int")).alias("x"))
+
+
+_EDGE = f", x AS (SELECT signal_id, {EDGES}[signal_id % {len(EDGES)} + 1]::DOUBLE AS x FROM signals)"
+
+
+@query("c30_framing_edges", _EDGE + " SELECT signal_id, CASE WHEN x > 0.5 THEN 'positive' WHEN x > -0.5 THEN 'neutral' WHEN x > -2 THEN 'negative' ELSE 'hostile' END AS framing FROM x")
+def c30(t):
+    return _edge(t).select("signal_id", exprs.framing_label(F.col("x")).alias("framing"))
+
+
+@query("c32_clamped_edges", _EDGE + " SELECT signal_id, greatest(-1, least(1, x / 10))::DOUBLE AS tone FROM x")
+def c32(t):
+    return _edge(t).select("signal_id", exprs.clamped_tone(F.col("x")).alias("tone"))
+
+
+@query("d2_window_against_baseline", f", w AS (SELECT country_code, count(*) AS n FROM signals WHERE {NOW(24)} GROUP BY ALL), d AS (SELECT country_code, date_trunc('day', ts) AS day, count(*) AS n FROM signals WHERE {NOW(240)} GROUP BY ALL), b AS (SELECT country_code, count(*) AS days, round(avg(n), 6) AS avg_daily FROM d GROUP BY ALL) SELECT country_code, n, days, avg_daily FROM w JOIN b USING (country_code)")
+def d2(t):
+    """Countries with rows in the last day, each with its daily mean of ten days."""
+    now = t.signals.where(exprs.in_window(F.col("ts"), AS_OF, 24)).groupBy("country_code").agg(F.count("*").alias("n"))
+    return now.join(heat.country_baseline(t.signals, AS_OF, 10), "country_code").select("country_code", "n", "days", "avg_daily")
+
+
+@query("d7_pairs_in_rows", ", e AS (SELECT signal_id, unnest(list_distinct(list_concat(themes, persons))) AS x FROM signals) SELECT p.x AS a, q.x AS b, count(*) AS n FROM e p JOIN e q USING (signal_id) WHERE p.x < q.x GROUP BY ALL")
+def d7(t):
+    return pairs.row_pairs(t.signals.withColumn("both", F.concat("themes", "persons")), "both")
+
+
+@query("d18_corrections_of_signals", " SELECT coalesce(source_lang, 'unknown') AS source_lang, source_family AS nlp_method, count(*) AS corrections, round(avg(abs(CASE WHEN signal_id % 2 = 0 THEN sentiment / 2 ELSE -sentiment END - sentiment)), 6) AS avg_delta, round(avg(CASE WHEN signal_id % 2 = 1 AND nlp_framing IS NOT NULL THEN 1 ELSE 0 END), 6) AS framing_rate FROM signals WHERE signal_id % 3 = 0 GROUP BY ALL")
+def d18(t):
+    """Corrections of a third of the signals; every other one changes the framing; some are of signals that there aren't."""
+    own = t.signals.where("signal_id % 3 = 0")
+    changed = F.when(F.col("signal_id") % 2 == 1, F.lit("other")).otherwise(F.col("nlp_framing"))
+    corrections = own.select("signal_id", F.col("sentiment").alias("original_sentiment"), F.when(F.col("signal_id") % 2 == 0, F.col("sentiment") / 2).otherwise(-F.col("sentiment")).alias("corrected_sentiment"), F.col("nlp_framing").alias("original_framing"), changed.alias("corrected_framing"))
+    stray = corrections.withColumn("signal_id", -F.col("signal_id") - 1)
+    return quality.nlp_calibration(corrections.unionByName(stray), t.signals.withColumn("nlp_method", F.col("source_family")))
+
+
+@query("f4_shares_of_countries", "SELECT country_code, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM signals GROUP BY ALL")
+def f4(t):
+    return R.share_of_total(t.signals, "country_code")
+
+
+@query("g1_strongest_signals", "SELECT signal_id, country_code, sentiment FROM signals ORDER BY abs(sentiment) DESC, signal_id LIMIT 40")
+def g1(t):
+    return t.signals.orderBy(F.desc(F.abs("sentiment")), "signal_id").limit(40).select("signal_id", "country_code", "sentiment")

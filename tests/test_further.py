@@ -22,7 +22,7 @@ def test_radius_join_against_all_pairs(spark):
     """Anywhere, at the poles and the date line; radii from a street to a hemisphere; bad places."""
     spots = [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0), (89.9, -179.9), (0.0, 0.0), (-45.0, 179.99), (45.0, -179.99)]
     anywhere = lambda: (math.degrees(math.asin(RNG.uniform(-1, 1))), RNG.uniform(-180, 180))
-    points = spots + [anywhere() for _ in range(300)] + [(max(-90, min(90, a + RNG.uniform(-1, 1))), (o + RNG.uniform(-2, 2) + 180) % 360 - 180) for a, o in spots for _ in range(15)]
+    points = spots + [anywhere() for _ in range(300)] + [(max(-90.0, min(90.0, a + RNG.uniform(-1, 1))), (o + RNG.uniform(-2, 2) + 180) % 360 - 180) for a, o in spots for _ in range(15)]
     places = [(*s, r) for s in spots for r in (0.05, 30.0, 700.0)] + [(*anywhere(), RNG.choice([5.0, 100.0, 1500.0, 9000.0, 20000.0])) for _ in range(30)]
     odd = [(None, 1.0), (91.0, 0.0), (float("nan"), 0.0), (0.0, 181.0)]
     p = spark.createDataFrame([(i, *x) for i, x in enumerate([*points, *odd])], "i int, latitude double, longitude double")
@@ -52,9 +52,10 @@ def test_merged_sketches_are_near_the_exact_counts(spark):
 def test_grouping_sets_take_one_read(spark):
     rows = spark.createDataFrame([("2024-01-01 01:00:00", "A", None, 1.0, "s"), ("2024-01-01 02:00:00", "A", "x", 3.0, "t"), ("2024-01-01 02:00:00", None, "x", None, "t")], "ts string, a string, b string, sentiment double, source_name string").withColumn("ts", F.to_timestamp("ts"))
     made = rollups.grouped_sets(rows, [["a"], ["a", "b"], []], "day")
+    plan = made._jdf.queryExecution().executedPlan().toString()
     got = {(r.kind, r.a, r.b): (r.signal_count, r.avg_sentiment, r.sources) for r in made.collect()}
     assert got == {("a", "A", None): (2, 2.0, 2), ("a", None, None): (1, None, 1), ("a,b", "A", None): (1, 1.0, 1), ("a,b", "A", "x"): (1, 3.0, 1), ("a,b", None, "x"): (1, None, 1), ("", None, None): (3, 2.0, 2)}
-    assert made._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert plan.count("Scan ExistingRDD") == 1
 
 
 @pytest.mark.parametrize("name", sorted(sql.SCALARS))
