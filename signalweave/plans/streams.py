@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import ingest
+from ..streaming import ingest, stateful
 from ..streaming import stream as M
 from . import landing
 from .fixture import SIGNALS, SPARK
@@ -118,7 +118,10 @@ def m8(t):
     return rows.groupBy("vessel").agg(F.max("ts").cast("string").alias("ts"))
 
 
-@query("m8_positions_expiry", ", s AS (SELECT 'v' || (signal_id % 300) AS vessel, ts, latitude, longitude FROM signals WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND ts < TIMESTAMP '2024-01-27'), l AS (SELECT vessel, max(ts) AS ts, arg_max(latitude, (ts, latitude, longitude)) AS latitude, arg_max(longitude, (ts, latitude, longitude)) AS longitude FROM s GROUP BY ALL) SELECT vessel, CAST(ts AS VARCHAR) AS ts, latitude, longitude, ts + INTERVAL 2 DAYS < (SELECT max(ts) FROM s) - INTERVAL 1 HOUR AS expired FROM l")
+M8_EXPIRY = ", s AS (SELECT 'v' || (signal_id % 300) AS vessel, ts, latitude, longitude FROM signals WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND ts < TIMESTAMP '2024-01-27'), l AS (SELECT vessel, max(ts) AS ts, arg_max(latitude, (ts, latitude, longitude)) AS latitude, arg_max(longitude, (ts, latitude, longitude)) AS longitude FROM s GROUP BY ALL) SELECT vessel, CAST(ts AS VARCHAR) AS ts, latitude, longitude, ts + INTERVAL 2 DAYS < (SELECT max(ts) FROM s) - INTERVAL 1 HOUR AS expired FROM l"
+
+
+@query("m8_positions_expiry", M8_EXPIRY)
 def m8e(t):
     """Places in three batches by time; vessels that are silent for two days are given out as expired, with their last place."""
     parts = ["ts < '2024-01-12'", "ts >= '2024-01-12' and ts < '2024-01-20'", "ts >= '2024-01-20' and ts < '2024-01-27'"]
@@ -130,6 +133,32 @@ def m8e(t):
     return last.select("vessel", F.col("ts").cast("string").alias("ts"), "x.latitude", "x.longitude", "x.expired")
 
 
+SHIPS = ["ts < '2024-01-12'", "ts >= '2024-01-12' and ts < '2024-01-20'", "ts >= '2024-01-20' and ts < '2024-01-27'"]
+
+
+def _ships(t):
+    return staged(t, SHIPS).select(F.concat(F.lit("v"), (F.col("signal_id") % 300).cast("string")).alias("vessel"), "ts", "latitude", "longitude")
+
+
+@query("m8_timed_positions", M8_EXPIRY)
+def m8t(t):
+    """The same with typed state and timers."""
+    path = M.scratch(t.spark, "m8t")
+    with stateful.enabled(t.spark):
+        M.run_available(stateful.last_positions(_ships(t), 2 * 1440, "1 hour"), M.update_log(path), path + "-checkpoint", "update")
+    last = t.spark.read.parquet(path).groupBy("vessel").agg(F.max_by(F.struct("latitude", "longitude", "expired"), F.struct("ts", "expired")).alias("x"), F.max("ts").alias("ts"))
+    return last.select("vessel", F.col("ts").cast("string").alias("ts"), "x.latitude", "x.longitude", "x.expired")
+
+
+@query("m8_visits", ", s AS (SELECT 'v' || (signal_id % 300) AS vessel, epoch_us(ts) // 1000 AS ms FROM signals WHERE ts < TIMESTAMP '2024-01-27'), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY vessel ORDER BY ms) <= 43200000 THEN 0 ELSE 1 END AS fresh FROM s), v AS (SELECT *, sum(fresh) OVER (PARTITION BY vessel ORDER BY ms ROWS UNBOUNDED PRECEDING) AS visit FROM g), e AS (SELECT vessel, visit, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n FROM v GROUP BY ALL) SELECT vessel, start_ms, end_ms, n FROM e WHERE end_ms + 43200000 < (SELECT max(ms) FROM s) - 3600000")
+def m8v(t):
+    """Visits of each vessel: rows with half a day between them at most; those that are over by event time."""
+    path = M.scratch(t.spark, "m8v")
+    with stateful.enabled(t.spark):
+        M.run_available(stateful.sessions(_ships(t), "vessel", 720, "1 hour"), M.update_log(path), path + "-checkpoint")
+    return t.spark.read.parquet(path).select(F.col("key").alias("vessel"), F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
+
+
 @query("m10_running_statistics", "SELECT country_code, count(sentiment) AS n, min(sentiment) AS low, max(sentiment) AS high, round(avg(sentiment), 6) AS mean FROM signals GROUP BY ALL")
 def m10(t):
     """Partial aggregates of three batches, merged when they are read."""
