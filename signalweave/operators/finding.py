@@ -168,12 +168,12 @@ def unified_search(S: DataFrame, countries: DataFrame, pageviews: DataFrame, tex
         "region": search_regions(one).select(F.col("region").alias("item"), F.lit(1).alias("total")),
         "suggestion": fuzzy_suggest(one, S, countries, pageviews).select(F.col("value").alias("item"), F.col("score").alias("total")),
     }
-    rows = [x.select(F.lit(i).alias("no"), F.lit(part).alias("part"), "item", F.col("total").cast("double").alias("total")) for i, (part, x) in enumerate(parts.items())]
+    rows = [x.select(F.lit(part).alias("part"), "item", F.col("total").cast("double").alias("total")) for part, x in parts.items()]
     every = rows[0]
     for x in rows[1:]:
         every = every.unionByName(x)
-    # at most a few dozen rows a part
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("no").orderBy(F.desc("total"), "item"))).drop("no")
+    # at most a few dozen rows a part; a filter on the part leaves the others out of the plan
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("total"), "item")))
 
 
 def merged_hits(first: DataFrame, second: DataFrame, key: str = "item") -> DataFrame:

@@ -22,7 +22,7 @@ from .streams import IN_TIME, staged
 @query("a15_seen_keys", ", b AS (SELECT source_url, min(signal_id % 4) AS batch FROM signals GROUP BY ALL) SELECT CAST(batch AS INTEGER) AS batch, source_url, min(signal_id) AS signal_id FROM signals JOIN b USING (source_url) WHERE signal_id % 4 = batch GROUP BY ALL")
 def a15(t):
     """Four batches against the index: the rows whose URL no earlier batch had, the first of each."""
-    index = SeenKeys(t.spark, M.scratch(t.spark, "seen"), buckets=16, filter_bytes=4096)
+    index = SeenKeys(t.spark, M.scratch(t.spark, "seen"), buckets=4, filter_bytes=4096)
     rows = t.signals.select("signal_id", "source_url")
     found = [index.new_rows(rows.where(F.col("signal_id") % 4 == b), "source_url", b, [F.asc("signal_id")]).withColumn("batch", F.lit(b)) for b in range(4)]
     return reduce(lambda a, b: a.unionByName(b), found)

@@ -184,10 +184,10 @@ def ingested(t):
 
     land("a", "part = 0")
     land("b", "part = 1")
-    first = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2)
+    first = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2, buckets=4, filter_bytes=4096, hours=24)
     land("c", "part = 2 or part = 0 and length(value) % 3 = 0")
     land("d", "part = 3 or part = 1")
-    second = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2)
+    second = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2, buckets=4, filter_bytes=4096, hours=24)
     return base + "/tables", [*first, *second]
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollups as R
@@ -23,8 +23,11 @@ from . import stream
 ROLLUPS = {"theme_hourly": R.theme_hourly, "country_hourly": R.country_hourly}
 
 
-def signals_sink(tables: str, source_lang: str = "en", blocked: list[str] | None = None, buckets: int = 256, filter_bytes: int = 1 << 17) -> Callable[[DataFrame, int], None]:
-    """A sink of landed lines: their signals with new URLs, then the rollups of touched hours."""
+def signals_sink(tables: str, source_lang: str = "en", blocked: list[str] | None = None, buckets: int = 256, filter_bytes: int = 1 << 17, hours: int = 1) -> Callable[[DataFrame, int], None]:
+    """A sink of landed lines: their signals with new URLs, then the rollups of touched hours.
+
+    A partition holds ``hours`` hours of a day; 24 is for backfills, whose batches touch many days.
+    """
 
     def write(lines: DataFrame, number: int) -> None:
         spark = lines.sparkSession
@@ -32,23 +35,27 @@ def signals_sink(tables: str, source_lang: str = "en", blocked: list[str] | None
         found = normalize.gkg_to_signals(normalize.parse.read_gkg(lines)[0], source_lang, blocked).persist(StorageLevel.DISK_ONLY)
         index = SeenKeys(spark, f"{tables}/seen", buckets, filter_bytes)
         fresh = index.new_rows(found, "source_url", number, [F.asc("ts"), F.asc("signal_id")])
-        dated = fresh.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", F.hour("ts")).withColumn("batch", F.lit(number))
+        dated = fresh.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("h", _slot("ts", hours)).withColumn("batch", F.lit(number))
         partitions.overwrite(dated, f"{tables}/signals", ["day", "h", "batch"])
         found.unpersist()
-        refresh(spark, tables, number)
+        refresh(spark, tables, number, hours)
 
     return write
 
 
-def refresh(spark: SparkSession, tables: str, number: int) -> None:
+def _slot(ts: str, hours: int) -> Column:
+    return (F.floor(F.hour(ts) / hours) * hours).cast("int")
+
+
+def refresh(spark: SparkSession, tables: str, number: int, hours: int = 1) -> None:
     """Rollups of the hours that batch ``number`` has rows of, from all their signals; other hours are neither read nor written."""
-    hours = {(day, h): hour for day, path in partitions.listed(spark, f"{tables}/signals", "day").items() for h, hour in partitions.listed(spark, path, "h").items()}
-    touched = [path for path in hours.values() if partitions.exists(spark, f"{path}/batch={number}")]
+    found = [hour for day in partitions.listed(spark, f"{tables}/signals", "day").values() for hour in partitions.listed(spark, day, "h").values()]
+    touched = [path for path in found if partitions.exists(spark, f"{path}/batch={number}")]
     if not touched:
         return
     rows = spark.read.option("basePath", f"{tables}/signals").parquet(*touched)
     for name, make in ROLLUPS.items():
-        made = make(rows).withColumn("day", F.date_format("hour", "yyyy-MM-dd")).withColumn("h", F.hour("hour"))
+        made = make(rows).withColumn("day", F.date_format("hour", "yyyy-MM-dd")).withColumn("h", _slot("hour", hours))
         partitions.overwrite(made, f"{tables}/{name}", ["day", "h"])
 
 
