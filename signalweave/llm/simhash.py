@@ -218,7 +218,7 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], most: int
     roots = components(links(groups.select("fp"), most))
     joined = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")))
     least = checkpointed(joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")))
-    of = join_all(joined.select("root", "fp", "n"), least, "root", "members", total).select("fp", "n", "component_id")
+    of = checkpointed(join_all(joined.select("root", "fp", "n"), least, "root", "members", total).select("fp", "n", "component_id"))
     return join_all(marked, of, "fp", "n", total)
 
 

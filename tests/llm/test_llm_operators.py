@@ -173,6 +173,16 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """The centre of a star, the root of a large component and small groups, with keys that go by broadcast and keys that do not."""
+    star = [(7, i) for i in range(1000, 1400)] + [(1000, 3)]
+    groups = [(10_000 + 3 * i + j, 10_000 + 3 * i + j + 1) for i in range(50) for j in range(2)]
+    edges = spark.createDataFrame(star + groups, "a long, b long").repartition(3)
+    want = {(i, 3) for i in (3, 7, *range(1000, 1400))} | {(10_000 + 3 * i + j, 10_000 + 3 * i) for i in range(50) for j in range(3)}
+    for least in (1, 20, 1000):
+        assert {(r.node, r.root) for r in components(edges, least=least).collect()} == want
+
+
 # 4
 
 
