@@ -95,12 +95,17 @@ def pivoted(pairs: DataFrame, names: list[str]) -> DataFrame:
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "that", "the", "to", "was", "with"]
 
 
-def term_vectors(topics: DataFrame, label: str = "label", stop_words: list[str] = STOP_WORDS, carry: list[str] = ()) -> DataFrame:
-    """Unit TF-IDF vectors of labels over words and pairs of neighbours: (topic_id, carried columns, term, w, df). idf = ln((1 + n) / (1 + df)) + 1."""
+def term_counts(topics: DataFrame, label: str, stop_words: list[str], carry: list[str]) -> DataFrame:
+    """(topic_id, carried columns, term, tf): the words of labels without stop words, and pairs of neighbours among these."""
     words = F.filter(exprs.tokens(F.col(label)), lambda w: (F.length(w) > 1) & ~w.isin(stop_words))
     pairs = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
     terms = topics.withColumn("ws", words).select("topic_id", *carry, F.explode(F.array_compact(F.concat("ws", pairs(F.col("ws"))))).alias("term"))
-    tf = terms.groupBy("topic_id", *carry, "term").agg(F.count("*").alias("tf"))
+    return terms.groupBy("topic_id", *carry, "term").agg(F.count("*").alias("tf"))
+
+
+def term_vectors(topics: DataFrame, label: str = "label", stop_words: list[str] = STOP_WORDS, carry: list[str] = ()) -> DataFrame:
+    """Unit TF-IDF vectors of labels over words and pairs of neighbours: (topic_id, carried columns, term, w, df). idf = ln((1 + n) / (1 + df)) + 1."""
+    tf = term_counts(topics, label, stop_words, carry)
     n = topics.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
@@ -133,6 +138,95 @@ def topic_flows(topics: DataFrame, halflife: float = 6.0, threshold: float = 0.3
     return pairs.withColumn("heat", r(heat)).where(F.col("heat") >= threshold).select(F.col("country_code_a").alias("source"), F.col("country_code_b").alias("target"), r(F.col("similarity")).alias("similarity"), "heat", F.array_join("topics", ",").alias("topics"))
 
 
+def _follows(a: str, b: str, window_hours: float) -> Column:
+    """Topic a is of another country than b, which comes later, within the window."""
+    earlier = (F.col(f"ts_{a}") < F.col(f"ts_{b}")) | ((F.col(f"ts_{a}") == F.col(f"ts_{b}")) & (F.col(f"country_code_{a}") < F.col(f"country_code_{b}")))
+    hours = (F.col(f"ts_{b}").cast("double") - F.col(f"ts_{a}").cast("double")) / 3600.0
+    return earlier & (F.col(f"country_code_{a}") != F.col(f"country_code_{b}")) & (hours <= window_hours)
+
+
+def _sides(rows: DataFrame, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(key, *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in ("a", "b"))
+
+
+def overlap_matches(topics: DataFrame, threshold: float, window_hours: float = 24.0) -> DataFrame:
+    """Pairs of topics whose stems overlap: common ones over those of the shorter label, at least ``threshold``.
+
+    Stems: words between white space, without "ing" (over 5 letters) or else a last "s" (over 3), of 3 letters or more. What
+    reaches the threshold has one of the rarest stems of the shorter label in common: its prefix meets all stems of longer ones.
+    """
+    cut = lambda w: F.when(w.endswith("ing") & (F.length(w) > 5), w.substr(F.lit(1), F.length(w) - 3)).when(w.endswith("s") & (F.length(w) > 3), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w)
+    stems = F.array_distinct(F.filter(F.transform(F.split(F.lower(F.trim("label")), r"\s+"), cut), lambda w: F.length(w) > 2))
+    carry = ["topic_id", "country_code", "ts", "label"]
+    words = topics.select(*carry, F.explode(stems).alias("word"))
+    ordered = words.join(words.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy(*carry).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("ws"))
+    n = F.size("ws")
+    reach = n - F.ceil(n * threshold - 1e-9) + 1
+    every = ordered.select(*carry, "ws", F.explode("ws").alias("word"))
+    first = ordered.select(*carry, "ws", F.explode(F.slice("ws", 1, F.greatest(reach, F.lit(1)).cast("int"))).alias("word"))
+    short, long = _sides(first, "word", *carry, "ws")[0], _sides(every, "word", *carry, "ws")[1]
+    sizes = (F.size("ws_a") < F.size("ws_b")) | ((F.size("ws_a") == F.size("ws_b")) & (F.col("topic_id_a") < F.col("topic_id_b")))
+    common = F.array_intersect("ws_a", "ws_b")
+    # a pair is told at its rarest common stem alone
+    met = short.join(long, "word").where(sizes & (_follows("a", "b", window_hours) | _follows("b", "a", window_hours))).where(F.col("word") == F.element_at(common, 1))
+    met = met.withColumn("score", F.size(common) / F.size("ws_a")).where(F.col("score") >= threshold)
+    ahead = _follows("a", "b", window_hours)
+    turned = [F.when(ahead, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in carry for x, y in (("a", "b"), ("b", "a"))]
+    return met.select(*turned, "score")
+
+
+def pair_cosine_matches(topics: DataFrame, threshold: float, window_hours: float = 24.0, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Pairs of topics whose TF-IDF cosine is at least ``threshold``, where the documents of IDF are the topics of their two countries alone.
+
+    A term's weight thus differs from pair to pair; it lies between bounds that hold for any other country, and these bound what the
+    terms after a prefix can add. Pairs whose rarest common term is in both prefixes get their weights, by one join of the terms with the other country's counts.
+    """
+    carry = ["country_code", "ts", "label"]
+    tf = term_counts(topics, "label", stop_words, carry)
+    own = tf.groupBy("country_code", "term").agg(F.count("*").alias("d"))
+    every = own.groupBy("term").agg(F.sum("d").alias("df"), F.max("d").alias("most"))
+    sizes = topics.groupBy("country_code").agg(F.count("*").alias("n"))
+    ends = sizes.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    v = tf.join(own.join(every, "term"), ["country_code", "term"]).join(sizes, "country_code").join(F.broadcast(ends))  # one row
+    low_n = F.col("n") + F.col("n_min")
+    high = F.col("tf") * (F.log((1 + F.col("n") + F.col("n_max")) / (1 + F.col("d"))) + 1)
+    low = F.col("tf") * (F.greatest(F.lit(0.0), F.log((1 + low_n) / (1 + F.least(F.col("d") + F.col("most"), low_n)))) + 1)
+    rare = Window.partitionBy("topic_id").orderBy("df", "term")
+    after = F.sum(high * high).over(rare.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.coalesce(F.sum(low * low).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    vector = F.collect_list(F.struct("term", "tf", "d")).over(rare.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    keyed = v.select("topic_id", *carry, "n", "term", after.alias("after"), before.alias("before"), vector.alias("vector")).where(F.col("after") >= threshold * threshold * (1 - 1e-9) * (F.col("after") + F.col("before")))
+    a, b = _sides(keyed, "term", "topic_id", *carry, "n", "vector")
+    terms = lambda x: F.transform(f"vector_{x}", lambda e: e["term"])
+    met = a.join(b, "term").where(_follows("a", "b", window_hours)).where(F.col("term") == F.element_at(F.array_intersect(terms("a"), terms("b")), 1)).withColumn("docs", F.col("n_a") + F.col("n_b")).drop("term")
+    idf = lambda d: F.log((1 + F.col("docs")) / (1 + d)) + 1
+    other = F.map_from_arrays(terms("b"), F.col("vector_b"))
+
+    def product(m):
+        return F.aggregate("vector_a", F.lit(0.0), lambda acc, e: acc + F.coalesce(e["tf"] * F.try_element_at(m, e["term"])["tf"] * F.pow(idf(e["d"] + F.try_element_at(m, e["term"])["d"]), 2), F.lit(0.0)))
+
+    dots = met.withColumn("dot", exprs.once(other, product))
+    lengths = {}
+    for x, y in (("a", "b"), ("b", "a")):
+        seen = met.select(f"topic_id_{x}", f"country_code_{y}", f"vector_{x}", "docs").dropDuplicates([f"topic_id_{x}", f"country_code_{y}"]).select(f"topic_id_{x}", f"country_code_{y}", "docs", F.inline(f"vector_{x}"))
+        theirs = own.select(F.col("country_code").alias(f"country_code_{y}"), "term", F.col("d").alias("d_other"))
+        weight = F.col("tf") * idf(F.col("d") + F.coalesce("d_other", F.lit(0)))
+        lengths[x] = seen.join(theirs, [f"country_code_{y}", "term"], "left").groupBy(f"topic_id_{x}", f"country_code_{y}").agg(F.sqrt(F.sum(weight * weight)).alias(f"length_{x}"))
+    scored = dots.join(lengths["a"], ["topic_id_a", "country_code_b"]).join(lengths["b"], ["topic_id_b", "country_code_a"]).withColumn("score", F.least(F.lit(1.0), F.col("dot") / (F.col("length_a") * F.col("length_b"))))
+    return scored.where(F.col("score") >= threshold).select(*[f"{c}_{x}" for c in ("topic_id", *carry) for x in ("a", "b")], "score")
+
+
+def pair_flows(topics: DataFrame, halflife: float = 6.0, threshold: float = 0.1, window_hours: float = 24.0, shared: int = 3, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Flows from earlier to later countries by their best pair of topics, by cosine within the pair of countries or by overlap of stems.
+
+    topics as in ``topic_flows``. Heat is the better of both times exp(-hours / halflife); as it is at most the similarity, pairs of topics under ``threshold`` never matter.
+    """
+    hits = pair_cosine_matches(topics, threshold, window_hours, stop_words).unionByName(overlap_matches(topics, threshold, window_hours))
+    pairs = hits.groupBy("country_code_a", "country_code_b").agg(F.max("score").alias("similarity"), F.min("ts_a").alias("ts_a"), F.min("ts_b").alias("ts_b"), F.slice(F.array_sort(F.collect_set("label_a")), 1, shared).alias("topics"))
+    heat = F.col("similarity") * exprs.decay(F.col("ts_a"), F.col("ts_b"), halflife)
+    return pairs.withColumn("heat", r(heat)).where(F.col("heat") >= threshold).select(F.col("country_code_a").alias("source"), F.col("country_code_b").alias("target"), r(F.col("similarity")).alias("similarity"), "heat", F.array_join("topics", ",").alias("topics"))
+
+
 def hotspots(S: DataFrame, mentions: Column, signal_intensity: Column | None = None) -> DataFrame:
     """Countries by topics: intensity from number, size and confidence of topics; dominant tone, variety of outlets, top five.
 

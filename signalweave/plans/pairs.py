@@ -51,8 +51,9 @@ def _topics(t):
     return labels.join(first, "country_code").withColumn("topic_id", F.concat_ws("/", "country_code", "label"))
 
 
-FLOWS = f""", rw AS (SELECT * FROM signals WHERE {NOW(72)}), fs AS (SELECT country_code, min(ts) AS ts FROM rw GROUP BY ALL), tp AS (SELECT DISTINCT country_code, lower(headline) AS label FROM rw), tk AS (SELECT country_code || '/' || label AS topic_id, list_filter(regexp_extract_all(label, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'of', 'on', 'that', 'the', 'to', 'was', 'with')) AS ws FROM tp),
- tm AS (SELECT topic_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM tk), tf AS (SELECT topic_id, term, count(*) AS tf FROM tm GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+TERMS = f""", rw AS (SELECT * FROM signals WHERE {NOW(72)}), fs AS (SELECT country_code, min(ts) AS ts FROM rw GROUP BY ALL), tp AS (SELECT DISTINCT country_code, lower(headline) AS label FROM rw), tk AS (SELECT country_code || '/' || label AS topic_id, list_filter(regexp_extract_all(label, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'of', 'on', 'that', 'the', 'to', 'was', 'with')) AS ws FROM tp),
+ tm AS (SELECT topic_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM tk), tf AS (SELECT topic_id, term, count(*) AS tf FROM tm GROUP BY ALL)"""
+FLOWS = TERMS + """, df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
  w0 AS (SELECT topic_id, term, tf * (ln((1 + (SELECT count(*) FROM tp)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), vv AS (SELECT topic_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY topic_id)) AS w, split_part(topic_id, '/', 1) AS cc FROM w0),
  d AS (SELECT x.topic_id AS ta, y.topic_id AS tb, x.cc AS a, y.cc AS b, fa.ts AS tsa, fb.ts AS tsb, sum(x.w * y.w) AS cosine FROM vv x JOIN vv y USING (term) JOIN fs fa ON x.cc = fa.country_code JOIN fs fb ON y.cc = fb.country_code WHERE x.cc <> y.cc AND (fa.ts < fb.ts OR (fa.ts = fb.ts AND x.cc < y.cc)) GROUP BY ALL),
  pr AS (SELECT a, b, max(cosine) AS similarity, (epoch(min(tsb)) - epoch(min(tsa))) / 3600 AS h, array_to_string(list_slice(list_sort(list(DISTINCT split_part(ta, '/', 2)) FILTER (WHERE cosine >= 0.05)), 1, 3), ',') AS topics FROM d GROUP BY ALL),
@@ -64,6 +65,21 @@ def k9(t):
     return P.topic_flows(_topics(t), threshold=0.05, window_hours=48)
 
 
+PAIR_FLOWS = TERMS + """, c AS (SELECT *, split_part(topic_id, '/', 1) AS cc FROM tf), nc AS (SELECT country_code AS cc, count(*) AS n FROM tp GROUP BY ALL), cd AS (SELECT cc, term, count(*) AS d FROM c GROUP BY ALL),
+ pc AS (SELECT x.country_code AS a, y.country_code AS b, x.ts AS tsa, y.ts AS tsb, na.n + nb.n AS n FROM fs x JOIN fs y ON x.ts < y.ts OR (x.ts = y.ts AND x.country_code < y.country_code) JOIN nc na ON na.cc = x.country_code JOIN nc nb ON nb.cc = y.country_code WHERE epoch(y.ts) - epoch(x.ts) <= 48 * 3600),
+ w AS (SELECT a, b, c.cc, topic_id, c.term, tf * (ln((1 + pc.n) / (1 + coalesce(da.d, 0) + coalesce(db.d, 0))) + 1) AS w FROM pc JOIN c ON c.cc IN (a, b) LEFT JOIN cd da ON da.cc = a AND da.term = c.term LEFT JOIN cd db ON db.cc = b AND db.term = c.term),
+ u AS (SELECT * REPLACE (w / sqrt(sum(w * w) OVER (PARTITION BY a, b, topic_id)) AS w) FROM w), cs AS (SELECT x.a, x.b, x.topic_id AS ta, sum(x.w * y.w) AS score FROM u x JOIN u y ON x.a = y.a AND x.b = y.b AND x.term = y.term AND x.cc = x.a AND y.cc = y.b GROUP BY x.a, x.b, x.topic_id, y.topic_id),
+ st AS (SELECT country_code AS cc, country_code || '/' || label AS topic_id, list_distinct(list_filter(list_transform(string_split_regex(trim(label), '\\s+'), lambda x: CASE WHEN ends_with(x, 'ing') AND length(x) > 5 THEN x[:-4] WHEN ends_with(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END), lambda x: length(x) > 2)) AS ws FROM tp),
+ ov AS (SELECT a, b, x.topic_id AS ta, len(list_intersect(x.ws, y.ws)) / least(len(x.ws), len(y.ws)) AS score FROM pc JOIN st x ON x.cc = a JOIN st y ON y.cc = b WHERE len(x.ws) > 0 AND len(y.ws) > 0),
+ al AS (SELECT * FROM cs UNION ALL SELECT * FROM ov), g AS (SELECT a, b, least(1, max(score)) AS s, array_to_string(list_slice(list_sort(list(DISTINCT split_part(ta, '/', 2)) FILTER (WHERE score >= 0.2)), 1, 3), ',') AS topics FROM al GROUP BY ALL), h AS (SELECT g.*, round(s * exp(-(epoch(tsb) - epoch(tsa)) / 3600 / 6), 6) AS heat FROM g JOIN pc USING (a, b))
+ SELECT a AS source, b AS target, round(s, 6) AS similarity, heat, topics FROM h WHERE heat >= 0.2"""
+
+
+@query("k9_pair_flows", PAIR_FLOWS)
+def k9p(t):
+    return P.pair_flows(_topics(t), threshold=0.2, window_hours=48)
+
+
 @query("k46_active_flows", FLOWS + " SELECT source, x.name AS source_name, target, y.name AS target_name, heat FROM fl LEFT JOIN countries x ON source = x.country_code LEFT JOIN countries y ON target = y.country_code WHERE heat >= 0.1")
 def k46(t):
     return P.active_flows(P.topic_flows(_topics(t), threshold=0.05, window_hours=48), t.countries, 0.1)
