@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, join_all
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", least: int = 1000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", least: int = 100_000) -> DataFrame:
     """Rows (node, root): for each node of an edge the smallest node that it is connected with.
 
     Each round takes the smallest label among neighbours, then that label's own label; rounds go on until
@@ -17,20 +17,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", least: int = 1000)
     stays short and a lost executor costs one round. No edges give no rows.
 
     The centre of a star has all its edges, the root of a large component all its nodes: labels that over
-    ``least`` rows ask for are joined by a broadcast of bounded size (``join_all``), so that no such key fills a task.
+    ``least`` rows of two numbers ask for are joined by a broadcast of bounded size (``join_all``), so that no such
+    key fills a task. A graph that cannot have such a key, by its largest degree and its size, is joined plainly.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     pairs = checkpointed(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     # n: how many neighbours ask for a node's label
     labels = checkpointed(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n")).select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved"), "n"))
-    n_pairs, n_nodes = pairs.count(), labels.count()
+    size = labels.agg(F.count("*").alias("nodes"), F.sum("n").alias("pairs"), F.max("n").alias("most")).first()
     while not labels.where("moved").isEmpty():
-        near = join_all(pairs, labels.select(F.col("node").alias("v"), F.col("root").alias("m"), "n"), "v", "n", n_pairs, least).groupBy(F.col("u").alias("node")).agg(F.min("m").alias("m"))
-        step = checkpointed(labels.select("node", "root", "n").join(near, "node").select("node", "root", "n", F.least("root", "m").alias("next")))
+        of = labels.select(F.col("node").alias("v"), F.col("root").alias("m"), "n")
+        asked = join_all(pairs, of, "v", "n", size.pairs, least) if size.most > least else pairs.join(of.drop("n"), "v")
+        near = asked.groupBy(F.col("u").alias("node")).agg(F.min("m").alias("m"))
+        step = labels.select("node", "root", "n").join(near, "node").select("node", "root", "n", F.least("root", "m").alias("next"))
         # A root is the smallest node it has met, so its own label may have become smaller meanwhile.
-        asked = step.groupBy("next").agg(F.count("*").alias("askers"))
-        up = checkpointed(asked.join(labels.select(F.col("node").alias("next"), F.col("root").alias("above")), "next"))
-        labels = checkpointed(join_all(step, up, "next", "askers", n_nodes, least).select("node", F.least("next", "above").alias("new"), "root", "n").select("node", F.col("new").alias("root"), (F.col("new") < F.col("root")).alias("moved"), "n"))
+        up = labels.select(F.col("node").alias("next"), F.col("root").alias("above"))
+        if size.nodes > least:
+            step = checkpointed(step)
+            up = checkpointed(step.groupBy("next").agg(F.count("*").alias("askers")).join(up, "next"))
+            met = join_all(step, up, "next", "askers", size.nodes, least)
+        else:
+            met = step.join(up, "next")
+        labels = checkpointed(met.select("node", F.least("next", "above").alias("new"), "root", "n").select("node", F.col("new").alias("root"), (F.col("new") < F.col("root")).alias("moved"), "n"))
     return labels.select("node", "root")
 
 

@@ -179,7 +179,7 @@ def test_components_with_hubs(spark):
     groups = [(10_000 + 3 * i + j, 10_000 + 3 * i + j + 1) for i in range(50) for j in range(2)]
     edges = spark.createDataFrame(star + groups, "a long, b long").repartition(3)
     want = {(i, 3) for i in (3, 7, *range(1000, 1400))} | {(10_000 + 3 * i + j, 10_000 + 3 * i) for i in range(50) for j in range(3)}
-    for least in (1, 20, 1000):
+    for least in (1, 20, 401, 1000):
         assert {(r.node, r.root) for r in components(edges, least=least).collect()} == want
 
 
