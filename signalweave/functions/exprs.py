@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache, reduce
 
@@ -89,7 +90,9 @@ def unmarked(text: Column) -> Column:
     plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(single) + marks, "".join(single.values()))).otherwise(text)
     table = F.map_from_arrays(F.lit(list(several)), F.lit(list(several.values())))
     whole = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(rare), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
-    return F.lower(F.when(plain.rlike(rare), whole).otherwise(plain))
+    marked = F.lower(F.when(plain.rlike(rare), whole).otherwise(plain))
+    # the class of rare letters is long; ASCII texts don't meet it
+    return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(F.lower(text))
 
 
 def search_text(text: Column) -> Column:
@@ -225,21 +228,49 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def word_runs(words: Column, longest: int) -> Column:
     """Runs of one to ``longest`` neighbouring words, joined by a space."""
 
-    def runs(n: int) -> Column:
-        return F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, F.lit(n)), " ")))
+    def runs(ws: Column, n: int) -> Column:
+        return F.transform(ws, lambda w, i: F.when(i + n <= F.size(ws), F.array_join(F.slice(ws, i + 1, F.lit(n)), " ")))
 
-    return F.array_compact(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
+    # the words are made once, not again for each place and length
+    return once(words, lambda ws: F.array_compact(F.flatten(F.array(*[runs(ws, n) for n in range(1, longest + 1)]))))
+
+
+def _longest_of(words: list[str]) -> str:
+    """A pattern for any of the words, longer ones first, that tells them apart letter by letter."""
+    heads = sorted({w[0] for w in words if w})
+    rest = "|".join(h + _longest_of([w[1:] for w in words if w[:1] == h]) for h in heads)
+    return (f"(?:{rest})" + ("?" if "" in words else "")) if rest else ""
+
+
+def named_alias(q: Column, aliases: dict[str, str]) -> Column:
+    """The longest alias among the words of a search text, of equal length the first; null if none.
+
+    One pattern tells the longest alias from each word on, so a text is made and read once, however many words and aliases there are.
+    """
+    good = [a for a in aliases if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", a)]
+    found = F.regexp_extract_all(q, F.lit(r"\b(?=(" + (_longest_of(good) or "(?!)") + r")\b)"), F.lit(1))
+    order = {a: i for i, a in enumerate(aliases)}
+    return F.array_min(F.transform(found, lambda w: F.struct((-F.length(w)).alias("l"), dims.lookup(order, w).alias("i"), w.alias("alias"))))["alias"]
+
+
+def country_code(query: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The code alone of ``query_country``."""
+    aliases = fixed.COUNTRY_ALIASES if aliases is None else aliases
+    return dims.lookup(aliases, named_alias(search_text(query), aliases))
 
 
 def query_country(query: Column, aliases: dict[str, str] | None = None) -> Column:
     """(code, topic): the country whose longest alias a query names, and the query without it; null if none. Of equal length the first counts."""
     aliases = fixed.COUNTRY_ALIASES if aliases is None else aliases
-    q = search_text(query)
-    named = F.filter(word_runs(F.split(q, " "), max(a.count(" ") for a in aliases) + 1), lambda w: w.isin(list(aliases)))
-    order = {a: i for i, a in enumerate(aliases)}
-    best = F.array_min(F.transform(named, lambda w: F.struct((-F.length(w)).alias("l"), dims.lookup(order, w).alias("i"), w.alias("alias"))))["alias"]
-    rest = F.trim(F.regexp_replace(F.regexp_replace(q, F.concat(F.lit(r"\b((en|in|de|del|sobre|from|about)\s+)?"), best, F.lit(r"\b")), F.lit(" ")), r"\s+", " "))
-    return F.when(best.isNotNull(), F.struct(dims.lookup(aliases, best).alias("code"), F.when(F.length(rest) >= 2, rest).otherwise(query).alias("topic")))
+
+    def split(q: Column, best: Column) -> Column:
+        # each word has blanks of its own, so an alias is replaced as plain text
+        apart = lambda x: F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))
+        marked = F.replace(apart(q), apart(best), F.lit(" \x01 "))
+        rest = F.trim(F.regexp_replace(F.regexp_replace(marked, "( (en|in|de|del|sobre|from|about) )? \x01 ", " "), " +", " "))
+        return F.when(best.isNotNull(), F.struct(dims.lookup(aliases, best).alias("code"), F.when(F.length(rest) >= 2, rest).otherwise(query).alias("topic")))
+
+    return once(search_text(query), lambda q: once(named_alias(q, aliases), lambda best: split(q, best)))
 
 
 # Labels and scores

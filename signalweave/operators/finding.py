@@ -164,7 +164,7 @@ def unified_search(S: DataFrame, countries: DataFrame, pageviews: DataFrame, tex
         "signal": search_signals(S, words).select(F.col("signal_id").cast("string").alias("item"), F.col("ts").cast("long").alias("total")),
         "page": search_pages(pageviews, words).select(F.col("title").alias("item"), F.col("views").alias("total")),
         "concept": hits,
-        "named_country": one.select(exprs.query_country(F.col("query"))["code"].alias("item"), F.lit(1).alias("total")).where("item is not null"),
+        "named_country": one.select(exprs.country_code(F.col("query")).alias("item"), F.lit(1).alias("total")).where("item is not null"),
         "region": search_regions(one).select(F.col("region").alias("item"), F.lit(1).alias("total")),
         "suggestion": fuzzy_suggest(one, S, countries, pageviews).select(F.col("value").alias("item"), F.col("score").alias("total")),
     }

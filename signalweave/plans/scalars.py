@@ -187,7 +187,9 @@ def c21(t):
 @query("c23_query_country", "SELECT signal_id, CASE event_type WHEN 'click' THEN 'KR' WHEN 'view' THEN 'US' END AS code FROM signals")
 def c23(t):
     text = F.concat_ws(" ", "headline", F.when(F.col("event_type") == "click", "in South Korea").when(F.col("event_type") == "view", "sobre Estados Unidos"))
-    return t.signals.select("signal_id", exprs.query_country(text)["code"].alias("code"))
+    # the given table may be one small file; its rows are dealt over the cores first
+    rows = t.signals.select("signal_id", text.alias("asked")).repartition(t.spark.sparkContext.defaultParallelism)
+    return rows.select("signal_id", exprs.country_code(F.col("asked")).alias("code"))
 
 
 CALLSIGNS = [*[x + "12" for x in fixed.MILITARY_PREFIXES], *[x + "1" for x in fixed.GOVERNMENT_PREFIXES], " rch12", "DLH44", "BA9", "N-1", "", "raF", "NATO", "SPARK", "A1", "ABCD1"]

@@ -149,6 +149,22 @@ def test_ingest_again_leaves_the_same_tables(spark, tmp_path):
 def test_query_country(spark):
     assert tuple(one(spark, exprs.query_country(F.col("q")), q="Protests in South Korea")) == ("KR", "protests")
     assert one(spark, exprs.query_country(F.col("q")), q="nothing here") is None
+    assert one(spark, exprs.query_country(F.col("q")), q="in in Perú  peru") == ("PE", "in")
+    assert one(spark, exprs.query_country(F.col("q")), q="Peru") == ("PE", "Peru")
+    assert one(spark, exprs.country_code(F.col("q")), q="corea del sur africa") == "KR"
+    some = {"a b": "1", "b c d": "2", "b": "3", "d e": "4"}
+    assert [one(spark, exprs.country_code(F.col("q"), some), q=q) for q in ("a b c d e", "x b", "d e a b", "bc", "", None)] == ["2", "3", "1", None, None, None]
+    assert one(spark, exprs.query_country(F.col("q"), some), q="to a b from b c d then") == ("2", "to a b then")
+
+
+def test_query_country_makes_its_text_once(spark):
+    for column in (exprs.query_country(F.col("q")), exprs.country_code(F.col("q"))):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("q")).select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[^a-z0-9]+") == 1
+    runs = spark.range(1).select(exprs.word_runs(exprs.tokens(F.col("id").cast("string")), 3).alias("x"))
+    once = spark.range(1).select(exprs.tokens(F.col("id").cast("string")).alias("x"))
+    lower = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("lower(")
+    assert lower(runs) == lower(once)
 
 
 def test_search_text_and_variants(spark):
