@@ -83,7 +83,8 @@ ASKED = ["protests in " + a for a in fixed.COUNTRY_ALIASES]
 
 @query("c23_country_aliases", dealt_sql(ASKED, "asked") + f", m AS (SELECT * FROM {VALUES(fixed.COUNTRY_ALIASES.items())} m(alias, code)) SELECT signal_id, code FROM x JOIN m ON asked = 'protests in ' || alias")
 def c23(t):
-    return dealt(t, ASKED, "asked").select("signal_id", exprs.query_country(F.col("asked"))["code"].alias("code"))
+    rows = dealt(t, ASKED, "asked").select("signal_id", "asked").repartition(t.spark.sparkContext.defaultParallelism)
+    return rows.select("signal_id", exprs.country_code(F.col("asked")).alias("code"))
 
 
 SENTIMENT = [f"talks on {w} went on today" for w in ("war", "peace", "ceasefire and aid", "nothing", "famine, drought and panic")] + ["habrá acuerdo de paz y ayuda", "la guerra y la hambruna"]
