@@ -1,6 +1,6 @@
-"""Streams with typed state and timers of their own, by ``transformWithState``.
+"""Streams with typed state and timers of their own, by ``transformWithStateInPandas``.
 
-State is kept in RocksDB under the checkpoint, a column a value, so a task holds the rows of its batch only; a timer or a time to live ends a
+State is kept in RocksDB under the checkpoint, a column a value; rows come as frames of bounded size, and state is read and written once a key and batch; a timer or a time to live ends a
 key, and a restart goes on from the checkpoint. A stream takes the store that the session has when it starts, so it is started within ``enabled``.
 """
 
@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,21 +43,32 @@ class LastPosition(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us long, latitude double, longitude double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         before = tuple(self.last.get()) if self.last.exists() else None
-        best = max((r.us, r.latitude, r.longitude) for r in rows)
+        best = max(self.latest(frame) for frame in rows)
         if before is not None and best <= before:
             return
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.last.update(best)
         self.handle.registerTimer(max(best[0] // 1000 + self.expire_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield Row(vessel=key[0], us=best[0], latitude=best[1], longitude=best[2], expired=False)
+        yield self.given(key, best, False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        us, latitude, longitude = self.last.get()
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        best = tuple(self.last.get())
         self.last.clear()
-        yield Row(vessel=key[0], us=us, latitude=latitude, longitude=longitude, expired=True)
+        yield self.given(key, best, True)
+
+    @staticmethod
+    def latest(frame: pd.DataFrame) -> tuple[int, float, float]:
+        """The latest place of a frame, of several at one time the largest."""
+        us, latitude, longitude = (frame[c].to_numpy() for c in ("us", "latitude", "longitude"))
+        at = np.flatnonzero(us == us.max())
+        return max((int(us[i]), float(latitude[i]), float(longitude[i])) for i in at.tolist())
+
+    @staticmethod
+    def given(key: Any, best: tuple[int, float, float], expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"vessel": [key[0]], "us": [best[0]], "latitude": [best[1]], "longitude": [best[2]], "expired": [expired]})
 
     def close(self) -> None:
         pass
@@ -71,31 +84,48 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getMapState("open", "start long", "until long, n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for at in sorted(r.ms for r in rows):
-            start, until, n = at, at, 1
-            # those that the row touches become one with it; at most two can
-            for (other,), (end, count) in list(self.open.iterator()):
-                if other - self.gap_ms <= at <= end + self.gap_ms:
-                    self.open.removeKey((other,))
-                    start, until, n = min(start, other), max(until, end), n + count
-            self.open.updateValue((start,), (until, n))
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # the open visits are read once a batch, not once a row; each frame of rows becomes visits before it meets them
+        before = {start: (end, n) for (start,), (end, n) in self.open.iterator()}
+        visits = [(start, end, n) for start, (end, n) in before.items()]
+        for frame in rows:
+            at = np.sort(frame["ms"].to_numpy(dtype=np.int64))
+            first = np.flatnonzero(np.diff(at, prepend=at[0] - self.gap_ms - 1) > self.gap_ms)
+            last = np.append(first[1:], len(at)) - 1
+            visits = self.merged([*visits, *zip(at[first].tolist(), at[last].tolist(), (last - first + 1).tolist())])
+        after = {start: (end, n) for start, end, n in visits}
+        for start in before.keys() - after.keys():
+            self.open.removeKey((start,))
+        for start, visit in after.items():
+            if before.get(start) != visit:
+                self.open.updateValue((start,), visit)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        ends = [end for _, (end, _) in self.open.iterator()]
-        self.handle.registerTimer(max(min(ends) + self.gap_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(min(end for _, end, _ in visits) + self.gap_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield from ()
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, left = timerValues.getCurrentWatermarkInMs(), []
+    def merged(self, visits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, n) of visits, those within ``gap_ms`` of each other as one."""
+        out: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(visits):
+            if out and start - self.gap_ms <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2] + n)
+            else:
+                out.append((start, end, n))
+        return out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, left, over = timerValues.getCurrentWatermarkInMs(), [], []
         for (start,), (end, n) in list(self.open.iterator()):
             if end + self.gap_ms < now:
                 self.open.removeKey((start,))
-                yield Row(key=key[0], start_ms=start, end_ms=end, n=n)
+                over.append((key[0], start, end, n))
             else:
                 left.append(end)
         if left:
             self.handle.registerTimer(max(min(left) + self.gap_ms + 1, now + 1))
+        if over:
+            yield pd.DataFrame(over, columns=["key", "start_ms", "end_ms", "n"])
 
     def close(self) -> None:
         pass
@@ -106,12 +136,12 @@ def last_positions(df: DataFrame, expire_minutes: int = 10, late: str = "10 minu
     low, high, west, east = box
     good = df.where(F.col("vessel").isNotNull() & F.col("ts").isNotNull() & F.col("latitude").between(low, high) & F.col("longitude").between(west, east))
     rows = good.withWatermark("ts", late).select("vessel", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "latitude", "longitude")
-    out = rows.groupBy("vessel").transformWithState(LastPosition(expire_minutes * 60_000), "vessel string, us long, latitude double, longitude double, expired boolean", "Update", "EventTime")
+    out = rows.groupBy("vessel").transformWithStateInPandas(LastPosition(expire_minutes * 60_000), "vessel string, us long, latitude double, longitude double, expired boolean", "Update", "EventTime")
     return out.select("vessel", F.timestamp_micros("us").alias("ts"), "latitude", "longitude", "expired")
 
 
 def sessions(df: DataFrame, key: str, gap_minutes: int = 30, late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n) of the visits of each key. A key's state is its open visits, not its rows."""
     rows = df.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    out = rows.groupBy("key").transformWithState(Sessions(gap_minutes * 60_000), "key string, start_ms long, end_ms long, n long", "Append", "EventTime")
+    out = rows.groupBy("key").transformWithStateInPandas(Sessions(gap_minutes * 60_000), "key string, start_ms long, end_ms long, n long", "Append", "EventTime")
     return out.select("key", F.timestamp_millis("start_ms").alias("start"), F.timestamp_millis("end_ms").alias("end"), "n")

@@ -1,7 +1,10 @@
 """Streams with state and timers: restarts, rows out of order, visits that a late row joins."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from signalweave.plans import streams
+from signalweave.plans.fixture import Tables
 from signalweave.streaming import stateful, stream
 
 SHIPS = "vessel string, ts timestamp, latitude double, longitude double"
@@ -37,3 +40,54 @@ def test_visits(spark, tmp_path):
         stream.run_available(stateful.sessions(ships, "vessel", 30, "2 hours"), stream.update_log(out), str(tmp_path / "checkpoint"))
     got = sorted((r.key, str(r.start)[11:16], str(r.end)[11:16], r.n) for r in spark.read.parquet(out).collect())
     assert got == [("a", "00:00", "00:50", 3), ("b", "00:10", "00:10", 1), ("b", "01:30", "01:30", 2)]
+
+
+class Counted:
+    """A map state, and a handle, that count how often they are asked."""
+
+    def __init__(self, rows):
+        self.rows, self.asked, self.timers = dict(rows), 0, []
+
+    def getMapState(self, *_):
+        return self
+
+    def iterator(self):
+        self.asked += 1
+        return iter(list(self.rows.items()))
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self.rows[key]
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_batch_asks_the_state_by_visit_not_by_row():
+    state = Counted({(0,): (10, 2), (500,): (500, 1)})
+    visits = stateful.Sessions(100)
+    visits.init(state)
+    frames = [pd.DataFrame({"ms": [900, 899, *range(60, 91)]}), pd.DataFrame({"ms": [1001, 190, 800]})]
+    assert list(visits.handleInputRows(("a",), iter(frames), state)) == []
+    assert state.rows == {(0,): (190, 34), (500,): (500, 1), (800,): (900, 3), (1001,): (1001, 1)}
+    assert state.asked == 4 and state.timers == [291]
+
+
+def test_a_part_is_one_batch_of_several_files(spark, small, tmp_path):
+    parts = ["ts < '2024-01-12'", "ts < '2000-01-01'", "ts >= '2024-01-12' and event_id % 100 = 0"]
+    out = str(tmp_path / "out")
+    query = stream.run_available(streams.staged(Tables(spark, small), parts, 50).select("signal_id"), stream.update_log(out), str(tmp_path / "checkpoint"))
+    events = spark.read.parquet(f"{small}/events.parquet")
+    assert [r.n for r in spark.read.parquet(out).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [events.where(p).count() for p in (parts[0], parts[2])]
+    assert [p["numInputRows"] for p in query.recentProgress][:3] == [events.where(p).count() for p in parts]
+    assert spark.read.parquet(out + "/batch=0").rdd.getNumPartitions() > 1
