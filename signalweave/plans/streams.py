@@ -54,13 +54,21 @@ def m7(t):
     return rows.withColumn("slot", F.col("slot").cast("string"))
 
 
-def staged(t, parts):
-    """The signals as a stream of several files, one a batch: ``parts`` are conditions on the events, a file each, in order."""
-    path, schema = M.scratch(t.spark, "staged"), t.raw("events").schema
+def staged(t, parts, rows_per_file=50_000):
+    """The signals as a stream of several batches: ``parts`` are conditions on the events, a batch each, in order.
+
+    Each part is landed as the same number of files, so that a batch, which takes that many, is one part and has many tasks.
+    """
+    path, events = M.scratch(t.spark, "staged"), t.raw("events")
+    files = max(1, min(t.spark.sparkContext.defaultParallelism, events.count() // (len(parts) * rows_per_file)))
     for i, where in enumerate(parts):
-        t.raw("events").where(where).coalesce(1).write.parquet(f"{path}/{i}")
-    events = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    return t.spark.sql(SIGNALS.format(**SPARK, events="{events}", customer="{customer}", nation="{nation}"), events=events, customer=t.raw("customer"), nation=t.raw("nation"))
+        rows = events.where(where)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{path}/{i}")
+        # a part of few rows has fewer files; empty ones make up for them
+        for _ in range(files - len(t.spark.read.parquet(f"{path}/{i}").inputFiles())):
+            events.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+    return t.spark.sql(SIGNALS.format(**SPARK, events="{events}", customer="{customer}", nation="{nation}"), events=stream, customer=t.raw("customer"), nation=t.raw("nation"))
 
 
 #: Four batches: some rows of the second are late but within ten days, some of the last are later than that and go.
