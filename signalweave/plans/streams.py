@@ -182,20 +182,30 @@ LINES = "WHERE signal_id % 10 NOT IN (3, 7)"
 THEMED = f", x AS (SELECT date_trunc('hour', ts) AS hour, sentiment, source_name, CASE signal_id % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'US' ELSE 'FR' END AS country, list_concat(['KILL'], list_filter(themes, lambda x: length(x) > 2)) AS themes FROM signals {LINES})"
 
 
+def part_of(value):
+    return F.when(value.startswith("short"), F.lit(0)).otherwise(F.pmod(F.xxhash64(value), F.lit(4)))
+
+
 def ingested(t):
     """The tables after two runs of the ingest job: files of the first days, then later ones, with a third of the first files' lines again."""
-    base = M.scratch(t.spark, "ingest")
-    lines = landing.gkg_lines(t).withColumn("part", F.when(F.col("value").startswith("short"), F.lit(0)).otherwise(F.pmod(F.xxhash64("value"), F.lit(4))))
+    base, rows, cores = M.scratch(t.spark, "ingest"), t.raw("events").count(), t.spark.sparkContext.defaultParallelism
+    # made once, and landed by all cores; small tables are two files a part
+    landing.gkg_lines(t).withColumn("part", part_of(F.col("value"))).write.parquet(f"{base}/lines")
+    lines = t.spark.read.parquet(f"{base}/lines")
+    files = max(2, min(cores, rows // 200_000))
+    # about a key a byte of a bucket's filter
+    buckets = max(4, rows // 100_000)
+    options = {"files_per_batch": files, "buckets": buckets, "filter_bytes": max(4096, min(1 << 17, rows // buckets)), "hours": 24}
 
     def land(name, where):
-        lines.where(where).select("value").coalesce(2).write.text(f"{base}/landing/{name}")
+        lines.where(where).select("value").repartition(files).write.text(f"{base}/landing/{name}")
 
     land("a", "part = 0")
     land("b", "part = 1")
-    first = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2, buckets=4, filter_bytes=4096, hours=24)
+    first = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", **options)
     land("c", "part = 2 or part = 0 and length(value) % 3 = 0")
     land("d", "part = 3 or part = 1")
-    second = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", files_per_batch=2, buckets=4, filter_bytes=4096, hours=24)
+    second = ingest.run(t.spark, f"{base}/landing/*", f"{base}/tables", f"{base}/checkpoint", **options)
     return base + "/tables", [*first, *second]
 
 
@@ -212,7 +222,6 @@ def m11(t):
     base, batches = ingested(t)
     signals = t.spark.read.parquet(base + "/signals")
     assert signals.select("source_url").distinct().count() == signals.count()
-    lines = landing.gkg_lines(t)
-    part = F.when(F.col("value").startswith("short"), F.lit(0)).otherwise(F.pmod(F.xxhash64("value"), F.lit(4)))
-    again = lines.where((part == 1) | (part == 0) & (F.length("value") % 3 == 0)).count()
+    lines = t.spark.read.parquet(base.removesuffix("/tables") + "/lines")
+    again = lines.where((F.col("part") == 1) | (F.col("part") == 0) & (F.length("value") % 3 == 0)).count()
     return t.spark.createDataFrame([(sum(b["rows"] for b in batches) - again,)], "rows_in long")
