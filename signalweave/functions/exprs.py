@@ -42,8 +42,7 @@ def domain(url: Column) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """The host and each of its parent domains, longest first."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return once(F.split(host, r"\."), lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def slug_title(url: Column) -> Column:

@@ -341,3 +341,11 @@ def test_feeds(spark):
     feed = replace(normalize.FEEDS["humanitarian"], keywords=[("CL", "chile")])
     rows = normalize.normalize_articles(items, feed, F.to_timestamp(F.lit("2023-06-01"))).collect()
     assert [(r.headline, r.country_code, r.is_crisis, r.severity, r.signal_class) for r in rows] == [("Quake in Chile", "CL", True, "medium", "humanitarian")]
+
+
+def test_host_suffixes_make_the_host_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("u")).select(exprs.host_suffixes(exprs.domain(F.col("u"))).alias("x"))
+    one_host = spark.range(1).select(F.col("id").cast("string").alias("u")).select(exprs.domain(F.col("u")).alias("x"))
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+    assert count(df) == count(one_host)
+    assert one(spark, exprs.host_suffixes(F.col("h")), h="a.b.c") == ["a.b.c", "b.c", "c"]
