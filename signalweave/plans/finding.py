@@ -78,7 +78,8 @@ def c5s(t):
 def k38(t):
     """The words of every page's host against the labels of all themes; the operator is tested against plain code."""
     queries = t.raw("pages").select(F.translate(exprs.domain(F.col("url")), ".-", "  ").alias("query")).distinct()
-    themes = R.exploded(t.signals).select(F.col("theme").alias("entry"), exprs.theme_label(F.col("theme")).alias("text")).distinct()
+    # a label takes dozens of patterns: one a theme, not one a row
+    themes = R.exploded(t.signals).select(F.col("theme").alias("entry")).distinct().select("entry", exprs.theme_label(F.col("entry")).alias("text"))
     labels = t.spark.createDataFrame(list(fixed.THEME_LABELS.items()), "entry string, text string")
     return S.fuzzy_dictionary(queries, themes.unionByName(labels), 0.25)
 
