@@ -74,7 +74,9 @@ def fuzzy_suggest(queries: DataFrame, S: DataFrame, countries: DataFrame, pagevi
     places = countries.select(F.col("name").alias("value"), F.lit(0).cast("long").alias("n"), F.lit("country").alias("kind"))
     pages = pageviews.groupBy(F.col("title").alias("value")).agg(F.sum("views").alias("n")).withColumn("kind", F.lit("page"))
     hits = fuzzy_candidates(queries, persons.unionByName(places).unionByName(pages))
-    hits = hits.where(offered(F.col("query"), F.col("value"), F.col("score")) & ~((F.col("kind") == "person") & (F.col("n") < 10) & (F.col("score") < 0.5)))
+    # computed on the hits; as plain filters the texts' conditions would go to every row that has a value
+    hits = exprs.computed(hits, offered=offered(F.col("query"), F.col("value"), F.col("score")))
+    hits = hits.where(F.col("offered") & ~((F.col("kind") == "person") & (F.col("n") < 10) & (F.col("score") < 0.5)))
     top = top_per(hits, ["query"], [F.desc("score"), F.desc("n"), F.asc("kind"), F.asc("value")], limit)
     strength = F.when((F.col("kind") == "country") & (F.col("score") >= 0.5), 2).when((F.col("kind") == "page") & (F.col("score") >= 0.55), 1).otherwise(0)
     best = top.withColumn("s", strength)

@@ -163,9 +163,14 @@ def scored_pairs(pairs: DataFrame, a: str = "qw", b: str = "ew") -> DataFrame:
     return pairs.select(a, b).mapInArrow(verify, f"{a} string, {b} string, s double")
 
 
+def _grams(texts: DataFrame, text: str) -> DataFrame:
+    """(text, g): a row for each trigram of each distinct text. A filter on the grams would go below ``distinct``, to every row; on what is computed it can't."""
+    return exprs.computed(texts.select(text).distinct(), gs=exprs.gram_set(F.col(text))).select(text, F.explode("gs").alias("g"))
+
+
 def _ordered_grams(texts: DataFrame, text: str, frequency: DataFrame) -> DataFrame:
     """(text, grams): a text's distinct trigrams, rare ones first."""
-    rows = texts.select(text).distinct().select(text, F.explode(exprs.gram_set(F.col(text))).alias("g")).join(frequency, "g", "left")
+    rows = _grams(texts, text).join(frequency, "g", "left")
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
     return rows.groupBy(text).agg(F.transform(ordered, lambda x: x["g"]).alias("grams"))
 
@@ -175,7 +180,7 @@ def gram_candidates(queries: DataFrame, values: DataFrame, least: float) -> Data
 
     A set of n grams can only reach it with one that shares at least ceil(least * n) of them, hence one of the first n - ceil(least * n) + 1.
     """
-    frequency = values.select("value").distinct().select(F.explode(exprs.gram_set(F.col("value"))).alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    frequency = _grams(values, "value").groupBy("g").agg(F.count("*").alias("df"))
 
     def keyed(df, text, n, grams, place):
         rows = _ordered_grams(df, text, frequency).withColumn(n, F.size("grams"))

@@ -26,3 +26,9 @@ def test_labels_are_made_once_a_theme(spark, small):
     plan = plan_of(spark, registry.queries()["k38_fuzzy_dictionary"](spark, small))
     made = [x for x in plan if "USPEC_POLICY_ECONOMIC" in x]  # by the result of an aggregate over the themes alone, not by what it reads
     assert made and all(re.search(r"Aggregate \[entry#\d+\], ", x) for x in made)
+
+
+def test_texts_are_not_searched_once_a_signal(spark, small):
+    plan = plan_of(spark, registry.queries()["k37_fuzzy_suggest"](spark, small))
+    assert any("[^a-z0-9]+" in x for x in plan)
+    assert not [x for x in plan if "Filter " in x and "[^a-z0-9]+" in x]  # such a filter goes down to the rows of the signals
