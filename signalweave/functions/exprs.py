@@ -227,11 +227,15 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def word_runs(words: Column, longest: int) -> Column:
     """Runs of one to ``longest`` neighbouring words, joined by a space."""
 
-    def runs(ws: Column, n: int) -> Column:
-        return F.transform(ws, lambda w, i: F.when(i + n <= F.size(ws), F.array_join(F.slice(ws, i + 1, F.lit(n)), " ")))
+    def runs(ws: Column, shorter: Column, n: int) -> Column:
+        if n > longest:
+            return F.array().cast("array<string>")
+        # a run is a shorter one and the word after it; where no word follows it is null
+        longer = F.zip_with(shorter, F.slice(ws, n, F.greatest(F.size(ws), F.lit(0))), lambda run, w: F.concat(run, F.lit(" "), w))
+        return once(F.array_compact(longer), lambda x: F.concat(x, runs(ws, x, n + 1)))
 
     # the words are made once, not again for each place and length
-    return once(words, lambda ws: F.array_compact(F.flatten(F.array(*[runs(ws, n) for n in range(1, longest + 1)]))))
+    return once(words, lambda ws: F.concat(ws, runs(ws, ws, 2)))
 
 
 def _longest_of(words: list[str]) -> str:

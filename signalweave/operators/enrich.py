@@ -89,13 +89,17 @@ def assign_topics(S: DataFrame, topics: DataFrame, least: float = 0.2, longest:
 
     topics: topic, terms (of up to ``longest`` words), hints. Headlines' words and runs of words meet terms, themes meet hints, by joins.
     """
-    terms = topics.select("topic", F.size("terms").alias("n"), F.explode("terms").alias("word"))
-    words = S.select("signal_id", F.explode(F.array_distinct(exprs.word_runs(exprs.tokens(F.col("headline")), longest))).alias("word"))
-    by_text = words.join(terms, "word").groupBy("signal_id", "topic", "n").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("word")).alias("w")).select("signal_id", "topic", (F.col("k") / F.col("n")).alias("c"), "w")
-    hints = topics.select("topic", F.explode("hints").alias("theme"))
-    by_theme = R.exploded(S.select("signal_id", "themes")).join(hints, "theme").groupBy("signal_id", "topic").agg(F.array_sort(F.collect_set("theme")).alias("w")).select("signal_id", "topic", F.lit(0.5).alias("c"), "w")
-    both = by_text.unionByName(by_theme).groupBy("signal_id", "topic").agg(F.sum("c").alias("c"), F.array_sort(F.flatten(F.collect_list("w"))).alias("w"))
-    return both.select("signal_id", "topic", r(F.least(F.lit(1.0), F.col("c"))).alias("confidence"), F.array_join("w", ",").alias("evidence")).where(F.col("confidence") >= least)
+    hint = lambda w: F.concat(F.lit("\x01"), w)  # noqa: E731  # no run of words looks like this
+    terms = topics.select(F.explode("terms").alias("word"), "topic", F.size("terms").alias("n"), F.lit(False).alias("hint"))
+    hints = topics.select(F.explode(F.transform("hints", hint)).alias("word"), "topic", F.lit(None).cast("int").alias("n"), F.lit(True).alias("hint"))
+    none = F.array().cast("array<string>")
+    runs = F.coalesce(F.array_distinct(exprs.word_runs(exprs.tokens(F.col("headline")), longest)), none)
+    rows = exprs.computed(S.select("signal_id", "headline", "themes"), keys=F.concat(runs, F.transform(F.coalesce("themes", none), hint)))
+    # the topics are a fixed dictionary; unless it is broadcast, every word of every row is shuffled and sorted
+    met = rows.select("signal_id", F.explode("keys").alias("word")).join(F.broadcast(terms.unionByName(hints)), "word").groupBy("signal_id", "topic")
+    found = met.agg(F.count_if(~F.col("hint")).alias("k"), F.max("n").alias("n"), F.bool_or("hint").alias("hint"), F.collect_set("word").alias("w"))
+    confidence = F.least(F.lit(1.0), F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)) + F.when(F.col("hint"), 0.5).otherwise(0.0))
+    return found.select("signal_id", "topic", r(confidence).alias("confidence"), F.array_join(F.array_sort(F.transform("w", lambda w: F.ltrim(w, F.lit("\x01")))), ",").alias("evidence")).where(F.col("confidence") >= least)
 
 
 def simple_summary(S: DataFrame, keys: list[str]) -> DataFrame:

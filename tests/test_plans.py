@@ -32,3 +32,9 @@ def test_texts_are_not_searched_once_a_signal(spark, small):
     plan = plan_of(spark, registry.queries()["k37_fuzzy_suggest"](spark, small))
     assert any("[^a-z0-9]+" in x for x in plan)
     assert not [x for x in plan if "Filter " in x and "[^a-z0-9]+" in x]  # such a filter goes down to the rows of the signals
+
+
+def test_topics_meet_words_without_shuffling_them(spark, small):
+    plan = plan_of(spark, registry.queries()["l7_seed_topics"](spark, small))
+    assert sum("user_id" in x and "Relation" in x for x in plan) == 1
+    assert any("strategy=broadcast" in x for x in plan)
